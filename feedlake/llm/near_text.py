@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.llm.components import components
+from feedlake.llm.grouping import grouped
 from feedlake.llm.scratch import discard, stash, table
 from feedlake.llm.shingles import MinHasher, WordHashes, set_key, shingle_set
 
@@ -98,30 +99,12 @@ def _strongest_tree(sigs: np.ndarray, least: int) -> list[tuple[int, int]]:
     return pairs
 
 
-def _grouped(batches, key: list[str]):
-    """Consecutive rows with equal keys of a sorted partition, whole groups at a time."""
-    rest = None
-    for batch in batches:
-        if rest is not None:
-            batch = pd.concat([rest, batch], ignore_index=True)
-        if not len(batch):
-            continue
-        marks = batch[key].to_numpy()
-        cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
-        edges = [0, *cuts.tolist()]
-        for a, b in zip(edges, edges[1:], strict=False):
-            yield batch.iloc[a:b]
-        rest = batch.iloc[edges[-1] :]
-    if rest is not None and len(rest):
-        yield rest
-
-
 def _candidates(members: DataFrame, least: int, every: bool) -> DataFrame:
     """(a, b) with a < b: the pairs of classes to confirm. every: all pairs that agree enough and lie in different
     components; else a forest of the strongest pairs of each region."""
 
     def each(batches):
-        for group in _grouped(batches, ["region", "ba", "bb"]):
+        for group in grouped(batches, ["region", "ba", "bb"]):
             if every and group["component"].nunique() < 2:
                 continue
             group = group.sort_values("rep", kind="stable")
