@@ -31,3 +31,14 @@ def grouped(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.Data
                 yield part
     if rest:
         yield pd.concat(rest, ignore_index=True)
+
+
+def tile_roots(links: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each row and each column reaches by the tile's links."""
+    a, b, top = ids_a.copy(), ids_b.copy(), np.iinfo(np.int64).max
+    while True:
+        new_b = np.minimum(b, np.where(links, a[:, None], top).min(axis=0, initial=top))
+        new_a = np.minimum(a, np.where(links, new_b[None, :], top).min(axis=1, initial=top))
+        if (new_a == a).all() and (new_b == b).all():
+            return a, b
+        a, b = new_a, new_b

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.llm.components import components
-from feedlake.llm.grouping import grouped
+from feedlake.llm.grouping import grouped, tile_roots
 from feedlake.llm.scratch import discard, stash, table
 from feedlake.llm.shingles import MinHasher, WordHashes, set_key, shingle_set
 
@@ -18,6 +18,8 @@ VALUES = TREES * DEPTHS[0]
 #: A region with more members is told apart by a longer prefix; one that the longest prefix leaves as large is
 #: compared in blocks, so that no pair of it is given up.
 REGION = 2048
+#: Members of a block in the final comparison.
+BLOCK = 256
 
 
 def describe(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -99,42 +101,25 @@ def _strongest_tree(sigs: np.ndarray, least: int) -> list[tuple[int, int]]:
     return pairs
 
 
-def _candidates(members: DataFrame, least: int, every: bool) -> DataFrame:
-    """(a, b) with a < b: the pairs of classes to confirm. every: all pairs that agree enough and lie in different
-    components; else a forest of the strongest pairs of each region."""
+def _proposals(members: DataFrame, least: int) -> DataFrame:
+    """(a, b) with a < b: of each region, a spanning forest of the pairs of classes that agree most."""
 
     def each(batches):
         for group in grouped(batches, ["region", "ba", "bb"]):
-            if every and group["component"].nunique() < 2:
-                continue
             group = group.sort_values("rep", kind="stable")
             reps = group["rep"].to_numpy()
             sigs = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), VALUES)
-            if not every:
-                pairs = _strongest_tree(sigs, least)
-                a, b = np.array(pairs, int).reshape(-1, 2).T
-            else:
-                comp, own = group["component"].to_numpy(), group["own"].to_numpy()
-                same_block = group["ba"].iat[0] == group["bb"].iat[0]
-                found_a, found_b = [], []
-                for i in range(len(group) - 1):
-                    ok = (comp[i + 1 :] != comp[i]) & (same_block | (own[i + 1 :] != own[i]))
-                    at = np.flatnonzero(ok) + i + 1
-                    at = at[_agreement(sigs[at], sigs[i]) >= least]
-                    found_a.append(np.full(len(at), i))
-                    found_b.append(at)
-                a, b = np.concatenate([[], *found_a]).astype(int), np.concatenate([[], *found_b]).astype(int)
-            if len(a):
-                x, y = reps[a], reps[b]
+            pairs = np.array(_strongest_tree(sigs, least), int).reshape(-1, 2)
+            if len(pairs):
+                x, y = reps[pairs[:, 0]], reps[pairs[:, 1]]
                 yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     dealt = members.repartition("region", "ba", "bb").sortWithinPartitions("region", "ba", "bb")
     return dealt.mapInPandas(each, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough: num / den <= intersection / union, in integers."""
-    num, den = threshold
+def _sets(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(rep, items): the full shingle sets of the classes in pairs, made from their texts again."""
     ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
     wanted = classes.select("rep", "set_key").join(ids, "rep", "left_semi")
 
@@ -144,21 +129,99 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int
             sets = [shingle_set(text, width, words) for text in batch["text"]]
             yield pd.DataFrame({"rep": batch["rep"], "set_key": [set_key(x) if len(x) else None for x in sets], "items": [x.view(np.int64) for x in sets]})
 
-    texts = docs.join(wanted.select(F.col("rep")), "rep", "left_semi")
-    sets = texts.mapInPandas(each, "rep long, set_key binary, items array<long>")
-    sets = sets.join(wanted, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).select("rep", "items")
-    sets = stash(sets, "sets")
+    sets = texts.join(wanted.select("rep"), "rep", "left_semi").mapInPandas(each, "rep long, set_key binary, items array<long>")
+    return sets.join(wanted, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).select("rep", "items")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough: num / den <= intersection / union, in integers."""
+    num, den = threshold
     right = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"))
     left = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
-    both = pairs.join(right, "b").join(left, "a")
     shared = F.size(F.array_intersect("items_a", "items_b")).cast("long")
     total = (F.size("items_a") + F.size("items_b")).cast("long")
-    links = stash(both.select("a", "b", shared.alias("i"), total.alias("t")).where(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("a", "b"), "links")
-    discard(sets)
-    return links
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", shared.alias("i"), total.alias("t"))
+    return both.where(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("a", "b")
+
+
+def _intersections(items_a: list, items_b: list) -> np.ndarray:
+    """Sizes of the intersections of every set of one list with every set of the other: incidence matrices, a few
+    thousand columns at a time."""
+    every = np.concatenate([*items_a, *items_b])
+    row = np.repeat(np.arange(len(items_a) + len(items_b)), [len(x) for x in (*items_a, *items_b)])
+    _, where, count = np.unique(every, return_inverse=True, return_counts=True)
+    use = count[where] > 1
+    row, where = row[use], where[use]
+    order = np.argsort(where, kind="stable")
+    row, where = row[order], where[order]
+    new = np.concatenate([[0], np.cumsum(where[1:] != where[:-1])]) if len(where) else where
+    out = np.zeros((len(items_a), len(items_b)), np.int64)
+    for at in range(0, int(new[-1]) + 1 if len(new) else 0, 4096):
+        lo, hi = np.searchsorted(new, [at, at + 4096])
+        m = np.zeros((len(items_a) + len(items_b), 4096), np.float32)
+        m[row[lo:hi], new[lo:hi] - at] = 1
+        out += np.rint(m[: len(items_a)] @ m[len(items_a) :].T).astype(np.int64)
+    return out
+
+
+def _cross_links(group: pd.DataFrame, least: int, threshold: tuple[int, int]) -> pd.DataFrame | None:
+    """Links between the members of two blocks that lie in different components, as a spanning forest."""
+    num, den = threshold
+    group = group.sort_values("rep", kind="stable")
+    ba, bb, own = group["ba"].iat[0], group["bb"].iat[0], group["own"].to_numpy()
+    a, b = np.flatnonzero(own == ba), np.flatnonzero(own == bb)
+    reps, part = group["rep"].to_numpy(), group["part"].to_numpy()
+    sigs = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), VALUES)
+    want = np.array([_agreement(sigs[b], sigs[i]) >= least for i in a]).reshape(len(a), len(b)) & (part[a][:, None] != part[b][None, :])
+    rows, cols = np.flatnonzero(want.any(axis=1)), np.flatnonzero(want.any(axis=0))
+    if not len(rows):
+        return None
+    a, b, want = a[rows], b[cols], want[np.ix_(rows, cols)]
+    items = group["items"].to_list()
+    n = np.array([len(x) for x in items])
+    shared = _intersections([items[i] for i in a], [items[i] for i in b])
+    links = want & (shared * den >= (n[a][:, None] + n[b][None, :] - shared) * num)
+    if not links.any():
+        return None
+    root_a, root_b = tile_roots(links, reps[a], reps[b])
+    out = pd.DataFrame({"a": np.concatenate([root_a, root_b]), "b": np.concatenate([reps[a], reps[b]])})
+    return out[out["a"] != out["b"]]
+
+
+def _rest(tried: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFrame, least: int, threshold: tuple[int, int], block: int) -> DataFrame:
+    """(a, b): links that the proposals did not show.
+
+    The proposals span everything that may be linked, so all links lie within the proposals' own components. Where
+    such a wide component holds several confirmed ones, all pairs of its members in different confirmed components
+    are compared on full sets, in tiles of two blocks; two blocks of its largest confirmed component need no tile.
+    Of each tile's links only a spanning forest leaves it.
+    """
+    wide = components(tried, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("wide"))
+    placed = wide.join(found.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    placed = stash(placed, "placed")
+    sizes = placed.groupBy("wide", "part").agg(F.count("*").alias("n"))
+    plan = sizes.groupBy("wide").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("parts")).where("parts > 1")
+    rest, main = F.ceil((F.col("n_all") - F.col("n_main")) / block), F.ceil(F.col("n_main") / block)
+    plan = plan.select("wide", "main", rest.cast("int").alias("rest"), main.cast("int").alias("main_blocks"))
+    in_main = F.col("part") == F.col("main")
+    at = F.xxhash64(F.lit("block"), "rep")
+    own = F.when(in_main, F.col("rest") + F.pmod(at, F.col("main_blocks"))).otherwise(F.pmod(at, F.col("rest"))).cast("int")
+    last = F.when(in_main, F.col("rest")).otherwise(F.col("rest") + F.col("main_blocks")) - 1
+    dealt = placed.join(plan, "wide").select("wide", "rep", "part", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    dealt = dealt.select("wide", F.least("own", "other").alias("ba"), F.greatest("own", "other").alias("bb"), "rep", "part", "own")
+    full = dealt.join(classes.select("rep", "sig"), "rep").join(sets, "rep")
+
+    def each(batches):
+        for group in grouped(batches, ["wide", "ba", "bb"]):
+            links = _cross_links(group, least, threshold)
+            if links is not None:
+                yield links
+
+    tiles = full.repartition("wide", "ba", "bb").sortWithinPartitions("wide", "ba", "bb")
+    return tiles.mapInPandas(each, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", region: int = REGION) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", region: int = REGION, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text's set holds its runs of `width` words. Two texts are
@@ -169,8 +232,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     sorts the classes by its own order of these values. Classes that share at least 4 values at the head of an order
     are a region; a region with too many members asks for longer prefixes (8, then 16 values) until it is small, and
     if it stays large it is compared block by block. In a region the strongest spanning forest is proposed first; the
-    proposals are confirmed on full sets; then every pair that agrees enough but still lies in different components
-    is confirmed as well. A pair at similarity 0.85 is missed by all trees with a chance of 7e-6.
+    proposals are confirmed on full sets; then, within what the proposals span, every pair that agrees enough but still
+    lies in different components is confirmed as well, in tiles that no pair leaves. A pair at similarity 0.85 is missed by all trees with a chance of 7e-6.
 
     Nulls: a null or empty text, or one of white space only, has n_shingles 0, is its own component and is kept. A
     row whose doc_id is null links with nothing and gets component_id null and kept false. Repeated rows appear as
@@ -184,18 +247,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = stash(classes, "classes")
     members = stash(_regions(classes, region), "regions")
-    tried = stash(_candidates(members, least, False), "pairs")
-    links = _confirmed(tried, texts, classes, width, threshold)
+    tried = stash(_proposals(members, least), "pairs")
+    discard(members)
+    sets = stash(_sets(tried, texts, classes, width), "sets")
+    links = stash(_confirmed(tried, sets, threshold), "links")
     found = stash(components(links, "a", "b"), "components")
-    placed = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = stash(_candidates(placed, least, True).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = stash(_rest(tried, found, classes, sets, least, threshold, block), "links")
     if not more.isEmpty():
-        further = _confirmed(more, texts, classes, width, threshold)
-        joined = links.unionByName(further)
-        old, found = found, stash(components(joined, "a", "b"), "components")
-        discard(old)
-        discard(further)
-    for used in (members, tried, more, links):
+        found = stash(components(links.unionByName(more), "a", "b"), "components")
+    for used in (tried, sets, links, more):
         discard(used)
     of_set = classes.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("of_set"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.llm.components import components
-from feedlake.llm.grouping import grouped
+from feedlake.llm.grouping import grouped, tile_roots
 from feedlake.llm.scratch import discard, stash, table
 from feedlake.llm.vectors import common_length, matrix, usable
 
@@ -102,17 +102,6 @@ def _first_shared_here(lists_a, lists_b, at: int) -> np.ndarray:
     return a @ b.T < 0.5
 
 
-def _roots(links: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest id that each row and each column reaches by the tile's links."""
-    a, b, top = ids_a.copy(), ids_b.copy(), np.iinfo(np.int64).max
-    while True:
-        new_b = np.minimum(b, np.where(links, a[:, None], top).min(axis=0, initial=top))
-        new_a = np.minimum(a, np.where(links, new_b[None, :], top).min(axis=1, initial=top))
-        if (new_a == a).all() and (new_b == b).all():
-            return a, b
-        a, b = new_a, new_b
-
-
 def _tile(group: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
     at, ba, bb = (int(group[k].iat[0]) for k in ("filter", "ba", "bb"))
     own = group["own"].to_numpy()
@@ -129,7 +118,7 @@ def _tile(group: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
     a, b, links = a[rows], b[cols], links[np.ix_(rows, cols)]
     lists = [np.frombuffer(v, np.int32) for v in group["filters"]]
     links &= _first_shared_here([lists[i] for i in a], [lists[i] for i in b], at)
-    root_a, root_b = _roots(links, ids[a], ids[b])
+    root_a, root_b = tile_roots(links, ids[a], ids[b])
     out = [pd.DataFrame({"rep": ids[a], "links": links @ mult[b], "root": root_a})]
     if ba != bb:
         out.append(pd.DataFrame({"rep": ids[b], "links": links.T @ mult[a], "root": root_b}))
