@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from feedlake.llm import near_text
+from feedlake.llm import exact_search, line_dedup, mixing, near_text, near_vectors
 
 QUERIES = {
+    "op2_exact_topk": exact_search.op2_exact_topk,
     "op4_lsh_forest": near_text.op4_lsh_forest,
+    "op5_curriculum_mix": mixing.op5_curriculum_mix,
+    "op9_cap_filters": near_vectors.op9_cap_filters,
+    "op10_line_windows": line_dedup.op10_line_windows,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_topk": exact_search.OP2_SQL,
+    "op5_curriculum_mix": mixing.OP5_SQL,
+    "op10_line_windows": line_dedup.OP10_SQL,
+}
