@@ -1,13 +1,56 @@
-"""From raw documents to packed training sequences, in stages that are each written and read again."""
+"""From raw documents to packed training sequences, in stages that are each written and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept. All but the last return the
+columns of documents. Null and empty texts pass the first stage as the classifier scores them, link with nothing,
+and are mixed 0 times, so none reaches a sequence. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from feedlake.llm.line_dedup import dedup_lines
+from feedlake.llm.mixing import curriculum, n_words, training_order
+from feedlake.llm.near_text import near_duplicates
+from feedlake.llm.packing import pack
+from feedlake.llm.quality import quality_scores
 from feedlake.llm.scratch import stash, table
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the classifier rejects (a score under 0.3)."""
+    scored = quality_scores(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 1").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove later occurrences of three repeated lines, and documents of which no line is left."""
+    cut = dedup_lines(docs.select(*COLUMNS))
+    kept = cut.where("n_removed < n_lines or n_removed = 0")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", n_chars).select(*COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest doc_id of each group of near duplicates (five words, similarity 0.8)."""
+    kept = near_duplicates(docs, width=5, threshold=(80, 100)).where("kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the curriculum takes a document whole, in training order."""
+    return training_order(curriculum(docs.select(*COLUMNS), cut=False)).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences, measured in words."""
+    return pack(docs, n_words(F.col("text")))
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("lines", lines), ("near", near), ("mix", mix), ("pack", packed)]
 
 #: No single SQL statement expresses a trained classifier or best-fit packing.
 ORACLE_SQL = None
