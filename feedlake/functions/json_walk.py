@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from feedlake.functions.vocabulary import IDENTIFIER_FIELDS, RESEARCHER_FIELDS
 
@@ -86,17 +87,17 @@ def researchers_of(value, depth: int = 0) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def identifiers(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: sorted(identifiers_of(_load(x))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def raw_text(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: " ".join(strings_of(_load(x))))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def researchers(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: researchers_of(_load(x)))
 

@@ -8,6 +8,7 @@ from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from feedlake.functions.vocabulary import TRACKING_PARAMS
 
@@ -48,7 +49,7 @@ def normalized_url(url: str | None) -> str | None:
     return re.sub(r"/$", "", f"{scheme}://{user}{host}{at}{path}" + (f"?{query}" if query else ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_url(url: pd.Series) -> pd.Series:
     """normalized_url of a column; each distinct spelling of a batch once."""
     known = {u: normalized_url(u) for u in url.dropna().unique()}

@@ -115,7 +115,7 @@ def within_batch(batch: DataFrame, ord_col: str = "ord", threshold: float = V.TI
 
 def known_items(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """incoming with is_known: an existing row has its (source_id, external_id) or its url."""
-    by_key = existing.where("source_id <> '' and external_id <> ''").select("source_id", "external_id").distinct().withColumn("__k", F.lit(True))
+    by_key = existing.where("string(source_id) <> '' and external_id <> ''").select("source_id", "external_id").distinct().withColumn("__k", F.lit(True))
     by_url = existing.where("url is not null").select("url").distinct().withColumn("__u", F.lit(True))
     return incoming.join(by_key, ["source_id", "external_id"], "left").join(by_url, "url", "left").withColumn("is_known", F.coalesce("__k", "__u", F.lit(False))).select(*incoming.columns, "is_known")
 

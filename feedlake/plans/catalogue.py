@@ -2,5 +2,442 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from feedlake.functions import json_walk, text, urls, values
+from feedlake.functions import vocabulary as V
+from feedlake.operators import embeddings, entities, feeds, ingest, linkage, relevance, search, signals, tagging, writes
+from feedlake.plans import views
+from feedlake.plans.views import NOW, SEGMENTS, read
+from feedlake.sources import webpages
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name, with DuckDB SQL where there is some."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+_ITEMS = """item AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS source_id, c_nationkey AS lab_id, o_orderpriority || ' order ' || o_orderkey AS title, 'status ' || o_orderstatus AS summary,
+  [lower(o_orderstatus), substr(o_orderpriority, 1, 1)] AS tags, CAST(floor(o_totalprice / 1000) AS BIGINT) AS score, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END AS published_at, o_orderdate AS created_at FROM orders JOIN customer ON o_custkey = c_custkey),
+full_item AS (SELECT item.*, n_name AS lab_name, lower(n_name) AS lab_slug, coalesce(c_name, 'Unknown source') AS source_name, coalesce(c_mktsegment, 'UNKNOWN') AS source_type
+  FROM item JOIN nation ON lab_id = n_nationkey LEFT JOIN customer ON source_id = c_custkey)"""
+_FEED = ["id", "title", "score", "lab_name", "source_name", "source_type"]
+_RANK = "ORDER BY score DESC NULLS FIRST, published_at DESC NULLS FIRST, created_at DESC NULLS FIRST, id"
+_FEED_SQL = "id, title, score, lab_name, source_name, source_type"
+
+
+# --- feeds ---------------------------------------------------------------------------------------------------------
+@query(f"WITH {_ITEMS} SELECT {_FEED_SQL} FROM full_item WHERE source_type = 'BUILDING' AND (published_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY OR created_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY) {_RANK} LIMIT 100")
+def feed_homepage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = feeds.homepage(views.items(spark, sf_dir), views.labs(spark, sf_dir), views.sources(spark, sf_dir), views.now(), kind="BUILDING", span="30d", kinds=SEGMENTS)
+    return feed.select(*_FEED)
+
+
+@query(f"WITH {_ITEMS} SELECT {_FEED_SQL} FROM full_item WHERE lab_slug = (SELECT lower(n_name) FROM nation WHERE n_nationkey = 7) {_RANK} LIMIT 50")
+def feed_lab(spark, sf_dir):
+    slug = views.labs(spark, sf_dir).where("id = 7").first()["slug"]
+    return feeds.lab_feed(views.items(spark, sf_dir), views.labs(spark, sf_dir), views.sources(spark, sf_dir), slug).select(*_FEED)
+
+
+@query(f"WITH {_ITEMS} SELECT {_FEED_SQL} FROM full_item WHERE list_contains(tags, 'URGENT') OR contains(lower(title), 'urgent') OR contains(lower(summary), 'urgent') {_RANK} LIMIT 30")
+def feed_topic(spark, sf_dir):
+    return feeds.topic_feed(views.items(spark, sf_dir), views.labs(spark, sf_dir), views.sources(spark, sf_dir), " URGENT ").select(*_FEED)
+
+
+@query(f"WITH {_ITEMS} SELECT {_FEED_SQL} FROM full_item {_RANK} LIMIT 30")
+def feed_trending(spark, sf_dir):
+    return feeds.trending(views.items(spark, sf_dir), views.labs(spark, sf_dir), views.sources(spark, sf_dir)).select(*_FEED)
+
+
+@query(f"WITH {_ITEMS} SELECT {_FEED_SQL}, CAST(created_at AS VARCHAR) AS created FROM full_item {_RANK} LIMIT 30")
+def feed_latest(spark, sf_dir):
+    return feeds.latest(views.items(spark, sf_dir), views.labs(spark, sf_dir), views.sources(spark, sf_dir)).select(*_FEED, F.col("created_at").cast("string").alias("created"))
+
+
+@query(f"WITH {_ITEMS}, top AS (SELECT * FROM full_item {_RANK} LIMIT 30) SELECT id, CAST(row_number() OVER ({_RANK}) AS INTEGER) AS rank, strftime(coalesce(published_at, created_at), '%b %-d, %Y') AS date, CAST(score AS BIGINT) AS shown_score, array_to_string(tags, ',') AS shown FROM top")
+def feed_view(spark, sf_dir):
+    shown = feeds.view_rows(feeds.trending(views.items(spark, sf_dir), views.labs(spark, sf_dir), views.sources(spark, sf_dir)))
+    return shown.select("id", "rank", "date", "shown_score", F.array_join("shown_tags", ",").alias("shown"))
+
+
+@query(f"""WITH {_ITEMS} SELECT n_nationkey AS id, n_name AS name, coalesce(i.n, 0) AS n_items, coalesce(s.n, 0) AS n_sources FROM nation LEFT JOIN (SELECT lab_id, count(*) AS n FROM item GROUP BY 1) i ON i.lab_id = n_nationkey
+LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) s ON s.c_nationkey = n_nationkey WHERE n_nationkey % 7 <> 3""")
+def labs_with_counts(spark, sf_dir):
+    return feeds.lab_counts(views.labs(spark, sf_dir), views.sources(spark, sf_dir), views.items(spark, sf_dir)).select("id", "name", "n_items", "n_sources")
+
+
+@query("SELECT n_nationkey AS lab_id, n_name AS lab_name, c_custkey AS source_id, c_name AS source_name FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 0")
+def lab_sources_nested(spark, sf_dir):
+    nested = feeds.labs_nested(views.labs(spark, sf_dir), views.sources(spark, sf_dir))
+    return nested.select(F.col("id").alias("lab_id"), F.col("name").alias("lab_name"), F.explode_outer("sources").alias("s")).select("lab_id", "lab_name", F.col("s.id").alias("source_id"), F.col("s.name").alias("source_name"))
+
+
+# --- admin ---------------------------------------------------------------------------------------------------------
+@query("""WITH r AS (SELECT user_id AS id, min(ts) AS started FROM events GROUP BY 1 ORDER BY started DESC NULLS FIRST, id LIMIT 20),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS FIRST, event_id) AS k FROM events)
+SELECT r.id AS run_id, CAST(started AS VARCHAR) AS started, event_id, CAST(k AS INTEGER) AS event_rank FROM r LEFT JOIN e ON e.user_id = r.id AND k <= 3""")
+def runs_top3_events(spark, sf_dir):
+    runs, events = views.event_runs(spark, sf_dir)
+    return feeds.recent_runs(runs, events).select(F.col("id").alias("run_id"), F.col("started_at").cast("string").alias("started"), "event_id", "event_rank")
+
+
+@query("SELECT user_id AS run_id, CAST(min(ts) AS VARCHAR) AS started FROM events GROUP BY 1 ORDER BY min(ts) DESC, user_id LIMIT 1")
+def latest_run(spark, sf_dir):
+    return feeds.latest_run(views.event_runs(spark, sf_dir)[0]).select(F.col("id").alias("run_id"), F.col("started_at").cast("string").alias("started"))
+
+
+@query("""WITH f AS (SELECT user_id, max(ts) FILTER (WHERE event_type = (SELECT min(event_type) FROM events)) AS err, max(ts) AS upd FROM events GROUP BY 1)
+SELECT c_custkey AS id, c_name AS name, n_name AS lab_name, CAST(err AS VARCHAR) AS last_error FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN f ON user_id = c_custkey WHERE c_acctbal > 0 ORDER BY err DESC NULLS FIRST, upd DESC NULLS FIRST, c_custkey LIMIT 50""")
+def source_health(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    first = e.agg(F.min("event_type").alias("bad"))
+    seen = e.crossJoin(first).groupBy(F.col("user_id").alias("id")).agg(F.max(F.when(F.col("event_type") == F.col("bad"), F.col("ts"))).alias("last_error_at"), F.max("ts").alias("updated_at"))
+    rows = views.sources(spark, sf_dir).join(seen, "id", "left")
+    return feeds.source_health(rows, views.labs(spark, sf_dir)).select("id", "name", "lab_name", F.col("last_error_at").cast("string").alias("last_error"))
+
+
+@query("SELECT (SELECT count(*) FROM nation) AS n_labs, (SELECT count(*) FROM customer) AS n_sources, (SELECT count(*) FROM orders) AS n_items")
+def admin_counts(spark, sf_dir):
+    return feeds.counts(labs=read(spark, sf_dir, "nation"), sources=read(spark, sf_dir, "customer"), items=read(spark, sf_dir, "orders"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE quality = 1) AS success, count(*) FILTER (WHERE quality = 0) AS failed FROM labels")
+def backfill_histogram(spark, sf_dir):
+    rows = read(spark, sf_dir, "labels").withColumn("status", F.when(F.col("quality") == 1, "SUCCESS").when(F.col("quality") == 0, "FAILED"))
+    return feeds.status_histogram(rows, "status", ["SUCCESS", "FAILED"])
+
+
+@query(f"WITH {_ITEMS} SELECT id, title FROM item ORDER BY created_at DESC NULLS FIRST, id LIMIT 10")
+def debug_items(spark, sf_dir):
+    return feeds.debug_items(views.items(spark, sf_dir)).select("id", "title")
+
+
+# --- tags, scores, labs --------------------------------------------------------------------------------------------
+#: Words of the driver's invented prose, as the operators' own dictionaries hardly occur in it.
+TEST_TAGS = {"sea": ["sea", "ocean"], "the": ["thand", "thth "], "ing": ["inging", "ering"], "none": ["qqqq"]}
+_DOC = "doc AS (SELECT doc_id AS id, source, lang, CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, 1, strpos(text, chr(10)) - 1) ELSE text END AS title, CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS summary FROM documents)"
+
+
+def _any_sql(text_sql: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text_sql}, '{w}')" for w in words) + ")"
+
+
+def _hits_sql(text_sql: str, words: list[str]) -> str:
+    return "(" + " + ".join(f"CASE WHEN contains({text_sql}, '{w}') THEN 1 ELSE 0 END" for w in words) + ")"
+
+
+@query(f"WITH {_DOC}, t AS (SELECT id, lower(title || ' ' || summary || ' ') AS x FROM doc) " + " UNION ALL ".join(f"SELECT '{tag}' AS tag, count(*) AS n FROM t WHERE {_any_sql('x', words)} HAVING count(*) > 0" for tag, words in {**V.TAG_KEYWORDS, **TEST_TAGS}.items()))
+def tag_documents(spark, sf_dir):
+    tags = tagging.rule_tags(F.col("title"), F.col("summary"), rules={**V.TAG_KEYWORDS, **TEST_TAGS})
+    return views.document_items(spark, sf_dir).select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+_SCORE_TEXT = "lower(title || ' ' || summary)"
+_AGE = f"(epoch_ms(TIMESTAMP '{NOW}') - epoch_ms(published)) / 3600000.0"
+
+
+@query(f"""WITH {_DOC}, s AS (SELECT *, CASE WHEN id % 5 <> 0 THEN TIMESTAMP '{NOW}' - to_hours(CAST(id % 900 AS INTEGER)) END AS published, CASE id % 4 WHEN 0 THEN 'RSS' WHEN 1 THEN 'ARXIV' WHEN 2 THEN 'GITHUB' ELSE 'OTHER' END AS kind FROM doc)
+SELECT id, CAST(least(100, (CASE WHEN published IS NULL THEN 0 WHEN {_AGE} < 24 THEN 32 WHEN {_AGE} < 72 THEN 24 WHEN {_AGE} < 168 THEN 14 WHEN {_AGE} < 720 THEN 6 ELSE 2 END) + (CASE kind WHEN 'RSS' THEN 12 WHEN 'ARXIV' THEN 22 WHEN 'GITHUB' THEN 18 ELSE 0 END)
++ CASE WHEN id % 2 = 0 THEN 5 ELSE 0 END + 4 * {_hits_sql(_SCORE_TEXT, V.NOVELTY_WORDS)} + 20 + least(id % 13, 10) + CASE WHEN id >= 5000 THEN 12 WHEN id >= 1000 THEN 8 WHEN id >= 250 THEN 4 ELSE 0 END) AS INTEGER) AS score FROM s""")
+def score_item(spark, sf_dir):
+    d = views.document_items(spark, sf_dir)
+    kind = F.when(F.col("id") % 4 == 0, "RSS").when(F.col("id") % 4 == 1, "ARXIV").when(F.col("id") % 4 == 2, "GITHUB").otherwise("OTHER")
+    published = F.when(F.col("id") % 5 != 0, F.timestamp_add("HOUR", -(F.col("id") % 900).cast("int"), F.lit(NOW).cast("timestamp")))
+    tags = F.array(F.when(F.col("id") % 2 == 0, "marine").otherwise("other"))
+    score = tagging.item_score(title=F.col("title"), summary=F.col("summary"), tags=tags, published_at=published, source_type=kind, now=F.lit(NOW).cast("timestamp"), lab_confidence=F.lit(1.0), lab_priority=F.col("id") % 13, stars=F.col("id"))
+    return d.select("id", score.alias("score"))
+
+
+@query(f"""WITH {_DOC}, s AS (SELECT id, lower(title || chr(10) || summary) AS x, id % 30 AS days, CASE id % 3 WHEN 0 THEN 'XR' WHEN 1 THEN 'MARINE' ELSE 'BOTH' END AS domain FROM doc),
+h AS (SELECT *, {_hits_sql('x', V.XR_KEYWORDS)} AS xr, {_hits_sql('x', V.MARINE_KEYWORDS)} AS m, greatest(0.0, 50.0 - CAST(days AS DOUBLE) * (50.0 / 14)) AS rec FROM s),
+b AS (SELECT *, CAST(CASE domain WHEN 'XR' THEN xr * 6 WHEN 'MARINE' THEN m * 6 ELSE greatest(xr, m) * 4 END AS DOUBLE) AS boost FROM h)
+SELECT id, round(CAST(rec AS DOUBLE) + boost + 8.0, 6) AS score, CAST(least(100.0, boost) AS DOUBLE) AS novelty, round(CAST(least(100.0, rec) AS DOUBLE), 6) AS impact FROM b""")
+def score_v0(spark, sf_dir):
+    d = views.document_items(spark, sf_dir)
+    domain = F.when(F.col("id") % 3 == 0, "XR").when(F.col("id") % 3 == 1, "MARINE").otherwise("BOTH")
+    published = F.timestamp_add("DAY", -(F.col("id") % 30).cast("int"), F.lit(NOW).cast("timestamp"))
+    s = tagging.first_item_score(title=F.col("title"), summary=F.col("summary"), published_at=published, lab_domain=domain, source_type=F.lit("RSS"), now=F.lit(NOW).cast("timestamp"))
+    return d.select("id", s.alias("s")).select("id", F.round("s.score", 6).alias("score"), "s.novelty", F.round("s.impact", 6).alias("impact"))
+
+
+_LABS = {**V.LAB_KEYWORDS, "prose-one": ["thand", "ering"], "prose-two": ["inging", "thand", "ble the"]}
+
+
+@query(f"WITH {_DOC}, t AS (SELECT id, lower(title || ' ' || chr(10) || ' ' || summary) AS x FROM doc), s AS (" + " UNION ALL ".join(f"SELECT id, {i} AS o, '{slug}' AS slug, {_hits_sql('x', words)} AS score FROM t" for i, (slug, words) in enumerate(_LABS.items())) +
+       "), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, o) AS k FROM s) SELECT id, slug, CAST(score AS INTEGER) AS score FROM r WHERE k = 1 AND score >= 1")
+def lab_argmax(spark, sf_dir):
+    m = tagging.match_lab(F.col("title"), F.col("summary"), labs=_LABS)
+    return views.document_items(spark, sf_dir).select("id", m.alias("m")).where("m is not null").select("id", "m.slug", "m.score")
+
+
+def _type_sql(text_sql: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_any_sql(text_sql, words)} THEN '{name}'" for name, _, words in V.SIGNAL_TYPE_WORDS) + " ELSE 'NEWS' END"
+
+
+@query(f"SELECT signal_type, count(*) AS n FROM (SELECT {_type_sql('x')} AS signal_type FROM (SELECT lower(concat_ws(' ', nullif(source, ''), nullif(title, ''))) AS x FROM (WITH {_DOC} SELECT * FROM doc))) GROUP BY 1")
+def signal_type(spark, sf_dir):
+    d = views.document_items(spark, sf_dir)
+    items = d.select("id", "title", F.col("source").alias("source_name"), F.concat(F.lit(""), F.lit(None).cast("string")).alias("link"), F.lit(None).cast("string").alias("kind"))
+    made = signals.to_signals(items)
+    return made.groupBy("signal_type").agg(F.count("*").alias("n"))
+
+
+# --- phrases and titles --------------------------------------------------------------------------------------------
+_PHRASES = ["the", "re the", "licensed under the apache license", "of the", "and"]
+
+
+@query(f"WITH {_DOC}, t AS (SELECT trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}+/.\\-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM doc) " +
+       " UNION ALL ".join(f"SELECT '{p}' AS phrase, count(*) AS n FROM t WHERE regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}]){p}($|[^\\p{{L}}\\p{{N}}])') HAVING count(*) > 0" for p in _PHRASES))
+def phrase_match(spark, sf_dir):
+    key = text.normalize_key(F.col("title"), True)
+    return views.document_items(spark, sf_dir).withColumn("k", key).select(F.explode(text.phrases_found(F.col("k"), _PHRASES)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+
+
+_TITLE_SQL = "trim(regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"WITH {_DOC} SELECT id, {_TITLE_SQL} AS title_key FROM doc")
+def title_normalize(spark, sf_dir):
+    return views.document_items(spark, sf_dir).select("id", text.normalize_title(F.col("title")).alias("title_key"))
+
+
+@query(f"WITH {_DOC}, k AS (SELECT id, {_TITLE_SQL} AS t FROM doc) SELECT a.id AS left_id, min(b.id) AS first_id, count(*) AS n FROM k a JOIN k b ON a.t = b.t AND b.id < a.id WHERE a.t <> '' GROUP BY 1")
+def title_dup_exact(spark, sf_dir):
+    k = views.document_items(spark, sf_dir).select("id", text.normalize_title(F.col("title")).alias("t")).where("t <> ''")
+    w = Window.partitionBy("t").orderBy("id")
+    return k.select(F.col("id").alias("left_id"), F.min("id").over(w).alias("first_id"), (F.row_number().over(w) - 1).cast("long").alias("n")).where("n > 0")
+
+
+_TOKENS = f"""{_DOC}, k AS (SELECT id, list_distinct(list_filter(string_split({_TITLE_SQL}, ' '), lambda w: length(w) > 1)) AS t FROM doc)"""
+
+
+@query(f"""WITH {_TOKENS}, p AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS n FROM k a JOIN k b ON a.id < b.id AND len(a.t) >= 0.8 * len(b.t) AND len(b.t) >= 0.8 * len(a.t) AND len(a.t) > 0 AND list_has_any(a.t, b.t))
+SELECT left_id, right_id, round(i / (n - i), 6) AS score FROM p WHERE i / (n - i) >= 0.8""")
+def title_jaccard(spark, sf_dir):
+    k = views.document_items(spark, sf_dir).select("id", text.title_tokens(F.col("title")).alias("tokens"))
+    return linkage.similar_titles(k, k, 0.8).where("left_id < right_id").select("left_id", "right_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_TOKENS}, e AS (SELECT k.id, k.t, {_TITLE_SQL} AS n FROM k JOIN doc USING (id)),
+p AS (SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.n = b.n AND a.n <> '' THEN 3 WHEN len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.92 THEN 4 END AS tier
+  FROM e a JOIN e b ON a.id % 2 = 1 AND b.id % 2 = 0 AND len(a.t) > 0 AND list_has_any(a.t, b.t) AND len(a.t) >= 0.9 * len(b.t) AND len(b.t) >= 0.9 * len(a.t)),
+q AS (SELECT left_id, right_id, 3 AS tier FROM (SELECT a.id AS left_id, b.id AS right_id FROM e a JOIN e b ON a.n = b.n AND a.n <> '' AND a.id % 2 = 1 AND b.id % 2 = 0) UNION ALL SELECT left_id, right_id, tier FROM p WHERE tier = 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY tier, right_id) AS o FROM q)
+SELECT e.id, r.left_id IS NOT NULL AS is_duplicate, CASE WHEN tier IS NULL THEN 'none' WHEN tier = 4 THEN 'high' ELSE 'exact' END AS confidence, CASE WHEN tier IS NULL THEN 'none' ELSE 'title' END AS matched_by, right_id AS existing_id, CASE WHEN tier IS NULL THEN 'create' ELSE 'review' END AS action
+FROM e LEFT JOIN r ON r.left_id = e.id AND o = 1 WHERE e.id % 2 = 1""")
+def dup_tiers(spark, sf_dir):
+    d = views.document_items(spark, sf_dir).select("id", "title", F.concat(F.lit("https://example.com/doc/"), F.col("id").cast("string")).alias("canonical_url"), F.lit(None).cast("string").alias("raw"))
+    found = linkage.action(linkage.find_duplicates(d.where("id % 2 = 1"), d.where("id % 2 = 0"), use_raw=False))
+    return found.select("id", "is_duplicate", "confidence", "matched_by", "existing_id", "action")
+
+
+@query("""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), s AS (SELECT page_id, regexp_replace(split_part(u, '?', 1), '/+$', '') AS base, CASE WHEN contains(u, '?') THEN list_sort(list_filter(string_split(substr(u, strpos(u, '?') + 1), '&'), lambda p: NOT starts_with(p, 'utm_'))) ELSE [] END AS q FROM u)
+SELECT page_id, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS normalized, sha256(base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END) AS url_hash FROM s""")
+def url_normalize(spark, sf_dir):
+    u = read(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("normalized"))
+    return u.withColumn("url_hash", F.sha2("normalized", 256))
+
+
+@query("SELECT page_id, nullif(regexp_replace(regexp_extract(lower(url), '^https?://([^/?#:]+)', 1), '^www\\.', ''), '') AS host FROM pages")
+def url_host(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", urls.hostname(F.col("url")).alias("host"))
+
+
+@query("SELECT doc_id AS id, regexp_replace(regexp_replace(lower(trim(x)), '^https?://(dx\\.)?doi\\.org/', ''), '^doi:', '') AS identifier FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'https://doi.org/10.1000/ABC.' || doc_id WHEN 1 THEN ' DOI:10.5/' || doc_id ELSE 'http://dx.doi.org/10.7/X' || doc_id END AS x FROM documents)")
+def identifier_normalize(spark, sf_dir):
+    n = F.col("doc_id").cast("string")
+    x = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://doi.org/10.1000/ABC."), n)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" DOI:10.5/"), n)).otherwise(F.concat(F.lit("http://dx.doi.org/10.7/X"), n))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.normalize_identifier(x).alias("identifier"))
+
+
+# --- dedupe, merge, upsert -----------------------------------------------------------------------------------------
+@query("""WITH i AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS ord FROM lineitem), k AS (SELECT i.*, EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 2 = 0) AS known, row_number() OVER (PARTITION BY l_orderkey ORDER BY ord) AS f FROM i)
+SELECT CASE WHEN NOT known AND f = 1 THEN 'created' ELSE 'deduped' END AS outcome, count(*) AS n FROM k GROUP BY 1""")
+def item_dedupe(spark, sf_dir):
+    incoming = read(spark, sf_dir, "lineitem").select(F.lit(1).alias("source_id"), F.col("l_orderkey").cast("string").alias("external_id"), F.concat(F.lit("https://example.com/"), F.col("l_orderkey").cast("string")).alias("url"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ord"))
+    existing = read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.lit(1).alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"), F.concat(F.lit("https://example.com/"), F.col("o_orderkey").cast("string")).alias("url"))
+    return ingest.outcomes(incoming, existing).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT s_suppkey AS id, c_name AS title, CASE WHEN s_suppkey % 4 = 0 THEN 'filled ' || c_custkey ELSE 'kept ' || s_suppkey END AS summary, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE c_mktsegment END AS source_name,
+CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING' ELSE 'Building,' || c_mktsegment END AS keywords, CAST(c_acctbal AS DOUBLE) AS relevance_score, '{"existing":{"a":' || s_suppkey || '},"incoming":{"b":' || c_custkey || '}}' AS raw FROM supplier JOIN customer ON s_suppkey = c_custkey""".replace("CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING'", "CASE WHEN c_mktsegment = 'BUILDING' THEN 'Building'"))
+def signal_merge(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    blank = {a: none.alias(a) for a in ("technologies", "organizations", "researchers", "domains")}
+    s, c = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "customer")
+    ts = F.lit(None).cast("timestamp").alias("published_at")
+    old = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.when(F.col("s_suppkey") % 4 == 0, "  ").otherwise(F.concat(F.lit("kept "), F.col("s_suppkey").cast("string"))).alias("summary"), F.lit(None).cast("string").alias("source_id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("source_name"), F.lit("u").alias("canonical_url"), F.lit("NEWS").alias("signal_type"), ts,
+                   *blank.values(), F.array(F.lit("Building")).alias("keywords"), F.lit(1.0).alias("relevance_score"), F.concat(F.lit('{"a":'), F.col("s_suppkey").cast("string"), F.lit("}")).alias("raw"))
+    new = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.concat(F.lit("filled "), F.col("c_custkey").cast("string")).alias("summary"), F.lit(None).cast("string").alias("source_id"), F.col("c_mktsegment").alias("source_name"), F.lit("v").alias("canonical_url"), F.lit("PAPER").alias("signal_type"), ts,
+                   *blank.values(), F.array("c_mktsegment").alias("keywords"), F.col("c_acctbal").alias("relevance_score"), F.concat(F.lit('{"b":'), F.col("c_custkey").cast("string"), F.lit("}")).alias("raw"))
+    return linkage.merge_signals(old, new).select("id", "title", "summary", "source_name", F.array_join("keywords", ",").alias("keywords"), "relevance_score", "raw")
+
+
+@query("""SELECT vec_id AS signal_id, CASE WHEN vec_id % 5 <> 1 THEN 'SUCCESS' WHEN vec_id % 3 = 0 THEN 'FAILED' ELSE 'PENDING' END AS status, vec_id % 5 <> 1 AS has_vector,
+CASE WHEN vec_id % 3 = 0 AND vec_id % 5 = 1 THEN 'timeout' END AS error_code, vec_id % 3 = 0 AND vec_id % 5 <> 1 AS noted FROM embeddings""")
+def embedding_upsert_preserve(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    bad = F.col("vec_id") % 5 == 1
+    table = e.select(F.col("vec_id").alias("signal_id"), F.lit("p").alias("provider"), F.when(bad, "PENDING").otherwise("SUCCESS").alias("status"), F.when(~bad, F.col("embedding")).alias("embedding"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message"), F.lit("h").alias("content_hash"), F.lit('{"k":"v"}').alias("metadata"))
+    fails = e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("signal_id"), F.lit("p").alias("provider"), F.lit("timeout").alias("error_code"), F.lit("too slow").alias("error_message"), F.lit("h2").alias("content_hash"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    out = writes.upsert_failures(table, fails, ["signal_id", "provider"])
+    return out.select("signal_id", "status", F.col("embedding").isNotNull().alias("has_vector"), "error_code", F.col("metadata").contains("lastFailure").alias("noted"))
+
+
+@query("""WITH v AS (SELECT c_custkey AS k, c_name AS name, 1 AS version FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, upper(c_name), 2 FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY version DESC) AS r FROM v)
+SELECT k, name, CAST(version AS INTEGER) AS version FROM n WHERE r = 1""")
+def signal_upsert(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    old = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.lit(1).alias("version"))
+    new = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.upper("c_name").alias("name"), F.lit(2).alias("version"))
+    return writes.upsert(old, new, ["k"], "version")
+
+
+@query("SELECT id FROM (SELECT doc_id AS id FROM documents ORDER BY doc_id LIMIT 100) WHERE id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)")
+def missing_embeddings(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("signal_id"), "embedding", F.lit("SUCCESS").alias("status"), F.lit("p").alias("provider"))
+    return embeddings.missing(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), e, 100, {"provider": "p"})
+
+
+# --- retrieval -----------------------------------------------------------------------------------------------------
+def _vectors(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("signal_id"), "embedding", F.lit("SUCCESS").alias("status"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit("v").alias("embedding_version"), F.size("embedding").alias("dimensions"))
+    s = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("title"), F.lit("u").alias("canonical_url"), F.when(F.col("lang") == "en", "PAPER").otherwise("NEWS").alias("signal_type"))
+    return e, s, {"provider": "p", "model": "m", "embedding_version": "v", "dimensions": 64}
+
+
+def _query_vector(spark, sf_dir) -> list[float]:
+    return [float(x) for x in read(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]]
+
+
+_SIM = "SELECT e.vec_id AS signal_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS s, lang FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id"
+
+
+@query(f"SELECT signal_id, round(greatest(-1, least(1, s)), 6) AS similarity FROM ({_SIM}) ORDER BY s DESC, signal_id LIMIT 10")
+def semantic_topk(spark, sf_dir):
+    e, s, version = _vectors(spark, sf_dir)
+    return search.search_vector(e, s, _query_vector(spark, sf_dir), version).select("signal_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"SELECT signal_id, round(greatest(-1, least(1, s)), 6) AS similarity FROM ({_SIM} WHERE lang <> 'en') ORDER BY s DESC, signal_id LIMIT 50")
+def semantic_filtered(spark, sf_dir):
+    e, s, version = _vectors(spark, sf_dir)
+    return search.search_vector(e, s, _query_vector(spark, sf_dir), version, 50, signal_type="NEWS").select("signal_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""WITH sem AS (SELECT signal_id, greatest(0, least(1, s)) AS s FROM ({_SIM}) ORDER BY s DESC, signal_id LIMIT 10), key AS (SELECT doc_id AS signal_id, CAST(n_chars AS DOUBLE) / (SELECT max(n_chars) FROM (SELECT n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10)) AS k FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10),
+f AS (SELECT coalesce(sem.signal_id, key.signal_id) AS signal_id, coalesce(s, 0.0) AS s, coalesce(k, 0.0) AS k, array_to_string(list_filter([CASE WHEN s IS NOT NULL THEN 'semantic' END, CASE WHEN k IS NOT NULL THEN 'keyword' END], lambda x: x IS NOT NULL), ',') AS matched FROM sem FULL JOIN key ON sem.signal_id = key.signal_id)
+SELECT signal_id, round(s * 0.65 + k * 0.35, 6) AS hybrid_score, round(k, 6) AS keyword_score, matched FROM f ORDER BY s * 0.65 + k * 0.35 DESC, s DESC, signal_id LIMIT 10""")
+def hybrid_fusion(spark, sf_dir):
+    e, s, version = _vectors(spark, sf_dir)
+    semantic = search.search_vector(e, s, _query_vector(spark, sf_dir), version).select("signal_id", "similarity")
+    keyword = read(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(10).select(F.col("doc_id").alias("signal_id"), F.col("n_chars").cast("double").alias("score"))
+    return search.fuse(semantic, keyword).select("signal_id", F.round("hybrid_score", 6).alias("hybrid_score"), F.round("keyword_score", 6).alias("keyword_score"), F.array_join("matched_by", ",").alias("matched"))
+
+
+class _Shortest:
+    """A reranker for the check: the shorter the passage, the higher."""
+
+    def rank(self, query: str, passages: list[str]) -> list[tuple[int, float]]:
+        return [(i, -float(len(p))) for i, p in enumerate(passages)]
+
+
+@query()
+def rerank_fallback(spark, sf_dir):
+    """Reranked and fallen-back results of one retrieval; at most 30 rows pass through the driver."""
+    e, s, version = _vectors(spark, sf_dir)
+    found = search.search_vector(e, s, _query_vector(spark, sf_dir), version, 30)
+    fused = search.fuse(found, found.select("signal_id", "title", "url", "signal_type", F.lit(0.0).alias("score")), limit=30)
+    rows = []
+    for name, reranker in (("reranked", _Shortest()), ("fallback", None)):
+        answer = search.search_reranked(fused, s, "query", reranker)
+        rows += [(name, answer["status"], r["id"], r["original_rank"], r["reranked_rank"]) for r in answer["results"]]
+    return spark.createDataFrame(rows, "mode string, status string, id long, original_rank int, reranked_rank int")
+
+
+_LEX = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+
+
+@query(f"WITH t AS (SELECT doc_id AS id, {_LEX} AS w FROM documents), c AS (SELECT id, len(list_filter(w, lambda x: regexp_full_match(x, 'thand((e|d)?(ing|ed|ly)|e)?s?'))) AS a, len(list_filter(w, lambda x: regexp_full_match(x, 'thor((e|r)?(ing|ed|ly)|e)?s?'))) AS b FROM t) SELECT id, round((a / (a + 1.0) + b / (b + 1.0)) / 2, 6) AS score FROM c WHERE a > 0 OR b > 0 ORDER BY (a / (a + 1.0) + b / (b + 1.0)) / 2 DESC, id LIMIT 50")
+def fts_rank(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.text_search(d, F.col("text"), "thand or thor").select("id", F.round("score", 6).alias("score"))
+
+
+@query()
+def html_items(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.lit("page").alias("source_name"), "url", "html")
+    return webpages.scan_webpages(p).select("source_id", "url", "title", "summary")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events")
+def json_engagement(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", json_walk.number_field(F.col("props"), ["missing", "k"]).alias("k"))
+
+
+@query("SELECT event_id, CASE WHEN floor(least(100, greatest(0, value)) + 0.5) >= 75 THEN 'HIGH' WHEN floor(least(100, greatest(0, value)) + 0.5) >= 50 THEN 'MEDIUM' WHEN floor(least(100, greatest(0, value)) + 0.5) >= 25 THEN 'LOW' ELSE 'IGNORE' END AS band FROM events")
+def relevance_bands(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", values.band(F.col("value")).alias("band"))
+
+
+@query()
+def relevance_score(spark, sf_dir):
+    d = views.document_items(spark, sf_dir)
+    e = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").cast("double").alias("citations"))
+    return relevance.assess(d.select("id", "title", "summary", F.col("source").alias("source_name")).join(e, "id", "left"), use_raw=False).select("id", "final_score", "band", *[F.col("dimensions")[x].alias(x) for x in V.DIMENSIONS])
+
+
+_ENTITY_TESTS = [("technology", "Thand", ["thor"]), ("organization", "Ering The", ["of the"])]
+
+
+@query(f"WITH {_DOC}, t AS (SELECT id, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}+/.\\-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM doc) " + " UNION ALL ".join(
+    f"SELECT id, '{kind}' AS type, '{name}' AS name FROM t WHERE " + " OR ".join(f"regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}]){p.lower()}($|[^\\p{{L}}\\p{{N}}])')" for p in [name, *aliases]) for kind, name, aliases in _ENTITY_TESTS))
+def entity_extract(spark, sf_dir):
+    d = views.document_items(spark, sf_dir).select("id", "title", F.lit(None).cast("string").alias("summary"), F.array().cast("array<string>").alias("keywords"), F.array().cast("array<string>").alias("researchers"))
+    found = entities.extract_entities(d, _ENTITY_TESTS, use_raw=False)
+    return found.select("id", F.explode("entities").alias("e")).where("e.type <> 'researcher'").select("id", "e.type", F.col("e.canonical_name").alias("name"))
+
+
+@query("""SELECT doc_id AS id, sha256(t) AS content_hash FROM (SELECT doc_id, rtrim(substr('Title: ' || x || chr(10) || 'Type: NEWS' || chr(10) || 'Source: ' || source, 1, 6000)) AS t FROM (SELECT doc_id, source, rtrim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 2000)) AS x FROM documents) WHERE x <> '')""")
+def embedding_text(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.lit("NEWS").alias("signal_type"), F.col("source").alias("source_name"))
+    return embeddings.embedding_text(d).select("id", "content_hash")
+
+
+# --- ingest --------------------------------------------------------------------------------------------------------
+@query("""SELECT 'r1' AS run_id, count(*) AS fetched, count(*) FILTER (WHERE event_id % 4 < 2) AS created, count(*) FILTER (WHERE event_id % 4 = 2) AS deduped, count(*) FILTER (WHERE event_id % 4 = 3) AS failed, 'PARTIAL' AS status FROM events""")
+def ingest_ledger(spark, sf_dir):
+    return ingest.run_ledger(_outcomes(spark, sf_dir), "RSS", "r1").select("run_id", "fetched", "created", "deduped", "failed", "status")
+
+
+def _outcomes(spark, sf_dir):
+    o = F.when(F.col("event_id") % 4 < 2, "created").when(F.col("event_id") % 4 == 2, "deduped").otherwise("failed")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), o.alias("outcome"))
+
+
+@query("SELECT user_id AS source_id, count(*) FILTER (WHERE event_id % 4 < 2) AS inserted, count(*) FILTER (WHERE event_id % 4 >= 2) AS skipped, count(*) FILTER (WHERE event_id % 4 = 3) AS errors FROM events GROUP BY 1")
+def source_counts(spark, sf_dir):
+    return ingest.source_counts(_outcomes(spark, sf_dir))
+
+
+@query("SELECT l_orderkey AS source_id, l_linenumber AS ord FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem) WHERE k <= 3")
+def per_source_cap(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("ord"))
+    return webpages.cap_per_source(rows, 3, [F.asc("ord")])
+
+
+@query("SELECT event_type AS type, CAST(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS VARCHAR) AS window_start, count(*) AS n FROM events GROUP BY 1, 2")
+def weekly_events(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("ts"), F.col("event_type").alias("type"))
+    return e.groupBy(F.window("ts", "7 days").alias("w"), "type").agg(F.count("*").alias("n")).select("type", F.col("w.start").cast("string").alias("window_start"), "n")
