@@ -42,3 +42,17 @@ def tile_roots(links: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple
         if (new_a == a).all() and (new_b == b).all():
             return a, b
         a, b = new_a, new_b
+
+
+def slices(texts, chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts that together hold about `chars` characters, one text at the least: what is worked
+    on at once has a bound that does not depend on how long texts are or how many rows a batch has."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        n = len(text) if text else 0
+        if i > start and held + n > chars:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(texts):
+        yield start, len(texts)

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlake.llm.grouping import slices
 from feedlake.llm.scratch import table
 
 #: Words share this many rows of the vector table by hash, so it has a fixed size; dimensions; signs of an index vector.
@@ -76,8 +77,10 @@ def word_vectors(docs: DataFrame, text_col: str = "text", blocks: int = 16) -> t
         buckets, (places, signs) = Buckets(), index_vectors()
         total, seen = np.zeros((ROWS, DIM + 1)), 0
         for batch in batches:
-            words, n = _words(batch["text"], buckets)
-            total += _context_sums(words, n, places, signs)
+            texts = batch["text"].tolist()
+            for a, b in slices(texts):
+                words, n = _words(texts[a:b], buckets)
+                total += _context_sums(words, n, places, signs)
             seen += len(batch)
         if seen:
             salt = zlib.crc32(total[:64].tobytes()) % 64
@@ -100,6 +103,12 @@ def word_vectors(docs: DataFrame, text_col: str = "text", blocks: int = 16) -> t
 
 def pooled(texts, buckets: Buckets, vectors: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Per text: the weighted mean of its words' context vectors beside the plain mean of their index vectors."""
+    texts = list(texts)
+    parts = [_pooled(texts[a:b], buckets, vectors, weight) for a, b in slices(texts)]
+    return np.concatenate(parts) if parts else np.zeros((0, 2 * DIM))
+
+
+def _pooled(texts: list, buckets: Buckets, vectors: np.ndarray, weight: np.ndarray) -> np.ndarray:
     words, n = _words(texts, buckets)
     text = np.repeat(np.arange(len(n)), n)
     cell = np.bincount(text * 1, minlength=len(n))
