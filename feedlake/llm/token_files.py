@@ -10,6 +10,7 @@ plane_bytes (compressed sizes, block by block, plane by plane). Parquet reads th
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import chain
 
@@ -23,15 +24,19 @@ from pyspark.sql import functions as F
 from feedlake.llm.scratch import new_path, table
 
 #: Ids of a block; ids at which a chunk is closed; zstandard level; words whose ids a worker keeps.
-BLOCK_IDS, CHUNK_IDS, LEVEL, KEPT_WORDS = 16_384, 262_144, 3, 1_000_000
+BLOCK_IDS, CHUNK_IDS, LEVEL, KEPT_WORDS = 16_384, 262_144, 3, 600_000
 #: The id after each document.
 END_ID = 1
 SCHEMA = "shard int, chunk int, shard_start long, n_ids long, doc_ids array<long>, doc_tokens array<int>, plane_bytes array<int>, payload binary"
 
 
+#: Letters, then marks that can begin no contraction: the tokenizer splits between them.
+_LETTERS_MARKS = re.compile(r"([a-z]+)([^a-z0-9'\s<|>]+)")
+
+
 class WordIds(dict):
     """A piece of text without blanks to its token ids. The tokenizer drops white space and never joins what it
-    separates, so a text's ids are those of its pieces."""
+    separates, so a text's ids are those of its pieces; ASCII pieces are lower-cased first, as it does itself."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -40,11 +45,32 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if piece.isascii():
+            lower = piece.lower()
+            parts = _LETTERS_MARKS.fullmatch(lower)
+            if parts:
+                ids = self[parts[1]] + self[parts[2]]
+            elif lower != piece and "<|" not in piece:
+                ids = self[lower]
+            else:
+                ids = tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        else:
+            ids = tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         if len(piece) <= 64 and len(self) < KEPT_WORDS:
             self[piece] = ids
         return ids
 
+    @classmethod
+    def of_worker(cls, path: str) -> WordIds:
+        """One for all tasks of a Python worker. Functions travel by value and have no module of their own there, so it
+        is kept on the tokenizers module."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_feedlake_words", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
     def encode(self, text: str | None) -> np.ndarray:
         pieces = (text or "").replace("\n", " ").split(" ")
         return np.fromiter(chain(chain.from_iterable(map(self.__getitem__, pieces)), (END_ID,)), np.uint32)
@@ -84,7 +110,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, bits: boo
     """
 
     def each(batches):
-        words, shard, chunk, before = WordIds(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        words, shard, chunk, before = WordIds.of_worker(tokenizer_path), TaskContext.get().partitionId(), 0, 0
         held, ids_of, n = [], [], 0
 
         def close():
