@@ -150,10 +150,11 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_id"
     z, words = cap_plan(max(n, 2), threshold)
 
     def decode(batches):
-        code = Filters(length, words, z)  # the same on every executor, from its seed
+        code = None
         for batch in batches:
             if not len(batch):
                 continue
+            code = code or Filters(length, words, z)  # the same on every executor, from its seed
             x = matrix(batch["vector"])
             lists = code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
             yield pd.DataFrame({"rep": batch["rep"], "mult": batch["mult"], "vector": [v.tobytes() for v in x], "filters": [v.tobytes() for v in lists], "filter": [v.tolist() for v in lists]})
