@@ -306,3 +306,13 @@ def test_seeds(spark):
     assert (labs.count(), sources.count()) == (10, 12)
     merged = seeds.merge_seed(labs.where("slug = 'mbari'"), sources.where(F.lit(False)), labs, sources)
     assert (merged[0].count(), merged[1].count()) == (10, 9)
+
+
+def test_relevance_known_answer(spark):
+    schema = "title string, summary string, signal_type string, source_name string, canonical_url string, github_repository_url string, dataset_url string, domains array<string>, technologies array<string>, organizations array<string>, researchers array<string>, archaeological_sites array<string>, github_stars double, citations double, source_count double, published_at string, ingested_at string"
+    row = ("New underwater archaeology photogrammetry dataset and GitHub tools", "A shipwreck documentation project releases a benchmark dataset, 3D model, source code, and reproducible photogrammetry workflow for submerged cultural heritage.", "DATASET", "OpenHeritage3D",
+           "https://openheritage3d.org/datasets/shipwreck", "https://github.com/example/shipwreck-photogrammetry", "https://zenodo.org/records/123", ["Marine Archaeology", "Digital Heritage"], ["Photogrammetry", "Computer Vision"], ["OpenHeritage3D"], ["Ada Researcher"], ["Antikythera Shipwreck"], 180.0, 12.0, 2.0, "2026-06-15", "2026-07-01")
+    shuffled = (*row[:7], ["digital heritage ", "Marine  Archaeology", "marine archaeology"], ["computer vision", "Photogrammetry"], *row[9:])
+    df = spark.createDataFrame([row, shuffled], schema).withColumns({c: F.col(c).cast("timestamp") for c in ("published_at", "ingested_at")})
+    for got in relevance.assess(df).collect():
+        assert tuple(got["dimensions"]) == (70, 64, 49, 74, 42, 40) and (got["final_score"], got["band"]) == (61, "MEDIUM")
