@@ -10,17 +10,19 @@ plane_bytes (compressed sizes, block by block, plane by plane). Parquet reads th
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from feedlake.llm.grouping import slices
 from feedlake.llm.scratch import new_path, table
 
 #: Ids of a block; ids at which a chunk is closed; zstandard level; words whose ids a worker keeps.
@@ -30,35 +32,77 @@ END_ID = 1
 SCHEMA = "shard int, chunk int, shard_start long, n_ids long, doc_ids array<long>, doc_tokens array<int>, plane_bytes array<int>, payload binary"
 
 
-#: Letters, then marks that can begin no contraction: the tokenizer splits between them.
-_LETTERS_MARKS = re.compile(r"([a-z]+)([^a-z0-9'\s<|>]+)")
+#: Marks that can end a piece and begin no contraction or special token: the tokenizer splits before them.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: Words that are encoded in one call.
+TOGETHER = 20_000
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
 class WordIds(dict):
-    """A piece of text without blanks to its token ids. The tokenizer drops white space and never joins what it
-    separates, so a text's ids are those of its pieces; ASCII pieces are lower-cased first, as it does itself."""
+    """A piece of text without blanks to its token ids, as little-endian uint32 bytes.
+
+    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its pieces, and
+    those of a piece of letters and marks are the letters' and the marks'. Pieces are told apart and cut by Arrow's
+    string kernels, once for each distinct piece of a slice. New words of letters are encoded many at a time; each ends
+    with the only token that can end a word, which tells them apart.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if piece.isascii():
-            lower = piece.lower()
-            parts = _LETTERS_MARKS.fullmatch(lower)
-            if parts:
-                ids = self[parts[1]] + self[parts[2]]
-            elif lower != piece and "<|" not in piece:
-                ids = self[lower]
-            else:
-                ids = tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        else:
-            ids = tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        if len(piece) <= 64 and len(self) < KEPT_WORDS:
-            self[piece] = ids
-        return ids
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _one(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, known or not."""
+        new = [p for p in pieces if p not in self]
+        words = [p for p in new if p.isalpha() and p.lower().isalpha() and (p.isascii() or unicodedata.normalize("NFC", p).isalpha())]
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            raw = ids.tobytes()
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                self.update({w: raw[4 * a : 4 * b] for w, a, b in zip(some, [0, *ends], ends, strict=False)})
+        for p in new:
+            if p not in self:  # no word, or letters that turn into other characters
+                self[p] = self._one(p)
+        return [self[p] for p in pieces]
+
+    def encode_all(self, texts: list) -> list[np.ndarray]:
+        """The ids of each text, with the end id. What is known is forgotten when it gets too much."""
+        if not texts:
+            return []
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        self[""] = b""
+        lists = pc.split_pattern(pa.array([(t or "").replace("\n", " ") for t in texts], pa.large_string()), " ")
+        per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        letters = pc.ascii_lower(pc.ascii_rtrim(distinct, characters=MARKS))
+        simple = pc.and_(pc.string_is_ascii(distinct), pc.or_(pc.ascii_is_alpha(letters), pc.equal(pc.binary_length(letters), 0)))
+        # each piece has two parts: letters and marks, or itself and nothing
+        one = pc.if_else(simple, letters, distinct).dictionary_encode()
+        two = pc.if_else(simple, pc.ascii_ltrim(distinct, characters=LETTERS), "").dictionary_encode()
+        first, second = self._ids(one.dictionary.to_pylist()), self._ids(two.dictionary.to_pylist())
+        size = np.array([len(x) // 4 for x in (*first, *second)], np.int64)
+        flat, begin = np.frombuffer(b"".join((*first, *second)), "<u4"), np.cumsum(size) - size
+        piece = coded.indices.to_numpy(zero_copy_only=False)
+        part = np.stack([one.indices.to_numpy(zero_copy_only=False)[piece], two.indices.to_numpy(zero_copy_only=False)[piece] + len(first)], axis=1).ravel()
+        n = size[part]
+        where = np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        ids = flat[where]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ends = before[2 * np.cumsum(per_text)]
+        return np.split(np.insert(ids, ends, END_ID), (ends + np.arange(1, len(ends) + 1))[:-1])
 
     @classmethod
     def of_worker(cls, path: str) -> WordIds:
@@ -71,10 +115,6 @@ class WordIds(dict):
             kept[path] = cls(path)
         return kept[path]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        pieces = (text or "").replace("\n", " ").split(" ")
-        return np.fromiter(chain(chain.from_iterable(map(self.__getitem__, pieces)), (END_ID,)), np.uint32)
-
 
 def pack_ids(ids: np.ndarray, bits: bool = False) -> tuple[bytes, list[int]]:
     """(payload, compressed size of each plane of each block)."""
@@ -119,8 +159,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, bits: boo
             return pd.DataFrame({"shard": [shard], "chunk": [chunk], "shard_start": [before], "n_ids": [len(ids)], "doc_ids": [ids_of], "doc_tokens": [[len(x) for x in held]], "plane_bytes": [sizes], "payload": [payload]})
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"], strict=True):
-                ids = words.encode(text)
+            names, texts = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist(), batch["text"].tolist()
+            for doc_id, ids in ((names[a + i], x) for a, b in slices(texts, 4_000_000) for i, x in enumerate(words.encode_all(texts[a:b]))):
                 if n and n + len(ids) > CHUNK_IDS:
                     yield close()
                     chunk, before, held, ids_of, n = chunk + 1, before + n, [], [], 0
