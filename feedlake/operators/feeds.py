@@ -116,11 +116,8 @@ def lab_sources(labs: DataFrame, sources: DataFrame) -> DataFrame:
 
 def counts(**tables: DataFrame) -> DataFrame:
     """One row with the number of rows of each table."""
-    out = None
-    for name, df in tables.items():
-        one = df.agg(F.count("*").alias(f"n_{name}"))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    return out
+    each = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in tables.items()]
+    return reduce(DataFrame.unionAll, each).agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(f"n_{name}") for name in tables])
 
 
 def recent_runs(runs: DataFrame, events: DataFrame, limit: int = RUNS, per_run: int = EVENTS_PER_RUN) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.functions.values import non_negative
-from feedlake.operators.entities import enrich, extract_entities
+from feedlake.functions.vocabulary import PROCESSING_REASONS
+from feedlake.operators.entities import added, enrich, extract_entities, names_of
 from feedlake.operators.linkage import action, candidate_rows, find_duplicates, known_items, merge_signals, within_batch
 from feedlake.operators.signals import to_signals
 from feedlake.operators.tagging import first_item_score, item_score, match_lab, tag_items
@@ -32,6 +33,14 @@ class Kind:
 KINDS = {"RSS": Kind(5, 20), "ARXIV": Kind(None, 20, tags=False, check_duplicates=False, ledger=False, first_score=True), "GITHUB": Kind(None, None), "WEBSITE": Kind(None, 20), "YOUTUBE": Kind(None, 10)}
 
 
+def due_sources(sources: DataFrame, kind: str) -> DataFrame:
+    """The active sources of one kind that a run takes, by id; web pages only where a watch mode is set."""
+    how = KINDS[kind]
+    due = sources.where(F.col("is_active") & (F.col("type") == kind))
+    due = due.where("watch_mode is not null") if kind == "WEBSITE" and "watch_mode" in sources.columns else due
+    return due.orderBy("id").limit(how.sources) if how.sources else due
+
+
 def prepare(scanned: DataFrame, labs: DataFrame, kind: str, now: Column) -> DataFrame:
     """Scanned rows (with lab_id and ord) tagged, matched and scored as the kind asks; ord is their order in the run."""
     how = KINDS[kind]
@@ -90,9 +99,6 @@ def process(items: DataFrame, existing: DataFrame, candidates_only: bool = True,
     pairs = candidate_rows(enriched, existing, limit) if candidates_only else None
     decided = action(find_duplicates(enriched, existing, candidates=pairs))
     joined = enriched.join(decided, "id").join(before, "id")
-    from feedlake.functions.vocabulary import PROCESSING_REASONS
-    from feedlake.operators.entities import added, names_of
-
     delta = F.format_string("Entity enrichment added %d technologies, %d organizations, and %d researchers.", *[added(F.col(f"__{c}"), F.col(c)) for c in ("technologies", "organizations", "researchers")])
     key = F.when(F.col("confidence") == "high", "title_high").otherwise(F.col("matched_by"))
     why = F.element_at(F.create_map(*[F.lit(x) for kv in PROCESSING_REASONS.items() for x in kv]), key)

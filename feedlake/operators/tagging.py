@@ -29,6 +29,12 @@ def tag_items(items: DataFrame, rules: dict[str, list[str]] = V.TAG_KEYWORDS) ->
     return items.withColumn("tags", F.array_union(own, rule_tags(F.col("title"), F.col("summary"), F.col("content_text"), rules)))
 
 
+def source_tags(title: Column, summary: Column, source_type: Column, own: Column, rules: dict[str, list[str]], by_source: dict[str, str]) -> Column:
+    """Own tags first, then those of the rules, then the one that the source type brings, each once."""
+    extra = F.array_compact(F.array(*[F.when(source_type == kind, tag) for kind, tag in by_source.items()]))
+    return F.array_distinct(F.concat(F.coalesce(own, F.array().cast("array<string>")), rule_tags(title, summary, rules=rules), extra))
+
+
 def item_score(*, title: Column, summary: Column, tags: Column, published_at: Column, source_type: Column, now: Column, lab_confidence: Column | None = None,
                lab_priority: Column | None = None, stars: Column | None = None, arxiv_categories: Column | None = None) -> Column:
     """Recency, source, tags, novelty words, lab and popularity, rounded and at most 100. `now` is a parameter."""

@@ -101,8 +101,8 @@ def latest_run(spark, sf_dir):
 SELECT c_custkey AS id, c_name AS name, n_name AS lab_name, CAST(err AS VARCHAR) AS last_error FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN f ON user_id = c_custkey WHERE c_acctbal > 0 ORDER BY err DESC NULLS FIRST, upd DESC NULLS FIRST, c_custkey LIMIT 50""")
 def source_health(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    first = e.agg(F.min("event_type").alias("bad"))
-    seen = e.crossJoin(first).groupBy(F.col("user_id").alias("id")).agg(F.max(F.when(F.col("event_type") == F.col("bad"), F.col("ts"))).alias("last_error_at"), F.max("ts").alias("updated_at"))
+    bad = e.agg(F.min("event_type")).first()[0]
+    seen = e.groupBy(F.col("user_id").alias("id")).agg(F.max(F.when(F.col("event_type") == bad, F.col("ts"))).alias("last_error_at"), F.max("ts").alias("updated_at"))
     rows = views.sources(spark, sf_dir).join(seen, "id", "left")
     return feeds.source_health(rows, views.labs(spark, sf_dir)).select("id", "name", "lab_name", F.col("last_error_at").cast("string").alias("last_error"))
 

@@ -35,3 +35,10 @@ def merge_seed(existing_labs: DataFrame, existing_sources: DataFrame, labs: Data
     new = labs.join(existing_labs.select("slug"), "slug", "left_anti").select(*labs.columns)
     fresh = sources.join(new.select(F.col("id").alias("lab_id")), "lab_id", "left_semi").select(*sources.columns)
     return existing_labs.unionByName(new, allowMissingColumns=True), existing_sources.unionByName(fresh, allowMissingColumns=True)
+
+
+def mock_item(spark: SparkSession, lab_id: str, source_id: str, now: str) -> DataFrame:
+    """One made-up item, to see a feed with something in it."""
+    row = (f"mock-{source_id}-{now}", lab_id, source_id, "RSS", "A made-up item", "Underwater robots map a reef in 3D.", f"https://example.com/mock/{source_id}", ["marine"], 42.0)
+    made = spark.createDataFrame([row], "id string, lab_id string, source_id string, source_type string, title string, summary string, url string, tags array<string>, score double")
+    return made.withColumns({"published_at": F.lit(now).cast("timestamp"), "created_at": F.lit(now).cast("timestamp")})
