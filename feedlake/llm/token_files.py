@@ -26,7 +26,7 @@ from feedlake.llm.grouping import slices
 from feedlake.llm.scratch import new_path, table
 
 #: Ids of a block; ids at which a chunk is closed; zstandard level; words whose ids a worker keeps.
-BLOCK_IDS, CHUNK_IDS, LEVEL, KEPT_WORDS = 16_384, 262_144, 3, 600_000
+BLOCK_IDS, CHUNK_IDS, LEVEL, KEPT_WORDS = 16_384, 262_144, 3, 1_200_000
 #: The id after each document.
 END_ID = 1
 SCHEMA = "shard int, chunk int, shard_start long, n_ids long, doc_ids array<long>, doc_tokens array<int>, plane_bytes array<int>, payload binary"
@@ -35,7 +35,7 @@ SCHEMA = "shard int, chunk int, shard_start long, n_ids long, doc_ids array<long
 #: Marks that can end a piece and begin no contraction or special token: the tokenizer splits before them.
 MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Words that are encoded in one call.
-TOGETHER = 20_000
+TOGETHER = 256
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,20 +60,33 @@ class WordIds(dict):
     def _one(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @staticmethod
+    def _is_word(text: str) -> bool:
+        """Letters that stay letters when they are composed and lower-cased."""
+        return text.isalpha() and text.lower().isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).isalpha())
+
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces, known or not."""
         new = [p for p in pieces if p not in self]
-        words = [p for p in new if p.isalpha() and p.lower().isalpha() and (p.isascii() or unicodedata.normalize("NFC", p).isalpha())]
+        cut = {p: w for p in new if (w := p.rstrip(MARKS)) and self._is_word(w)}
+        words = list({w for w in cut.values() if w not in self})
         for at in range(0, len(words), TOGETHER):
             some = words[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             raw = ids.tobytes()
             if len(ends) == len(some) and ends[-1] == len(ids):
                 self.update({w: raw[4 * a : 4 * b] for w, a, b in zip(some, [0, *ends], ends, strict=False)})
         for p in new:
-            if p not in self:  # no word, or letters that turn into other characters
-                self[p] = self._one(p)
+            if p not in self:
+                word = cut.get(p)
+                if word in self and word != p:
+                    marks = p[len(word) :]
+                    if marks not in self:
+                        self[marks] = self._one(marks)
+                    self[p] = self[word] + self[marks]
+                else:  # no word, or letters that turn into other characters
+                    self[p] = self._one(p)
         return [self[p] for p in pieces]
 
     def encode_all(self, texts: list) -> list[np.ndarray]:
