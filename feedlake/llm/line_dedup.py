@@ -45,13 +45,13 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     covered = later.select("__id", "__key", begin.alias("b"), (F.col("p") + window).alias("e")).where("b < e")
     spans = covered.groupBy("__id", "__key").agg(F.array_sort(F.collect_set(F.struct("b", "e"))).alias("spans"))
     gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["b"], s["e"] - 1))))
-    joined = base.join(spans.select("__id", "__key", gone.alias("gone")), ["__id", "__key"], "left")
-    stay = F.filter(F.arrays_zip(lines.alias("l"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i")), lambda x: ~F.array_contains("gone", x["i"]))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda x: x["l"]), "\n"))
+    joined = base.join(spans.select("__id", "__key", gone.alias("__gone")), ["__id", "__key"], "left")
+    stay = F.filter(F.arrays_zip(lines.alias("l"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i")), lambda x: ~F.array_contains("__gone", x["i"]))
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda x: x["l"]), "\n"))
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

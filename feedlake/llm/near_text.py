@@ -34,10 +34,12 @@ def describe(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 n.append(len(values))
                 keys.append(set_key(values) if len(values) else None)
                 sigs.append(hasher(values).tobytes() if len(values) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": n, "set_key": keys, "sig": sigs})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "set_key": keys, "sig": sigs})
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(each, "doc_id long, n_shingles long, set_key binary, sig binary")
+    # ids travel as text: pandas would turn a batch with a null among them into floats
+    slim = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    made = slim.mapInPandas(each, "doc_id string, n_shingles long, set_key binary, sig binary")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _prefixes(classes: DataFrame, depth: int) -> DataFrame:

@@ -102,11 +102,11 @@ def _first_shared_here(lists_a, lists_b, at: int) -> np.ndarray:
     return a @ b.T < 0.5
 
 
-def _tile(group: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
+def _tile(group: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame | None:
     at, ba, bb = (int(group[k].iat[0]) for k in ("filter", "ba", "bb"))
     own = group["own"].to_numpy()
     ids, mult = group["rep"].to_numpy(), group["mult"].to_numpy()
-    x = np.frombuffer(b"".join(group["vector"]), np.float64).reshape(len(group), -1)
+    x = np.frombuffer(b"".join(group["vector"]), kind).astype(np.float64).reshape(len(group), -1)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     a, b = (np.flatnonzero(own == ba), np.flatnonzero(own == bb)) if ba != bb else (np.arange(len(ids)),) * 2
     links = x[a] @ x[b].T >= threshold
@@ -141,6 +141,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_id"
     a null vec_id). Repeated rows are vectors of their own and link with one another. Other columns are ignored. An
     empty table gives an empty table.
     """
+    kind = "<f4" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"  # as they came: exact
     slim = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     length = common_length(slim.where(usable("vector")), "vector")
     fits = usable("vector") & (F.size("vector") == length) & F.exists("vector", lambda x: x != 0) & F.col("vec_id").isNotNull()
@@ -157,7 +158,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_id"
             code = code or Filters(length, words, z)  # the same on every executor, from its seed
             x = matrix(batch["vector"])
             lists = code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
-            yield pd.DataFrame({"rep": batch["rep"], "mult": batch["mult"], "vector": [v.tobytes() for v in x], "filters": [v.tobytes() for v in lists], "filter": [v.tolist() for v in lists]})
+            yield pd.DataFrame({"rep": batch["rep"], "mult": batch["mult"], "vector": [v.tobytes() for v in x.astype(kind)], "filters": [v.tobytes() for v in lists], "filter": [v.tolist() for v in lists]})
 
     decoded = classes.select("rep", "mult", "vector").mapInPandas(decode, "rep long, mult long, vector binary, filters binary, filter array<int>")
     decoded = stash(decoded, "filters")
@@ -170,7 +171,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_id"
 
     def compare(batches):
         for group in grouped(batches, ["filter", "ba", "bb"]):
-            found = _tile(group, threshold)
+            found = _tile(group, threshold, kind)
             if found is not None:
                 yield found
 

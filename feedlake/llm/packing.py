@@ -80,7 +80,6 @@ def pack(docs: DataFrame, size: Column, capacities=CAPACITIES, overhead: int = O
     def each(batches):
         first, held, n = TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
-            batch = batch.assign(doc_id=batch["doc_id"].astype("Int64"))
             for at in range(0, len(batch), group):
                 held.append(batch.iloc[at : at + group])
                 n += len(held[-1])
@@ -92,7 +91,9 @@ def pack(docs: DataFrame, size: Column, capacities=CAPACITIES, overhead: int = O
             yield packed(pd.concat(held, ignore_index=True), first)[0]
 
     dealt = pieces.repartition(max(1, -(-count // group)), F.xxhash64("doc_id", "piece")).sortWithinPartitions("doc_id", "piece", "n_tokens")
-    return dealt.mapInPandas(each, "doc_id long, piece int, n_tokens long, bin_id long, capacity int, offset long")
+    # ids travel as text: pandas would turn a batch with a null among them into floats
+    made = dealt.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(each, "doc_id string, piece int, n_tokens long, bin_id long, capacity int, offset long")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

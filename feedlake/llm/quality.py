@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -200,14 +201,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
 
     def score(batches):
         buckets = Buckets()
-        for batch in batches:
-            out = apply_network(net, pooled(batch[text_col], buckets, *shared.value))
-            yield batch.assign(score=out)
+        for batch in batches:  # Arrow batches: the other columns pass as they are
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            out = apply_network(net, pooled(texts, buckets, *shared.value)) if texts else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
 
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     kept = docs.select(*names)
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    scored = kept.mapInPandas(score, f"{kind}, score double")
+    scored = kept.mapInArrow(score, f"{kind}, score double")
     own = F.crc32(F.col(id_col).cast("long").cast("string")) % 5
     return scored.select(*[F.col(f"`{c}`") for c in names], F.coalesce(own == 0, F.lit(True)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 

@@ -172,7 +172,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, bits: boo
             return pd.DataFrame({"shard": [shard], "chunk": [chunk], "shard_start": [before], "n_ids": [len(ids)], "doc_ids": [ids_of], "doc_tokens": [[len(x) for x in held]], "plane_bytes": [sizes], "payload": [payload]})
 
         for batch in batches:
-            names, texts = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist(), batch["text"].tolist()
+            names, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             for doc_id, ids in ((names[a + i], x) for a, b in slices(texts, 4_000_000) for i, x in enumerate(words.encode_all(texts[a:b]))):
                 if n and n + len(ids) > CHUNK_IDS:
                     yield close()
@@ -184,7 +184,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, bits: boo
             yield close()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    ordered = slim.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
+    ordered = slim.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as text: pandas would make floats of ids beside a null
     ordered.mapInPandas(each, SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
@@ -201,10 +201,10 @@ def read_token_files(spark: SparkSession, path: str, bits: bool = False) -> Data
                 n = np.asarray(row.doc_tokens, np.int64)
                 ends = np.cumsum(n)
                 crc = [zlib.crc32(ids[e - k : e].astype("<u4").tobytes()) for e, k in zip(ends, n, strict=True)]
-                doc = pd.array([None if x is None or x != x else int(x) for x in row.doc_ids], dtype="Int64")
-                yield pd.DataFrame({"doc_id": doc, "start": row.before + row.shard_start + ends - n, "n_tokens": n, "ids_crc32": crc})
+                yield pd.DataFrame({"doc_id": list(row.doc_ids), "start": row.before + row.shard_start + ends - n, "n_tokens": n, "ids_crc32": crc})
 
-    return chunks.join(shards, "shard").mapInPandas(each, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    read = chunks.withColumn("doc_ids", F.col("doc_ids").cast("array<string>")).join(shards, "shard")
+    return read.mapInPandas(each, "doc_id string, start long, n_tokens long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_byte_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

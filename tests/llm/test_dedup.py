@@ -85,11 +85,11 @@ def test_near_text_star(spark):
 
 def test_near_text_cases(spark):
     long = " ".join(f"w{i % 5003}" for i in range(60_000))
-    rows = [(5, "One two THREE four"), (9, "one  two\tthree\nfour"), (3, ""), (4, None), (1, " \n "), (7, "a b"), (8, "A B"), (2, "a c"), (None, "one two three four"), (None, None), (10, long), (11, long + " end"), (5, "One two THREE four")]
+    rows = [(5, "One two THREE four"), (9, "one  two\tthree\nfour"), (3, ""), (4, None), (1, " \n "), (7, "a b"), (8, "A B"), (2, "a c"), (None, "one two three four"), (None, None), (10, long), (11, long + " end"), (5, "One two THREE four"), (2**60 + 1, "q")]
     df = spark.createDataFrame([(i, t, t, "s") for i, t in rows], "doc_id long, text string, component_id string, n_shingles string")
     got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_text.near_duplicates(df, 3, (85, 100)).collect())
     n = len(set(zip(long.split(), long.split()[1:], long.split()[2:], strict=False)))
-    want = [(5, 2, 5, True), (9, 2, 5, False), (3, 0, 3, True), (4, 0, 4, True), (1, 0, 1, True), (7, 1, 7, True), (8, 1, 7, False), (2, 1, 2, True), (None, 2, None, False), (None, 0, None, False), (10, n, 10, True), (11, n + 1, 10, False), (5, 2, 5, True)]
+    want = [(5, 2, 5, True), (9, 2, 5, False), (3, 0, 3, True), (4, 0, 4, True), (1, 0, 1, True), (7, 1, 7, True), (8, 1, 7, False), (2, 1, 2, True), (None, 2, None, False), (None, 0, None, False), (10, n, 10, True), (11, n + 1, 10, False), (5, 2, 5, True), (2**60 + 1, 1, 2**60 + 1, True)]
     assert got == collections.Counter(want)
     assert near_text.near_duplicates(df.where("false")).count() == 0
 
@@ -199,8 +199,8 @@ def test_lines_equal_brute_force(spark):
 
 
 def test_lines_cases(spark):
-    df = spark.createDataFrame([(2, "p\nq\nr\ntail", "keep", 7), (1, "p\nq\nr", "k", None), (None, "p\nq\nr", None, 1), (1, "p\nq\nr", "k", None), (3, None, None, None)], "doc_id long, text string, lang string, n_lines int")
-    got = sorted(((r["doc_id"], r["text"], r["lang"], r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_lines(df).collect()), key=repr)
+    df = spark.createDataFrame([(2, "p\nq\nr\ntail", "keep", 7), (1, "p\nq\nr", "k", None), (None, "p\nq\nr", None, 1), (1, "p\nq\nr", "k", None), (3, None, None, None)], "doc_id long, text string, gone string, n_lines int")
+    got = sorted(((r["doc_id"], r["text"], r["gone"], r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_lines(df).collect()), key=repr)
     want = [(1, "p\nq\nr", "k", 3, 0), (1, "p\nq\nr", "k", 3, 0), (2, "tail", "keep", 4, 3), (3, None, None, 0, 0), (None, "p\nq\nr", None, 3, 0)]
     assert got == sorted(want, key=repr)
     assert line_dedup.dedup_lines(df.where("false")).count() == 0

@@ -146,7 +146,7 @@ def test_odd_pieces(text):
 
 @pytest.mark.parametrize("bits", [False, True])
 def test_token_files(spark, tmp_path, bits):
-    rows = [(3, "one two"), (1, None), (2, ""), (2, ""), (None, "x"), (9, "long word " * 200_000), (5, "it's")]
+    rows = [(3, "one two"), (2**60 + 1, "big"), (1, None), (2, ""), (2, ""), (None, "x"), (9, "long word " * 200_000), (5, "it's")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int")
     path = str(tmp_path / "t")
     token_files.write_token_files(df, path, BPE, bits)
@@ -282,11 +282,11 @@ def test_best_fit(lengths, caps):
 
 
 def test_packing_cases(spark):
-    rows = [(1, 10_000), (2, 0), (3, None), (None, 5), (4, 4096), (5, 1), (5, 1)] + [(100 + i, 300 + i % 500) for i in range(500)]
+    rows = [(1, 10_000), (2**60 + 1, 7), (2, 0), (3, None), (None, 5), (4, 4096), (5, 1), (5, 1)] + [(100 + i, 300 + i % 500) for i in range(500)]
     df = spark.createDataFrame([(i, n, 0) for i, n in rows], "doc_id long, n long, bin_id int")
     for group in (65_536, 64):
         got = packing.pack(df, F.col("n"), group=group).toPandas()
-        assert got["n_tokens"].sum() == sum(n or 0 for _, n in rows) and got[got.doc_id == 1]["n_tokens"].tolist() == [4096, 4096, 1808]
+        assert got["n_tokens"].sum() == sum(n or 0 for _, n in rows) and got[got.doc_id == 1]["n_tokens"].tolist() == [4096, 4096, 1808] and packing.pack(df, F.col("n"), group=group).where(f"doc_id = {2**60 + 1}").count() == 1
         assert got[got.n_tokens == 0]["bin_id"].isna().all() and got["bin_id"].isna().sum() == 2
         fill = got.dropna(subset=["bin_id"]).groupby("bin_id").agg(t=("n_tokens", "sum"), c=("capacity", "first"))
         assert (fill.t <= fill.c).all()
@@ -322,10 +322,10 @@ def test_held_out_labels_change_nothing(spark):
 
 
 def test_quality_cases(spark):
-    rows = [(i, t) for i, t, _ in made_docs(60)] + [(900, None), (901, ""), (None, "x"), (902, "long " * 200_000), (5, "again"), (5, "again")]
+    rows = [(i, t) for i, t, _ in made_docs(60)] + [(900, None), (901, ""), (None, "x"), (902, "long " * 200_000), (5, "again"), (5, "again"), (2**60 + 1, "big")]
     docs = spark.createDataFrame([(i, t, "z", None) for i, t in rows], "doc_id long, text string, score string, lang string")
     labels = spark.createDataFrame([(i, y) for i, _, y in made_docs(60)] + [(None, 1), (3, None), (4, 0)], "doc_id long, quality int")
     got = quality.quality_scores(docs, labels).collect()
-    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got) and got[0].asDict().keys() == {"doc_id", "text", "lang", "held_out", "score", "predicted"}
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got) and got[0].asDict().keys() == {"doc_id", "text", "lang", "held_out", "score", "predicted"} and 2**60 + 1 in {r["doc_id"] for r in got}
     assert quality.quality_scores(docs.where("false"), labels).count() == 0
     assert {round(r["score"], 6) for r in quality.quality_scores(docs, labels.where("false")).collect()} == {0.5}
