@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from feedlake.functions.values import let
+
 _OUT = r"\p{L}\p{N}"
 
 
@@ -85,17 +87,21 @@ def _phrase_table(phrases: list[str]) -> Column:
     return F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(key_of(p)).alias("key"), F.lit(phrase_pattern(p)).alias("pattern")) for p in phrases])
 
 
+def _found(key_text: Column, phrases: list[str], field: str) -> Column:
+    """One field of the phrases in a text, which is computed once and not once a phrase."""
+    here = lambda k: F.filter(_phrase_table(phrases), lambda p: F.contains(k, p["key"]) & F.call_function("rlike", k, p["pattern"]))
+    return let(key_text, lambda k: F.transform(here(k), lambda p: p[field]))
+
+
 def phrases_found(key_text: Column, phrases: list[str]) -> Column:
     """The phrases of the list that occur as whole phrases, sorted by key."""
     ordered = sorted(dict.fromkeys(phrases), key=key_of)
-    found = F.filter(_phrase_table(ordered), lambda p: F.contains(key_text, p["key"]) & F.call_function("rlike", key_text, p["pattern"]))
-    return F.transform(found, lambda p: p["phrase"])
+    return _found(key_text, ordered, "phrase")
 
 
 def phrase_keys(key_text: Column, phrases: list[str]) -> Column:
     """The keys of the phrases that occur as whole phrases: one pass over a constant table, whatever its length."""
-    found = F.filter(_phrase_table(sorted(set(map(key_of, phrases)))), lambda p: F.contains(key_text, p["key"]) & F.call_function("rlike", key_text, p["pattern"]))
-    return F.transform(found, lambda p: p["key"])
+    return _found(key_text, sorted(set(map(key_of, phrases))), "key")
 
 
 def any_phrase(key_text: Column, phrases: list[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,11 @@ def valid_vector(v: Column, dimensions: int) -> Column:
     return F.coalesce((F.size(v) == dimensions) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once: branches of a conditional would each compute it again."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def once(x: Column) -> Column:
     """x, computed once: the optimiser may copy a column's expression into every place that reads it, and a long chain
     of such copies takes minutes to plan. It does not copy what depends on the row's place."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import json_walk
 from feedlake.functions import vocabulary as V
-from feedlake.functions.values import once
+from feedlake.functions.values import let, once
 from feedlake.functions.text import collapse, key_of, merge_names, normalize_key, normalize_whitespace, phrase_pattern, sort_locale
 
 DICTIONARIES = V.TECHNOLOGIES + V.ORGANIZATIONS + V.VESSELS + V.PROJECTS + V.SITES
@@ -34,10 +34,10 @@ def dictionary_matches(texts: Column, entries: list[tuple[str, str, list[str]]])
     """
     rows = [F.struct(F.lit(kind).alias("type"), F.lit(name).alias("name"), F.lit(p).alias("phrase"), F.lit(key_of(p)).alias("key"), F.lit(phrase_pattern(p)).alias("pattern"),
                      F.array(*[F.lit(a) for a in aliases]).cast("array<string>").alias("aliases")) for kind, name, aliases in entries for p in [name, *aliases] if key_of(p)]
-    found = F.transform(F.array(*rows), lambda d: F.transform(
-        F.filter(texts, lambda t: F.contains(t["key"], d["key"]) & F.call_function("rlike", t["key"], d["pattern"])),
+    found = lambda ts: F.transform(F.array(*rows), lambda d: F.transform(
+        F.filter(ts, lambda t: F.contains(t["key"], d["key"]) & F.call_function("rlike", t["key"], d["pattern"])),
         lambda t: F.struct(d["type"].alias("type"), d["name"].alias("canonical_name"), d["phrase"].alias("matched_text"), t["source_field"].alias("source_field"), F.lit("exact").alias("confidence"), d["aliases"].alias("aliases"))))
-    return F.flatten(found)
+    return F.flatten(let(texts, found))
 
 
 def researcher_matches(names: Column, raw_names: Column | None, texts: Column) -> Column:

@@ -85,8 +85,8 @@ def features(df: DataFrame, aliases: dict[str, list[str]] = V.DOMAIN_ALIASES, us
         "__technologies": both("__resolved", "technology"), "f_organizations": both("organizations", "organization", "lab", "institution"), "f_researchers": both("researchers", "researcher"),
         "f_projects": both("projects", "project"), "f_vessels": both("vessels", "vessel"), "f_expeditions": both("expeditions", "expedition"), "f_sites": both("archaeological_sites", "archaeological_site")})
     s = s.withColumn("__fallback", F.concat_ws(" ", "__title", "__summary", F.array_join("__keywords", " "), F.array_join("f_organizations", " "), "__source", "__category", "__url"))
-    s = s.withColumns({"__text": once(normalize_key(F.concat_ws(" ", "__fallback", F.array_join("__domains", " "), F.array_join("__technologies", " ")), True)), "__plain": normalize_key(F.col("__fallback"), True),
-                       "__origin": normalize_key(F.concat_ws(" ", "__source", "__url"), True), "__domain_keys": once(F.transform("__domains", lambda d: normalize_key(d, True))), "__technology_keys": once(F.transform("__technologies", lambda t: normalize_key(t, True)))})
+    s = s.withColumns({"__text": once(normalize_key(F.concat_ws(" ", "__fallback", F.array_join("__domains", " "), F.array_join("__technologies", " ")), True)), "__plain": once(normalize_key(F.col("__fallback"), True)),
+                       "__origin": once(normalize_key(F.concat_ws(" ", "__source", "__url"), True)), "__domain_keys": once(F.transform("__domains", lambda d: normalize_key(d, True))), "__technology_keys": once(F.transform("__technologies", lambda t: normalize_key(t, True)))})
     aliased = [p for names in aliases.values() for p in names]
     s = s.withColumns({"__hits": once(phrase_keys(F.col("__text"), [*PHRASES, *aliased])), "__plain_hits": once(phrase_keys(F.col("__plain"), aliased)), "__origin_hits": phrase_keys(F.col("__origin"), V.AUTHORITY_PHRASES)})
     hits, d_keys, t_keys = F.col("__hits"), F.col("__domain_keys"), F.col("__technology_keys")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import vocabulary as V
 from feedlake.functions.text import any_substring, first_string, string_array
+from feedlake.functions.values import let
 
 _ARRAYS = ("authors", "tags", "keywords", "technologies", "organizations", "researchers", "domains")
 _STRINGS = ("title", "summary", "description", "snippet", "content_snippet", "url", "canonical_url", "source_url", "link", "source_id", "source_name", "source_type", "type", "item_type", "kind", "signal_type", "raw", "metadata", "external_id")
@@ -23,11 +24,15 @@ def with_item_columns(items: DataFrame) -> DataFrame:
 
 def infer_type(source_type: Column, explicit: Column, text: Column, words=V.SIGNAL_TYPE_WORDS) -> Column:
     """A valid explicit type wins; else the first type, in order, whose source type or words fit; else NEWS."""
-    out = F.when(explicit.isin(V.SIGNAL_TYPES), explicit)
-    for name, source, needles in words:
-        hit = any_substring(text, needles)
-        out = out.when((source_type == source) | hit if source else hit, name)
-    return out.otherwise(V.DEFAULT_SIGNAL_TYPE)
+
+    def first(t: Column) -> Column:
+        out = F.when(explicit.isin(V.SIGNAL_TYPES), explicit)
+        for name, source, needles in words:
+            hit = any_substring(t, needles)
+            out = out.when((source_type == source) | hit if source else hit, name)
+        return out.otherwise(V.DEFAULT_SIGNAL_TYPE)
+
+    return let(text, first)
 
 
 def type_text(*strings: Column, arrays: tuple[Column, ...] = ()) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import vocabulary as V
 from feedlake.functions.text import any_substring, substring_hits
-from feedlake.functions.values import hours_between, ladder, round_half_up
+from feedlake.functions.values import hours_between, ladder, let, round_half_up
 
 
 def _joined(*parts: Column, by: str = " ") -> Column:
@@ -20,7 +20,7 @@ def _joined(*parts: Column, by: str = " ") -> Column:
 def rule_tags(title: Column, summary: Column | None = None, content: Column | None = None, rules: dict[str, list[str]] = V.TAG_KEYWORDS) -> Column:
     """The tags, in rule order, that have a word anywhere in the text. Words have no boundaries: `sea` hits `research`."""
     text = _joined(title, summary if summary is not None else F.lit(""), content if content is not None else F.lit(""))
-    return F.array_compact(F.array(*[F.when(any_substring(text, words), tag) for tag, words in rules.items()]))
+    return let(text, lambda t: F.array_compact(F.array(*[F.when(any_substring(t, words), tag) for tag, words in rules.items()])))
 
 
 def tag_items(items: DataFrame, rules: dict[str, list[str]] = V.TAG_KEYWORDS) -> DataFrame:
@@ -45,7 +45,7 @@ def item_score(*, title: Column, summary: Column, tags: Column, published_at: Co
     recency = F.when(published_at.isNull(), 0).otherwise(recency.otherwise(V.RECENCY_OLD))
     source = reduce(lambda acc, kv: acc.when(source_type == kv[0], kv[1]), list(V.SOURCE_POINTS.items())[1:], F.when(source_type == next(iter(V.SOURCE_POINTS)), next(iter(V.SOURCE_POINTS.values())))).otherwise(0)
     tagged = F.coalesce(F.size(F.filter(tags, lambda t: t.isin(V.IMPORTANT_TAGS))), F.lit(0)) * 5
-    novelty = substring_hits(_joined(title, summary), V.NOVELTY_WORDS) * 4
+    novelty = let(_joined(title, summary), lambda t: substring_hits(t, V.NOVELTY_WORDS)) * 4
     score = recency + source + tagged + novelty
     if lab_confidence is not None:
         score = score + F.coalesce(round_half_up(lab_confidence * 20), F.lit(0))
@@ -64,7 +64,7 @@ def first_item_score(*, title: Column, summary: Column, published_at: Column, la
     text = _joined(title, summary, by="\n")
     age = F.greatest(F.lit(0.0), hours_between(F.coalesce(published_at, now), now) / 24)
     recency = F.greatest(F.lit(0.0), F.lit(50.0) - age * F.lit(50 / 14))
-    xr, marine = substring_hits(text, xr_words), substring_hits(text, marine_words)
+    xr, marine = let(text, lambda t: substring_hits(t, xr_words)), let(text, lambda t: substring_hits(t, marine_words))
     boost = F.when(lab_domain == "XR", xr * 6).when(lab_domain == "MARINE", marine * 6).when(lab_domain == "BOTH", F.greatest(xr, marine) * 4).otherwise(0).cast("double")
     source = F.when(source_type == "RSS", V.SOURCE_BOOST["RSS"]).when(source_type == "ARXIV", V.SOURCE_BOOST["ARXIV"]).otherwise(0.0)
     return F.struct((recency + boost + source).alias("score"), F.least(F.lit(100.0), boost).alias("novelty"), F.least(F.lit(100.0), recency).alias("impact"))
@@ -73,9 +73,9 @@ def first_item_score(*, title: Column, summary: Column, published_at: Column, la
 def match_lab(*parts: Column, labs: dict[str, list[str]] = V.LAB_KEYWORDS) -> Column:
     """struct(slug, score) of the lab with the most words anywhere in the text; the first lab wins ties; no hit: null."""
     text = _joined(*parts, by=" \n ")
-    scored = F.array(*[F.struct(substring_hits(text, [w.lower() for w in words]).alias("score"), F.lit(-i).alias("order"), F.lit(slug).alias("slug")) for i, (slug, words) in enumerate(labs.items())])
-    best = F.array_max(scored)
-    return F.when(best["score"] >= 1, F.struct(best["slug"].alias("slug"), best["score"].alias("score")))
+    scored = lambda t: F.array_max(F.array(*[F.struct(substring_hits(t, [w.lower() for w in words]).alias("score"), F.lit(-i).alias("order"), F.lit(slug).alias("slug")) for i, (slug, words) in enumerate(labs.items())]))
+    found = let(text, scored)
+    return let(found, lambda best: F.when(best["score"] >= 1, F.struct(best["slug"].alias("slug"), best["score"].alias("score"))))
 
 
 def rescore(items: DataFrame, labs: DataFrame, now: Column, limit: int = 1000) -> DataFrame:

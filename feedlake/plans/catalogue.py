@@ -394,8 +394,8 @@ def relevance_bands(spark, sf_dir):
 @query()
 def relevance_score(spark, sf_dir):
     d = views.document_items(spark, sf_dir)
-    e = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").cast("double").alias("citations"))
-    return relevance.assess(d.select("id", "title", "summary", F.col("source").alias("source_name")).join(e, "id", "left"), use_raw=False).select("id", "final_score", "band", *[F.col("dimensions")[x].alias(x) for x in V.DIMENSIONS])
+    rows = d.select("id", "title", "summary", F.col("source").alias("source_name"), (F.col("id") % 150).cast("double").alias("citations"))
+    return relevance.assess(rows, use_raw=False).select("id", "final_score", "band", *[F.col("dimensions")[x].alias(x) for x in V.DIMENSIONS])
 
 
 _ENTITY_TESTS = [("technology", "Thand", ["thor"]), ("organization", "Ering The", ["of the"])]

@@ -38,9 +38,16 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://example.com/"), F.col("o_orderkey").cast("string")).alias("url"), F.array(F.lower("o_orderstatus"), F.substring("o_orderpriority", 1, 1)).alias("tags"), F.floor(F.col("o_totalprice") / 1000).alias("score"), published.alias("published_at"), F.col("o_orderdate").alias("created_at"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan gives fewer partitions than there are cores: rows that cost much CPU each should
+    not wait in one task. A table of more files than cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as items: the first line is the title, the rest the summary."""
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents"))
     cut = F.locate("\n", F.col("text"))
     return d.select(F.col("doc_id").alias("id"), "source", "lang", F.when(cut > 0, F.substr("text", F.lit(1), cut - 1)).otherwise(F.col("text")).alias("title"), F.when(cut > 0, F.substr("text", cut + 1)).otherwise("").alias("summary"))
 
