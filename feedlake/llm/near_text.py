@@ -12,11 +12,10 @@ from feedlake.llm.grouping import grouped, tile_roots
 from feedlake.llm.scratch import discard, stash, table
 from feedlake.llm.shingles import MinHasher, WordHashes, set_key, shingle_set
 
-#: Sorted orders (trees), values of a signature that a region shares at the least, and deeper levels in turn.
-TREES, DEPTHS = 16, (4, 8, 16)
-VALUES = TREES * DEPTHS[0]
-#: A region with more members is told apart by a longer prefix; one that the longest prefix leaves as large is
-#: compared in blocks, so that no pair of it is given up.
+#: Sorted orders (trees), and values of a signature that a region shares.
+TREES, DEPTH = 16, 4
+VALUES = TREES * DEPTH
+#: A region with more members is compared in blocks of about so many, each pair of blocks, so that no pair is given up.
 REGION = 2048
 #: Members of a block in the final comparison.
 BLOCK = 256
@@ -42,39 +41,21 @@ def describe(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _prefixes(classes: DataFrame, depth: int) -> DataFrame:
-    """A row for each class and tree: the tree's order begins at value tree * DEPTHS[0] and wraps around."""
-    ring = F.concat("sig", "sig")
-    first = [F.xxhash64(F.lit(t), F.lit(depth), F.substring(ring, 4 * t * DEPTHS[0] + 1, 4 * depth)) for t in range(TREES)]
+def _prefixes(classes: DataFrame) -> DataFrame:
+    """A row for each class and tree: the tree's order begins at value tree * DEPTH."""
+    first = [F.xxhash64(F.lit(t), F.substring("sig", 4 * t * DEPTH + 1, 4 * DEPTH)) for t in range(TREES)]
     return classes.select("rep", "sig", F.explode(F.array(*first)).alias("region"))
 
 
 def _regions(classes: DataFrame, limit: int) -> DataFrame:
     """(region, block_a, block_b, rep, sig, side): members of every region that has two or more.
 
-    The depth adapts: a prefix with more than `limit` members is replaced by a longer one, in that region alone.
-    A region that stays larger is dealt into blocks, and each pair of blocks is a unit of its own.
+    A region with more than `limit` members is dealt into blocks, and each pair of blocks is a unit of its own. A longer
+    prefix would tell such a region apart for less, but would shed pairs that share only the short one.
     """
-    parts, pool = [], _prefixes(classes, DEPTHS[0])
-    for level, depth in enumerate(DEPTHS):
-        sizes = pool.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-        held = pool.join(sizes, "region")
-        last = level == len(DEPTHS) - 1
-        parts.append((held if last else held.where(F.col("n") <= limit)).select("region", "rep", "sig", "n"))
-        if last:
-            break
-        large = sizes.where(F.col("n") > limit).select("region")
-        if large.isEmpty():
-            break
-        # the members of large regions, each in its own tree, by the longer prefix
-        ring = F.concat("sig", "sig")
-        pairs = [F.struct(F.xxhash64(F.lit(t), F.lit(depth), F.substring(ring, 4 * t * DEPTHS[0] + 1, 4 * depth)).alias("region"),
-                          F.xxhash64(F.lit(t), F.lit(DEPTHS[level + 1]), F.substring(ring, 4 * t * DEPTHS[0] + 1, 4 * DEPTHS[level + 1])).alias("deeper")) for t in range(TREES)]
-        both = classes.select("rep", "sig", F.explode(F.array(*pairs)).alias("x")).select("rep", "sig", "x.region", "x.deeper")
-        pool = both.join(large, "region", "left_semi").select("rep", "sig", F.col("deeper").alias("region"))
-    members = parts[0]
-    for part in parts[1:]:
-        members = members.unionByName(part)
+    pool = _prefixes(classes)
+    sizes = pool.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
+    members = pool.join(sizes, "region")
     blocks = F.ceil(F.col("n") / limit).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = members.withColumn("k", blocks).withColumn("own", own)
@@ -231,11 +212,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     doc_id that links reach.
 
     Method (LSH forest): texts with equal sets form one class. Each class has 64 MinHash values; each of 16 trees
-    sorts the classes by its own order of these values. Classes that share at least 4 values at the head of an order
-    are a region; a region with too many members asks for longer prefixes (8, then 16 values) until it is small, and
-    if it stays large it is compared block by block. In a region the strongest spanning forest is proposed first; the
+    sorts the classes by its own order of these values. Classes that share 4 values at the head of an order are a
+    region; a region with more than `region` members is compared block by block, every pair of blocks, so its work grows
+    with the square of its size. In a region the strongest spanning forest is proposed first; the
     proposals are confirmed on full sets; then, within what the proposals span, every pair that agrees enough but still
-    lies in different components is confirmed as well, in tiles that no pair leaves. A pair at similarity 0.85 is missed by all trees with a chance of 7e-6.
+    lies in different components is confirmed as well, in tiles that no pair leaves. A pair at similarity 0.85 is missed
+    by all trees with a chance of 7e-6, however large its regions are.
 
     Nulls: a null or empty text, or one of white space only, has n_shingles 0, is its own component and is kept. A
     row whose doc_id is null links with nothing and gets component_id null and kept false. Repeated rows appear as

@@ -83,6 +83,21 @@ def test_near_text_star(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) < len(rows)
 
 
+def test_large_region_sheds_no_pair(spark):
+    """A small `region` finds the links of a large one where copies are near to one text only."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for c in range(1, 200):
+        text = list(base)
+        for at in rng.sample(range(300), 7):
+            text[at] = f"y{c}_{at}"
+        rows.append((c, " ".join(text)))
+    want, _ = brute_components(rows, 3, 85, 100)
+    got = near_text.near_duplicates(spark.createDataFrame(rows, DOCS), 3, (85, 100), region=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_near_text_cases(spark):
     long = " ".join(f"w{i % 5003}" for i in range(60_000))
     rows = [(5, "One two THREE four"), (9, "one  two\tthree\nfour"), (3, ""), (4, None), (1, " \n "), (7, "a b"), (8, "A B"), (2, "a c"), (None, "one two three four"), (None, None), (10, long), (11, long + " end"), (5, "One two THREE four"), (2**60 + 1, "q")]
