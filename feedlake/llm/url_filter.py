@@ -7,14 +7,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.scratch import table
+from feedlake.llm.grouping import slices
+from feedlake.llm.scratch import discard, stash, table
 
 #: (host, path, verdict): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Longest context in bytes, slots of each count table (a fixed size, whatever the corpus), weight of the shorter
-#: context in the interpolation, bins of the calibration.
+#: Longest context in bytes, slots of the tests' small hashed model, weight of the shorter context in the
+#: interpolation, bins of the calibration.
 ORDER, SLOTS, BACKOFF, BINS = 4, 1 << 18, 2.0, 4001
 SCORE_RANGE = 8.0
+#: Gains are summed as integers of this unit, so that a score does not depend on the order of summation.
+UNIT = 1 << 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,38 +70,6 @@ def _slots(contexts, symbols) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(_slot(c), _slot((c ^ (symbols + np.uint64(257))) * np.uint64(0x100000001B3))) for c in contexts]
 
 
-def count_models(labelled: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Of (url, verdict): the counts of contexts and of contexts with a symbol, for `allow` and `block`.
-
-    Every row counts. A task sends one row for each slot that it filled, so what comes to the driver at last is two
-    pairs of tables of SLOTS numbers at the most.
-    """
-
-    def each(batches):
-        total = {}
-        for batch in batches:
-            for verdict, rows in batch.groupby("verdict"):
-                _, contexts, symbols, _ = _sites(rows["url"])
-                for c, s in _slots(contexts, symbols):
-                    for kind, slots in (("c", c), ("s", s)):
-                        key = (verdict, kind)
-                        total[key] = total.get(key, 0) + np.bincount(slots, minlength=SLOTS)
-        for (verdict, kind), counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pd.DataFrame({"verdict": verdict, "kind": kind, "slot": at, "n": counts[at]})
-
-    rows = labelled.mapInPandas(each, "verdict string, kind string, slot int, n long").groupBy("verdict", "kind", "slot").agg(F.sum("n").alias("n")).toPandas()
-    models = {}
-    for verdict in ("allow", "block"):
-        pair = []
-        for kind in ("c", "s"):
-            part, counts = rows[(rows["verdict"] == verdict) & (rows["kind"] == kind)], np.zeros(SLOTS, np.float64)
-            counts[part["slot"].to_numpy()] = part["n"].to_numpy()
-            pair.append(counts)
-        models[verdict] = tuple(pair)
-    return models
-
-
 def _log_likelihood(model, slots) -> np.ndarray:
     """Log-probability of each symbol: from the uniform one up through ever longer contexts that have been seen."""
     seen, with_symbol = model
@@ -109,14 +80,40 @@ def _log_likelihood(model, slots) -> np.ndarray:
     return np.log(p)
 
 
-def score_urls(urls, models) -> np.ndarray:
-    """Length-normalised log-likelihood difference of each URL, accepted less rejected."""
-    if not len(urls):
-        return np.empty(0)
-    _, contexts, symbols, n = _sites(urls)
-    slots = _slots(contexts, symbols)
-    gain = _log_likelihood(models["allow"], slots) - _log_likelihood(models["block"], slots)
-    return np.add.reduceat(gain, np.cumsum(n) - n) / n
+def _grams(urls) -> list[np.ndarray]:
+    """Of each URL, for each predicted byte: the byte with the ORDER bytes before it, as one exact number."""
+    raw = [("" if u is None else u).encode("utf-8", "surrogatepass") for u in urls]
+    out = []
+    for r in raw:
+        flat = np.frombuffer(b"\0" * ORDER + r + b"\1", np.uint8).astype(np.int64)
+        out.append(sum(flat[ORDER - k : len(flat) - k] << (8 * k) for k in range(ORDER + 1)))
+    return out
+
+
+def _gains(counts: DataFrame) -> DataFrame:
+    """(gram, gain) from (gram, allow, block), exact counts of every gram: the log-likelihood of its last byte after the
+    bytes before it, accepted less rejected, from the uniform one up through ever longer contexts.
+
+    The tables of each context length are DataFrames and grow with the corpus; the shorter ones stay small and join as
+    they may.
+    """
+    longer = None
+    for k in range(ORDER + 1):
+        # the last k + 1 bytes of each gram, and without the very last the context
+        key = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        joint = counts.groupBy(key.alias("key")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+        context = joint.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("allow").alias("all_allow"), F.sum("block").alias("all_block"))
+        rows = joint.withColumn("context", F.shiftrightunsigned("key", 8)).join(context, "context")
+        if longer is None:
+            rows = rows.withColumn("p_allow", F.lit(1 / 256)).withColumn("p_block", F.lit(1 / 256))
+        else:
+            rows = rows.withColumn("shorter", F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(longer, "shorter")
+        p = [((F.col(v) + BACKOFF * F.col(f"p_{v}")) / (F.col(f"all_{v}") + BACKOFF)).alias(f"p_{v}") for v in ("allow", "block")]
+        before, longer = longer, stash(rows.select(F.col("key").alias("shorter"), *p), "urls")
+        discard(before)
+    gains = stash(longer.select(F.col("shorter").alias("gram"), F.round((F.log("p_allow") - F.log("p_block")) * UNIT).cast("long").alias("gain")), "urls")
+    discard(longer)
+    return gains
 
 
 def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -130,28 +127,32 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     both kinds the threshold is 0.
 
     Null urls and those without `://` have empty host and path and no rule; a null url is scored as an empty one.
-    Repeated rows each count. Counts live in hashed tables of a fixed size. Other columns are ignored. An empty table
-    gives an empty table.
+    Repeated rows each count. Counts are exact and live in tables that grow with the corpus. Other columns are ignored. An
+    empty table gives an empty table.
     """
-    spark = pages.sparkSession
+    def each(batches):
+        for batch in batches:
+            for start, end in slices(batch["url"].tolist()):
+                part = batch.iloc[start:end]
+                yield part.drop(columns="url").assign(grams=_grams(part["url"].tolist()))
+
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     ruled = slim.withColumn("host", host).withColumn("path", path).withColumn("r", url_rule(F.col("host"), F.col("path"), rules))
-    labelled = ruled.where("r is not null").select("url", F.col("r.verdict").alias("verdict"))
-    shared = spark.sparkContext.broadcast(count_models(labelled))
-
-    def bins(batches):
-        total = {v: np.zeros(BINS, np.int64) for v in ("allow", "block")}
-        for batch in batches:
-            score = score_urls(batch["url"].tolist(), shared.value)
-            at = np.clip(((score + SCORE_RANGE) / (2 * SCORE_RANGE) * (BINS - 1)).astype(int), 0, BINS - 1)
-            for v in total:
-                total[v] += np.bincount(at[(batch["verdict"] == v).to_numpy()], minlength=BINS)
-        for v, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pd.DataFrame({"verdict": v, "bin": at, "n": counts[at]})
-
-    found = labelled.mapInPandas(bins, "verdict string, bin int, n long").groupBy("verdict", "bin").agg(F.sum("n").alias("n")).toPandas()
+    flat = ruled.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("string").alias("page_id"), "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("given"))
+    rows = stash(flat.mapInPandas(each, "row long, page_id string, host string, path string, rule string, given string, grams array<long>"), "urls", "zstd")
+
+    verdicts = [F.coalesce(F.sum((F.col("given") == v).cast("long")), F.lit(0)).alias(v) for v in ("allow", "block")]
+    counts = stash(rows.select("given", F.explode("grams").alias("gram")).groupBy("gram").agg(*verdicts), "urls")
+    gains = _gains(counts)
+    summed = rows.select("row", F.explode("grams").alias("gram")).join(gains, "gram").groupBy("row").agg(F.sum("gain").alias("gain"), F.count("*").alias("n"))
+    scored = rows.drop("grams").join(summed, "row").withColumn("score", F.col("gain") / UNIT / F.col("n")).drop("row", "gain", "n")
+    scored = stash(scored, "urls", "zstd")
+    for used in (rows, counts, gains):
+        discard(used)
+
+    at = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), ((F.col("score") + SCORE_RANGE) / (2 * SCORE_RANGE) * (BINS - 1)).cast("int")))
+    found = scored.where("given is not null").groupBy(F.col("given").alias("verdict"), at.alias("bin")).agg(F.count("*").alias("n")).toPandas()
     hist = {v: np.zeros(BINS) for v in ("allow", "block")}
     for v, b, n in found.itertuples(index=False):
         hist[v][b] += n
@@ -162,13 +163,7 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
         run = best[: np.argmax(np.diff(best, append=best[-1] + 2) > 1) + 1]
         threshold = float((run[0] + run[-1]) / 2 / (BINS - 1) * 2 * SCORE_RANGE - SCORE_RANGE)
 
-    def score(batches):
-        for batch in batches:
-            yield batch.assign(score=score_urls(batch["url"].tolist(), shared.value)).drop(columns="url")
-
     kind = slim.schema["page_id"].dataType.simpleString()
-    flat = ruled.select("page_id", "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("given"))
-    scored = flat.select(F.col("page_id").cast("string").alias("page_id"), "url", "host", "path", "rule", "given").mapInPandas(score, "page_id string, host string, path string, rule string, given string, score double")
     verdict = F.coalesce("given", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return scored.select(F.col("page_id").cast(kind).alias("page_id"), "host", "path", "rule", verdict.alias("verdict"), "score")
 

@@ -265,6 +265,38 @@ def test_url_scores_equal_plain_counts():
         assert abs(url_filter._log_likelihood((seen, joint), url_filter._slots(contexts, symbols)).sum() - plain(u)) < 1e-6
 
 
+def test_url_counts_grow_with_the_corpus(spark):
+    """More distinct contexts than a table of 2^18 could tell apart."""
+    rng, order = np.random.default_rng(4), url_filter.ORDER
+    made = ["".join(map(chr, rng.integers(97, 123, 40))) for _ in range(12_000)]
+    urls = [f"https://a.org/{u}" for u in made[:6000]] + [f"https://a.com/de/{u}" for u in made[6000:]]
+    counts, context = {}, {}
+    for u in urls:
+        v, s = u[12] == "g", b"\0" * order + u.encode() + b"\1"
+        for at in range(order, len(s)):
+            for k in range(order + 1):
+                c = (v, s[at - k : at])
+                context[c] = context.get(c, 0) + 1
+                counts[c, s[at]] = counts.get((c, s[at]), 0) + 1
+
+    def plain(u):
+        s, total = b"\0" * order + u.encode() + b"\1", 0.0
+        for at in range(order, len(s)):
+            for v, sign in ((True, 1), (False, -1)):
+                p = 1 / 256
+                for k in range(order + 1):
+                    c = (v, s[at - k : at])
+                    p = (counts.get((c, s[at]), 0) + url_filter.BACKOFF * p) / (context.get(c, 0) + url_filter.BACKOFF)
+                total += sign * np.log(p)
+        return total / (len(s) - order)
+
+    new = ["https://b.net/" + u for u in made[::4000]] + ["", "x"]
+    assert len(context) > 2**18
+    df = spark.createDataFrame(list(enumerate(urls + new)), "page_id long, url string")
+    got = {r["page_id"]: r["score"] for r in url_filter.filter_urls(df).collect()}
+    assert len(got) == len(urls + new) and all(abs(got[i] - plain((urls + new)[i])) < 1e-6 for i in [0, 7000, *range(len(urls), len(got))])
+
+
 # --- packing -------------------------------------------------------------------------------------------------------
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60), st.sampled_from([(64,), (16, 64), (16, 32, 48, 64)]))
