@@ -4,6 +4,7 @@ same is template, what varies inside the main container is content."""
 from __future__ import annotations
 
 import html
+import math
 import re
 
 import numpy as np
@@ -28,8 +29,8 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th"
 #: Words of class, id and role that mark what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments reply replies discussion disqus notice notices cookie cookies consent alert popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs header masthead footer share sharing social related recommended widget toolbar pagination pager complementary contentinfo search".split())
 #: Referenced layouts of a host; the least pages of a layout for a template, and the share of its pages on which a
-#: node has one text for it to be template; nodes of two trees that are matched (as a product); deepest nesting kept.
-LAYOUTS, LEAST_PAGES, CONSTANT, MATCHED, DEPTH = 4, 10, 0.9, 1_000_000, 100
+#: node has one text for it to be template; deepest nesting kept.
+LAYOUTS, LEAST_PAGES, CONSTANT, DEPTH = 4, 10, 0.9, 100
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>", re.S)
 _MARKED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[A-Za-z]+")
@@ -163,6 +164,8 @@ class Page:
 _TREES: dict[str, tuple] = {}
 _MATCHES: dict[tuple[str, str], tuple] = {}
 REMEMBERED = 20_000
+#: Pairs of nodes among them, and how many more pairs they may hold.
+_ROOM, PAIRS = [2_000_000], 2_000_000
 
 
 def tree(skeleton: str) -> tuple[tuple[str, ...], tuple[tuple[int, ...], ...]]:
@@ -181,46 +184,93 @@ def tree(skeleton: str) -> tuple[tuple[str, ...], tuple[tuple[int, ...], ...]]:
     return _TREES[skeleton]
 
 
+def _aligned(m: int, n: int, weights) -> tuple[int, list[tuple[int, int]]]:
+    """The largest sum of weights of an ordered alignment of m with n places, and its places; weights(i) is a row.
+
+    Only every sqrt(m)-th row of the table is kept; the way back makes the rows between them again.
+    """
+    step = math.isqrt(m) + 1
+
+    def rows(first: int, last: int, row: np.ndarray):
+        for i in range(first, last):
+            new = np.zeros(n + 1, np.int64)
+            np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights(i)), out=new[1:])
+            row = new
+            yield row
+
+    kept, last = [np.zeros(n + 1, np.int64)], np.zeros(n + 1, np.int64)
+    for i, last in enumerate(rows(0, m, last), 1):
+        if i % step == 0:
+            kept.append(last)
+    pairs, i, j = [], m, n
+    while i and j:
+        first = (i - 1) // step * step
+        score = [kept[first // step], *rows(first, i, kept[first // step])]
+        while i > first and j:
+            now, before = score[i - first], score[i - first - 1]
+            if now[j] == before[j]:
+                i -= 1
+            elif now[j] == now[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+    return int(last[n]), pairs
+
+
 def match(a: str, b: str) -> tuple[int, tuple[tuple[int, int], ...]]:
     """Simple tree matching: the largest number of node pairs of two ordered trees with equal labels, equal parents'
-    pairs and kept order, and these pairs (node of a, node of b)."""
+    pairs and kept order, and these pairs (node of a, node of b). Equal subtrees are one kind and worked out once."""
     if (a, b) in _MATCHES:
         return _MATCHES[a, b]
     (la, ca), (lb, cb) = tree(a), tree(b)
-    if len(la) * len(lb) > MATCHED:
-        return 0, ()
+    ids: dict[tuple, int] = {}
+    sizes: list[int] = []
+
+    def kinds(labels, children) -> list[int]:
+        out = [0] * len(labels)
+        for x in range(len(labels) - 1, -1, -1):  # children follow their parents
+            key = (labels[x], tuple(out[c] for c in children[x]))
+            out[x] = ids.setdefault(key, len(ids))
+            if out[x] == len(sizes):
+                sizes.append(1 + sum(sizes[c] for c in key[1]))
+        return out
+
+    ka, kb = kinds(la, ca), kinds(lb, cb)
     best: dict[tuple[int, int], tuple[int, list]] = {}
 
     def together(x: int, y: int) -> tuple[int, list]:
-        if (x, y) in best:
-            return best[x, y]
-        kx, ky = ca[x], cb[y]
-        m, n = len(kx), len(ky)
-        score = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(m):
-            for j in range(n):
-                w = together(kx[i], ky[j])[0] if la[kx[i]] == lb[ky[j]] else 0
-                score[i + 1][j + 1] = max(score[i][j + 1], score[i + 1][j], score[i][j] + w)
-        pairs, i, j = [], m, n
-        while i and j:
-            if score[i][j] == score[i - 1][j]:
-                i -= 1
-            elif score[i][j] == score[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((kx[i], ky[j]))
-        best[x, y] = score[m][n] + 1, pairs
-        return best[x, y]
+        at = ka[x], kb[y]
+        if at not in best:
+            best[at] = (sizes[at[0]], [(i, i) for i in range(len(ca[x]))]) if at[0] == at[1] else apart(ca[x], cb[y])
+        return best[at]
+
+    def apart(kx, ky) -> tuple[int, list]:
+        if not kx or not ky:
+            return 1, []
+        some, where = np.unique([kb[y] for y in ky], return_index=True, return_inverse=True)[1:]
+        held: tuple = (None, None)
+
+        def weights(i: int) -> np.ndarray:
+            nonlocal held
+            if held[0] != ka[kx[i]]:
+                row = np.array([together(kx[i], ky[j])[0] if la[kx[i]] == lb[ky[j]] else 0 for j in some], np.int64)
+                held = ka[kx[i]], row[where]
+            return held[1]
+
+        total, pairs = _aligned(len(kx), len(ky), weights)
+        return total + 1, pairs
 
     total = together(0, 0)[0]
     out, todo = [], [(0, 0)]
     while todo:
         x, y = todo.pop()
         out.append((x, y))
-        todo += best[x, y][1]
-    if len(_MATCHES) >= REMEMBERED:
+        todo += [(ca[x][i], cb[y][j]) for i, j in together(x, y)[1]]
+    if len(_MATCHES) >= REMEMBERED or _ROOM[0] < len(out):
         _MATCHES.clear()
+        _ROOM[0] = PAIRS
+    _ROOM[0] -= len(out)
     _MATCHES[a, b] = total, tuple(sorted(out))
     return _MATCHES[a, b]
 

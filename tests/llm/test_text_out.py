@@ -67,6 +67,14 @@ def test_tree_matching():
     assert score == 5 and dict(pairs) == {0: 0, 1: 1, 3: 2, 4: 3, 5: 5}
 
 
+def test_large_trees_are_matched():
+    def rows(n):
+        return " ".join(["0:table", *(f"{p}:{x}" for i in range(n) for p, x in ((1, "tr"), (3 * i + 2, "th"), (3 * i + 2, "td")))])
+
+    score, pairs = html_text.match(rows(3000) + " 0:p", rows(2500) + " 0:p")
+    assert score == len(pairs) == 3 * 2500 + 3
+
+
 def test_op1_keeps_the_article(spark, data):
     rows = spark.read.parquet(f"{data}/pages.parquet").toPandas().set_index("page_id").html
     got = html_text.op1_wrapper_text(spark, data).toPandas()
