@@ -40,4 +40,6 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
             break
         mark = tuple(row)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+    out._feedlake_path = now._feedlake_path  # so that discard finds what it reads
+    return out
