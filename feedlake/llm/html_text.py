@@ -1,5 +1,5 @@
-"""Main text of web pages by wrapper induction: same-host pages are aligned by simple tree matching; what stays the
-same is template, what varies inside the main container is content."""
+"""Main text of web pages by wrapper induction: the trees of same-host pages are aligned by simple tree matching; what
+stays the same is template, what varies inside the main container is content."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedlake.llm.scratch import stash, table
+from feedlake.llm.scratch import discard, salted_join, stash, table
 from feedlake.llm.url_filter import url_host
 
 #: Elements that carry no article text, elements without content, elements whose content is no markup.
@@ -26,22 +26,99 @@ UNSEEN = frozenset("script style noscript template".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption head title script style noscript template button select textarea iframe svg object canvas".split())
 #: Start tags that end an open element of these kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody")}
-#: Words of class, id and role that mark what is not the article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments reply replies discussion disqus notice notices cookie cookies consent alert popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs header masthead footer share sharing social related recommended widget toolbar pagination pager complementary contentinfo search".split())
-#: Referenced layouts of a host; the least pages of a layout for a template, and the share of its pages on which a
-#: node has one text for it to be template; deepest nesting kept.
-LAYOUTS, LEAST_PAGES, CONSTANT, DEPTH = 4, 10, 0.9, 100
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>", re.S)
-_MARKED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: What one page alone cannot tell from content: names (class, id or role) that consist of these words, and of PLAIN ones.
+MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments reply replies disqus notice notices cookie cookies consent alert popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs masthead footer share sharing social toolbar pagination pager complementary contentinfo".split())
+PLAIN = frozenset("area bar block box container inner list outer section site top bottom left right wrap wrapper".split())
+#: References of a host with which rare skeletons are aligned; the least pages of a layout, and the share of its pages on
+#: which a node has one text for it to be template; how much of two trees must match for one to stand for the other.
+LAYOUTS, LEAST_PAGES, CONSTANT, ALIKE, HALF = 8, 10, 0.9, 0.8, 0.5
+_NAME = re.compile(r"[^\s\"'>/=]+")
 _PART = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
+_STOP = re.compile(r"[>\"']")
+
+
+class Tags:
+    """The tags of a text, in time linear in its length, whatever is left open in it."""
+
+    def __init__(self, text: str):
+        self.text, self.last, self.quotes = text, text.rfind(">"), True
+
+    def _end(self, at: int) -> int:
+        """The place of the `>` that ends the tag begun before `at`; quoted values may hold others."""
+        text, first = self.text, at
+        while self.quotes and (m := _STOP.search(text, at)):
+            at = m.start()
+            if text[at] == ">":
+                return at
+            if text[first:at].rstrip()[-1:] == "=" if at - first < 64 else text[at - 64 : at].rstrip()[-1:] == "=":
+                close = text.find(text[at], at + 1)
+                if close < 0:
+                    break
+                at = close
+            at += 1
+        self.quotes = False  # a quote that never closes: from here on the first `>` ends a tag
+        return text.find(">", first)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(begin, end, is end tag, name, attributes) of the next tag from `at` on; the name is empty for comments and
+        declarations. None: the rest is text."""
+        text = self.text
+        while (at := text.find("<", at)) >= 0:
+            if text.startswith("<!--", at):
+                end = text.find("-->", at + 4)
+                return at, len(text) if end < 0 else end + 3, False, "", ""
+            after = text[at + 1 : at + 3]
+            if at >= self.last:
+                return None
+            if after[:1] in ("!", "?"):
+                return at, text.find(">", at) + 1, False, "", ""
+            close = after[:1] == "/"
+            if after[close : close + 1].isascii() and after[close : close + 1].isalpha():
+                name = _NAME.match(text, at + 1 + close)
+                end = self._end(name.end())
+                return at, end + 1, close, name[0].lower(), text[name.end() : end]
+            at += 1
+        return None
+
+
+def attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag by name: the first of a name counts."""
+    out: dict[str, str] = {}
+    at, size = 0, len(text)
+    while at < size:
+        m = _NAME.match(text, at)
+        if m is None:
+            at += 1
+            continue
+        name, at, value = m[0].lower(), m.end(), ""
+        rest = at + len(text[at : at + 256]) - len(text[at : at + 256].lstrip())
+        if text[rest : rest + 1] == "=":
+            at = rest + 1
+            while at < size and text[at].isspace():
+                at += 1
+            quote = text[at : at + 1]
+            close = text.find(quote, at + 1) if quote in ("'", '"') and quote else -1
+            if close >= 0:
+                value, at = text[at + 1 : close], close + 1
+            else:
+                m = re.compile(r"\S*").match(text, at)
+                value, at = m[0], m.end()
+        out.setdefault(name, value)
+    return out
+
+
+def is_marked(name: str) -> bool:
+    """Whether a class, id or role names nothing but what is no article: `cookie-notice` does, `has-sidebar` does not."""
+    words = [w.lower() for w in _PART.findall(name)]
+    return any(w in MARKS for w in words) and all(w in MARKS or w in PLAIN for w in words)
 
 
 class Page:
     """Block-level tree of a page: labels and parents in document order, and the text of each block with its node.
 
     Neighbouring elements of one label without block children share a node (a repeated slot). Subtrees that cannot be
-    article are a node without text.
+    article are a node without text, their label followed by `!`.
     """
 
     def __init__(self, text: str | None):
@@ -62,12 +139,13 @@ class Page:
 
     def _parse(self, text: str) -> None:
         stack = [("root", 0, False)]  # tag, node, dropped
+        opened: dict[str, int] = {}  # how many of each tag are open: nothing is looked for in vain
         held: list[str] = []
-        pos, size = 0, len(text)
+        tags, pos, size = Tags(text), 0, len(text)
 
         def flush():
             if held:
-                tag, node, dropped = stack[-1]
+                _, node, dropped = stack[-1]
                 block = _SPACE.sub(" ", html.unescape("".join(held))).strip()
                 if block and not dropped:
                     self.blocks.append((node, block))
@@ -75,86 +153,82 @@ class Page:
 
         def close(to: int):
             flush()
+            for tag, _, _ in stack[to:]:
+                opened[tag] -= 1
             del stack[to:]
 
+        def close_last(names, barriers=()) -> bool:
+            if not any(opened.get(n) for n in names):
+                return False
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in names:
+                    close(i)
+                    return True
+                if stack[i][0] in barriers:
+                    return False
+            return False
+
+        def behind_raw(tag: str, at: int) -> int:
+            end = re.compile(rf"</{tag}\b", re.I).search(text, at)
+            close_ = text.find(">", end.end()) if end else -1
+            return close_ + 1 if close_ >= 0 else size
+
         while pos < size:
-            m = _TOKEN.search(text, pos)
-            if m is None:
+            found = tags.next(pos)
+            if found is None:
                 held.append(text[pos:])
                 break
-            if m.start() > pos:
-                held.append(text[pos : m.start()])
-            pos = m.end()
-            if m[2] is None:
-                continue
-            tag = m[2].lower()
+            begin, end, ends, tag, inside = found
+            if begin > pos:
+                held.append(text[pos:begin])
+            pos = end
             if tag not in BLOCKS:
-                if tag in ("br", "wbr", "img", "input", "a"):
-                    if tag == "br":
-                        held.append(" ")
-                elif tag in VOID:
-                    continue
+                if tag == "br":
+                    held.append(" ")
                 continue
             if tag in UNSEEN:  # no part of the text around it
-                if not m[1]:
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, pos)
-                    pos = end.end() if end else size
+                if not ends:
+                    pos = behind_raw(tag, pos)
                 continue
-            if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                else:
+            if ends:
+                if not close_last((tag,)):
                     flush()
                 continue
             flush()
-            if tag in ("head", "body", "html") and any(x[0] == tag for x in stack):
+            if tag in ("head", "body", "html") and opened.get(tag):
                 continue
             if tag == "body":
                 while len(stack) > 1 and stack[-1][0] != "html":
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
             elif tag in ENDS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ENDS[tag]:
-                        close(i)
-                        if tag not in ("tr", "tbody", "tfoot"):
-                            break
-                    elif stack[i][0] in ("ul", "ol", "dl", "table", "menu"):
-                        break
-            elif stack[-1][0] == "p" or any(x[0] == "p" for x in stack[-3:]):
-                for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-            label, dropped = self._label(tag, m[3] or "")
-            dropped = dropped or stack[-1][2]
+                barriers = ("ul", "ol", "dl", "table", "menu")
+                while close_last(ENDS[tag], barriers) and tag in ("tr", "tbody", "tfoot"):
+                    pass
+            elif any(x[0] == "p" for x in stack[-3:]):  # a block ends an open paragraph
+                close_last(("p",))
+            gone = stack[-1][2] or self._is_dropped(tag, inside, opened)
             parent = stack[-1][1]
-            node = parent if (stack[-1][2] or len(stack) > DEPTH) else self._node(label, parent)
+            node = parent if stack[-1][2] else self._node(tag + "!" if gone else tag, parent)
             if tag in VOID:
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, pos)
-                pos = end.end() if end else size
+                pos = behind_raw(tag, pos)
                 continue
-            stack.append((tag, node, dropped))
+            stack.append((tag, node, gone))
+            opened[tag] = opened.get(tag, 0) + 1
         flush()
 
     @staticmethod
-    def _label(tag: str, attributes: str) -> tuple[str, bool]:
-        if tag in DROPPED or tag == "header":
-            return tag, True
-        words: list[str] = []
-        hidden = False
-        if attributes:
-            for m in _MARKED.finditer(attributes):
-                name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                    hidden = True
-                elif name in ("class", "id", "role"):
-                    words += [w.lower() for w in _PART.findall(value)]
-        marked = tag not in ("html", "body", "article", "main") and bool(MARKS.intersection(words))
-        return ".".join([tag, *sorted(set(words))]), hidden or marked
+    def _is_dropped(tag: str, inside: str, opened: dict[str, int]) -> bool:
+        if tag in DROPPED or (tag == "header" and not opened.get("article")):
+            return True
+        if not inside or tag in ("html", "body"):
+            return False
+        given = attributes(inside)
+        if "hidden" in given or given.get("aria-hidden", "").lower() == "true":
+            return True
+        names = [*given.get("class", "").split(), given.get("id", ""), given.get("role", "")]
+        return tag not in ("article", "main") and any(map(is_marked, names))
 
     def skeleton(self) -> str:
         return " ".join(f"{p}:{x}" for p, x in zip(self.parents[1:], self.labels[1:], strict=True))
@@ -220,12 +294,15 @@ def _aligned(m: int, n: int, weights) -> tuple[int, list[tuple[int, int]]]:
 
 def match(a: str, b: str) -> tuple[int, tuple[tuple[int, int], ...]]:
     """Simple tree matching: the largest number of node pairs of two ordered trees with equal labels, equal parents'
-    pairs and kept order, and these pairs (node of a, node of b). Equal subtrees are one kind and worked out once."""
+    pairs and kept order, and these pairs (node of a, node of b). Equal subtrees are one kind, and each pair of kinds is
+    worked out once, lower ones first."""
     if (a, b) in _MATCHES:
         return _MATCHES[a, b]
     (la, ca), (lb, cb) = tree(a), tree(b)
     ids: dict[tuple, int] = {}
+    below: list[tuple[str, tuple[int, ...]]] = []  # of each kind: its label and the kinds of its children
     sizes: list[int] = []
+    heights: list[int] = []
 
     def kinds(labels, children) -> list[int]:
         out = [0] * len(labels)
@@ -233,40 +310,40 @@ def match(a: str, b: str) -> tuple[int, tuple[tuple[int, int], ...]]:
             key = (labels[x], tuple(out[c] for c in children[x]))
             out[x] = ids.setdefault(key, len(ids))
             if out[x] == len(sizes):
+                below.append(key)
                 sizes.append(1 + sum(sizes[c] for c in key[1]))
+                heights.append(1 + max((heights[c] for c in key[1]), default=0))
         return out
 
     ka, kb = kinds(la, ca), kinds(lb, cb)
-    best: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def together(x: int, y: int) -> tuple[int, list]:
-        at = ka[x], kb[y]
-        if at not in best:
-            best[at] = (sizes[at[0]], [(i, i) for i in range(len(ca[x]))]) if at[0] == at[1] else apart(ca[x], cb[y])
-        return best[at]
-
-    def apart(kx, ky) -> tuple[int, list]:
-        if not kx or not ky:
-            return 1, []
-        some, where = np.unique([kb[y] for y in ky], return_index=True, return_inverse=True)[1:]
-        held: tuple = (None, None)
-
-        def weights(i: int) -> np.ndarray:
-            nonlocal held
-            if held[0] != ka[kx[i]]:
-                row = np.array([together(kx[i], ky[j])[0] if la[kx[i]] == lb[ky[j]] else 0 for j in some], np.int64)
-                held = ka[kx[i]], row[where]
-            return held[1]
-
-        total, pairs = _aligned(len(kx), len(ky), weights)
-        return total + 1, pairs
-
-    total = together(0, 0)[0]
-    out, todo = [], [(0, 0)]
+    needed, todo = {(ka[0], kb[0])}, [(ka[0], kb[0])]
     while todo:
         x, y = todo.pop()
+        if x != y:
+            by_label: dict[str, list[int]] = {}
+            for k in set(below[y][1]):
+                by_label.setdefault(below[k][0], []).append(k)
+            fresh = {(i, j) for i in set(below[x][1]) for j in by_label.get(below[i][0], ())} - needed
+            needed |= fresh
+            todo += fresh
+    best: dict[tuple[int, int], tuple[int, list]] = {}
+    for x, y in sorted(needed, key=lambda p: heights[p[0]]):
+        kx, ky = below[x][1], below[y][1]
+        if x == y:
+            best[x, y] = sizes[x], []
+        elif not kx or not ky:
+            best[x, y] = 1, []
+        else:
+            some, where = np.unique(ky, return_inverse=True)
+            rows = {i: np.array([best[i, j][0] if (i, j) in best else 0 for j in some.tolist()], np.int64)[where] for i in set(kx)}
+            total, pairs = _aligned(len(kx), len(ky), lambda i, rows=rows, kx=kx: rows[kx[i]])
+            best[x, y] = total + 1, pairs
+    total, out, open_ = best[ka[0], kb[0]][0], [], [(0, 0)]
+    while open_:
+        x, y = open_.pop()
         out.append((x, y))
-        todo += [(ca[x][i], cb[y][j]) for i, j in together(x, y)[1]]
+        same = ka[x] == kb[y]
+        open_ += zip(ca[x], cb[y], strict=True) if same else [(ca[x][i], cb[y][j]) for i, j in best[ka[x], kb[y]][1]]
     if len(_MATCHES) >= REMEMBERED or _ROOM[0] < len(out):
         _MATCHES.clear()
         _ROOM[0] = PAIRS
@@ -275,29 +352,50 @@ def match(a: str, b: str) -> tuple[int, tuple[tuple[int, int], ...]]:
     return _MATCHES[a, b]
 
 
-def main_container(skeleton: str, mass: dict[int, float]) -> int:
-    """The node that holds the article: the `article` with the most text, else the `main`, else the deepest node with
-    seven tenths of the text."""
-    labels, children = tree(skeleton)
-    total = np.zeros(len(labels))
+def _totals(skeleton: str, mass: dict[int, float]) -> np.ndarray:
+    """The text of each node's subtree."""
+    _, children = tree(skeleton)
+    total = np.zeros(len(children))
     for node, n in mass.items():
         total[node] += n
-    for x in range(len(labels) - 1, -1, -1):  # children follow their parents
+    for x in range(len(children) - 1, -1, -1):  # children follow their parents
         total[x] += sum(total[c] for c in children[x])
-    for kind in ("article", "main"):
-        named = [x for x in range(len(labels)) if labels[x].split(".")[0] == kind and total[x] > 0]
-        if named:
-            return max(named, key=lambda x: (total[x], -x))
+    return total
+
+
+def main_container(skeleton: str, mass: dict[int, float]) -> int:
+    """The node that holds the article: from the root on, the child with seven tenths of the text, as long as there is one
+    that has children itself. One of several `article`s with text is not chosen: they belong together."""
+    (labels, children), total = tree(skeleton), _totals(skeleton, mass)
     at = 0
     while total[at] > 0:
         down = [c for c in children[at] if total[c] >= 0.7 * total[0] and (children[c] or len(children[at]) == 1)]
-        if not down:
+        if not down or (labels[down[0]] == "article" and sum(labels[c] == "article" and total[c] > 0 for c in children[at]) > 1):
             break
         at = down[0]
     return at
 
 
-def _below(skeleton: str, top: int) -> set[int]:
+def own_container(skeleton: str, mass: dict[int, float]) -> int:
+    """As main_container for a page that no other page explains: its `main` or its `article`, where there is one with text;
+    else, the deepest node that holds all its `article`s; without any, the node with most of the text."""
+    (labels, children), total = tree(skeleton), _totals(skeleton, mass)
+    for kind in ("main", "article"):
+        named = [x for x in range(len(labels)) if labels[x] == kind and total[x] > 0]
+        if len(named) == 1:
+            return named[0]
+    if not named:
+        return main_container(skeleton, mass)
+    at = 0
+    while True:  # nodes are numbered in page order, so a subtree's numbers follow one another
+        down = [(c, end) for c, end in zip(children[at], [*children[at][1:], len(labels)], strict=False) if c <= named[0] and named[-1] < end]
+        if not down or at == named[0]:
+            return at
+        at = down[0][0]
+
+
+def below(skeleton: str, top: int) -> set[int]:
+    """The nodes of the subtree of `top`."""
     _, children = tree(skeleton)
     out, todo = set(), [top]
     while todo:
@@ -307,14 +405,17 @@ def _below(skeleton: str, top: int) -> set[int]:
     return out
 
 
-def _best_layout(skeleton: str, layouts) -> tuple[int, dict[int, int]]:
-    """The layout that matches best, and the layout's node for each node of the page; -1 if none matches by half."""
+def best_layout(skeleton: str, layouts, least: float) -> tuple[int, dict[int, int]]:
+    """The layout that matches best, and the layout's node for each node of the page; -1 if none matches by `least`."""
     found = (-1, {}, 0.0)
     size = len(tree(skeleton)[0])
     for i, layout in enumerate(layouts):
+        most = len(tree(layout)[0])
+        if 2 * min(size, most) / (size + most) <= max(found[2], least):
+            continue  # even a whole match would be too small
         score, pairs = match(skeleton, layout)
-        share = 2 * score / (size + len(tree(layout)[0]))
-        if share > max(found[2], 0.5):
+        share = 2 * score / (size + most)
+        if share > max(found[2], least):
             found = (i, dict(pairs), share)
     return found[0], found[1]
 
@@ -326,20 +427,28 @@ def _hash(text: str) -> int:
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every page, from the whole html.
 
-    Each page is parsed once into a tree of block elements. The most frequent layouts (up to 4) of a host are its
-    references; every page of the host is aligned with the one that fits best. Over all pages of a layout, a slot
-    whose text is the same on nine tenths of its different pages (ten at least) is template; the text in the other
-    slots finds the main container, and the page's text is that of the container's varying slots and of whatever the
-    page has beside them in that container. Pages that fit no reference find their own container. Elements and class,
-    id or role words that name menus, headers, footers, sidebars, notices, adverts, forms or comments are never content.
+    Each page is parsed once, in linear time, into a tree of block elements; labels are the elements' names. Every
+    skeleton (tree of labels) that ten or more different pages of a host have is a layout; the 8 most frequent ones are
+    the host's references. A skeleton is aligned with the references by simple tree matching: a frequent one joins a
+    reference that matches four fifths of it and else stays a layout of its own; a rare one joins the reference that
+    matches best, by half at least. Over all different pages of a layout, a text that one slot has on nine tenths of
+    them is template, and what varies is content: the layout's main container is the deepest node that holds seven
+    tenths of the varying text. A page's text is what its main container holds, less the template's texts. Pages
+    without a layout find their own container: their `main` or `article`, else the node with most of the text.
+
+    What varies from page to page and still is no article, elements tell (nav, aside, footer, form, header outside an
+    article, and so on) and classes, ids and roles all of whose words name adverts, notices, comments and the like.
 
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
-    one newline in page order; nothing is capped. Hosts are aggregated by slots and hashes; no page text is grouped by
-    host, and layouts and templates come back by a join that adaptive execution can split.
+    one newline in page order; nothing is capped: trees of any depth and size are matched. Skeletons are matched, not
+    pages; statistics are sums by slot and hash; no page text is grouped by host; what a skeleton's pages must know comes
+    back by a salted join.
 
     A null or empty html, or one without content, has the empty text. A null url has the empty host. Repeated rows
-    appear as often as they occur, and count as one page for the template. Other columns are ignored. An empty table
-    gives an empty table.
+    appear as often as they occur, and count as one page for the template; where all of a layout's texts are template
+    (one page many times, with little differences elsewhere) its pages count as pages without a layout. A tag that is
+    never closed ends at the next `>`; without one it is text. Other columns are ignored. An empty table gives an empty
+    table.
     """
 
     def parse(batches):
@@ -354,68 +463,86 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     slim = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(url_col).alias("url"), url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     kind = pages.schema[id_col].dataType.simpleString()
-    parsed = stash(slim.mapInPandas(parse, "page_id string, url string, host string, skel string, nodes array<int>, blocks array<string>, hashes array<long>, sizes array<int>, whole long"), "pages", "zstd")
-
-    used = parsed.groupBy("host", "skel").agg(F.count("*").alias("n"))
-    top = used.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "skel"))).where(F.col("r") <= LAYOUTS)
-    layouts = top.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("r", "skel"))).alias("x")).select("host", F.col("x.skel").alias("layouts"))
-
-    def slots(batches):
+    parsed = slim.mapInPandas(parse, "page_id string, url string, host string, skel string, nodes array<int>, blocks array<string>, hashes array<long>, sizes array<int>, whole long")
+    parsed = stash(parsed.withColumn("sid", F.xxhash64("host", "skel")), "pages", "zstd")
+
+    # one row for each different page, and of each skeleton how many pages have it
+    seen = stash(parsed.select("sid", "whole", "nodes", "hashes", "sizes").dropDuplicates(["sid", "whole"]), "slots")
+    named = parsed.groupBy("sid").agg(F.first("host").alias("host"), F.first("skel").alias("skel"))
+    skeletons = stash(seen.groupBy("sid").agg(F.count("*").alias("n")).join(named, "sid"), "skeletons")
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "skel"))
+    top = skeletons.where(F.col("n") >= LEAST_PAGES).withColumn("r", rank).where(F.col("r") <= LAYOUTS)
+    references = top.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("r", "sid", "skel"))).alias("x")).select("host", F.col("x.sid").alias("sids"), F.col("x.skel").alias("layouts"))
+
+    def align(batches):
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                at, nodes = _best_layout(row.skel, row.layouts)
+                sids, frequent = row.sids.tolist(), row.n >= LEAST_PAGES
+                at, nodes = (-1, {}) if row.sid in sids else best_layout(row.skel, row.layouts, ALIKE if frequent else HALF)
+                size = len(tree(row.skel)[0])
                 if at >= 0:
-                    out += [(row.host, at, nodes[n], h, s, row.whole) for n, h, s in zip(row.nodes, row.hashes, row.sizes, strict=True) if n in nodes]
-            yield pd.DataFrame(out, columns=["host", "layout", "slot", "hash", "size", "whole"])
-
-    aligned = parsed.select("host", "skel", "nodes", "hashes", "sizes", "whole").join(layouts, "host")
-    seen = stash(aligned.mapInPandas(slots, "host string, layout int, slot int, hash long, size int, whole long").distinct(), "slots")
-    size = seen.select("host", "layout", "whole").distinct().groupBy("host", "layout").agg(F.count("*").alias("pages"))
-    counted = seen.groupBy("host", "layout", "slot", "hash").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    constant = (F.col("pages") >= LEAST_PAGES) & (F.col("n") >= F.col("pages") * CONSTANT)
-    marked = counted.join(size, ["host", "layout"]).withColumn("constant", constant)
-    per_slot = marked.groupBy("host", "layout", "slot").agg(
-        F.sum(F.when(~F.col("constant"), F.col("n") * F.col("size")).otherwise(0)).cast("double").alias("mass"), F.collect_set(F.when(F.col("constant"), F.col("hash"))).alias("fixed"))
-    template = per_slot.groupBy("host").agg(F.collect_list(F.struct("layout", "slot", "mass", "fixed")).alias("slots"))
+                    out.append((row.sid, row.skel, sids[at], row.layouts[at], [nodes.get(x, -1) for x in range(size)]))
+                elif frequent:
+                    out.append((row.sid, row.skel, row.sid, row.skel, list(range(size))))
+            yield pd.DataFrame(out, columns=["sid", "skel", "layout", "layout_skel", "slot_of"])
+
+    aligned = salted_join(skeletons, references, ["host"], "sid").mapInPandas(align, "sid long, skel string, layout long, layout_skel string, slot_of array<int>")
+    aligned = stash(aligned, "layouts")
+
+    here = salted_join(seen, aligned.select("sid", "layout", "slot_of"), ["sid"], "whole").select("layout", "nodes", "hashes", "sizes", "slot_of")
+    slot = F.transform("nodes", lambda n: F.get("slot_of", n)).alias("slot")
+    block = here.select("layout", F.explode(F.arrays_zip(slot, "hashes", "sizes")).alias("b")).select("layout", F.col("b.slot").alias("slot"), F.col("b.hashes").alias("hash"), F.col("b.sizes").alias("size"))
+    counted = stash(block.where("slot >= 0").groupBy("layout", "slot", "hash").agg(F.count("*").alias("n"), F.first("size").alias("size")), "slots")
+    pages_of = salted_join(seen.select("sid", "whole"), aligned.select("sid", "layout"), ["sid"], "whole").groupBy("layout").agg(F.count("*").alias("pages"))
+    # a text that is template stands on nine pages at least, so few rows meet the number of pages
+    fixed = counted.where(F.col("n") >= LEAST_PAGES * CONSTANT).join(pages_of, "layout").where((F.col("pages") >= LEAST_PAGES) & (F.col("n") >= F.col("pages") * CONSTANT))
+    both = counted.select("layout", "slot", (F.col("n") * F.col("size")).alias("mass"), F.lit(None).cast("long").alias("hash")).unionAll(fixed.select("layout", "slot", (-F.col("n") * F.col("size")).alias("mass"), "hash"))
+    slots = both.groupBy("layout", "slot").agg(F.sum("mass").cast("double").alias("mass"), F.collect_set("hash").alias("fixed"))
+    of_layout = slots.groupBy("layout").agg(F.collect_list(F.struct("slot", "mass", "fixed")).alias("slots"))
+    skel_of = aligned.groupBy("layout").agg(F.first("layout_skel").alias("layout_skel"))
 
     def decide(batches):
         for batch in batches:
-            mains, fixed = [], []
+            mains = [main_container(skel, {s["slot"]: s["mass"] for s in found}) if sum(s["mass"] for s in found) > 0 else -1 for skel, found in zip(batch["layout_skel"], batch["slots"], strict=True)]
+            fixed_ = [[{"slot": s["slot"], "hash": h} for s in found for h in s["fixed"]] for found in batch["slots"]]
+            yield pd.DataFrame({"layout": batch["layout"], "main": mains, "fixed": fixed_})
+
+    wrappers = stash(skel_of.join(of_layout, "layout").mapInPandas(decide, "layout long, main int, fixed array<struct<slot:int,hash:long>>"), "wrappers")
+
+    def guide(batches):
+        """The wrapper of each skeleton in the skeleton's own nodes: those inside the main one, and (node, text)s to leave."""
+        for batch in batches:
+            out = []
             for row in batch.itertuples(index=False):
-                mass: dict[int, dict[int, float]] = {}
-                own = []
-                for s in row.slots if row.slots is not None else ():
-                    mass.setdefault(s["layout"], {})[s["slot"]] = s["mass"]
-                    own += [(int(s["layout"]), int(s["slot"]), int(h)) for h in s["fixed"]]
-                mains.append([main_container(x, mass.get(i, {})) for i, x in enumerate(row.layouts)])
-                fixed.append([{"layout": i, "slot": n, "hash": h} for i, n, h in own])
-            yield pd.DataFrame({"host": batch["host"], "layouts": batch["layouts"], "mains": mains, "fixed": fixed})
-
-    # a row for each host: its layouts, the main node of each, and the template's texts; small, so it joins as it may
-    wrappers = layouts.join(template, "host", "left").mapInPandas(decide, "host string, layouts array<string>, mains array<int>, fixed array<struct<layout:int,slot:int,hash:long>>")
-    wrappers = stash(wrappers, "wrappers")
+                own: dict[int, list[int]] = {}
+                for x, s in enumerate(row.slot_of):
+                    own.setdefault(int(s), []).append(x)
+                if row.main >= 0 and (mains := own.get(row.main)):
+                    out.append((row.sid, sorted(below(row.skel, mains[0])), [{"node": x, "hash": f["hash"]} for f in row.fixed for x in own.get(f["slot"], ())]))
+            yield pd.DataFrame(out, columns=["sid", "inside", "leave"])
+
+    guides = salted_join(aligned.select("sid", "skel", "layout", "slot_of"), wrappers, ["layout"], "sid").mapInPandas(guide, "sid long, inside array<int>, leave array<struct<node:int,hash:long>>")
+    guides = stash(guides, "guides")
 
     def extract(batches):
         for batch in batches:
             texts = []
             for row in batch.itertuples(index=False):
-                at, nodes = _best_layout(row.skel, row.layouts if row.layouts is not None else ())
-                top_, fixed = None, ()
-                if at >= 0:
-                    top_ = next((n for n, other in nodes.items() if other == row.mains[at]), None) or None
-                    fixed = {(f["slot"], f["hash"]) for f in row.fixed if f["layout"] == at}
-                if top_ is None:
+                if row.inside is None:
                     own: dict[int, float] = {}
                     for n, s in zip(row.nodes, row.sizes, strict=True):
                         own[n] = own.get(n, 0) + s
-                    top_ = main_container(row.skel, own)
-                inside = _below(row.skel, top_)
-                texts.append("\n".join(b for n, b, h in zip(row.nodes, row.blocks, row.hashes, strict=True) if n in inside and (nodes.get(n, -1), h) not in fixed))
+                    inside, leave = below(row.skel, own_container(row.skel, own)), set()
+                else:
+                    inside, leave = set(row.inside), {(f["node"], f["hash"]) for f in row.leave}
+                texts.append("\n".join(b for n, b, h in zip(row.nodes, row.blocks, row.hashes, strict=True) if n in inside and (n, h) not in leave))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    full = parsed.select("page_id", "url", "host", "skel", "nodes", "blocks", "hashes", "sizes").join(wrappers, "host", "left")
+    full = salted_join(parsed.select("page_id", "url", "sid", "whole", "skel", "nodes", "blocks", "hashes", "sizes"), guides, ["sid"], "whole", "left")
     out = full.mapInPandas(extract, "page_id string, url string, text string, n_chars long")
+    for used in (seen, skeletons, aligned, counted, wrappers):
+        discard(used)
     return out.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text", "n_chars")
 
 

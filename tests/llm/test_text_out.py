@@ -46,8 +46,61 @@ def test_template_is_induced(spark):
     assert got[3] == "unique3 text that is long enough says\nword unique3 text that is long enough unique3 text that is long enough" and got[90] == "z"
 
 
+def test_divs_with_random_names(spark):
+    """Nothing but `div`s whose classes change from page to page: only the alignment of the pages can tell."""
+    rng = np.random.default_rng(9)
+    name = lambda: "".join(map(chr, rng.integers(97, 123, 7)))
+    div = lambda inside: f'<div class="{name()}" id="{name()}">{inside}</div>'
+    rows, want = [], {}
+    for i in range(40):
+        own = [f"head {name()}", *(f"{name()} {name()} {name()} says {name()} and {name()} again" for _ in range(1 + i % 3))]
+        menu = div("".join(div(x) for x in ("Home", "News", "About us")))
+        body = menu + div(div(own[0]) + div("Share this") + "".join(div(x) for x in own[1:])) + div(div("All rights reserved") + div("Imprint"))
+        rows.append((i, f"https://h.x/{i}", page(div(body))))
+        want[i] = "\n".join(own)
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_every_frequent_layout_has_its_wrapper(spark):
+    """More layouts than references, told apart by their depth, each with its own notice."""
+    rows, want = [], {}
+    for k in range(12):
+        for i in range(12):
+            text = [f"own {k} {i} text {j} of this page alone" for j in range(3)]
+            inner = f"<blockquote><h2>Notice {k} of all</h2>" + "".join(f"<p>{t}</p><hr>" for t in text) + "</blockquote>"
+            rows.append((100 * k + i, f"https://h.x/{k}/{i}", page("<section>" * (3 * k) + "<div><dl><dt>x</dt></dl>" * k + inner + "<ol><li>end</li></ol>" * k)))
+            want[100 * k + i] = "\n".join(text)
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    ('<div style="overflow:hidden">t</div>', "t"), ('<div data-hidden="false">t</div>', "t"), ('<p title="the hidden reef">t</p>', "t"), ('<div class="content has-sidebar">t</div>', "t"), ('<section id="social-science">t</section>', "t"), ('<div id="related-work">t</div>', "t"), ('<div id="discussion">t</div>', "t"),
+    ("<main><article><p>one</p></article><article><p>a longer two</p></article></main>", "one\na longer two"), ("<div><article><p>one</p></article><article><p>a longer two</p></article></div><p>z</p>", "one\na longer two"),
+    ('<div class=ad>no</div><p class="x" class="ad">t</p><div hidden>no</div><div aria-hidden=true>no</div><p id=\'comment-list\'>no</p>', "t"),
+    ("<article><header><h1>Head</h1></header><p>t > u < v</p><footer>no</footer></article><header>no</header>", "Head\nt > u < v"), ('<p title="a > b">t</p><p title="open>u</p>', "t\nu"),
+])
+def test_names_are_whole_names(body, want):
+    assert html_text.Page(page(body)).blocks and "\n".join(b for n, b in html_text.Page(page(body)).blocks if n in html_text.below(html_text.Page(page(body)).skeleton(), html_text.own_container(html_text.Page(page(body)).skeleton(), {n: len(b) for n, b in html_text.Page(page(body)).blocks}))) == want
+
+
+@pytest.mark.parametrize("piece", ["</x", "<a ", '<a b="', "<!", "<!--", "<div>", "<li>", "<p>", "<table><tr><td>", "<script>", '<a b="x>', "<a b='\">"])
+def test_parsing_takes_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    html_text.Page(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 8  # 0 to 3 s; a quadratic parser takes minutes
+
+
+def test_deep_trees_are_matched():
+    a, b = (html_text.Page("<div>" * n + "<p>x</p>").skeleton() for n in (5000, 4000))
+    assert html_text.match(a, b)[0] == 4001 and html_text.match(a, a)[0] == 5002
+
+
 def test_copies_are_no_template(spark):
-    rows = [(i, "https://h.x/1", page("<article><h1>Same</h1><p>Same text</p></article>")) for i in range(40)]
+    rows = [(i, "https://h.x/1", page(f"<article><h1>Same</h1><p>Same text</p></article><aside>{i}</aside>")) for i in range(40)]
     got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("text").distinct().collect()
     assert [r["text"] for r in got] == ["Same\nSame text"]
 
