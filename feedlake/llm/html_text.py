@@ -492,7 +492,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     here = salted_join(seen, aligned.select("sid", "layout", "slot_of"), ["sid"], "whole").select("layout", "nodes", "hashes", "sizes", "slot_of")
     slot = F.transform("nodes", lambda n: F.get("slot_of", n)).alias("slot")
-    block = here.select("layout", F.explode(F.arrays_zip(slot, "hashes", "sizes")).alias("b")).select("layout", F.col("b.slot").alias("slot"), F.col("b.hashes").alias("hash"), F.col("b.sizes").alias("size"))
+    block = here.select("layout", F.explode(F.array_distinct(F.arrays_zip(slot, "hashes", "sizes"))).alias("b")).select("layout", F.col("b.slot").alias("slot"), F.col("b.hashes").alias("hash"), F.col("b.sizes").alias("size"))
     counted = stash(block.where("slot >= 0").groupBy("layout", "slot", "hash").agg(F.count("*").alias("n"), F.first("size").alias("size")), "slots")
     pages_of = salted_join(seen.select("sid", "whole"), aligned.select("sid", "layout"), ["sid"], "whole").groupBy("layout").agg(F.count("*").alias("pages"))
     # a text that is template stands on nine pages at least, so few rows meet the number of pages

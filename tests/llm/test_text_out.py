@@ -46,6 +46,12 @@ def test_template_is_induced(spark):
     assert got[3] == "unique3 text that is long enough says\nword unique3 text that is long enough unique3 text that is long enough" and got[90] == "z"
 
 
+def test_repetition_on_one_page_is_no_template(spark):
+    rows = [(i, f"https://h.x/{i}", page("<article><h1>Head {0}</h1>{1}</article>".format(i, "".join(f"<p>{'again' if i == 3 else k + 50 * i}</p>" for k in range(20))))) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "\n".join(["Head 3", *["again"] * 20])
+
+
 def test_divs_with_random_names(spark):
     """Nothing but `div`s whose classes change from page to page: only the alignment of the pages can tell."""
     rng = np.random.default_rng(9)
