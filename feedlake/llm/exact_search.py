@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import floor
+
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +22,19 @@ TILE_QUERIES, TILE_ROWS = 512, 2048
 EXACT = float(2**53)
 
 
-def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Integer inner products: by doubles where these are exact, else by Python's unbounded integers."""
-    if not queries.size or not rows.size or np.abs(queries).max() * np.abs(rows).max() * rows.shape[1] < EXACT:
-        return (queries @ rows.T).astype(np.int64)
-    whole = np.array([[int(v) for v in r] for r in queries], object) @ np.array([[int(v) for v in r] for r in rows], object).T
+def _whole(x: np.ndarray, scale: float) -> list[list[int]]:
+    """floor(scale * x) of every component, as numbers without bounds."""
+    by = Fraction(scale)
+    return [[floor(by * Fraction(float(v))) for v in row] for row in x]
+
+
+def _scores(queries: np.ndarray, rows: np.ndarray, scale: float) -> np.ndarray:
+    """Integer inner products of floor(scale * x): by doubles where these are exact, else by Python's unbounded integers."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        q, r = np.floor(scale * queries), np.floor(scale * rows)
+        if not q.size or not r.size or np.abs(q).max() * np.abs(r).max() * r.shape[1] < EXACT:
+            return (q @ r.T).astype(np.int64)
+    whole = np.array(_whole(queries, scale), object) @ np.array(_whole(rows, scale), object).T
     return np.clip(whole, 2 - 2**63, 2**63 - 1).astype(np.int64)
 
 
@@ -37,8 +49,8 @@ def _keep_best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _score_pass(candidates: DataFrame, query_ids: np.ndarray, query_rows: np.ndarray, k: int, scale: float) -> DataFrame:
-    """(query_id, vec_id, score): each task's k best candidates of each query of this pass."""
+def _score_pass(candidates: DataFrame, query_ids: np.ndarray, query_rows: np.ndarray, k: int, scale: float) -> tuple[DataFrame, Broadcast]:
+    """(query_id, vec_id, score): each task's k best candidates of each query of this pass; and what it broadcasts."""
     shared = candidates.sparkSession.sparkContext.broadcast((query_ids, query_rows))
     none = np.iinfo(np.int64).min + 1
 
@@ -49,10 +61,10 @@ def _score_pass(candidates: DataFrame, query_ids: np.ndarray, query_rows: np.nda
         for batch in batches:
             for at in range(0, len(batch), TILE_ROWS):
                 part = batch.iloc[at : at + TILE_ROWS]
-                x, own = np.floor(scale * matrix(part["vector"])), part["vec_id"].to_numpy()
+                x, own = matrix(part["vector"]), part["vec_id"].to_numpy()
                 for q in range(0, len(ids), TILE_QUERIES):
                     s = slice(q, q + TILE_QUERIES)
-                    score = _scores(rows[s], x)
+                    score = _scores(rows[s], x, scale)
                     real = ids[s][:, None] != own[None, :]
                     score = np.where(real, score, none)
                     name = np.where(real, own[None, :], np.iinfo(np.int64).max)
@@ -62,7 +74,7 @@ def _score_pass(candidates: DataFrame, query_ids: np.ndarray, query_rows: np.nda
             at = np.nonzero(known)
             yield pd.DataFrame({"query_id": ids[at[0]], "vec_id": best_id[at], "score": best[at]})
 
-    return candidates.mapInPandas(each, "query_id long, vec_id long, score long")
+    return candidates.mapInPandas(each, "query_id long, vec_id long, score long"), shared
 
 
 def exact_top_k(rows: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", pass_queries: int = PASS_QUERIES) -> DataFrame:
@@ -71,13 +83,13 @@ def exact_top_k(rows: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_
     Components become floor(scale * x), x as double; the score is the integer inner product; ties go to the smaller
     vec_id; rows with the query's own vec_id are no candidates. With fewer than k candidates all are returned.
 
-    Method: queries go in passes of bounded size, and only one pass is ever held by the driver and broadcast. In a
+    Method: queries go, dealt by a hash, in passes of bounded size, and only one pass is ever held by the driver and broadcast. In a
     pass every task multiplies its shard with the queries tile by tile and keeps k per query by partial selection;
     the tasks' lists merge in two levels, so no query's lists meet in one task before they are cut to k.
 
     Vectors that are null or hold null or non-finite components take no part, nor do vectors of another length than
     the most frequent one or rows with a null vec_id. Repeated candidate rows each count; repeated query rows with
-    one vec_id are one query, with the smallest vector. Sums beyond 64 bits are held at the bounds. Other columns
+    one vec_id are one query, with the smallest vector. Components of any finite size count exactly; sums beyond 64 bits are held at the bounds. Other columns
     are ignored. An empty table gives an empty table.
     """
     spark = rows.sparkSession
@@ -88,21 +100,21 @@ def exact_top_k(rows: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_
     queries = stash(fit.where("is_query").groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
     total = queries.count()
     size = max(1, min(pass_queries, PASS_BYTES // (8 * max(1, length))))
-    passes = 1 if total <= size else -(-total * 10 // (size * 9))  # a tenth of room, as the cuts are approximate
-    cuts = [None, None]
-    if passes > 1:
-        shares = F.array(*[F.lit((i + 1) / passes) for i in range(passes - 1)])
-        cuts[1:1] = sorted(set(queries.agg(F.percentile_approx("vec_id", shares, F.lit(max(10_000, 20 * passes))).alias("c")).first()["c"]))
+    passes = max(1, -(-total // size))
+    while True:  # dealt by hash until no pass holds more than it may
+        share = F.pmod(F.xxhash64("vec_id"), F.lit(passes))
+        if passes == 1 or queries.groupBy(share).count().agg(F.max("count")).first()[0] <= size:
+            break
+        passes += -(-passes // 8)
     candidates = fit.select("vec_id", "vector")
     parts = None
-    for low, high in zip(cuts, cuts[1:], strict=False):
-        block = queries
-        block = block.where(F.col("vec_id") > low) if low is not None else block
-        block = (block.where(F.col("vec_id") <= high) if high is not None else block).toPandas()
+    for turn in range(passes):
+        block = queries.where(share == turn).toPandas()
         ids = block["vec_id"].to_numpy(np.int64)
-        found = _score_pass(candidates, ids, np.floor(scale * matrix(block["vector"])) if len(block) else np.empty((0, length)), k, scale)
+        found, sent = _score_pass(candidates, ids, matrix(block["vector"]) if len(block) else np.empty((0, length)), k, scale)
         if passes > 1:
             found = stash(found, "pass")
+            sent.destroy()
         parts = found if parts is None else parts.unionByName(found)
     order = [F.desc("score"), F.asc("vec_id")]
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16)))

@@ -14,7 +14,8 @@ WINDOW = 3
 def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col cut to the lines that stay, and n_lines and n_removed (replaced where docs has such columns).
 
-    Lines are what `\\n` separates. Every run of `window` consecutive lines is hashed; a window whose lines occur in
+    Lines are what `\\n` separates. Every run of `window` consecutive lines is hashed, and of a text with fewer lines its
+    whole, which is a window of another kind; a window whose lines occur in
     order anywhere else is repeated, and its first occurrence is the one with the smallest (doc_id, line). All later
     occurrences are covered, and the union of the covered lines is removed. Where a later occurrence overlaps the
     first one in the same document, the first one's lines stay. Windows of white space only don't count.
@@ -31,23 +32,24 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     lines = F.split(F.col(text_col), "\n", -1)
     base = docs.drop("n_lines", "n_removed").withColumn("__id", spark_id).withColumn("__key", F.xxhash64(text_col))
     work = base.where(F.col("__id").isNotNull() & F.col(text_col).isNotNull()).select("__id", "__key", lines.alias("ls"))
-    spots = F.transform(F.sequence(F.lit(0), F.size("ls") - window), lambda i: F.struct(
-        i.alias("p"),
-        F.xxhash64(F.slice("ls", i + 1, F.lit(window))).alias("h1"),
-        F.xxhash64(F.lit("second"), F.slice("ls", i + 1, F.lit(window))).alias("h2"),
-        F.exists(F.slice("ls", i + 1, F.lit(window)), lambda x: x.rlike(r"\S")).alias("real")))
-    windows = work.where(F.size("ls") >= window).select("__id", "__key", F.explode(spots).alias("w")).where("w.real")
-    windows = stash(windows.select("__id", "__key", "w.p", "w.h1", "w.h2"), "windows")
+    run = lambda i: F.slice("ls", i + 1, F.lit(window))  # noqa: E731 (a shorter text has one run, which is shorter)
+    spots = F.transform(F.sequence(F.lit(0), F.greatest(F.size("ls") - window, F.lit(0))), lambda i: F.struct(
+        i.alias("p"), F.xxhash64(run(i)).alias("h1"), F.xxhash64(F.lit("second"), F.size(run(i)), run(i)).alias("h2"), F.exists(run(i), lambda x: x.rlike(r"\S")).alias("real"), F.size(run(i)).alias("n")))
+    windows = work.select("__id", "__key", F.explode(spots).alias("w")).where("w.real")
+    windows = stash(windows.select("__id", "__key", "w.p", "w.h1", "w.h2", "w.n"), "windows")
     spot = F.struct(F.col("__id").alias("id"), F.col("p").alias("p"))
     repeated = windows.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("h1", "h2", "first")
     later = windows.join(repeated, ["h1", "h2"]).where((F.col("__id") != F.col("first.id")) | (F.col("p") != F.col("first.p")))
-    begin = F.when((F.col("__id") == F.col("first.id")) & (F.col("p") < F.col("first.p") + window), F.col("first.p") + window).otherwise(F.col("p"))
-    covered = later.select("__id", "__key", begin.alias("b"), (F.col("p") + window).alias("e")).where("b < e")
-    spans = covered.groupBy("__id", "__key").agg(F.array_sort(F.collect_set(F.struct("b", "e"))).alias("spans"))
+    own, first_end = F.col("__id") == F.col("first.id"), F.col("first.p") + F.col("n")
+    begin = F.when(own & (F.col("p") < first_end), first_end).otherwise(F.col("p"))
+    covered = later.select("__id", "__key", begin.alias("b"), (F.col("p") + F.col("n")).alias("e")).where("b < e")
+    spans = covered.groupBy("__id", "__key").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
     gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["b"], s["e"] - 1))))
     joined = base.join(spans.select("__id", "__key", gone.alias("__gone")), ["__id", "__key"], "left")
-    stay = F.filter(F.arrays_zip(lines.alias("l"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i")), lambda x: ~F.array_contains("__gone", x["i"]))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda x: x["l"]), "\n"))
+    # the lines that stay by their numbers: a set difference, so the work grows with the lines, not with their square
+    split = F.struct(lines.alias("ls"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone").alias("stay"))
+    kept = F.element_at(F.transform(F.array(split), lambda s: F.array_join(F.transform(s["stay"], lambda i: F.get(s["ls"], i)), "\n")), 1)
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
@@ -62,11 +64,11 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-     w AS (SELECT doc_id, p, ls[p + 1] || chr(10) || ls[p + 2] || chr(10) || ls[p + 3] AS w
-           FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS p FROM d WHERE len(ls) >= 3)),
-     f AS (SELECT doc_id, p, w, first_value(doc_id) OVER o AS fd, first_value(p) OVER o AS fp
-           FROM w WHERE regexp_matches(w, '[^ \\t-\\r]') WINDOW o AS (PARTITION BY w ORDER BY doc_id, p)),
-     c AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = fd AND p < fp + 3 THEN fp + 3 ELSE p END, p + 3)) AS i
+     w AS (SELECT doc_id, p, n, array_to_string(ls[p + 1 : p + n], chr(10)) AS w
+           FROM (SELECT doc_id, ls, least(3, len(ls)) AS n, unnest(range(0, greatest(1, len(ls) - 2))) AS p FROM d WHERE text IS NOT NULL)),
+     f AS (SELECT doc_id, p, n, w, first_value(doc_id) OVER o AS fd, first_value(p) OVER o AS fp
+           FROM w WHERE regexp_matches(w, '[^ \\t-\\r]') WINDOW o AS (PARTITION BY n, w ORDER BY doc_id, p)),
+     c AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = fd AND p < fp + n THEN fp + n ELSE p END, p + n)) AS i
            FROM f WHERE doc_id <> fd OR p <> fp),
      l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM d),
      k AS (SELECT l.doc_id, count(*) AS n_lines, count(c.i) AS n_removed,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedlake.llm.scratch import table
+from feedlake.llm.scratch import stash, table
 
 #: A word, as everywhere in this package.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,10 +74,10 @@ def _when(share: Column, ord_: Column, schedules) -> Column:
 
 
 def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, schedules=SCHEDULES, cut: bool = True,
-               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None) -> DataFrame:
     """docs with __size, __source_size, __target, __taken (words) and __positions (one per time it is taken).
 
-    A document's size is its number of words. Each source's documents stand in a fixed order, by the md5 of doc_id;
+    A document's size is its number of words, counted once and written with docs, or what size_col holds. Each source's documents stand in a fixed order, by the md5 of doc_id;
     its word stream runs through them up to `epochs` times and ends at the target. With cut, the last document gives
     only the words that are missing; else a document is taken whole each time that its middle lies before the end.
     Position: the progress in [0, 1] at which the source's demand, its schedule integrated and scaled to the target,
@@ -92,7 +92,8 @@ def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple
     gives an empty table.
     """
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    sized = docs.withColumn("__size", n_words(F.col(text_col))).withColumn("__key", key).withColumn("__part", F.substring("__key", 1, 3))
+    counted = stash(docs.withColumn("__size", n_words(F.col(text_col))), "sizes") if size_col is None else docs.withColumnRenamed(size_col, "__size")
+    sized = counted.withColumn("__key", key).withColumn("__part", F.substring("__key", 1, 3))
     parts = sized.groupBy(F.col(source_col).alias("source"), F.col("__part").alias("part")).agg(F.sum("__size").alias("words"))
     offsets = parts.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     plan = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs)
@@ -119,9 +120,20 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
-    out = curriculum(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+    """What the mix takes of every document, and when: the progress in [0, 1] at which each of its takings begins, null if
+    there is none. In the order of the first one, documents that are not taken last."""
+    sizes = stash(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n")), "sizes")
+    out = curriculum(sizes, size_col="n")
+    rows = out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"),
+                      F.get("__positions", F.lit(0)).alias("first_position"), F.get("__positions", F.lit(1)).alias("second_position"))
+    return rows.sort(F.asc_nulls_last("first_position"), "doc_id")
+
+
+def _schedule_sql(begin: str) -> str:
+    """The three schedules inverted in SQL, at the share begin / e of a source's demand."""
+    share = f"(CAST({begin} AS DOUBLE) / e)"
+    fade = lambda w0, slope: f"CASE WHEN {share} < 1.0 THEN 0.0::DOUBLE + (sqrt(greatest(0.0, {w0 * w0}::DOUBLE + {2 * slope}::DOUBLE * {share})) - {w0}::DOUBLE) / {slope}::DOUBLE ELSE 1.0 END"
+    return f"CASE (ord - 1) % 3 WHEN 0 THEN least({share}, 1.0) WHEN 1 THEN {fade(0.5, 1.0)} ELSE {fade(1.5, -1.0)} END"
 
 
 OP5_SQL = """
@@ -133,11 +145,13 @@ WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS
                   2 * (sum(w) OVER () - coalesce(sum(w) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS den,
                   row_number() OVER f AS fill FROM w WINDOW f AS (ORDER BY CAST(cap AS DOUBLE) / w, ord)),
      b AS (SELECT fill AS from_fill, rem, den FROM l WHERE rem * w < cap * den ORDER BY fill LIMIT 1),
-     t AS (SELECT source, source_size, CASE WHEN fill >= from_fill THEN CAST(b.rem * w AS DOUBLE) / CAST(b.den AS DOUBLE) ELSE CAST(cap AS DOUBLE) END AS target
+     t AS (SELECT source, source_size, ord, CASE WHEN fill >= from_fill THEN CAST(b.rem * w AS DOUBLE) / CAST(b.den AS DOUBLE) ELSE CAST(cap AS DOUBLE) END AS target
            FROM l LEFT JOIN b ON true),
-     r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS e,
+     r AS (SELECT d.doc_id, d.size, t.source_size, t.ord, t.target, CAST(floor(t.target) AS BIGINT) AS e,
                   CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS before
            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, e - before)) + greatest(0, least(size, e - before - source_size)) AS BIGINT) AS taken FROM r
-"""
+       CAST(greatest(0, least(size, e - before)) + greatest(0, least(size, e - before - source_size)) AS BIGINT) AS taken,
+       CASE WHEN least(size, e - before) > 0 THEN {first} WHEN least(size, e - before - source_size) > 0 THEN {second} END AS first_position,
+       CASE WHEN least(size, e - before) > 0 AND least(size, e - before - source_size) > 0 THEN {second} END AS second_position FROM r
+""".replace("{first}", _schedule_sql("before")).replace("{second}", _schedule_sql("before + source_size"))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ ROWS, DIM, SIGNS = 8192, 32, 4
 REACH, DAMP = 2, 1e-3
 #: Labelled rows that the network is fitted on at the most (chosen by a hash of doc_id); units of the first layer.
 FIT_ROWS, HIDDEN = 20_000, 32
+#: Groups in which the tasks' sums are added, step by step.
+MERGED = (4096, 64)
 #: Of the labelled rows that may be learnt from, those whose remainder this is calibrate the temperature.
 CALIBRATE = 1
 KEPT_WORDS = 500_000
@@ -69,8 +72,9 @@ def _context_sums(words: np.ndarray, n: np.ndarray, places: np.ndarray, signs: n
 def word_vectors(docs: DataFrame, text_col: str = "text", blocks: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """(ROWS x DIM unit context vectors, weight of each row), counted over every document.
 
-    A task sends its sums in blocks of a fixed size; they are added in two steps, so that no task reads those of all
-    tasks. What reaches the driver is one table of ROWS * (DIM + 1) numbers.
+    A task sends its sums, in doubles, in blocks of a fixed size. They are added in three steps, by the task's number
+    modulo 4096, then 64, then all, so that up to a million tasks no group holds more than some 250 blocks of 135 KB.
+    What reaches the driver is one table of ROWS * (DIM + 1) numbers.
     """
     span = ROWS // blocks
 
@@ -84,20 +88,26 @@ def word_vectors(docs: DataFrame, text_col: str = "text", blocks: int = 16) -> t
                 total += _context_sums(words, n, places, signs)
             seen += len(batch)
         if seen:
-            salt = zlib.crc32(total[:64].tobytes()) % 64
-            yield pd.DataFrame({"block": range(blocks), "salt": salt, "sums": [total[i * span : (i + 1) * span].astype(np.float32).tobytes() for i in range(blocks)]})
+            salt = TaskContext.get().partitionId() % MERGED[0]
+            yield pd.DataFrame({"block": range(blocks), "salt": salt, "sums": [total[i * span : (i + 1) * span].tobytes() for i in range(blocks)]})
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in rows["sums"])
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "salt": [0], "sums": [total.astype(np.float32).tobytes()]})
+    def add(to: int):
+        def of(rows: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(span * (DIM + 1))
+            for x in rows["sums"]:
+                total += np.frombuffer(x)
+            return pd.DataFrame({"block": rows["block"].iloc[:1], "salt": rows["salt"].iloc[:1] % to, "sums": [total.tobytes()]})
+
+        return of
 
     kind = "block int, salt int, sums binary"
     parts = docs.select(F.col(text_col).alias("text")).mapInPandas(each, kind)
-    rows = parts.groupBy("block", "salt").applyInPandas(add, kind).groupBy("block").applyInPandas(add, kind).collect()
-    table_ = np.zeros((ROWS, DIM + 1), np.float32)
-    for r in rows:
-        table_[r["block"] * span : (r["block"] + 1) * span] = np.frombuffer(r["sums"], np.float32).reshape(span, DIM + 1)
-    vectors, count = table_[:, :DIM].astype(np.float64), table_[:, DIM].astype(np.float64)
+    for to in (*MERGED[1:], 1):
+        parts = parts.groupBy("block", "salt").applyInPandas(add(to), kind)
+    table_ = np.zeros((ROWS, DIM + 1))
+    for r in parts.groupBy("block", "salt").applyInPandas(add(1), kind).collect():
+        table_[r["block"] * span : (r["block"] + 1) * span] = np.frombuffer(r["sums"]).reshape(span, DIM + 1)
+    vectors, count = table_[:, :DIM].copy(), table_[:, DIM]
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     return vectors, DAMP / (DAMP + count / max(count.sum(), 1.0))
 
@@ -177,7 +187,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
 
     held_out: whether that remainder is 0 (null doc_id: null counts as held out). Null and empty texts have zero
     features and get the score that the network gives these. Labels that are null or have a null doc_id are left out;
-    several labels of one document count as their mean, rounded. Other columns pass through. An empty table of
+    several labels of one document count as their mean, rounded; of several texts of one doc_id one is learnt from. Other columns pass through. An empty table of
     documents gives an empty table; without labels the score is 0.5.
     """
     spark = docs.sparkSession
@@ -187,6 +197,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id is not null and y is not null").where(rest != 0)
     sample = known.groupBy("doc_id").agg(F.round(F.avg("y")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
+    # one text a doc_id, before anything is collected
+    texts = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(batches):
         buckets = Buckets()
@@ -194,7 +206,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
             x = pooled(batch["text"], buckets, *shared.value).astype(np.float32)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "x": [r.tobytes() for r in x]})
 
-    got = texts.mapInPandas(features, "doc_id long, y double, x binary").toPandas().sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
+    got = texts.mapInPandas(features, "doc_id long, y double, x binary").toPandas().sort_values("doc_id")
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, 2 * DIM).astype(np.float64)
     calibrate = np.array([zlib.crc32(str(i).encode()) % 5 == CALIBRATE for i in got["doc_id"]], bool)
     net = fit_network(x, got["y"].to_numpy(np.float64), calibrate)

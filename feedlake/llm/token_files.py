@@ -45,7 +45,8 @@ class WordIds(dict):
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of its pieces, and
     those of a piece of letters and marks are the letters' and the marks'. Pieces are told apart and cut by Arrow's
     string kernels, once for each distinct piece of a slice. New words of letters are encoded many at a time; each ends
-    with the only token that can end a word, which tells them apart.
+    with the only token that can end a word, which tells them apart. A tokenizer without these properties encodes whole
+    texts.
     """
 
     def __init__(self, path: str):
@@ -56,6 +57,17 @@ class WordIds(dict):
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.by_pieces = self._splits_as_expected()
+
+    def _splits_as_expected(self) -> bool:
+        """Whether this tokenizer drops white space, lower-cases, splits before MARKS and ends each word, and only there,
+        with a token that ends words; tried on samples. Texts of any other are encoded whole."""
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        word = ids("thand")
+        same = [ids(x) == word + ids("of") for x in ("thand of", " thand\n\tof ", "THAND Of", "Thand\u00a0\u3000of")]
+        marks = [ids(f"thand{m}{n}") == word + ids(m + n) for m in MARKS for n in ("", "!", ".,")]
+        ends = [self.ends[x].tolist() == [False] * (len(x) - 1) + [True] for x in map(ids, ("a", "thand", "zqxjkvzzqw", "über", "你好")) if x]
+        return bool(word) and all(same) and all(marks) and all(ends)
 
     def _one(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
@@ -93,6 +105,8 @@ class WordIds(dict):
         """The ids of each text, with the end id. What is known is forgotten when it gets too much."""
         if not texts:
             return []
+        if not self.by_pieces:
+            return [np.array([*e.ids, END_ID], "<u4") for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         if len(self) > KEPT_WORDS:
             self.clear()
         self[""] = b""
@@ -160,6 +174,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, bits: boo
     Documents are range-partitioned and sorted by doc_id (nulls first; equal ids by a hash of the text), so a hot or
     repeated id is split by its texts. Only doc_id and text are moved, once, before they are encoded. Null and empty
     texts give the end id alone. Every document is in one chunk; a document longer than a chunk has one of its own.
+    Other columns are ignored. An empty table gives a data set without chunks.
     """
 
     def each(batches):
@@ -189,7 +204,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, bits: boo
 
 
 def read_token_files(spark: SparkSession, path: str, bits: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; a data set without chunks has none."""
     chunks = spark.read.schema(SCHEMA).parquet(path)
     totals = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     shards = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

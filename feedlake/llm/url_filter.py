@@ -12,9 +12,9 @@ from feedlake.llm.scratch import discard, stash, table
 
 #: (host, path, verdict): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Longest context in bytes, slots of the tests' small hashed model, weight of the shorter context in the
-#: interpolation, bins of the calibration.
-ORDER, SLOTS, BACKOFF, BINS = 4, 1 << 18, 2.0, 4001
+#: Longest context in bytes, weight of the shorter context in the interpolation, bins of the calibration, and one in how
+#: many URLs is kept out of the counts to calibrate.
+ORDER, BACKOFF, BINS, KEPT_OUT = 4, 2.0, 4001, 5
 SCORE_RANGE = 8.0
 #: Gains are summed as integers of this unit, so that a score does not depend on the order of summation.
 UNIT = 1 << 32
@@ -41,45 +41,6 @@ def url_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _sites(urls) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """(url of each predicted byte, hash of its context for each order, hash with the byte, number of bytes): each URL
-    is followed by an end mark and preceded by ORDER start marks."""
-    raw = [("" if u is None else u).encode("utf-8", "surrogatepass") for u in urls]
-    flat = np.frombuffer(b"".join(b"\0" * ORDER + r + b"\1" for r in raw), np.uint8)
-    n = np.array([len(r) + 1 for r in raw])
-    ends = np.cumsum(n + ORDER)
-    keep = np.ones(len(flat), bool)
-    for j in range(ORDER):
-        keep[ends - n - ORDER + j] = False
-    at = np.flatnonzero(keep)
-    contexts, h = [], np.full(len(at), 0x9E37, np.uint64)
-    for k in range(ORDER + 1):
-        if k:
-            h = (h ^ (flat[at - k].astype(np.uint64) + np.uint64(1))) * np.uint64(0x100000001B3)
-        contexts.append(h ^ np.uint64(k << 40))
-    return np.repeat(np.arange(len(raw)), n), contexts, flat[at].astype(np.uint64), n
-
-
-def _slot(h: np.ndarray) -> np.ndarray:
-    x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ (x >> np.uint64(32))) % np.uint64(SLOTS)).astype(np.int64)
-
-
-def _slots(contexts, symbols) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order, the slots of the context and of the context with the symbol."""
-    return [(_slot(c), _slot((c ^ (symbols + np.uint64(257))) * np.uint64(0x100000001B3))) for c in contexts]
-
-
-def _log_likelihood(model, slots) -> np.ndarray:
-    """Log-probability of each symbol: from the uniform one up through ever longer contexts that have been seen."""
-    seen, with_symbol = model
-    p = np.full(len(slots[0][0]), 1 / 256)
-    for c, s in slots:
-        n = seen[c]
-        p = (np.minimum(with_symbol[s], n) + BACKOFF * p) / (n + BACKOFF)
-    return np.log(p)
-
-
 def _grams(urls) -> list[np.ndarray]:
     """Of each URL, for each predicted byte: the byte with the ORDER bytes before it, as one exact number."""
     raw = [("" if u is None else u).encode("utf-8", "surrogatepass") for u in urls]
@@ -120,11 +81,12 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     """(page_id, host, path, rule, verdict, score) for every row.
 
     The rule with the longest host and path that fits decides. Elsewhere two variable-order Markov models over the
-    bytes of the URL decide: one is counted on all URLs that rules allow, one on all that rules block, each smoothed
-    by interpolation over context lengths 0 to 4. The score is the difference of the log-likelihoods per byte. It is
-    calibrated on the same labelled rows, by their histograms: the threshold is the middle of the range in which the
-    shares of rightly allowed and rightly blocked rows have the largest sum; allow is at or above it. Without rows of
-    both kinds the threshold is 0.
+    bytes of the URL decide: one is counted on URLs that rules allow, one on URLs that rules block, each smoothed
+    by interpolation over context lengths 0 to 4. The score is the difference of the log-likelihoods per byte. A fifth
+    of the URLs (by a hash, so that copies stay together) is not counted: on its labelled rows, by their histograms,
+    the score is calibrated. The threshold is the middle of the range in which the shares of rightly allowed and rightly
+    blocked rows have the largest sum; allow is at or above it. Without kept-out rows of both kinds it is calibrated on
+    all labelled rows, and without labelled rows of both kinds it is 0.
 
     Null urls and those without `://` have empty host and path and no rule; a null url is scored as an empty one.
     Repeated rows each count. Counts are exact and live in tables that grow with the corpus. Other columns are ignored. An
@@ -139,11 +101,11 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     ruled = slim.withColumn("host", host).withColumn("path", path).withColumn("r", url_rule(F.col("host"), F.col("path"), rules))
-    flat = ruled.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("string").alias("page_id"), "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("given"))
-    rows = stash(flat.mapInPandas(each, "row long, page_id string, host string, path string, rule string, given string, grams array<long>"), "urls", "zstd")
+    flat = ruled.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("string").alias("page_id"), "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("given"), (F.pmod(F.xxhash64("url"), F.lit(KEPT_OUT)) == 0).alias("out"))
+    rows = stash(flat.mapInPandas(each, "row long, page_id string, host string, path string, rule string, given string, out boolean, grams array<long>"), "urls", "zstd")
 
-    verdicts = [F.coalesce(F.sum((F.col("given") == v).cast("long")), F.lit(0)).alias(v) for v in ("allow", "block")]
-    counts = stash(rows.select("given", F.explode("grams").alias("gram")).groupBy("gram").agg(*verdicts), "urls")
+    verdicts = [F.coalesce(F.sum(((F.col("given") == v) & ~F.col("out")).cast("long")), F.lit(0)).alias(v) for v in ("allow", "block")]
+    counts = stash(rows.select("given", "out", F.explode("grams").alias("gram")).groupBy("gram").agg(*verdicts), "urls")
     gains = _gains(counts)
     summed = rows.select("row", F.explode("grams").alias("gram")).join(gains, "gram").groupBy("row").agg(F.sum("gain").alias("gain"), F.count("*").alias("n"))
     scored = rows.drop("grams").join(summed, "row").withColumn("score", F.col("gain") / UNIT / F.col("n")).drop("row", "gain", "n")
@@ -152,9 +114,11 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
         discard(used)
 
     at = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), ((F.col("score") + SCORE_RANGE) / (2 * SCORE_RANGE) * (BINS - 1)).cast("int")))
-    found = scored.where("given is not null").groupBy(F.col("given").alias("verdict"), at.alias("bin")).agg(F.count("*").alias("n")).toPandas()
+    found = scored.where("given is not null").groupBy(F.col("given").alias("verdict"), "out", at.alias("bin")).agg(F.count("*").alias("n")).toPandas()
     hist = {v: np.zeros(BINS) for v in ("allow", "block")}
-    for v, b, n in found.itertuples(index=False):
+    if len(kept_out := found[found["out"]]) and kept_out["verdict"].nunique() == 2:
+        found = kept_out
+    for v, b, n in found[["verdict", "bin", "n"]].itertuples(index=False):
         hist[v][b] += n
     threshold = 0.0
     if hist["allow"].sum() and hist["block"].sum():
