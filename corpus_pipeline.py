@@ -2,11 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept. All but the last return the
 columns of documents. Null and empty texts pass the first stage as the classifier scores them, link with nothing,
-and are mixed 0 times, so none reaches a sequence. An empty table stays empty.
+and are mixed 0 times, so none reaches a sequence. Repeated rows are rows of their own in every stage; of rows with one
+doc_id near-dedup keeps all or none. Ties go to the smaller doc_id. Columns beside those of documents are left out
+before a stage begins, so that none can clash with what the stage makes. An empty table stays empty.
+
+The training order that mix makes is the order of the rows in its files; pack reads it from there (file name, then row
+number), so that sequences follow the curriculum.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +51,20 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return training_order(curriculum(docs.select(*COLUMNS), cut=False)).select(*COLUMNS)
 
 
+def file_order(docs: DataFrame) -> list | None:
+    """The order of a written table's rows, as columns; None for a table that is not read from files."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index").schema
+    except AnalysisException:
+        return None
+    name = F.col("_metadata.file_name")  # part-00007-..., and from a hundred thousand parts on one digit more
+    return [F.length(name), name, F.col("_metadata.row_index")]
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences, measured in words."""
-    return pack(docs, n_words(F.col("text")))
+    """Where each piece of each taking of each document lies in the training sequences, measured in words; place is its place
+    in the training order, which the sequences follow."""
+    return pack(docs, n_words(F.col("text")), order=file_order(docs))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("mix", mix), ("pack", packed)]
