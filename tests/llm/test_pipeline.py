@@ -64,12 +64,38 @@ def test_packing_holds_every_word(stages):
     assert after.agg(F.sum("n_tokens")).first()[0] == before.select(F.sum(n_words(F.col("text")))).first()[0]
 
 
+def test_sequences_follow_the_training_order(stages):
+    """Of two documents that are packed far apart the one earlier in the files of mix has the smaller place, and a document's
+    two takings have two places."""
+    before, after = stages["pack"]
+    name = F.col("_metadata.file_name")
+    order = [r["doc_id"] for r in before.select("doc_id", name.alias("n"), F.col("_metadata.row_index").alias("i")).orderBy(F.length("n"), "n", "i").collect()]
+    got = after.where("piece = 0").orderBy("place").collect()
+    assert [r["doc_id"] for r in got] == order and len({r["place"] for r in got}) == len(got)
+    first = after.where("bin_id is not null").groupBy("bin_id").agg(F.min("place").alias("p")).orderBy("bin_id").collect()
+    assert [r["p"] for r in first] == sorted(r["p"] for r in first)
+
+
+def test_schedules_move_documents(spark, data, stages):
+    """Sources that fade in lie later in the training than sources that fade out."""
+    before, _ = stages["mix"]
+    from feedlake.llm.mixing import curriculum, training_order
+
+    rows = training_order(curriculum(before, cut=False)).groupBy("source").agg(F.avg("__position").alias("p")).orderBy("source").collect()
+    steady, late, early = (sum(r["p"] for r in rows[k::3]) / len(rows[k::3]) for k in range(3))  # of few documents each
+    assert early < steady < late and late - early > 0.05
+
+
 def test_empty_and_odd_documents(spark, data):
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (2, None, None, "s", None), (2, "a b c", "en", "s", 5), (2, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
-    for docs in (odd, odd.where("false")):
-        for name, stage in corpus_pipeline.STAGES:
+    odd = spark.createDataFrame([(None, None, None, None, None, 1), (1, "", "en", None, 0, 1), (2, None, None, "s", None, 1), (3, "a b c", "en", "s", 5, 1), (3, "a b c", "en", "s", 5, 1), (4, "d e f g h", "en", "s", 9, 1)], "doc_id long, text string, lang string, source string, n_chars long, score int")
+    keep_all = ("quality", lambda spark, docs, sf_dir: docs.select(*COLUMNS))  # what a classifier thinks of these texts is not the point
+    for docs, want in ((odd, [3, 3, 4]), (odd.where("false"), [])):
+        for name, stage in [keep_all, *corpus_pipeline.STAGES[1:]]:
             docs = stash(stage(spark, docs, data), name)
-        assert docs.count() >= 0
+        got = docs.groupBy("doc_id", "place").count().collect()
+        assert len(got) == docs.count() and {r["doc_id"] for r in got} <= set(want) and (not want or {r["doc_id"] for r in got} == set(want))
+        assert docs.where("bin_id is null").count() == 0
+    assert corpus_pipeline.STAGES[0][1](spark, odd, data).columns == COLUMNS and corpus_pipeline.STAGES[0][1](spark, odd.where("false"), data).count() == 0
 
 
 def test_every_operator_is_registered():
