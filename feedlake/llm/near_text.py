@@ -72,18 +72,18 @@ def _neighbours(classes: DataFrame, least: int) -> DataFrame:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
             new = len(rows) - len(batch)
             rep, sketch = rows["rep"].to_numpy(), _sketches(rows["order"])
-            place = np.array([t.to_bytes(1, "little") + h for t, h in zip(rows["tree"], rows["head"], strict=True)], f"S{1 + 4 * DEPTH}") if len(rows) else np.empty(0, "S1")
-            raw = np.frombuffer(place.tobytes(), np.uint8).reshape(len(rows), -1)
+            tree, head = rows["tree"].to_numpy(), np.frombuffer(b"".join(rows["head"]), np.uint32).reshape(len(rows), DEPTH)
             for d in range(1, NEIGHBOURS + 1):
                 at = np.arange(max(d, new), len(rows))
-                near = at[((sketch[at] == sketch[at - d]).sum(axis=1) >= least) & (raw[at] == raw[at - d]).all(axis=1)]
+                at = at[(tree[at] == tree[at - d]) & (head[at] == head[at - d]).all(axis=1)]
+                near = at[(sketch[at] == sketch[at - d]).sum(axis=1) >= least]
                 if len(near):
                     yield pd.DataFrame({"a": np.minimum(rep[near], rep[near - d]), "b": np.maximum(rep[near], rep[near - d])})
             held = rows.iloc[-NEIGHBOURS:]
 
     key = ["tree", "head", "order", "rep"]
     rows = classes.select("rep", _orders()).select("o.tree", "o.head", "o.order", "rep")
-    dealt = rows.repartitionByRange(shuffle_width(classes.sparkSession), *key).sortWithinPartitions(*key)
+    dealt = rows.repartitionByRange(*key).sortWithinPartitions(*key)  # its cost goes by bytes, so adaptive execution may merge
     return dealt.mapInPandas(each, "a long, b long").distinct()
 
 
@@ -245,7 +245,7 @@ def _rest(reached: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFr
             if links is not None:
                 yield links
 
-    tiles = full.repartition(shuffle_width(classes.sparkSession), "wide", "ba", "bb").sortWithinPartitions("wide", "ba", "bb")
+    tiles = full.repartition("wide", "ba", "bb").sortWithinPartitions("wide", "ba", "bb")
     more = stash(tiles.mapInPandas(each, "a long, b long"), "links")
     discard(placed)
     return more
