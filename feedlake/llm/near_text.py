@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedlake.llm.components import components
 from feedlake.llm.grouping import grouped, tile_roots
-from feedlake.llm.scratch import discard, salted_join, shuffle_width, stash, table
+from feedlake.llm.scratch import discard, salted_join, stash, table
 from feedlake.llm.shingles import MinHasher, WordHashes, set_key, shingle_set
 
 #: Sorted orders (trees), and values of a signature that two classes must share at the head of an order.
@@ -127,7 +127,7 @@ def _bridges(classes: DataFrame, reached: DataFrame, least: int, limit: int) ->
                 yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     dealt = _deal(members, "region", limit).select("region", "ba", "bb", "rep", "part", "order")
-    tiles = dealt.repartition(shuffle_width(classes.sparkSession), "region", "ba", "bb").sortWithinPartitions("region", "ba", "bb")
+    tiles = dealt.repartition("region", "ba", "bb").sortWithinPartitions("region", "ba", "bb")
     found = stash(tiles.mapInPandas(each, "a long, b long").distinct(), "pairs")
     discard(open_)
     discard(members)
