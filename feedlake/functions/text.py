@@ -9,7 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from feedlake.functions.values import let
 
@@ -27,6 +27,17 @@ def nfkc(text: Column, composed: bool = False) -> Column:
     return text if composed else F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_values(values: pd.Series) -> pd.Series:
+    return values.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in xs])
+
+
+def nfkc_values(values: Column) -> Column:
+    """nfkc of every value of an array; only arrays with text beyond ASCII leave the JVM."""
+    beyond = F.exists(values, lambda x: x.rlike(r"[^\x00-\x7F]"))
+    return F.coalesce(_nfkc_values(F.when(beyond, values)), values)
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space (Unicode, with the no-break spaces) to one blank, trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x{FEFF}]+", " "))
@@ -70,7 +81,7 @@ def first_string(*values: Column) -> Column:
 
 def string_array(values: Column) -> Column:
     """Trimmed non-blank strings; null: empty."""
-    return F.coalesce(F.filter(F.transform(values, F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(values, lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", "")), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def phrase_pattern(phrase: str) -> str:
@@ -83,25 +94,48 @@ def has_phrase(key_text: Column, phrase: str) -> Column:
     return key_text.contains(key_of(phrase)) & key_text.rlike(phrase_pattern(phrase))
 
 
-def _phrase_table(phrases: list[str]) -> Column:
-    return F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(key_of(p)).alias("key"), F.lit(phrase_pattern(p)).alias("pattern")) for p in phrases])
+def _trie_pattern(keys: list[str]) -> str:
+    """One pattern for all keys, with what they begin alike written once; the longest key at a place matches."""
+    trie: dict = {}
+    for key in keys:
+        at = trie
+        for c in key:
+            at = at.setdefault(c, {})
+        at[""] = {}
 
+    def write(node: dict) -> str:
+        ways = [re.escape(c) + write(node[c]) for c in sorted(node) if c]
+        if "" in node:
+            return f"(?:{'|'.join(ways)}|)" if ways else ""
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
 
-def _found(key_text: Column, phrases: list[str], field: str) -> Column:
-    """One field of the phrases in a text, which is computed once and not once a phrase."""
-    here = lambda k: F.filter(_phrase_table(phrases), lambda p: F.contains(k, p["key"]) & F.call_function("rlike", k, p["pattern"]))
-    return let(key_text, lambda k: F.transform(here(k), lambda p: p[field]))
+    return write(trie)
 
 
-def phrases_found(key_text: Column, phrases: list[str]) -> Column:
-    """The phrases of the list that occur as whole phrases, sorted by key."""
-    ordered = sorted(dict.fromkeys(phrases), key=key_of)
-    return _found(key_text, ordered, "phrase")
+def _shorter(keys: list[str]) -> dict[str, list[str]]:
+    """Of each key the keys that it begins with as whole phrases: where it stands they stand too."""
+    out = {k: [p for p in keys if len(p) < len(k) and k.startswith(p) and unicodedata.category(k[len(p)])[0] not in "LN"] for k in keys}
+    return {k: v for k, v in out.items() if v}
 
 
 def phrase_keys(key_text: Column, phrases: list[str]) -> Column:
-    """The keys of the phrases that occur as whole phrases: one pass over a constant table, whatever its length."""
-    return _found(key_text, sorted(set(map(key_of, phrases))), "key")
+    """The keys of the phrases that occur as whole phrases, each once: one pass over the text, however many phrases."""
+    keys = sorted({k for k in map(key_of, phrases) if k})
+    pattern = rf"(?<![{_OUT}])(?=({_trie_pattern(keys)})(?![{_OUT}]))"
+    found = F.array_distinct(F.regexp_extract_all(key_text, F.lit(pattern), F.lit(1)))
+    shorter = _shorter(keys)
+    if not shorter:
+        return found
+    more = F.create_map(*[x for k, v in shorter.items() for x in (F.lit(k), F.array(*[F.lit(p) for p in (k, *v)]))])
+    return F.array_distinct(F.flatten(F.transform(found, lambda k: F.coalesce(F.try_element_at(more, k), F.array(k)))))
+
+
+def phrases_found(key_text: Column, phrases: list[str]) -> Column:
+    """The phrases of the list that occur as whole phrases, sorted by key."""
+    ordered = sorted(dict.fromkeys(phrases), key=key_of)
+    table = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(key_of(p)).alias("key")) for p in ordered])
+    named = lambda hits: F.transform(F.filter(table, lambda d: F.array_contains(hits, d["key"])), lambda d: d["phrase"])
+    return let(phrase_keys(key_text, phrases), named)
 
 
 def any_phrase(key_text: Column, phrases: list[str]) -> Column:
@@ -131,8 +165,9 @@ def sort_locale(values: Column) -> Column:
     return F.array_sort(values, lambda a, b: F.when(left(a) < left(b), -1).when(left(a) > left(b), 1).otherwise(0))
 
 
-def unique_normalized(values: Column) -> Column:
+def unique_normalized(values: Column, composed: bool = False) -> Column:
     """White space normalised, blanks dropped, the first spelling of each key, sorted by key."""
+    values = values if composed else nfkc_values(values)
     clean = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: collapse(v)), lambda v: v != "")
     key = lambda v: normalize_key(v, True)
     unique = distinct_by_key(clean, key)
@@ -142,7 +177,8 @@ def unique_normalized(values: Column) -> Column:
 
 def merge_names(*arrays: Column) -> Column:
     """Union without case, the first spelling wins, in locale order."""
-    clean = F.filter(F.transform(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]), collapse), lambda v: v != "")
+    every = nfkc_values(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]))
+    clean = F.filter(F.transform(every, collapse), lambda v: v != "")
     return sort_locale(distinct_by_key(clean, F.lower))
 
 
@@ -152,12 +188,14 @@ def merge_arrays(*arrays: Column) -> Column:
     return distinct_by_key(clean, F.lower)
 
 
-def unique_sorted(values: Column, items: int = 50, length: int = 240, clean: bool = False) -> Column:
-    """Bounded values, the first spelling without case, sorted by code points, at most `items`."""
+def unique_sorted(values: Column, items: int = 50, length: int = 240, clean: bool = False, locale: bool = False, composed: bool = False) -> Column:
+    """Bounded values, the first spelling without case, sorted by code points (or as people sort), at most `items`."""
+    values = values if composed else nfkc_values(values)
     cut = lambda v: F.rtrim(F.substring(collapse(v), 1, length))
     one = lambda v: cut(F.regexp_replace(cut(v), "<[^>]*>", " ")) if clean else cut(v)
     kept = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), one), lambda v: (v != "") & (~looks_like_json(v) if clean else F.lit(True)))
-    return F.slice(F.array_sort(distinct_by_key(kept, F.lower)), 1, items)
+    unique = distinct_by_key(kept, F.lower)
+    return F.slice(sort_locale(unique) if locale else F.array_sort(unique), 1, items)
 
 
 def looks_like_json(text: Column) -> Column:
@@ -182,27 +220,42 @@ def title_prefix(title: Column, length: int = 80) -> Column:
     return F.substring(collapse(title), 1, length)
 
 
-def sanitize_value(value: Column) -> Column:
-    """Plain text for a reranker: no tags, URLs or secrets; what looks like JSON is emptied."""
-    text = F.regexp_replace(F.coalesce(value, F.lit("")), "<[^>]*>", " ")
-    text = F.regexp_replace(text, r"""(?i)https?://[^\s<>"']+""", " ")
-    text = F.regexp_replace(text, r"(?i)\b(api[_-]?key|access[_-]?token|token|secret|password|authorization)\b\s*[:=]\s*(?:Bearer\s+)?[^\s,;]+", "$1 [redacted]")
-    text = normalize_whitespace(text, True)
-    return F.when(looks_like_json(text), "").otherwise(text)
+#: Names of what must never be shown or stored; between their words may stand a blank, a line or nothing.
+SECRET_NAMES = ["api key", "access key", "access token", "refresh token", "id token", "token", "client secret", "secret", "password", "passwd", "authorization", "credential", "signature", "sig"]
+_NAMES = "|".join(name.replace(" ", "[ _-]?") for name in sorted(SECRET_NAMES, key=len, reverse=True))
+#: What stands in a secret's place.
+REDACTED = "[redacted]"
+
+
+def without_secrets(text: Column, joint: str = "=") -> Column:
+    """text without user and password of a URL, a scheme's credentials, and the value, quoted or not, of a name that is to
+    be kept secret; `joint` joins the name with what stands for its value."""
+    rules = [
+        (r"(?<=://)[^\s/@]*@", f"{REDACTED}@"),
+        (r"(?i)\b(bearer|basic|digest)\s+[^\s,;]+", f"$1 {REDACTED}"),
+        (rf"""(?i)\b({_NAMES})\b["']?\s*[:=]\s*("[^"]*"|'[^']*'|[^\s&,;#]+)""", f"$1{joint}{REDACTED}"),
+    ]
+    return reduce(lambda t, rule: F.regexp_replace(t, *rule), rules, text)
+
+
+def sanitize_value(value: Column, composed: bool = False) -> Column:
+    """Plain text for a reranker: without tags, web addresses and secrets; what looks like JSON is emptied, null too."""
+    bare = reduce(lambda t, gone: F.regexp_replace(t, gone, " "), [r"<[^>]*>", r"(?i)\bhttps?:[^\s<>]+"], F.coalesce(nfkc(value, composed), F.lit("")))
+    plain = collapse(without_secrets(bare, " "))
+    return let(plain, lambda t: F.when(looks_like_json(t), "").otherwise(t))
 
 
 def error_message(text: Column, default: str = "Embedding request failed.", length: int = 500) -> Column:
-    """A message without control characters and credentials."""
-    out = F.regexp_replace(text, r"[\x00-\x1f\x7f]+", " ")
-    out = F.regexp_replace(out, r"(?i)\bBearer\s+\S+", "Bearer [redacted]")
-    out = F.regexp_replace(out, r"(?i)([?&](?:api_?key|access_?token|token|signature|sig|credential)=)[^&#\s]+", "$1[redacted]")
-    out = F.regexp_replace(out, r"(?i)\b(api_?key|access_?token|token|authorization|password)\s*[:=]\s*\S+", "$1=[redacted]")
-    out = F.regexp_replace(out, r"(?i)(https?://)[^/@\s]+:[^/@\s]+@", "$1[redacted]@")
-    return F.coalesce(F.nullif(F.substring(collapse(out), 1, length), F.lit("")), F.lit(default))
+    """A failure's message fit to be stored: one line without control characters and secrets, cut to a length; a blank one
+    is the default."""
+    line = collapse(without_secrets(F.regexp_replace(nfkc(text), r"\p{Cntrl}+", " ")))
+    return let(F.rtrim(F.substring(line, 1, length)), lambda t: F.when(t != "", t).otherwise(default))
 
 
-def error_code(code: Column, length: int = 80) -> Column:
-    return F.coalesce(F.nullif(F.substring(F.regexp_replace(F.lower(code), "[^a-z0-9_.-]+", "_"), 1, length), F.lit("")), F.lit("unknown_error"))
+def error_code(code: Column, default: str = "unknown_error", length: int = 80) -> Column:
+    """A failure's code in small letters, digits and `_ . -`; a blank one is the default."""
+    plain = F.regexp_replace(F.lower(nfkc(F.trim(code))), "[^a-z0-9_.-]+", "_")
+    return let(F.substring(plain, 1, length), lambda t: F.when(t != "", t).otherwise(default))
 
 
 def mask_dsn(dsn: Column) -> Column:

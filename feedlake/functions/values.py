@@ -60,9 +60,10 @@ def non_negative(x: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine in doubles, held in -1 to 1."""
+    """Cosine in doubles, held in -1 to 1; null where a vector has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return clamp(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), -1.0, 1.0)
+    cos = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.when(cos.isNotNull() & ~F.isnan(cos), clamp(cos, -1.0, 1.0))
 
 
 def valid_vector(v: Column, dimensions: int) -> Column:
@@ -77,5 +78,6 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
 
 def once(x: Column) -> Column:
     """x, computed once: the optimiser may copy a column's expression into every place that reads it, and a long chain
-    of such copies takes minutes to plan. It does not copy what depends on the row's place."""
+    of such copies takes minutes to plan. It does not copy what depends on the row's place. The price: no filter moves
+    below such a column, so filter before the steps that use it."""
     return F.when(F.monotonically_increasing_id() >= 0, x)

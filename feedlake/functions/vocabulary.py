@@ -64,6 +64,9 @@ SIGNAL_TYPE_WORDS = [
     ("LAB_UPDATE", None, ["lab update", "homepage"]),
 ]
 DEFAULT_SIGNAL_TYPE = "NEWS"
+#: Addresses of the sources of papers by name, and that of all others.
+PAPER_SOURCE_URLS = {"arXiv XR/CV": "https://arxiv.org/search/?query=virtual+reality+augmented+reality+xr+spatial+computing&searchtype=all&source=header"}
+PAPER_SOURCE_URL = "https://arxiv.org/list/cs.RO/recent"
 
 # --- entity dictionaries: (type, canonical name, aliases) ----------------------------------------------------------
 TECHNOLOGIES = [
@@ -123,7 +126,6 @@ VESSELS = [
 ]
 KNOWN_RESEARCHERS = [("researcher", "Robert Ballard", ["Bob Ballard"]), ("researcher", "James Delgado", ["Jim Delgado"])]
 RESEARCHER_FIELDS = ["author", "authors", "creator", "creators", "contributor", "contributors", "researcher", "researchers"]
-ENTITY_TYPES = ["technology", "organization", "institution", "lab", "researcher", "project", "vessel", "expedition", "archaeological_site"]
 
 # --- record linkage ------------------------------------------------------------------------------------------------
 TRACKING_PARAMS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid"]
@@ -164,6 +166,47 @@ DOMAIN_ALIASES = {
     "oceanMapping": ["ocean mapping", "seafloor mapping", "bathymetry", "bathymetric", "sonar mapping", "multibeam", "side scan sonar"],
     "conservation": ["conservation", "preservation", "site monitoring", "cultural resource management"],
 }
+#: What each rule says of a signal: fixed texts.
+RULE_DESCRIPTIONS = {
+    "research.domain.marine-archaeology": "Signal matches the marine archaeology domain.",
+    "research.domain.underwater-robotics": "Signal matches underwater robotics or marine autonomy.",
+    "research.domain.digital-heritage": "Signal connects to digital heritage or cultural preservation.",
+    "research.domain.ocean-mapping": "Signal aligns with ocean mapping or seafloor documentation.",
+    "research.context.archaeological-site": "Signal references a vessel, shipwreck, or archaeological site in target context.",
+    "research.combination.xr-hci-marine-heritage": "XR or HCI is connected to marine or heritage context.",
+    "research.combination.underwater-robotics-method": "Underwater robotics signal includes concrete priority methods or sensors.",
+    "research.combination.mapping-reconstruction-context": "Mapping or reconstruction technology is applied to marine or heritage work.",
+    "research.opportunity.aligned": "Opportunity is aligned with a target research domain.",
+    "research.domain.diversity": "Signal spans multiple target domains.",
+    "novelty.recency.thirty-days": "Signal was published within the recent scoring window.",
+    "novelty.recency.six-months": "Signal was published within six months of ingestion.",
+    "novelty.language.observable": "Observable novelty language is present.",
+    "novelty.artifact.dataset": "Signal includes or releases a dataset.",
+    "novelty.artifact.repository": "Signal includes or releases a repository.",
+    "novelty.combination.emerging-technical-context": "Signal combines multiple relevant technologies in a target context.",
+    "novelty.event.discovery-expedition": "Signal reports a discovery or expedition update.",
+    "technology.priority.matches": "Signal uses priority technologies.",
+    "technology.enables.target-workflows": "Technology supports mapping, reconstruction, autonomy, interaction, preservation, or access.",
+    "technology.artifacts.reusable": "Signal includes reusable technical artifacts or identifiers.",
+    "technology.combination.cross-domain": "Signal combines multiple relevant technologies.",
+    "portfolio.artifact.repository": "Public repository is available.",
+    "portfolio.artifact.dataset": "Public dataset or reconstruction data is available.",
+    "portfolio.artifact.reusable-code": "Reusable code or reproducible method is visible.",
+    "portfolio.scope.prototype-friendly": "Signal suggests a manageable prototype or visualization direction.",
+    "portfolio.alignment.student-project": "Relevant technology and domain context could support a student project.",
+    "graduate.people.researchers": "Named researchers are available for follow-up.",
+    "graduate.people.lab-institution": "Named lab, institution, or organization is available.",
+    "graduate.context.project-expedition": "Named project or expedition provides research context.",
+    "graduate.opportunity.formal": "Signal is a formal graduate, funding, internship, or event opportunity.",
+    "graduate.opportunity.language": "Opportunity or academic-path language is present.",
+    "graduate.alignment.research-direction": "Domains and technologies align with the target research direction.",
+    "community.metric.citations": "Citation evidence is available.",
+    "community.metric.github": "GitHub stars or forks show community attention.",
+    "community.metric.video-views": "Video view evidence is available.",
+    "community.metric.social": "Social engagement evidence is available.",
+    "community.metric.multiple-sources": "Multiple sources cover the same signal.",
+    "community.source.authoritative": "Authoritative source metadata is present.",
+}
 NOVELTY_LANGUAGE = ["first", "novel", "new", "newly", "newly discovered", "newly mapped", "recently released", "release", "released", "benchmark", "discovery", "expedition update"]
 DATASET_LANGUAGE = ["dataset", "data set", "benchmark", "records", "point cloud", "3d model", "reconstruction data"]
 REPOSITORY_LANGUAGE = ["github", "gitlab", "source code", "open source", "open-source", "repository", "code release"]

@@ -14,22 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions import vocabulary as V
-from feedlake.functions.text import bounded, key_of, unique_sorted
+from feedlake.functions.text import bounded, error_code, error_message, key_of, unique_sorted
 from feedlake.functions.values import band, clamp, clamp_score, non_negative, round_half_up
-from feedlake.operators.relevance import check_weights
+from feedlake.operators.providers import ProviderError
+from feedlake.operators.relevance import assess, check_weights
 
 #: Bounds of a reply: items of a list, pieces of evidence, warnings, characters, explanations of a dimension.
 MAX_ITEMS, MAX_EVIDENCE, MAX_WARNINGS, MAX_STRING, MAX_REASONS = 12, 6, 10, 1200, 4
-RETRY_STATUS, MAX_WAIT_MS, BASE_WAIT_MS, MAX_BACKOFF_MS = (408, 429, 500, 502, 503, 504), 30_000, 250, 2000
-
-
-class ProviderError(Exception):
-    """A provider's failure: code, whether a retry may help, HTTP status and the wait it asked for."""
-
-    def __init__(self, code: str, message: str = "", retryable: bool = False, status: int | None = None, retry_after_ms: int | None = None):
-        super().__init__(message or code)
-        self.code, self.status, self.retry_after_ms = code, status, retry_after_ms
-        self.retryable = retryable or status in RETRY_STATUS
+MAX_WAIT_MS, BASE_WAIT_MS, MAX_BACKOFF_MS = 30_000, 250, 2000
 
 
 class AssessmentProvider(Protocol):
@@ -57,7 +49,7 @@ def assessment_input(signals: DataFrame) -> DataFrame:
     """signals with `input`: a bounded struct of what a model is told."""
     has = set(signals.columns)
     text = lambda c, n: F.nullif(bounded(F.col(c), n), F.lit("")) if c in has else F.lit(None).cast("string")
-    names = lambda c: unique_sorted(F.col(c), 20, 240) if c in has else F.array().cast("array<string>")
+    names = lambda c: unique_sorted(F.col(c), 20, 240, locale=True) if c in has else F.array().cast("array<string>")
     number = lambda c: non_negative(F.col(c).cast("double")) if c in has else F.lit(None).cast("double")
     lists = ("domains", "technologies", "organizations", "researchers", "projects", "vessels", "expeditions", "archaeological_sites", "keywords")
     date = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") if "published_at" in has else F.lit(None).cast("string")
@@ -205,10 +197,19 @@ def normalize_reply(reply: Column, weights: dict[str, float] = V.WEIGHTS) -> dic
             "model": reply["model"], "provider_version": reply["providerVersion"], "prompt_version": reply["promptVersion"]}
 
 
-def assess_signals(signals: DataFrame, provider: AssessmentProvider, weights: dict[str, float] = V.WEIGHTS, retries: int = 2) -> DataFrame:
+def with_baseline(signals: DataFrame, weights: dict[str, float] = V.WEIGHTS) -> DataFrame:
+    """signals with what the rules alone say: baseline, a struct of scoring_version, final_score, band and dimensions."""
+    scored = assess(signals, weights, use_raw="raw" in signals.columns)
+    return scored.select(*signals.columns, F.struct("scoring_version", "final_score", "band", "dimensions").alias("baseline"))
+
+
+def assess_signals(signals: DataFrame, provider: AssessmentProvider, weights: dict[str, float] = V.WEIGHTS, retries: int = 2, baseline: bool = True) -> DataFrame:
     """A row to append for each signal: SUCCESS with the assessment, or FAILED with zero dimensions, band IGNORE, and
-    error_code and error_message (at most 1000 characters). The provider is called once for each signal, on the executors."""
-    staged = assessment_input(signals).select(F.col("id"), prompt(F.to_json("input")).alias("prompt"))
+    error_code and error_message (at most 1000 characters, without secrets). The provider is called once for each signal, on the executors; with
+    `baseline` it is told what the rules alone say."""
+    told = assessment_input(with_baseline(signals, weights) if baseline else signals)
+    told = told.withColumn("input", F.col("input").withField("deterministic", F.col("baseline"))) if baseline else told
+    staged = told.select(F.col("id"), prompt(F.to_json("input")).alias("prompt"))
     kind = staged.schema["id"].dataType.simpleString()
     name = provider.name
 
@@ -220,7 +221,7 @@ def assess_signals(signals: DataFrame, provider: AssessmentProvider, weights: di
                     reply, issues = parse_reply(with_retries(lambda t=text: provider.complete(t), retries), name)
                     rows.append((ident, json.dumps(reply) if reply else None, None if reply else "invalid_response", None if reply else " ".join(issues)[:1000]))
                 except Exception as error:
-                    rows.append((ident, None, getattr(error, "code", "unknown_error"), str(error)[:1000]))
+                    rows.append((ident, None, str(getattr(error, "code", "")), str(error)[:4000]))
             yield pd.DataFrame(rows, columns=["id", "reply", "error_code", "error_message"])
 
     replies = staged.mapInPandas(each, f"id {kind}, reply string, error_code string, error_message string").withColumn("r", F.from_json("reply", REPLY))
@@ -229,7 +230,8 @@ def assess_signals(signals: DataFrame, provider: AssessmentProvider, weights: di
     ok = F.col("r").isNotNull()
     defaults = {"dimensions": zero, "final_score": F.lit(0), "band": F.lit("IGNORE"), "provider_confidence": F.lit(0.0), "normalized_confidence": F.lit(0.0)}
     columns = [(F.when(ok, c).otherwise(defaults[k]) if k in defaults else F.when(ok, c)).alias(k) for k, c in made.items()]
-    return replies.select(F.col("id").alias("signal_id"), F.when(ok, "SUCCESS").otherwise("FAILED").alias("status"), F.lit(name).alias("provider"), *columns, F.lit(V.SCORING_VERSION).alias("scoring_version"), "error_code", "error_message")
+    return replies.select(F.col("id").alias("signal_id"), F.when(ok, "SUCCESS").otherwise("FAILED").alias("status"), F.lit(name).alias("provider"), *columns, F.lit(V.SCORING_VERSION).alias("scoring_version"),
+                          F.when(~ok, error_code(F.col("error_code"))).alias("error_code"), F.when(~ok, error_message(F.col("error_message"), "Assessment failed.", 1000)).alias("error_message"))
 
 
 def stored_assessments(rows: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions import vocabulary as V
-from feedlake.functions.text import bounded, unique_sorted
+from feedlake.functions.text import bounded, error_code, error_message, unique_sorted
 from feedlake.functions.urls import hostname
 from feedlake.operators.entities import resolve_technologies
+from feedlake.operators.providers import ProviderError
 
 TEXT_LENGTH, FIELD_LENGTH, BATCH, MAX_BATCH = 6000, 2000, 16, 64
 
@@ -27,7 +28,7 @@ def embedding_text(signals: DataFrame) -> DataFrame:
     has = set(signals.columns)
     text = lambda c: bounded(F.col(c), FIELD_LENGTH) if c in has else F.lit("")
     items = lambda c, **how: F.array_join(unique_sorted(F.col(c), **how), ", ") if c in has else F.lit("")
-    known = F.array_join(unique_sorted(resolve_technologies(unique_sorted(F.col("technologies")))), ", ") if "technologies" in has else F.lit("")
+    known = F.array_join(unique_sorted(resolve_technologies(unique_sorted(F.col("technologies"))), composed=True), ", ") if "technologies" in has else F.lit("")
     lines = [("Title", text("title")), ("Type", text("signal_type")), ("Summary", text("summary")), ("Domains", items("domains")), ("Technologies", known), ("Organizations", items("organizations")), ("Researchers", items("researchers")),
              ("Projects", items("projects")), ("Vessels", items("vessels")), ("Expeditions", items("expeditions")), ("Sites", items("archaeological_sites")), ("Keywords", items("keywords", items=40, length=120, clean=True)), ("Source", text("source_name")),
              ("Host", F.coalesce(hostname(F.col("canonical_url")), F.lit("")) if "canonical_url" in has else F.lit(""))]
@@ -82,10 +83,10 @@ class HashProvider:
         return out
 
 
-def embed_batch(texts: DataFrame, provider, batch: int = BATCH) -> DataFrame:
+def embed_batch(texts: DataFrame, provider, batch: int = BATCH, strict: bool = False) -> DataFrame:
     """(signal_id, status, embedding, error_code, error_message, content_hash): the provider called for batches on the
     executors. A vector of the wrong length or with other than finite numbers is a failure of its row alone; a failed
-    call one of its batch."""
+    call one of its batch, or with `strict` ends the job. Codes and messages are stored without secrets."""
     batch = max(1, min(MAX_BATCH, batch))
 
     def each(frames):
@@ -95,10 +96,14 @@ def embed_batch(texts: DataFrame, provider, batch: int = BATCH) -> DataFrame:
                 part = frame.iloc[at : at + batch]
                 try:
                     vectors = provider.embed(part["embedding_text"].tolist(), "passage")
+                    if vectors and isinstance(vectors[0], dict):  # {index, embedding} in any order
+                        vectors = [v["embedding"] for v in sorted(vectors, key=lambda v: v["index"])]
                     if len(vectors) != len(part):
-                        raise ValueError("result count")
+                        raise ProviderError("validation_error", "Embedding result count does not match the request.")
                 except Exception as error:
-                    rows += [(i, "FAILED", None, getattr(error, "code", "unknown_error"), str(error)[:1000], h) for i, h in zip(part["id"], part["content_hash"], strict=True)]
+                    if strict:
+                        raise
+                    rows += [(i, "FAILED", None, str(getattr(error, "code", "")), str(error)[:4000], h) for i, h in zip(part["id"], part["content_hash"], strict=True)]
                     continue
                 for i, h, v in zip(part["id"], part["content_hash"], vectors, strict=True):
                     good = len(v) == provider.dimensions and all(math.isfinite(x) for x in v)
@@ -106,12 +111,30 @@ def embed_batch(texts: DataFrame, provider, batch: int = BATCH) -> DataFrame:
             yield pd.DataFrame(rows, columns=["signal_id", "status", "embedding", "error_code", "error_message", "content_hash"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "embedding_text", "content_hash").mapInPandas(each, f"signal_id {kind}, status string, embedding array<double>, error_code string, error_message string, content_hash string")
+    made = texts.select("id", "embedding_text", "content_hash").mapInPandas(each, f"signal_id {kind}, status string, embedding array<double>, error_code string, error_message string, content_hash string")
+    failed = F.col("status") == "FAILED"
+    return made.withColumns({"error_code": F.when(failed, error_code(F.col("error_code"))), "error_message": F.when(failed, error_message(F.col("error_message")))})
+
+
+def embed_if_needed(signals: DataFrame, embeddings: DataFrame, provider, force: bool = False, strict: bool = False) -> DataFrame:
+    """embed_batch's rows for signals without a good vector of their text; SKIPPED for the others, DISABLED for all where
+    there is no provider, or one without dimensions or with the model `disabled`."""
+    columns = ["signal_id", "status", "embedding", "error_code", "error_message", "content_hash"]
+    none = {c: F.lit(None).cast("array<double>" if c == "embedding" else "string") for c in columns[2:5]}
+    texts = embedding_text(signals).withColumnRenamed("id", "signal_id")
+    if provider is None or provider.dimensions <= 0 or provider.model == "disabled":
+        off = none | {"error_code": F.lit("provider_disabled"), "error_message": F.lit("Embedding provider is disabled.")}
+        return texts.withColumns({"status": F.lit("DISABLED"), **off}).select(*columns)
+    version = {"provider": provider.name, "model": provider.model, "embedding_version": version_of(provider.name, provider.model, provider.version, provider.dimensions)}
+    todo = pending(signals, embeddings, version, force)
+    skipped = texts.join(todo.select(F.col("id").alias("signal_id")), "signal_id", "left_anti").withColumns({"status": F.lit("SKIPPED"), **none}).select(*columns)
+    return embed_batch(todo, provider, strict=strict).select(*columns).unionByName(skipped)
 
 
-def backfill(signals: DataFrame, embeddings: DataFrame, provider, limit: int = 25, force: bool = False, only_missing: bool = True, dry_run: bool = False, most: int = 100) -> DataFrame:
-    """Embedding outcomes for the first signals by id (embed_batch's rows; with dry_run a row per pending signal with
-    status PENDING)."""
+def backfill(signals: DataFrame, embeddings: DataFrame, provider, limit: int = 25, force: bool = False, only_missing: bool = True, dry_run: bool = False, most: int = 100, ids: list | None = None) -> DataFrame:
+    """Embedding outcomes for the first signals by id, or of the given ids (embed_batch's rows; with dry_run a row per
+    pending signal with status PENDING)."""
+    signals = signals.where(F.col("id").isin(list(ids))) if ids is not None else signals
     limit = max(1, min(most, limit))
     version = {"provider": provider.name, "model": provider.model, "embedding_version": version_of(provider.name, provider.model, provider.version, provider.dimensions)}
     chosen = missing(signals, embeddings, limit, version) if only_missing and not force else signals.orderBy("id").limit(limit)

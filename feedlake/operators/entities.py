@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedlake.functions import json_walk
 from feedlake.functions import vocabulary as V
 from feedlake.functions.values import let, once
-from feedlake.functions.text import collapse, key_of, merge_names, normalize_key, normalize_whitespace, phrase_pattern, sort_locale
+from feedlake.functions.text import collapse, key_of, merge_names, normalize_key, normalize_whitespace, phrase_keys, sort_locale
 
 DICTIONARIES = V.TECHNOLOGIES + V.ORGANIZATIONS + V.VESSELS + V.PROJECTS + V.SITES
 _SOURCE_RANK = {"title": 4, "summary": 3, "keywords": 2, "raw": 1}
@@ -30,14 +30,15 @@ def chunks(title: Column, summary: Column, keywords: Column, raw_text: Column |
 def dictionary_matches(texts: Column, entries: list[tuple[str, str, list[str]]]) -> Column:
     """An entity for each phrase of each entry and each text that has it as a whole phrase, in that order.
 
-    The dictionary is one constant array; a text is only matched against the pattern of a phrase that it contains.
+    Each text is searched once for all phrases; the dictionary, a constant array, is only gone through where one is found.
     """
-    rows = [F.struct(F.lit(kind).alias("type"), F.lit(name).alias("name"), F.lit(p).alias("phrase"), F.lit(key_of(p)).alias("key"), F.lit(phrase_pattern(p)).alias("pattern"),
-                     F.array(*[F.lit(a) for a in aliases]).cast("array<string>").alias("aliases")) for kind, name, aliases in entries for p in [name, *aliases] if key_of(p)]
+    phrases = [(kind, name, p, aliases) for kind, name, aliases in entries for p in [name, *aliases] if key_of(p)]
+    rows = [F.struct(F.lit(kind).alias("type"), F.lit(name).alias("name"), F.lit(p).alias("phrase"), F.lit(key_of(p)).alias("key"), F.array(*[F.lit(a) for a in aliases]).cast("array<string>").alias("aliases")) for kind, name, p, aliases in phrases]
+    searched = F.filter(F.transform(texts, lambda t: F.struct(t["source_field"].alias("source_field"), phrase_keys(t["key"], [p for _, _, p, _ in phrases]).alias("keys"))), lambda t: F.size(t["keys"]) > 0)
     found = lambda ts: F.transform(F.array(*rows), lambda d: F.transform(
-        F.filter(ts, lambda t: F.contains(t["key"], d["key"]) & F.call_function("rlike", t["key"], d["pattern"])),
+        F.filter(ts, lambda t: F.array_contains(t["keys"], d["key"])),
         lambda t: F.struct(d["type"].alias("type"), d["name"].alias("canonical_name"), d["phrase"].alias("matched_text"), t["source_field"].alias("source_field"), F.lit("exact").alias("confidence"), d["aliases"].alias("aliases"))))
-    return F.flatten(let(texts, found))
+    return F.flatten(let(searched, lambda ts: F.when(F.size(ts) > 0, found(ts)).otherwise(F.array().cast(f"array<array<{ENTITY}>>"))))
 
 
 def researcher_matches(names: Column, raw_names: Column | None, texts: Column) -> Column:

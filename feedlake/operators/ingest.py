@@ -8,19 +8,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedlake.functions.text import error_message
 from feedlake.functions.values import non_negative
-from feedlake.functions.vocabulary import PROCESSING_REASONS
+from feedlake.functions.vocabulary import PAPER_SOURCE_URL, PAPER_SOURCE_URLS, PROCESSING_REASONS
 from feedlake.operators.entities import added, enrich, extract_entities, names_of
-from feedlake.operators.linkage import action, candidate_rows, find_duplicates, known_items, merge_signals, within_batch
+from feedlake.operators.linkage import _kept, action, candidate_rows, find_duplicates, first_comers, first_links, known_items, link_keys, merge_signals
 from feedlake.operators.signals import to_signals
 from feedlake.operators.tagging import first_item_score, item_score, match_lab, tag_items
+from feedlake.operators.writes import source_health, upsert_sources
 from feedlake.sources.webpages import cap_per_source
 
 
 @dataclass(frozen=True)
 class Kind:
     """How one kind of source is run: sources and items of each at the most, whether items are tagged, checked for
-    duplicates, given a run row, scored by the first score and matched to labs."""
+    duplicates, given a run row, scored by the first score and matched to labs, also written as signals, and whether a row that fails
+    ends its source's turn."""
 
     sources: int | None
     items: int | None
@@ -28,9 +31,11 @@ class Kind:
     check_duplicates: bool = True
     ledger: bool = True
     first_score: bool = False
+    signals: bool = False
+    abort_source: bool = False
 
 
-KINDS = {"RSS": Kind(5, 20), "ARXIV": Kind(None, 20, tags=False, check_duplicates=False, ledger=False, first_score=True), "GITHUB": Kind(None, None), "WEBSITE": Kind(None, 20), "YOUTUBE": Kind(None, 10)}
+KINDS = {"RSS": Kind(5, 20, signals=True), "ARXIV": Kind(None, 20, tags=False, check_duplicates=False, ledger=False, first_score=True), "GITHUB": Kind(None, None), "WEBSITE": Kind(None, 20, abort_source=True), "YOUTUBE": Kind(None, 10, abort_source=True)}
 
 
 def due_sources(sources: DataFrame, kind: str) -> DataFrame:
@@ -58,21 +63,28 @@ def prepare(scanned: DataFrame, labs: DataFrame, kind: str, now: Column) -> Data
     return rows.withColumn("score", score.cast("double"))
 
 
-def outcomes(prepared: DataFrame, items: DataFrame, check_duplicates: bool = True) -> DataFrame:
-    """prepared with outcome: created, or deduped for a known item or a repetition within the batch. Without the check a
-    collision is a failure (insertion would break a unique key)."""
+def outcomes(prepared: DataFrame, items: DataFrame, check_duplicates: bool = True, abort_source: bool = False) -> DataFrame:
+    """prepared with outcome: created, or deduped for a known item or one that the batch has written before
+    (linkage.first_comers). Without the check a collision is a failure (insertion would break a unique key). Rows with
+    an insert_error fail too. With abort_source the rows of a source after its first failure are `skipped`."""
     marked = known_items(prepared, items)
-    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) == 1
-    keyed = F.col("source_id").isNotNull() & F.col("external_id").isNotNull()
-    fresh = ~F.col("is_known") & first("url") & F.when(keyed, first("source_id", "external_id")).otherwise(True)
-    return marked.withColumn("outcome", F.when(fresh, "created").otherwise("deduped" if check_duplicates else "failed")).drop("is_known")
-
-
-def run_ledger(results: DataFrame, kind: str, run_id: str, error: str | None = None) -> DataFrame:
+    bad = F.coalesce(F.col("insert_error").isNotNull(), F.lit(False)) if "insert_error" in prepared.columns else F.lit(False)
+    can_be = ~F.col("is_known") & ~bad
+    judged = first_comers(marked.where(can_be)).unionByName(marked.where(~can_be).withColumn("is_first", F.lit(False)))
+    other = "deduped" if check_duplicates else "failed"
+    done = judged.withColumn("outcome", F.when(F.col("is_first"), "created").when(~F.col("is_known") & bad, "failed").otherwise(other)).drop("is_known", "is_first")
+    if abort_source:
+        before = F.max((F.col("outcome") == "failed").cast("int")).over(Window.partitionBy("source_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+        done = done.withColumn("outcome", F.when(before == 1, "skipped").otherwise(F.col("outcome")))
+    return done
+
+
+def run_ledger(results: DataFrame, kind: str, run_id: str, error: str | None = None, failed_sources: Column | int = 0) -> DataFrame:
     """The run's row: fetched, created, deduped, failed, and status SUCCESS, PARTIAL if anything failed, FAILED if the run
-    itself broke off (counted as one more failure)."""
+    itself broke off (counted as one more failure). A source that failed as a whole counts as one failure."""
+    failed_sources = F.lit(failed_sources) if isinstance(failed_sources, int) else failed_sources
     n = lambda o: F.count_if(F.col("outcome") == o)
-    row = results.agg(F.count("*").alias("fetched"), n("created").alias("created"), n("deduped").alias("deduped"), (n("failed") + (1 if error else 0)).alias("failed"))
+    row = results.agg(F.count("*").alias("fetched"), n("created").alias("created"), n("deduped").alias("deduped"), (n("failed") + failed_sources + (1 if error else 0)).alias("failed"))
     status = F.lit("FAILED") if error else F.when(F.col("failed") == 0, "SUCCESS").otherwise("PARTIAL")
     return row.select(F.lit(run_id).alias("run_id"), F.lit(kind).alias("kind"), "*", status.alias("status"), F.lit(error).cast("string").alias("error"))
 
@@ -80,13 +92,31 @@ def run_ledger(results: DataFrame, kind: str, run_id: str, error: str | None = N
 def source_counts(results: DataFrame) -> DataFrame:
     """(source_id, inserted, skipped, errors)."""
     n = lambda o: F.count_if(F.col("outcome") == o)
-    return results.groupBy("source_id").agg(n("created").alias("inserted"), (n("deduped") + n("failed")).alias("skipped"), n("failed").alias("errors"))
+    return results.groupBy("source_id").agg(n("created").alias("inserted"), (n("deduped") + n("failed") + n("skipped")).alias("skipped"), n("failed").alias("errors"))
+
+
+def events(results: DataFrame, run_id: str, kind: str = "RSS", source_errors: DataFrame | None = None, signal_failures: DataFrame | None = None) -> DataFrame:
+    """(run_id, source_id, level, message, detail): one event for each item that failed, each source that failed as a whole
+    (source_id, error), and each item whose signal failed (source_id, title, url, error). Details are JSON; errors are
+    told without secrets."""
+    name = {"RSS": "RSS", "ARXIV": "arXiv", "GITHUB": "GitHub", "WEBSITE": "Website", "YOUTUBE": "YouTube"}[kind]
+    row = lambda df, what, *detail: df.select(F.lit(run_id).alias("run_id"), "source_id", F.lit("ERROR").alias("level"), F.lit(f"{name} {what}").alias("message"), F.to_json(F.struct(*detail)).alias("detail"))
+    told = lambda c: error_message(c, "Unknown error.")
+    why = told(F.col("insert_error")) if "insert_error" in results.columns else F.lit("Unique key violated.")
+    out = row(results.where(F.col("outcome") == "failed"), "item create failed", "title", "url", why.alias("error"))
+    for df, what, detail in ((source_errors, "source failed", ()), (signal_failures, "Signal persistence failed", ("title", "url"))):
+        out = out if df is None else out.unionByName(row(df, what, *detail, told(F.col("error")).alias("error")))
+    return out
 
 
-def events(results: DataFrame, run_id: str) -> DataFrame:
-    """(run_id, source_id, level, message, detail): one event for each failed row."""
-    failed = results.where(F.col("outcome") == "failed")
-    return failed.select(F.lit(run_id).alias("run_id"), "source_id", F.lit("ERROR").alias("level"), F.lit("Item could not be inserted.").alias("message"), F.to_json(F.struct("url", "external_id")).alias("detail"))
+def health(sources: DataFrame, results: DataFrame, now: Column, source_errors: DataFrame | None = None) -> DataFrame:
+    """sources after the run: those that it asked are checked now; those without an error of their own are well."""
+    asked = results.select("source_id").distinct()
+    outcome = asked.select("source_id", now.alias("at"), F.lit(None).cast("string").alias("error"))
+    if source_errors is not None:
+        bad = source_errors.groupBy("source_id").agg(error_message(F.max("error"), "Unknown error.").alias("error"))
+        outcome = asked.unionByName(bad.select("source_id")).distinct().join(bad, "source_id", "left").select("source_id", now.alias("at"), "error")
+    return source_health(sources, outcome)
 
 
 def process(items: DataFrame, existing: DataFrame, candidates_only: bool = True, limit: int = 25) -> tuple[DataFrame, DataFrame]:
@@ -97,52 +127,118 @@ def process(items: DataFrame, existing: DataFrame, candidates_only: bool = True,
     before = valid.select("id", *[F.col(c).alias(f"__{c}") for c in ("technologies", "organizations", "researchers")])
     enriched = enrich(extract_entities(valid))
     pairs = candidate_rows(enriched, existing, limit) if candidates_only else None
-    decided = action(find_duplicates(enriched, existing, candidates=pairs))
-    joined = enriched.join(decided, "id").join(before, "id")
+    decided = action(find_duplicates(enriched, existing, candidates=pairs)).withColumnRenamed("score", "duplicate_score")
+    joined = enriched.drop(*[c for c in decided.columns if c != "id"]).join(decided, "id").join(before, "id")
     delta = F.format_string("Entity enrichment added %d technologies, %d organizations, and %d researchers.", *[added(F.col(f"__{c}"), F.col(c)) for c in ("technologies", "organizations", "researchers")])
     key = F.when(F.col("confidence") == "high", "title_high").otherwise(F.col("matched_by"))
     why = F.element_at(F.create_map(*[F.lit(x) for kv in PROCESSING_REASONS.items() for x in kv]), key)
     e = F.col("entities")
-    metrics = F.struct(F.size(names_of(e, "technology")).alias("technology_count"), (F.size(names_of(e, "organization")) + F.size(names_of(e, "lab")) + F.size(names_of(e, "institution"))).alias("organization_count"), F.size(names_of(e, "researcher")).alias("researcher_count"), F.size(e).alias("total_entity_count"), F.col("score").alias("duplicate_score"))
+    metrics = F.struct(F.size(names_of(e, "technology")).alias("technology_count"), (F.size(names_of(e, "organization")) + F.size(names_of(e, "lab")) + F.size(names_of(e, "institution"))).alias("organization_count"), F.size(names_of(e, "researcher")).alias("researcher_count"), F.size(e).alias("total_entity_count"), "duplicate_score")
     done = joined.withColumns({"reasons": F.array(delta, why, F.concat(F.lit("Action selected: "), "action", F.lit("."))), "metrics": metrics, "stage": F.lit("completed")})
     return done.drop("__technologies", "__organizations", "__researchers"), rejected
 
 
-def persist_plan(processed: DataFrame, existing: DataFrame, enabled: bool = False, dry_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(statuses, to_insert, to_update): what writing the processed signals would do.
+def batch_actions(created: DataFrame, ord_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(inserted ids, linked) of rows that link with no existing row: a run from the first to the last inserts those that
+    link with none inserted before; the others are linked (id, first_id, tier) with the first such row of their best tier.
+
+    In each round the rows without any earlier link are inserted, and those that link with an inserted one go. The driver
+    sees one number a round.
+    """
+    keys, at = _kept(link_keys(created)), created.select("id", F.col(ord_col).alias("at"))
+    open_, inserted, linked = keys, None, None
+    while True:
+        place = at.join(open_.select("id"), "id", "left_semi")
+        early = first_links(open_, open_, place, own=place)
+        new = _kept(open_.join(early.select(F.col("left_id").alias("id")), "id", "left_anti").select("id"))
+        inserted = new if inserted is None else inserted.unionAll(new)
+        rest = open_.join(new, "id", "left_anti")
+        found = _kept(first_links(rest, keys.join(inserted, "id", "left_semi"), at.join(inserted, "id", "left_semi"), own=at).select(F.col("left_id").alias("id"), F.col("right_id").alias("first_id"), "tier"))
+        linked = found if linked is None else linked.unionAll(found)
+        open_ = _kept(rest.join(found, "id", "left_anti"))
+        if open_.isEmpty():
+            return inserted, linked
+
+
+def persist_plan(processed: DataFrame, existing: DataFrame, enabled: bool = False, dry_run: bool = False, ord_col: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(statuses, to_insert, to_update): what writing the processed signals in the order of ord_col would do.
 
     Status: dry_run; disabled (or review_required) while the switch is off; created; updated; review_required. Only
-    created and updated rows are written, and nothing in a dry run or with the switch off; within the batch the first
-    of linked rows is inserted and later ones update it.
+    created and updated rows are written, and nothing in a dry run or with the switch off. A row that links with one
+    inserted before it in the batch is no insert: by identifier or URL it updates that row (to_insert has the result), by
+    title it is left for review. Of existing rows each is updated by all its rows, one after the other. Links are looked
+    for among rows as they came, not as updates leave them.
     """
     verb = F.col("action")
-    status = F.lit("dry_run") if dry_run else F.when(verb == "review", "review_required").otherwise("disabled") if not enabled else F.when(verb == "create", "created").when(verb == "update", "updated").otherwise("review_required")
-    statuses = processed.select("id", "action", status.alias("status"))
-    write = processed.where(F.lit(enabled and not dry_run))
-    fresh = write.where(verb == "create")
-    ordered = fresh.withColumn("ord", F.row_number().over(Window.partitionBy("canonical_url").orderBy("id"))).where("ord = 1").drop("ord")
-    updates = write.where(verb == "update")
-    merged = merge_signals(existing, updates.drop("id").withColumnRenamed("existing_id", "id")) if enabled and not dry_run else merge_signals(existing, updates.drop("id").withColumnRenamed("existing_id", "id")).where(F.lit(False))
-    return statuses, ordered, merged
-
-
-def batch_links(signals: DataFrame) -> DataFrame:
-    """Signals that link with an earlier one of their batch."""
-    return within_batch(signals)
-
-
-def run(kind: str, scanned: DataFrame, items: DataFrame, labs: DataFrame, now: Column, run_id: str, append: Callable[[DataFrame], None] | None = None) -> dict[str, DataFrame]:
+    if dry_run or not enabled:
+        status = F.lit("dry_run") if dry_run else F.when(verb == "review", "review_required").otherwise("disabled")
+        return processed.select("id", "action", status.alias("status")), processed.where(F.lit(False)), merge_signals(existing, processed.where(F.lit(False)).drop("id").withColumnRenamed("existing_id", "id"))
+    processed = _kept(processed)  # asked for in every round
+    fresh = processed.where(verb == "create")
+    inserted, linked = batch_actions(fresh, ord_col)
+    rows = processed.join(linked.select("id", "first_id", F.col("tier").alias("__tier")), "id", "left")
+    acted = F.when(F.col("__tier") <= 2, "update").when(F.col("__tier").isNotNull(), "review").otherwise(verb)
+    rows = rows.withColumn("action", acted).withColumn("__at", F.col(ord_col))
+    statuses = rows.select("id", "action", F.when(verb == "create", "created").when(verb == "update", "updated").otherwise("review_required").alias("status"))
+    updates = rows.where("action = 'update'")
+    first = fresh.join(inserted, "id", "left_semi")
+    in_batch = updates.where("first_id is not null").drop("id").withColumnRenamed("first_id", "id")
+    merged_first = merge_signals(first, in_batch, ord_col="__at")
+    to_insert = first.join(merged_first.select("id"), "id", "left_anti").select(*merged_first.columns).unionByName(merged_first)
+    merged = merge_signals(existing, updates.where("first_id is null").drop("id").withColumnRenamed("existing_id", "id"), ord_col="__at")
+    return statuses, to_insert, merged
+
+
+def dual_write(items: DataFrame, existing: DataFrame, enabled: bool = False) -> dict[str, DataFrame]:
+    """The new items of a run (with id, title, url, ord) as signals: `statuses` (id, attempted, status, error), `to_insert`,
+    `to_update`. With the switch off nothing is attempted. An item that is no valid signal fails alone, and a failure to
+    plan at all fails every item; neither touches the items themselves."""
+    none = F.lit(None).cast("string")
+    if not enabled:
+        return {"statuses": items.select("id", F.lit(False).alias("attempted"), F.lit("disabled").alias("status"), none.alias("error"))}
+    try:
+        done, rejected = process(items, existing)
+        statuses, fresh, merged = persist_plan(done, existing, enabled=True, ord_col="ord" if "ord" in done.columns else "id")
+    except Exception as error:  # the signals fail as a whole, the items stay
+        return {"statuses": items.select("id", F.lit(True).alias("attempted"), F.lit("failed").alias("status"), F.lit(str(error)[:500]).alias("error"))}
+    good = statuses.select("id", F.lit(True).alias("attempted"), "status", none.alias("error"))
+    bad = rejected.select("id", F.lit(True).alias("attempted"), F.lit("failed").alias("status"), F.col("error_code").alias("error"))
+    return {"statuses": good.unionByName(bad), "to_insert": fresh, "to_update": merged}
+
+
+def run(kind: str, scanned: DataFrame, items: DataFrame, labs: DataFrame, now: Column, run_id: str, append: Callable[[DataFrame], None] | None = None,
+        sources: DataFrame | None = None, source_errors: DataFrame | None = None, signals: DataFrame | None = None, signals_enabled: bool = False) -> dict[str, DataFrame]:
     """One batch of one kind: `results` (every row with its outcome), `new` (rows to append; given to `append` if there is
-    one), `ledger` (absent for kinds without), `sources` and `events`. An unknown kind is an error."""
+    one), `ledger` (absent for kinds without), `sources` (counts) and `events`. An unknown kind is an error.
+
+    source_errors (source_id, error) are sources that could not be scanned. With the table of sources, `health` is that
+    table after the run, for papers `source_rows` with the sources that their items come from. With the table of signals,
+    kinds that also write signals give `signals` (dual_write of the new items; their id is the place in the run).
+    """
     if kind not in KINDS:
         raise ValueError(f"unknown ingest kind {kind!r}")
     how = KINDS[kind]
-    results = outcomes(prepare(scanned, labs, kind, now), items, how.check_duplicates)
+    results = outcomes(prepare(scanned, labs, kind, now), items, how.check_duplicates, how.abort_source)
     new = results.where(F.col("outcome") == "created").drop("outcome").withColumn("status", F.lit("FETCHED"))
     if append is not None:
         append(new)
-    out = {"results": results, "new": new, "sources": source_counts(results), "events": events(results, run_id)}
-    return out | ({"ledger": run_ledger(results, kind, run_id)} if how.ledger else {})
+    out: dict = {"results": results, "new": new, "sources": source_counts(results)}
+    failures = None
+    if how.signals and signals is not None:
+        made = out["signals"] = dual_write(new.withColumn("id", F.col("ord").cast("string")), signals, signals_enabled)
+        failed = made["statuses"].where("status = 'failed'").select("id", "error")
+        failures = new.withColumn("id", F.col("ord").cast("string")).join(failed, "id").select("source_id", "title", "url", "error")
+    out["events"] = events(results, run_id, kind, source_errors, failures)
+    if sources is not None and kind == "ARXIV":
+        url = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PAPER_SOURCE_URLS.items() for x in kv]), F.col("source_name")), F.lit(PAPER_SOURCE_URL))
+        seen = results.select("lab_id", url.alias("url"), F.lit("ARXIV").alias("type"), F.coalesce("source_name", F.lit("arXiv")).alias("name"))
+        out["source_rows"] = upsert_sources(sources, seen, now)
+    elif sources is not None:
+        out["health"] = health(sources, results, now, source_errors)
+    if how.ledger:
+        lost = 0 if source_errors is None else source_errors.select("source_id").distinct().count()
+        out["ledger"] = run_ledger(results, kind, run_id, failed_sources=lost)
+    return out
 
 
 def run_all(scans: dict[str, DataFrame], items: DataFrame, labs: DataFrame, now: Column, run_id: str) -> dict[str, dict | Exception]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,54 +22,103 @@ def link_keys(signals: DataFrame, id_col: str = "id", use_raw: bool = True) -> D
     return signals.select(F.col(id_col).alias("id"), ids.alias("ids"), normalize_url(F.col("canonical_url")).alias("url"), normalize_title(F.coalesce("title", F.lit(""))).alias("title"), title_tokens(F.coalesce("title", F.lit(""))).alias("tokens"))
 
 
-def similar_titles(left: DataFrame, right: DataFrame, threshold: float = V.TITLE_THRESHOLD) -> DataFrame:
-    """(left_id, right_id, score) of all pairs whose token sets have a Jaccard similarity of at least threshold.
+def _title_sets(side: DataFrame) -> DataFrame:
+    """(key, tokens): the distinct token sets, so that a title with many copies is compared once."""
+    return side.where(F.size("tokens") > 0).select(F.array_sort("tokens").alias("tokens")).distinct().withColumn("key", F.xxhash64("tokens"))
+
+
+def similar_sets(left: DataFrame, right: DataFrame, threshold: float = V.TITLE_THRESHOLD) -> DataFrame:
+    """(left_key, right_key, score) of all pairs of token sets whose Jaccard similarity is at least threshold; keys are the
+    hashes of the sorted sets. Two equal sets are a pair with score 1.
 
     Exact: a pair that similar shares one of the rarest |x| - ceil(t|x|) + 1 tokens of each side, so only these are
     joined, with sizes that allow the threshold. Tokens are ranked by their frequency over both sides.
     """
-    every = left.select("tokens").unionAll(right.select("tokens"))
-    freq = every.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    sides = [_title_sets(left), _title_sets(right)]
+    freq = sides[0].unionAll(sides[1]).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
     def prefix(side: DataFrame, name: str) -> DataFrame:
-        exploded = side.where(F.size("tokens") > 0).select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(freq, "token")
-        rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "token"))
+        exploded = side.select("key", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(freq, "token")
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "token"))
         keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-        return exploded.withColumn("r", rank).where(F.col("r") <= keep).select(F.col("id").alias(f"{name}_id"), "token", F.col("size").alias(f"{name}_size"))
+        return exploded.withColumn("r", rank).where(F.col("r") <= keep).select(F.col("key").alias(f"{name}_key"), "token", F.col("size").alias(f"{name}_size"))
 
-    a, b = prefix(left, "left"), prefix(right, "right")
+    a, b = prefix(sides[0], "left"), prefix(sides[1], "right")
     near = (F.col("left_size") >= F.col("right_size") * threshold - 1e-9) & (F.col("right_size") >= F.col("left_size") * threshold - 1e-9)
-    pairs = a.join(b, "token").where(near).select("left_id", "right_id").distinct()
-    full = pairs.join(left.select(F.col("id").alias("left_id"), F.col("tokens").alias("lt")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("tokens").alias("rt")), "right_id")
+    pairs = a.join(b, "token").where(near).select("left_key", "right_key").distinct()
+    full = pairs.join(sides[0].select(F.col("key").alias("left_key"), F.col("tokens").alias("lt")), "left_key").join(sides[1].select(F.col("key").alias("right_key"), F.col("tokens").alias("rt")), "right_key")
     score = F.size(F.array_intersect("lt", "rt")) / F.size(F.array_union("lt", "rt"))
-    return full.withColumn("score", score).where(F.col("score") >= threshold).select("left_id", "right_id", "score")
+    return full.withColumn("score", score).where(F.col("score") >= threshold).select("left_key", "right_key", "score")
+
+
+def similar_titles(rows: DataFrame, threshold: float = V.TITLE_THRESHOLD) -> DataFrame:
+    """(left_id, right_id, score, n_left, n_right) from (id, tokens): every pair of different token sets that are similar, as
+    the smallest ids that have them, with how many rows have each. Rows with equal sets are not paired with each other."""
+    sets = rows.where(F.size("tokens") > 0).groupBy(F.xxhash64(F.array_sort("tokens")).alias("key")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    pairs = similar_sets(rows, rows, threshold)
+    one, two = (sets.select(F.col("key").alias(f"{side}_key"), F.col("id").alias(f"{side}_id"), F.col("n").alias(f"n_{side}")) for side in ("left", "right"))
+    return pairs.join(one, "left_key").join(two, "right_key").where("left_id < right_id").select("left_id", "right_id", "score", "n_left", "n_right")
 
 
-def tier_pairs(left: DataFrame, right: DataFrame, threshold: float = V.TITLE_THRESHOLD) -> DataFrame:
-    """(left_id, right_id, tier, score): every link of every tier between two tables of link_keys. All joins are equi."""
-    ids = lambda side, name: side.select(F.col("id").alias(name), F.explode("ids").alias("key"))
-    one = ids(left, "left_id").join(ids(right, "right_id"), "key").select("left_id", "right_id", F.lit(1).alias("tier"), F.lit(None).cast("double").alias("score")).distinct()
-    two = left.where("url <> ''").select(F.col("id").alias("left_id"), "url").join(right.select(F.col("id").alias("right_id"), "url"), "url").select("left_id", "right_id", F.lit(2).alias("tier"), F.lit(None).cast("double").alias("score"))
-    three = left.where("title <> ''").select(F.col("id").alias("left_id"), "title").join(right.select(F.col("id").alias("right_id"), "title"), "title").select("left_id", "right_id", F.lit(3).alias("tier"), F.lit(1.0).alias("score"))
-    four = similar_titles(left, right, threshold).select("left_id", "right_id", F.lit(4).alias("tier"), "score")
-    return one.unionAll(two).unionAll(three).unionAll(four)
+def _ordered(existing: DataFrame, order: Column | None) -> DataFrame:
+    """(id, at): existing rows with what they are sorted by."""
+    return existing.select("id", (order if order is not None else existing_order(existing)).alias("at"))
 
 
-def find_duplicates(incoming: DataFrame, existing: DataFrame, order: list | None = None, threshold: float = V.TITLE_THRESHOLD, use_raw: bool = True, candidates: DataFrame | None = None) -> DataFrame:
+def first_links(left: DataFrame, right: DataFrame, at: DataFrame, threshold: float = V.TITLE_THRESHOLD, own: DataFrame | None = None) -> DataFrame:
+    """(left_id, tier, right_id, score): of each left row the first right row, in the order of `at`, of its best tier. With
+    `own` (id, at of the left rows) only right rows before the left row's own place count.
+
+    Of all right rows with one key only the first can be an answer, so each key has one row before anything is joined:
+    a key that a million rows share makes no pairs.
+    """
+    placed = right.join(at, "id")
+    key_of_set = F.xxhash64(F.array_sort("tokens"))
+
+    def firsts(rows: DataFrame, key: Column) -> DataFrame:
+        return rows.select(key.alias("key"), F.struct("at", "id").alias("who")).where("key is not null").groupBy("key").agg(F.min("who").alias("who"))
+
+    def tier(rows: DataFrame, others: DataFrame, n: int, score) -> DataFrame:
+        return rows.join(others, "key").select("left_id", F.lit(n).alias("tier"), "who", score.alias("score"))
+
+    name = F.col("id").alias("left_id")
+    found = tier(left.select(name, F.explode("ids").alias("key")), firsts(placed, F.explode("ids")), 1, F.lit(None).cast("double"))
+    found = found.unionAll(tier(left.where("url <> ''").select(name, F.col("url").alias("key")), firsts(placed, F.nullif("url", F.lit(""))), 2, F.lit(None).cast("double")))
+    found = found.unionAll(tier(left.where("title <> ''").select(name, F.col("title").alias("key")), firsts(placed, F.nullif("title", F.lit(""))), 3, F.lit(1.0)))
+    near = similar_sets(left, right, threshold).join(firsts(placed.where(F.size("tokens") > 0), key_of_set).withColumnRenamed("key", "right_key"), "right_key").select(F.col("left_key").alias("key"), "who", "score")
+    found = found.unionAll(left.where(F.size("tokens") > 0).select(name, key_of_set.alias("key")).join(near, "key").select("left_id", F.lit(4).alias("tier"), "who", "score"))
+    if own is not None:
+        found = found.join(own.select(F.col("id").alias("left_id"), F.struct("at", "id").alias("me")), "left_id").where("who < me").drop("me")
+    best = found.groupBy("left_id").agg(F.min(F.struct("tier", "who", "score")).alias("b"))
+    return best.select("left_id", "b.tier", F.col("b.who.id").alias("right_id"), "b.score")
+
+
+def candidate_links(left: DataFrame, right: DataFrame, candidates: DataFrame, at: DataFrame, threshold: float = V.TITLE_THRESHOLD) -> DataFrame:
+    """As first_links among given pairs (left_id, right_id), of which each left row has few."""
+    sides = [side.select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "ids", "url", "title", "tokens")]) for side, name in ((left, "left"), (right, "right"))]
+    pairs = candidates.select("left_id", "right_id").distinct().join(sides[0], "left_id").join(sides[1], "right_id").join(at.select(F.col("id").alias("right_id"), "at"), "right_id")
+    score = F.try_divide(F.size(F.array_intersect("left_tokens", "right_tokens")), F.size(F.array_union("left_tokens", "right_tokens")))
+    tier = F.when(F.arrays_overlap("left_ids", "right_ids"), 1).when((F.col("left_url") == F.col("right_url")) & (F.col("left_url") != ""), 2).when((F.col("left_title") == F.col("right_title")) & (F.col("left_title") != ""), 3).when(score >= threshold, 4)
+    rated = pairs.withColumn("tier", tier).where("tier is not null").withColumn("score", F.when(F.col("tier") == 3, 1.0).when(F.col("tier") == 4, score))
+    best = rated.groupBy("left_id").agg(F.min(F.struct("tier", "at", "right_id", "score")).alias("b"))
+    return best.select("left_id", "b.tier", "b.right_id", "b.score")
+
+
+def find_duplicates(incoming: DataFrame, existing: DataFrame, order: Column | None = None, threshold: float = V.TITLE_THRESHOLD, use_raw: bool = True, candidates: DataFrame | None = None, earlier: bool = False) -> DataFrame:
     """A row per incoming id: is_duplicate, confidence, reason, matched_by, existing_id, existing_url, score.
 
-    The best tier wins; within a tier the first existing row in `order` (by default published_at and updated_at newest
-    first, nulls first, then id). So a similar title is the first above the threshold, not the most similar one.
-    candidates (left_id, right_id) limits the pairs, as candidate_rows gives them.
+    The best tier wins; within a tier the first existing row in `order` (a column to sort by; by default published_at and
+    updated_at newest first, nulls first, then id). So a similar title is the first above the threshold, not the most
+    similar one. candidates (left_id, right_id) limits the pairs, as candidate_rows gives them. With `earlier` both
+    tables are one, and a row is compared with those before it in the order.
     """
-    left, right = link_keys(incoming, use_raw=use_raw), link_keys(existing, use_raw=use_raw)
-    pairs = tier_pairs(left, right, threshold)
+    left, right, at = link_keys(incoming, use_raw=use_raw), link_keys(existing, use_raw=use_raw), _ordered(existing, order)
     if candidates is not None:
-        pairs = pairs.join(candidates.select("left_id", "right_id").distinct(), ["left_id", "right_id"], "left_semi")
-    order = order if order is not None else existing_order(existing)
-    ranked = pairs.join(existing.select(F.col("id").alias("right_id"), F.col("canonical_url").alias("existing_url"), *[c for c in ("published_at", "updated_at") if c in existing.columns]), "right_id")
-    first = ranked.withColumn("r", F.row_number().over(Window.partitionBy("left_id").orderBy("tier", *order))).where("r = 1")
-    out = incoming.select(F.col("id")).join(first, F.col("id") == F.col("left_id"), "left")
+        first = candidate_links(left, right, candidates, at, threshold)
+    else:
+        first = first_links(left, right, at, threshold, _ordered(incoming, order) if earlier else None)
+    urls = existing.select(F.col("id").alias("right_id"), F.col("canonical_url").alias("existing_url"))
+    out = incoming.select(F.col("id")).join(first.join(urls, "right_id", "left"), F.col("id") == F.col("left_id"), "left")
     tier = F.col("tier")
     name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv]), tier), F.lit("none"))
     reason = F.element_at(F.create_map(*[F.lit(x) for kv in V.DUPLICATE_REASONS.items() for x in kv]), name)
@@ -75,9 +126,10 @@ def find_duplicates(incoming: DataFrame, existing: DataFrame, order: list | None
                       F.regexp_replace(name, "_high$", "").alias("matched_by"), F.col("right_id").alias("existing_id"), "existing_url", "score")
 
 
-def existing_order(existing: DataFrame) -> list:
-    """The order in which existing rows are asked."""
-    return [F.desc_nulls_first(c) for c in ("published_at", "updated_at") if c in existing.columns] + [F.asc("right_id")]
+def existing_order(existing: DataFrame) -> Column:
+    """What the existing rows are asked in the order of: newest first, nulls before, then by id."""
+    parts = [F.struct(F.col(c).isNotNull().alias("dated"), (-F.unix_micros(F.col(c).cast("timestamp"))).alias("back")).alias(c) for c in ("published_at", "updated_at") if c in existing.columns]
+    return F.struct(*parts, F.col("id").alias("id"))
 
 
 def action(duplicates: DataFrame) -> DataFrame:
@@ -86,31 +138,37 @@ def action(duplicates: DataFrame) -> DataFrame:
     return duplicates.withColumn("action", F.when(~F.col("is_duplicate"), "create").when(exact, "update").when(F.col("matched_by") == "title", "review").otherwise("create"))
 
 
-def candidate_rows(incoming: DataFrame, existing: DataFrame, limit: int = 25, contains: bool = False) -> DataFrame:
-    """(left_id, right_id, rank): existing rows with the same URL or the same title without case, newest first, at most
-    1 to 25 for each incoming row. With `contains`, titles that hold the first 80 characters of the incoming title
-    count too; that is no equality, so it only blocks on the first word that both titles have."""
+def candidate_rows(incoming: DataFrame, existing: DataFrame, limit: int = 25) -> DataFrame:
+    """(left_id, right_id, rank): existing rows with the same URL, the same title without case, or a title that holds the
+    first 80 characters of the incoming one without case; newest first, at most 1 to 25 for each incoming row.
+
+    What a title holds is found by blocks that lose nothing: a title that holds a text also holds the text's inner words
+    as whole words, and each three characters in a row of it. Of these the one that is rarest among the existing titles
+    joins the two sides; the test itself follows.
+    """
     limit = max(1, min(25, limit))
     a = incoming.select(F.col("id").alias("left_id"), F.col("canonical_url").alias("u"), F.lower("title").alias("t"), F.lower(title_prefix(F.col("title"))).alias("prefix"))
-    b = existing.select(F.col("id").alias("right_id"), F.col("canonical_url").alias("u"), F.lower("title").alias("t"), *[c for c in ("published_at", "updated_at") if c in existing.columns])
-    pairs = a.select("left_id", "u").join(b.select("right_id", "u"), "u").select("left_id", "right_id").union(a.select("left_id", "t").join(b.select("right_id", "t"), "t").select("left_id", "right_id"))
-    if contains:
-        word = F.filter(F.split(F.col("prefix"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
-        left = a.where(F.length("prefix") > 0).select("left_id", "prefix", F.when(F.size(word) > 2, F.element_at(word, 2)).alias("w"))
-        right = b.select("right_id", "t", F.explode(F.array_distinct(F.split("t", r"[^\p{L}\p{N}]+"))).alias("w"))
-        pairs = pairs.union(left.join(right, "w").where(F.contains("t", "prefix")).select("left_id", "right_id"))
-    ranked = pairs.distinct().join(b.drop("u", "t"), "right_id")
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("left_id").orderBy(*existing_order(existing)))).where(F.col("rank") <= limit).select("left_id", "right_id", "rank")
+    b = existing.select(F.col("id").alias("right_id"), F.col("canonical_url").alias("u"), F.lower("title").alias("t"), existing_order(existing).alias("at"))
+    words = lambda text: F.split(text, r"[^\p{L}\p{N}]+")
+    grams = lambda text, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+    inner = F.slice(words(F.col("prefix")), F.lit(2), F.greatest(F.size(words(F.col("prefix"))) - 2, F.lit(0)))
+    asked = F.filter(F.concat(F.transform(inner, lambda w: F.concat(F.lit("w:"), w)), grams(F.col("prefix"), 3)), lambda k: ~k.isin("w:", ""))
+    held = F.array_distinct(F.concat(F.transform(words(F.col("t")), lambda w: F.concat(F.lit("w:"), w)), grams(F.col("t"), 3), grams(F.col("t"), 2), grams(F.col("t"), 1)))
+    keys = a.where(F.length("prefix") > 0).select("left_id", "prefix", F.explode(F.array_distinct(asked)).alias("key"))
+    blocks = b.select("right_id", "t", F.explode(held).alias("key")).join(keys.select("key").distinct(), "key", "left_semi")
+    often = blocks.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = keys.join(often, "key", "left").groupBy("left_id", "prefix").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key"))).alias("k")).select("left_id", "prefix", F.col("k.key").alias("key"))
+    holding = rarest.join(blocks, "key").where(F.contains("t", "prefix")).select("left_id", "right_id")
+    equal = a.select("left_id", "u").join(b.select("right_id", "u"), "u").select("left_id", "right_id").union(a.select("left_id", "t").join(b.select("right_id", "t"), "t").select("left_id", "right_id"))
+    ranked = equal.union(holding).distinct().join(b.select("right_id", "at"), "right_id")
+    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("left_id").orderBy("at"))).where(F.col("rank") <= limit).select("left_id", "right_id", "rank")
 
 
 def within_batch(batch: DataFrame, ord_col: str = "ord", threshold: float = V.TITLE_THRESHOLD, use_raw: bool = True) -> DataFrame:
     """(id, first_id, tier): rows that link with an earlier row of their own batch, which a row-by-row run would have
     seen already written."""
-    keys = link_keys(batch, use_raw=use_raw)
-    place = batch.select("id", F.col(ord_col).alias("o"))
-    pairs = tier_pairs(keys, keys, threshold).join(place.select(F.col("id").alias("left_id"), F.col("o").alias("lo")), "left_id").join(place.select(F.col("id").alias("right_id"), F.col("o").alias("ro")), "right_id").where("ro < lo")
-    first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("left_id").orderBy("tier", "ro"))).where("r = 1")
-    return first.select(F.col("left_id").alias("id"), F.col("right_id").alias("first_id"), "tier")
+    keys, place = link_keys(batch, use_raw=use_raw), batch.select("id", F.col(ord_col).alias("at"))
+    return first_links(keys, keys, place, threshold, place).select(F.col("left_id").alias("id"), F.col("right_id").alias("first_id"), "tier")
 
 
 def known_items(incoming: DataFrame, existing: DataFrame) -> DataFrame:
@@ -120,13 +178,44 @@ def known_items(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return incoming.join(by_key, ["source_id", "external_id"], "left").join(by_url, "url", "left").withColumn("is_known", F.coalesce("__k", "__u", F.lit(False))).select(*incoming.columns, "is_known")
 
 
+def first_comers(rows: DataFrame, ord_col: str = "ord") -> DataFrame:
+    """rows with is_first: whether a run from the first row to the last would write it, that is, no row written before has
+    its url or its (source_id, external_id).
+
+    A row that is not written blocks nothing: with (u1, k1), (u1, k2), (u3, k2) the third is written. Rows with the same
+    url and key are one candidate, its first row (one of those that share a place). In each round a candidate that is first by both its keys is written and
+    those that share a key with it go; rounds are as many as such a chain is long, mostly one or two. The driver sees one
+    number a round.
+    """
+    names = ["url", "source_id", "external_id"]
+    keyed = F.col("source_id").isNotNull() & F.col("external_id").isNotNull()
+    open_ = rows.groupBy(*names).agg(F.min(ord_col).alias("__at"))
+    written = open_.where(F.lit(False))
+    while True:
+        url = F.min("__at").over(Window.partitionBy("url"))
+        key = F.when(keyed, F.min("__at").over(Window.partitionBy("source_id", "external_id")))
+        marked = open_.withColumn("__w", (F.coalesce(url, F.col("__at")) == F.col("__at")) & (F.coalesce(key, F.col("__at")) == F.col("__at")))
+        near = F.max("__w").over(Window.partitionBy("url")) | F.coalesce(F.when(keyed, F.max("__w").over(Window.partitionBy("source_id", "external_id"))), F.lit(False))
+        marked = _kept(marked.withColumn("__n", near))
+        written = written.unionAll(marked.where("__w").select(*names, "__at"))
+        open_ = marked.where("not __n").drop("__w", "__n")
+        if open_.isEmpty():
+            break
+    w = written.select(*[F.col(n).alias(f"__{n}") for n in names], "__at", F.lit(True).alias("is_first"))
+    joined = rows.join(w, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names], F.col(ord_col) == F.col("__at")), "left")
+    one = F.row_number().over(Window.partitionBy(*names, ord_col).orderBy(F.lit(1))) == 1
+    return joined.withColumn("is_first", F.coalesce("is_first", F.lit(False)) & one).select(*rows.columns, "is_first")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once: in the checkpoint folder where the session has one, else in the executors' storage."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
 def new_items(incoming: DataFrame, existing: DataFrame, ord_col: str = "ord") -> DataFrame:
-    """The rows to insert: not known, and the first of the batch with their url and their (source_id, external_id)."""
+    """The rows to insert: not known, and written by a run from the first row to the last (first_comers)."""
     fresh = known_items(incoming, existing).where(~F.col("is_known")).drop("is_known")
-    first_url = F.row_number().over(Window.partitionBy("url").orderBy(ord_col))
-    first_key = F.row_number().over(Window.partitionBy("source_id", "external_id").orderBy(ord_col))
-    keyed = F.col("source_id").isNotNull() & F.col("external_id").isNotNull()
-    return fresh.withColumn("__u", first_url).where("__u = 1").withColumn("__k", F.when(keyed, first_key).otherwise(1)).where("__k = 1").drop("__u", "__k")
+    return first_comers(fresh, ord_col).where("is_first").drop("is_first")
 
 
 def merged_raw(existing: Column, incoming: Column) -> Column:
@@ -134,18 +223,27 @@ def merged_raw(existing: Column, incoming: Column) -> Column:
     return F.when(incoming.isNull(), existing).when(existing.isNull() | (existing == incoming), F.coalesce(existing, incoming)).otherwise(F.concat(F.lit('{"existing":'), existing, F.lit(',"incoming":'), incoming, F.lit("}")))
 
 
-def merge_signals(existing: DataFrame, incoming: DataFrame, on: str = "id") -> DataFrame:
+def merge_signals(existing: DataFrame, incoming: DataFrame, on: str = "id", ord_col: str | None = None) -> DataFrame:
     """Existing rows updated by incoming ones with the same key: gaps are filled, arrays united, title, type and score
-    come from the incoming row where it has them; id and canonical_url stay."""
-    e, i = existing.alias("e"), incoming.alias("i")
-    col = lambda side, name: F.col(f"{side}.{name}")
-    keep = lambda name: F.coalesce(col("e", name), col("i", name))
-    take = lambda name: F.coalesce(col("i", name), col("e", name))
+    come from the incoming row where it has them; id and canonical_url stay.
+
+    Several incoming rows of one key update it one after the other, in the order of ord_col (without one, of their raw and
+    title): one row comes out. They are gathered as one array a key: an update batch holds few rows of one signal.
+    """
+    arrays = ("technologies", "organizations", "researchers", "domains", "keywords")
+    fields = ["title", "summary", "source_id", "source_name", "signal_type", "published_at", *arrays, "relevance_score", "raw"]
+    place = [F.col(ord_col)] if ord_col else [F.col("raw"), F.col("title")]
+    news = incoming.groupBy(F.col(on).alias("__on")).agg(F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(place)], F.struct(*fields).alias("v")))).alias("__new"))
+    news = news.withColumn("__new", F.transform("__new", lambda x: x["v"]))
     blank = lambda c: F.coalesce(c, F.lit("")).rlike(_BLANK)
+    each = lambda name: F.transform("__new", lambda v: v[name])
+    first = lambda name, keep: F.get(F.filter(each(name), keep), F.lit(0))
+    last = lambda name, keep: F.get(F.reverse(F.filter(each(name), keep)), F.lit(0))
+    united = lambda name: merge_arrays(F.col(name), F.flatten(F.transform("__new", lambda v: F.coalesce(v[name], F.array().cast("array<string>")))))
+    keep = lambda name: F.coalesce(F.col(name), first(name, lambda x: x.isNotNull()))
+    fill = F.when(blank(F.col("summary")), F.coalesce(first("summary", lambda x: ~blank(x)), F.col("summary"), first("summary", lambda x: x.isNotNull()))).otherwise(F.col("summary"))
     made = {
-        "id": col("e", "id"), "title": F.when(blank(col("i", "title")), col("e", "title")).otherwise(F.trim(col("i", "title"))),
-        "summary": F.when((F.coalesce(col("i", "summary"), F.lit("")) != "") & blank(col("e", "summary")), col("i", "summary")).otherwise(keep("summary")),
-        "source_id": keep("source_id"), "source_name": keep("source_name"), "canonical_url": col("e", "canonical_url"), "signal_type": F.when(blank(col("i", "signal_type")), col("e", "signal_type")).otherwise(col("i", "signal_type")),
-        "published_at": keep("published_at"), **{a: merge_arrays(col("e", a), col("i", a)) for a in ("technologies", "organizations", "researchers", "domains", "keywords")},
-        "relevance_score": take("relevance_score"), "raw": merged_raw(col("e", "raw"), col("i", "raw"))}
-    return e.join(i, col("e", on) == col("i", on)).select(*[v.alias(k) for k, v in made.items()])
+        "id": F.col("id"), "title": F.coalesce(F.trim(last("title", lambda x: ~blank(x))), F.col("title")), "summary": fill, "source_id": keep("source_id"), "source_name": keep("source_name"), "canonical_url": F.col("canonical_url"),
+        "signal_type": F.coalesce(last("signal_type", lambda x: ~blank(x)), F.col("signal_type")), "published_at": keep("published_at"), **{a: united(a) for a in arrays},
+        "relevance_score": F.coalesce(last("relevance_score", lambda x: x.isNotNull()), F.col("relevance_score")), "raw": F.aggregate(each("raw"), F.col("raw"), merged_raw)}
+    return existing.join(news, F.col(on) == F.col("__on")).select(*[v.alias(k) for k, v in made.items()])

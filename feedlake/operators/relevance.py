@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import json_walk
 from feedlake.functions import vocabulary as V
-from feedlake.functions.text import key_of, normalize_key, normalize_whitespace, phrase_keys, unique_normalized
+from feedlake.functions.text import key_of, nfkc_values, normalize_key, normalize_whitespace, phrase_keys, unique_normalized
 from feedlake.functions.values import band, clamp_score, days_between, ladder, non_negative, once, round_half_up
 from feedlake.operators.entities import chunks, dictionary_matches, merge_entities, names_of, researcher_matches, resolve_technologies, with_raw_columns, DICTIONARIES, ENTITY
 
@@ -71,16 +71,17 @@ def features(df: DataFrame, aliases: dict[str, list[str]] = V.DOMAIN_ALIASES, us
     clock: a missing ingested_at means no age. Built in steps so that each text is normalised and searched once."""
     empty = F.array().cast("array<string>")
     c = _complete(df)
+    c = c.withColumns({x: once(nfkc_values(F.col(x))) for x in _LISTS if x in df.columns}) if set(_LISTS) & set(df.columns) else c
     c = with_raw_columns(c) if use_raw else c
     raw_text, raw_names = (F.col("__raw_text"), F.col("__raw_names")) if use_raw else (None, None)
     plain = lambda *names: normalize_whitespace(F.coalesce(*names, F.lit("")))
     s = c.withColumns({"__title": plain("title"), "__summary": plain("summary", "description"), "__url": F.trim(F.coalesce("canonical_url", "url", F.lit(""))), "__source": plain("source_name"), "__category": plain("source_category"),
-                       "__domains": once(unique_normalized(F.col("domains"))), "__keywords": unique_normalized(F.col("keywords")), "__researchers": unique_normalized(F.col("researchers")), "__given": once(unique_normalized(F.col("technologies")))})
+                       "__domains": once(unique_normalized(F.col("domains"), True)), "__keywords": unique_normalized(F.col("keywords"), True), "__researchers": unique_normalized(F.col("researchers"), True), "__given": once(unique_normalized(F.col("technologies"), True))})
     s = s.withColumn("__chunks", once(chunks(F.col("__title"), F.col("__summary"), F.col("__keywords"), raw_text, True)))
     s = s.withColumn("__found", once(F.concat(dictionary_matches(F.col("__chunks"), DICTIONARIES).cast(f"array<{ENTITY}>"), researcher_matches(F.col("__researchers"), raw_names, F.col("__chunks")).cast(f"array<{ENTITY}>"))))
     s = s.withColumn("__entities", once(merge_entities(F.col("__found")))).withColumn("__resolved", resolve_technologies(F.col("__given")))
     e = F.col("__entities")
-    both = lambda column, *kinds: once(unique_normalized(F.concat(F.coalesce(column, empty), *[names_of(e, k) for k in kinds])))
+    both = lambda column, *kinds: once(unique_normalized(F.concat(F.coalesce(column, empty), *[names_of(e, k) for k in kinds]), True))
     s = s.withColumns({
         "__technologies": both("__resolved", "technology"), "f_organizations": both("organizations", "organization", "lab", "institution"), "f_researchers": both("researchers", "researcher"),
         "f_projects": both("projects", "project"), "f_vessels": both("vessels", "vessel"), "f_expeditions": both("expeditions", "expedition"), "f_sites": both("archaeological_sites", "archaeological_site")})
@@ -116,8 +117,8 @@ def _per_hit(n: Column, each: int, most: int) -> Column:
     return F.least(n * each, F.lit(most))
 
 
-def rules(f: dict[str, Column]) -> list[tuple[str, str, int, Column, Column, str, Column]]:
-    """(dimension, rule id, largest contribution, condition, contribution, description, evidence) of every rule."""
+def rules(f: dict[str, Column]) -> list[tuple[str, str, int, Column, Column, Column]]:
+    """(dimension, rule id, largest contribution, condition, contribution, evidence) of every rule."""
     d, t, words = f["domains"], f["technologies"], lambda *x: F.array(*[F.lit(w) for w in x])
     n_d, n_t = F.size(d), F.size(t)
     context = f["context"]
@@ -129,44 +130,44 @@ def rules(f: dict[str, Column]) -> list[tuple[str, str, int, Column, Column, str
     has = lambda name: F.array_contains(d, name)
     research, novelty, impact, portfolio, graduate, community = V.DIMENSIONS
     return [
-        (research, "research.domain.marine-archaeology", 24, has("marineArchaeology"), F.lit(24), "Signal matches the marine archaeology domain.", words("marineArchaeology")),
-        (research, "research.domain.underwater-robotics", 18, has("underwaterRobotics"), F.lit(18), "Signal matches underwater robotics or marine autonomy.", words("underwaterRobotics")),
-        (research, "research.domain.digital-heritage", 14, has("digitalHeritage"), F.lit(14), "Signal connects to digital heritage or cultural preservation.", words("digitalHeritage")),
-        (research, "research.domain.ocean-mapping", 12, has("oceanMapping"), F.lit(12), "Signal aligns with ocean mapping or seafloor documentation.", words("oceanMapping")),
-        (research, "research.context.archaeological-site", 14, f["has_site"] & context, F.lit(14), "Signal references a vessel, shipwreck, or archaeological site in target context.", F.concat(f["sites"], f["vessels"], words("archaeological site"))),
-        (research, "research.combination.xr-hci-marine-heritage", 14, (f["xr"] > 0) & context, F.lit(14), "XR or HCI is connected to marine or heritage context.", F.concat(words("XR/HCI"), d)),
-        (research, "research.combination.underwater-robotics-method", 12, has("underwaterRobotics") & (n_t > 0), F.lit(12), "Underwater robotics signal includes concrete priority methods or sensors.", F.slice(t, 1, 5)),
-        (research, "research.combination.mapping-reconstruction-context", 18, (F.size(mapping) > 0) & context, _per_hit(F.size(mapping), 5, 18), "Mapping or reconstruction technology is applied to marine or heritage work.", mapping),
-        (research, "research.opportunity.aligned", 10, f["opportunity"] & context, F.lit(10), "Opportunity is aligned with a target research domain.", kind),
-        (research, "research.domain.diversity", 10, n_d >= 2, _per_hit(n_d, 4, 10), "Signal spans multiple target domains.", d),
-        (novelty, "novelty.recency.thirty-days", 16, f["age_days"] <= 30, F.lit(16), "Signal was published within the recent scoring window.", age),
-        (novelty, "novelty.recency.six-months", 8, (f["age_days"] > 30) & (f["age_days"] <= 180), F.lit(8), "Signal was published within six months of ingestion.", age),
-        (novelty, "novelty.language.observable", 21, F.size(f["novelty"]) > 0, _per_hit(F.size(f["novelty"]), 7, 21), "Observable novelty language is present.", f["novelty"]),
-        (novelty, "novelty.artifact.dataset", 14, f["has_dataset"], F.lit(14), "Signal includes or releases a dataset.", words("dataset")),
-        (novelty, "novelty.artifact.repository", 10, f["has_repository"], F.lit(10), "Signal includes or releases a repository.", words("repository")),
-        (novelty, "novelty.combination.emerging-technical-context", 15, (n_t >= 2) & ((f["marine"] > 0) | (f["archaeology"] > 0)), _per_hit(n_t, 5, 15), "Signal combines multiple relevant technologies in a target context.", t),
-        (novelty, "novelty.event.discovery-expedition", 12, f["signal_type"].isin("DISCOVERY", "EXPEDITION"), F.lit(12), "Signal reports a discovery or expedition update.", kind),
-        (impact, "technology.priority.matches", 32, n_t > 0, _per_hit(n_t, 8, 32), "Signal uses priority technologies.", t),
-        (impact, "technology.enables.target-workflows", 20, (F.size(f["enabling"]) > 0) & (n_t > 0), _per_hit(F.size(f["enabling"]), 5, 20), "Technology supports mapping, reconstruction, autonomy, interaction, preservation, or access.", f["enabling"]),
-        (impact, "technology.artifacts.reusable", 18, F.size(artifacts) > 0, _per_hit(F.size(artifacts), 6, 18), "Signal includes reusable technical artifacts or identifiers.", artifacts),
-        (impact, "technology.combination.cross-domain", 18, n_t >= 2, _per_hit(n_t, 5, 18), "Signal combines multiple relevant technologies.", t),
-        (portfolio, "portfolio.artifact.repository", 22, f["has_repository"], F.lit(22), "Public repository is available.", words("repository")),
-        (portfolio, "portfolio.artifact.dataset", 18, f["has_dataset"], F.lit(18), "Public dataset or reconstruction data is available.", words("dataset")),
-        (portfolio, "portfolio.artifact.reusable-code", 12, f["has_code"], F.lit(12), "Reusable code or reproducible method is visible.", words("reusable code")),
-        (portfolio, "portfolio.scope.prototype-friendly", 20, F.size(f["buildable"]) > 0, _per_hit(F.size(f["buildable"]), 5, 20), "Signal suggests a manageable prototype or visualization direction.", f["buildable"]),
-        (portfolio, "portfolio.alignment.student-project", 12, (n_t > 0) & (n_d > 0), F.lit(12), "Relevant technology and domain context could support a student project.", F.concat(F.slice(t, 1, 4), d)),
-        (graduate, "graduate.people.researchers", 14, F.size(f["researchers"]) > 0, F.lit(14), "Named researchers are available for follow-up.", f["researchers"]),
-        (graduate, "graduate.people.lab-institution", 16, F.size(f["organizations"]) > 0, F.lit(16), "Named lab, institution, or organization is available.", f["organizations"]),
-        (graduate, "graduate.context.project-expedition", 12, (F.size(f["projects"]) > 0) | (F.size(f["expeditions"]) > 0), F.lit(12), "Named project or expedition provides research context.", F.concat(f["projects"], f["expeditions"])),
-        (graduate, "graduate.opportunity.formal", 28, f["opportunity"], F.lit(28), "Signal is a formal graduate, funding, internship, or event opportunity.", kind),
-        (graduate, "graduate.opportunity.language", 18, F.size(f["opportunities"]) > 0, _per_hit(F.size(f["opportunities"]), 6, 18), "Opportunity or academic-path language is present.", f["opportunities"]),
-        (graduate, "graduate.alignment.research-direction", 12, (n_d > 0) & (n_t > 0), F.lit(12), "Domains and technologies align with the target research direction.", F.concat(d, F.slice(t, 1, 3))),
-        (community, "community.metric.citations", 24, f["citations"] > 0, ladder(f["citations"], [(100, 24), (25, 16)], 8), "Citation evidence is available.", F.array(number("citations", f["citations"]))),
-        (community, "community.metric.github", 24, f["github_stars"] > 0, ladder(f["github_stars"], [(1000, 24), (100, 16)], 8), "GitHub stars or forks show community attention.", F.array_compact(F.array(number("stars", f["github_stars"]), F.when(f["github_forks"] > 0, number("forks", f["github_forks"]))))),
-        (community, "community.metric.video-views", 18, f["video_views"] > 0, ladder(f["video_views"], [(100000, 18), (10000, 12)], 6), "Video view evidence is available.", F.array(number("views", f["video_views"]))),
-        (community, "community.metric.social", 12, f["social_engagements"] > 0, ladder(f["social_engagements"], [(1000, 12), (100, 8)], 4), "Social engagement evidence is available.", F.array(number("engagements", f["social_engagements"]))),
-        (community, "community.metric.multiple-sources", 12, f["source_count"] > 1, _per_hit(f["source_count"], 4, 12), "Multiple sources cover the same signal.", F.array(number("sources", f["source_count"]))),
-        (community, "community.source.authoritative", 8, f["authority"], F.lit(8), "Authoritative source metadata is present.", F.array(f["source"])),
+        (research, "research.domain.marine-archaeology", 24, has("marineArchaeology"), F.lit(24), words("marineArchaeology")),
+        (research, "research.domain.underwater-robotics", 18, has("underwaterRobotics"), F.lit(18), words("underwaterRobotics")),
+        (research, "research.domain.digital-heritage", 14, has("digitalHeritage"), F.lit(14), words("digitalHeritage")),
+        (research, "research.domain.ocean-mapping", 12, has("oceanMapping"), F.lit(12), words("oceanMapping")),
+        (research, "research.context.archaeological-site", 14, f["has_site"] & context, F.lit(14), F.concat(f["sites"], f["vessels"], words("archaeological site"))),
+        (research, "research.combination.xr-hci-marine-heritage", 14, (f["xr"] > 0) & context, F.lit(14), F.concat(words("XR/HCI"), d)),
+        (research, "research.combination.underwater-robotics-method", 12, has("underwaterRobotics") & (n_t > 0), F.lit(12), F.slice(t, 1, 5)),
+        (research, "research.combination.mapping-reconstruction-context", 18, (F.size(mapping) > 0) & context, _per_hit(F.size(mapping), 5, 18), mapping),
+        (research, "research.opportunity.aligned", 10, f["opportunity"] & context, F.lit(10), kind),
+        (research, "research.domain.diversity", 10, n_d >= 2, _per_hit(n_d, 4, 10), d),
+        (novelty, "novelty.recency.thirty-days", 16, f["age_days"] <= 30, F.lit(16), age),
+        (novelty, "novelty.recency.six-months", 8, (f["age_days"] > 30) & (f["age_days"] <= 180), F.lit(8), age),
+        (novelty, "novelty.language.observable", 21, F.size(f["novelty"]) > 0, _per_hit(F.size(f["novelty"]), 7, 21), f["novelty"]),
+        (novelty, "novelty.artifact.dataset", 14, f["has_dataset"], F.lit(14), words("dataset")),
+        (novelty, "novelty.artifact.repository", 10, f["has_repository"], F.lit(10), words("repository")),
+        (novelty, "novelty.combination.emerging-technical-context", 15, (n_t >= 2) & ((f["marine"] > 0) | (f["archaeology"] > 0)), _per_hit(n_t, 5, 15), t),
+        (novelty, "novelty.event.discovery-expedition", 12, f["signal_type"].isin("DISCOVERY", "EXPEDITION"), F.lit(12), kind),
+        (impact, "technology.priority.matches", 32, n_t > 0, _per_hit(n_t, 8, 32), t),
+        (impact, "technology.enables.target-workflows", 20, (F.size(f["enabling"]) > 0) & (n_t > 0), _per_hit(F.size(f["enabling"]), 5, 20), f["enabling"]),
+        (impact, "technology.artifacts.reusable", 18, F.size(artifacts) > 0, _per_hit(F.size(artifacts), 6, 18), artifacts),
+        (impact, "technology.combination.cross-domain", 18, n_t >= 2, _per_hit(n_t, 5, 18), t),
+        (portfolio, "portfolio.artifact.repository", 22, f["has_repository"], F.lit(22), words("repository")),
+        (portfolio, "portfolio.artifact.dataset", 18, f["has_dataset"], F.lit(18), words("dataset")),
+        (portfolio, "portfolio.artifact.reusable-code", 12, f["has_code"], F.lit(12), words("reusable code")),
+        (portfolio, "portfolio.scope.prototype-friendly", 20, F.size(f["buildable"]) > 0, _per_hit(F.size(f["buildable"]), 5, 20), f["buildable"]),
+        (portfolio, "portfolio.alignment.student-project", 12, (n_t > 0) & (n_d > 0), F.lit(12), F.concat(F.slice(t, 1, 4), d)),
+        (graduate, "graduate.people.researchers", 14, F.size(f["researchers"]) > 0, F.lit(14), f["researchers"]),
+        (graduate, "graduate.people.lab-institution", 16, F.size(f["organizations"]) > 0, F.lit(16), f["organizations"]),
+        (graduate, "graduate.context.project-expedition", 12, (F.size(f["projects"]) > 0) | (F.size(f["expeditions"]) > 0), F.lit(12), F.concat(f["projects"], f["expeditions"])),
+        (graduate, "graduate.opportunity.formal", 28, f["opportunity"], F.lit(28), kind),
+        (graduate, "graduate.opportunity.language", 18, F.size(f["opportunities"]) > 0, _per_hit(F.size(f["opportunities"]), 6, 18), f["opportunities"]),
+        (graduate, "graduate.alignment.research-direction", 12, (n_d > 0) & (n_t > 0), F.lit(12), F.concat(d, F.slice(t, 1, 3))),
+        (community, "community.metric.citations", 24, f["citations"] > 0, ladder(f["citations"], [(100, 24), (25, 16)], 8), F.array(number("citations", f["citations"]))),
+        (community, "community.metric.github", 24, f["github_stars"] > 0, ladder(f["github_stars"], [(1000, 24), (100, 16)], 8), F.array_compact(F.array(number("stars", f["github_stars"]), F.when(f["github_forks"] > 0, number("forks", f["github_forks"]))))),
+        (community, "community.metric.video-views", 18, f["video_views"] > 0, ladder(f["video_views"], [(100000, 18), (10000, 12)], 6), F.array(number("views", f["video_views"]))),
+        (community, "community.metric.social", 12, f["social_engagements"] > 0, ladder(f["social_engagements"], [(1000, 12), (100, 8)], 4), F.array(number("engagements", f["social_engagements"]))),
+        (community, "community.metric.multiple-sources", 12, f["source_count"] > 1, _per_hit(f["source_count"], 4, 12), F.array(number("sources", f["source_count"]))),
+        (community, "community.source.authoritative", 8, f["authority"], F.lit(8), F.array(f["source"])),
     ]
 
 
@@ -177,8 +178,8 @@ def assess(df: DataFrame, weights: dict[str, float] = V.WEIGHTS, aliases: dict[s
     staged = features(df, aliases, use_raw)
     f = {x[2:]: F.col(x) for x in staged.columns if x.startswith("f_")}
     order = {d: i for i, d in enumerate(V.DIMENSIONS)}
-    hits = [F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(rule_id).alias("rule_id"), F.lit(dim).alias("dimension"), F.lit(order[dim]).alias("ord"), points.cast("double").alias("contribution"), F.lit(text).alias("description"),
-                   F.array_sort(evidence.cast("array<string>")).alias("evidence"), F.lit(float(most)).alias("max_contribution"))) for dim, rule_id, most, cond, points, text, evidence in rules(f)]
+    hits = [F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(rule_id).alias("rule_id"), F.lit(dim).alias("dimension"), F.lit(order[dim]).alias("ord"), points.cast("double").alias("contribution"), F.lit(V.RULE_DESCRIPTIONS[rule_id]).alias("description"),
+                   F.array_sort(evidence.cast("array<string>")).alias("evidence"), F.lit(float(most)).alias("max_contribution"))) for dim, rule_id, most, cond, points, evidence in rules(f)]
     staged = staged.withColumn("__rules", once(F.array_compact(F.array(*hits))))
     score = lambda dim: round_half_up(clamp_score(F.aggregate(F.filter("__rules", lambda r: r["dimension"] == dim), F.lit(0.0), lambda s, r: s + r["contribution"]))).cast("int")
     staged = staged.withColumn("dimensions", F.struct(*[score(d).alias(d) for d in V.DIMENSIONS]))

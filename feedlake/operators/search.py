@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import time
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 from typing import Protocol
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from feedlake.functions import vocabulary as V
-from feedlake.functions.text import sanitize_value
+from feedlake.functions.text import nfkc_values, sanitize_value
 from feedlake.functions.values import clamp, cosine
 from feedlake.operators.embeddings import embedding_text
+from feedlake.operators.providers import ProviderError, ranking_reply
 
 QUERY_LENGTH, DEFAULT_LIMIT, MAX_LIMIT = 500, 10, 50
 RERANK_CANDIDATES, RERANK_RESULTS, PASSAGE_LENGTH = 30, 10, 6000
@@ -135,7 +137,7 @@ class EmbeddingProvider(Protocol):
 
 
 def query_text(query: str) -> str:
-    return " ".join(query.split())[:QUERY_LENGTH]
+    return " ".join(unicodedata.normalize("NFKC", query).split())[:QUERY_LENGTH]
 
 
 def bounded_limit(limit: int | None) -> int:
@@ -144,12 +146,13 @@ def bounded_limit(limit: int | None) -> int:
 
 def search_vector(embeddings: DataFrame, signals: DataFrame, vector: list[float], version: dict, limit: int = DEFAULT_LIMIT, **filters) -> DataFrame:
     """(signal_id, title, url, signal_type, similarity): the exact nearest signals by cosine among the vectors of one
-    version (provider, model, embedding_version, dimensions), similarity then id. No index: one scan and a top-k."""
+    version (provider, model, embedding_version, dimensions), similarity then id. No index: one scan and a top-k. A stored
+    vector without length (all zeros) is similar to nothing and not returned."""
     dims = version["dimensions"]
     if len(vector) != dims or not all(math.isfinite(x) for x in vector):
         raise ValueError(f"a query vector has {dims} finite numbers")
     match = reduce(lambda a, b: a & b, [F.col(k) == v for k, v in version.items()], (F.col("status") == "SUCCESS") & F.col("embedding").isNotNull())
-    scored = embeddings.where(match).select("signal_id", cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector])).alias("similarity"))
+    scored = embeddings.where(match).select("signal_id", cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector])).alias("similarity")).where("similarity is not null")
     kept = signals.where(signal_filters(**filters)).select(F.col("id").alias("signal_id"), "title", F.col("canonical_url").alias("url"), "signal_type")
     return scored.join(kept, "signal_id").orderBy(F.desc("similarity"), "signal_id").limit(limit).select("signal_id", "title", "url", "signal_type", "similarity")
 
@@ -200,16 +203,12 @@ def search_hybrid(embeddings: DataFrame, signals: DataFrame, query: str, provide
 
 
 # --- reranking -----------------------------------------------------------------------------------------------------
-class RerankingError(Exception):
-    """A reranker's failure: code, and whether a retry may help."""
-
-    def __init__(self, code: str, message: str = "", retryable: bool = False):
-        super().__init__(message or code)
-        self.code, self.retryable = code, retryable
+class RerankingError(ProviderError):
+    """A reranker's failure."""
 
 
 class Reranker(Protocol):
-    """Gives each passage a logit for the query: a list of (index, logit)."""
+    """Gives each passage a logit for the query: a list of (index, logit), or a reply {rankings: [{index, logit}]}."""
 
     def rank(self, query: str, passages: list[str]) -> list[tuple[int, float]]: ...
 
@@ -226,9 +225,7 @@ def rerank_rows(reranker: Reranker, query: str, rows: list[dict], top: int) -> l
     logit for each of `top` known candidates is an error."""
     check_candidates(rows)
     ranking = reranker.rank(query_text(query), [r["text"][:PASSAGE_LENGTH] for r in rows])
-    seen = [i for i, _ in ranking]
-    if any(not isinstance(i, int) or not 0 <= i < len(rows) for i in seen) or len(set(seen)) < len(seen) or any(not math.isfinite(x) for _, x in ranking):
-        raise RerankingError("invalid_response")
+    ranking = ranking_reply(ranking if isinstance(ranking, dict) else {"rankings": [{"index": i, "logit": x} for i, x in ranking]}, len(rows))
     ordered = sorted(ranking, key=lambda p: (-p[1], rows[p[0]]["original_rank"], str(rows[p[0]]["id"])))[:top]
     if len(ordered) < top:
         raise RerankingError("short_response")
@@ -241,7 +238,7 @@ def passages(fused: DataFrame, signals: DataFrame) -> DataFrame:
     ranked = fused.withColumn("original_rank", F.row_number().over(Window.orderBy(F.desc("hybrid_score"), F.desc("semantic_score"), "signal_id")))
     strings = [c for c in ("title", "summary", "source_name") if c in signals.columns]
     arrays = [c for c in ("domains", "technologies", "organizations", "researchers", "keywords", "projects", "vessels", "expeditions", "archaeological_sites") if c in signals.columns]
-    clean = signals.withColumns({c: sanitize_value(F.col(c)) for c in strings} | {c: F.filter(F.transform(c, sanitize_value), lambda x: x != "") for c in arrays})
+    clean = signals.withColumns({c: sanitize_value(F.col(c)) for c in strings} | {c: F.filter(F.transform(nfkc_values(F.col(c)), lambda v: sanitize_value(v, True)), lambda x: x != "") for c in arrays})
     text = embedding_text(clean).select(F.col("id").alias("__id"), F.col("embedding_text").alias("__text"))
     fallback = F.concat(F.lit("Title: "), sanitize_value(F.col("title")), F.lit("\nType: "), sanitize_value(F.col("signal_type")))
     return ranked.join(text, F.col("signal_id") == F.col("__id"), "left").select(F.col("signal_id").alias("id"), F.coalesce("__text", fallback).alias("text"), "original_rank", F.col("hybrid_score").alias("score"))

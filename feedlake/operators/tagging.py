@@ -81,6 +81,6 @@ def match_lab(*parts: Column, labs: dict[str, list[str]] = V.LAB_KEYWORDS) -> Co
 def rescore(items: DataFrame, labs: DataFrame, now: Column, limit: int = 1000) -> DataFrame:
     """(id, score, novelty, impact) of the newest items by the first item score."""
     newest = items.orderBy(F.desc_nulls_first("created_at"), "id").limit(limit)
-    joined = newest.join(F.broadcast(labs.select(F.col("id").alias("lab_id"), F.col("domain").alias("lab_domain"))), "lab_id")
+    joined = newest.join(labs.select(F.col("id").alias("lab_id"), F.col("domain").alias("lab_domain")), "lab_id")
     scored = first_item_score(title=F.col("title"), summary=F.col("summary"), published_at=F.col("published_at"), lab_domain=F.col("lab_domain"), source_type=F.col("source_type"), now=now)
     return joined.select("id", scored.alias("s")).select("id", "s.score", "s.novelty", "s.impact")

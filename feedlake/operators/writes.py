@@ -6,7 +6,7 @@ failed write leaves the old version whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,23 @@ def source_health(sources: DataFrame, outcomes: DataFrame) -> DataFrame:
                                "last_error": F.when(seen, F.col("__error")).otherwise(F.col("last_error")), "last_error_at": F.when(seen & bad, F.col("__at")).otherwise(F.col("last_error_at"))}).drop("__at", "__error")
 
 
+def upsert_sources(sources: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
+    """sources with a row for each (lab_id, url) of seen (lab_id, url, type, name): an existing one is active, named anew and
+    checked now without an error (its last_error_at stays), a new one is added with a null id, for the sink to fill."""
+    rows = seen.groupBy("lab_id", "url").agg(F.max("type").alias("type"), F.max("name").alias("name"))
+    fresh = {"is_active": F.lit(True), "last_checked_at": now, "last_ok_at": now, "last_error": F.lit(None)}
+    o, n = sources.withColumn("__old", F.lit(True)).alias("o"), rows.withColumn("__new", F.lit(True)).alias("n")
+    joined = o.join(n, [F.col("o.lab_id") == F.col("n.lab_id"), F.col("o.url") == F.col("n.url")], "full")
+
+    def value(c: str) -> Column:
+        old, kind = F.col(f"o.{c}"), sources.schema[c].dataType
+        if c in fresh:
+            return F.when(F.col("n.__new"), fresh[c].cast(kind)).otherwise(old)
+        return F.coalesce(F.col(f"n.{c}").cast(kind), old) if c in rows.columns else old
+
+    return joined.select(*[value(c).alias(c) for c in sources.columns])
+
+
 def write_version(df: DataFrame, root: str, version: str, partition_by: tuple[str, ...] = ()) -> str:
     """Write a whole version beside the others; returns its path."""
     path = f"{root.rstrip('/')}/version={version}"

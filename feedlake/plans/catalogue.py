@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import json_walk, text, urls, values
 from feedlake.functions import vocabulary as V
-from feedlake.operators import embeddings, entities, feeds, ingest, linkage, relevance, search, signals, tagging, writes
-from feedlake.plans import views
+from feedlake.operators import embeddings, entities, feeds, ingest, linkage, search, signals, tagging, writes
+from feedlake.plans import relevance_check, views
 from feedlake.plans.views import NOW, SEGMENTS, read
 from feedlake.sources import webpages
 
@@ -44,10 +44,9 @@ def feed_homepage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.select(*_FEED)
 
 
-@query(f"WITH {_ITEMS} SELECT {_FEED_SQL} FROM full_item WHERE lab_slug = (SELECT lower(n_name) FROM nation WHERE n_nationkey = 7) {_RANK} LIMIT 50")
+@query(f"WITH {_ITEMS} SELECT {_FEED_SQL} FROM full_item WHERE lab_slug = 'nation_7' {_RANK} LIMIT 50")
 def feed_lab(spark, sf_dir):
-    slug = views.labs(spark, sf_dir).where("id = 7").first()["slug"]
-    return feeds.lab_feed(views.items(spark, sf_dir), views.labs(spark, sf_dir), views.sources(spark, sf_dir), slug).select(*_FEED)
+    return feeds.lab_feed(views.items(spark, sf_dir), views.labs(spark, sf_dir), views.sources(spark, sf_dir), "nation_7").select(*_FEED)
 
 
 @query(f"WITH {_ITEMS} SELECT {_FEED_SQL} FROM full_item WHERE list_contains(tags, 'URGENT') OR contains(lower(title), 'urgent') OR contains(lower(summary), 'urgent') {_RANK} LIMIT 30")
@@ -101,8 +100,8 @@ def latest_run(spark, sf_dir):
 SELECT c_custkey AS id, c_name AS name, n_name AS lab_name, CAST(err AS VARCHAR) AS last_error FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN f ON user_id = c_custkey WHERE c_acctbal > 0 ORDER BY err DESC NULLS FIRST, upd DESC NULLS FIRST, c_custkey LIMIT 50""")
 def source_health(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    bad = e.agg(F.min("event_type")).first()[0]
-    seen = e.groupBy(F.col("user_id").alias("id")).agg(F.max(F.when(F.col("event_type") == bad, F.col("ts"))).alias("last_error_at"), F.max("ts").alias("updated_at"))
+    bad = e.agg(F.min("event_type").alias("bad"))  # one row
+    seen = e.crossJoin(bad).groupBy(F.col("user_id").alias("id")).agg(F.max(F.when(F.col("event_type") == F.col("bad"), F.col("ts"))).alias("last_error_at"), F.max("ts").alias("updated_at"))
     rows = views.sources(spark, sf_dir).join(seen, "id", "left")
     return feeds.source_health(rows, views.labs(spark, sf_dir)).select("id", "name", "lab_name", F.col("last_error_at").cast("string").alias("last_error"))
 
@@ -181,26 +180,31 @@ def lab_argmax(spark, sf_dir):
     return views.document_items(spark, sf_dir).select("id", m.alias("m")).where("m is not null").select("id", "m.slug", "m.score")
 
 
-def _type_sql(text_sql: str) -> str:
-    return "CASE " + " ".join(f"WHEN {_any_sql(text_sql, words)} THEN '{name}'" for name, _, words in V.SIGNAL_TYPE_WORDS) + " ELSE 'NEWS' END"
+#: Put into titles by id, so that every type occurs: a word of each type, and a title without any.
+_TYPE_TITLES = [words[k % len(words)] for k in range(3) for _, _, words in V.SIGNAL_TYPE_WORDS] + ["qqq"]
+_TYPE_SOURCES = ["RSS", "ARXIV", "GITHUB", "YOUTUBE", "WEBSITE", "RSS", "RSS"]
+_GIVEN_TYPES = ["GRANT", "REPORT", "NO TYPE"]
+_TYPE_SQL = "CASE WHEN given IN ('" + "', '".join(V.SIGNAL_TYPES) + "') THEN given " + " ".join(f"WHEN {_any_sql('x', words)}{f' OR kind = {chr(39)}{source}{chr(39)}' if source else ''} THEN '{name}'" for name, source, words in V.SIGNAL_TYPE_WORDS) + " ELSE 'NEWS' END"
 
 
-@query(f"SELECT signal_type, count(*) AS n FROM (SELECT {_type_sql('x')} AS signal_type FROM (SELECT lower(concat_ws(' ', nullif(source, ''), nullif(title, ''))) AS x FROM (WITH {_DOC} SELECT * FROM doc))) GROUP BY 1")
+@query(f"""WITH {_DOC}, s AS (SELECT id, {_TYPE_TITLES}[id % {len(_TYPE_TITLES)} + 1] || ' ' || title AS t, {_TYPE_SOURCES}[id // 50 % 7 + 1] AS kind, CASE WHEN id % 11 = 0 THEN {_GIVEN_TYPES}[id % 3 + 1] END AS given, source FROM doc)
+SELECT id, {_TYPE_SQL} AS signal_type FROM (SELECT *, lower(concat_ws(' ', kind, nullif(source, ''), t, 'https://example.com/' || id)) AS x FROM s)""")
 def signal_type(spark, sf_dir):
-    d = views.document_items(spark, sf_dir)
-    items = d.select("id", "title", F.col("source").alias("source_name"), F.concat(F.lit(""), F.lit(None).cast("string")).alias("link"), F.lit(None).cast("string").alias("kind"))
-    made = signals.to_signals(items)
-    return made.groupBy("signal_type").agg(F.count("*").alias("n"))
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    i = F.col("id")
+    items = views.document_items(spark, sf_dir).select("id", F.concat(pick(_TYPE_TITLES, i % len(_TYPE_TITLES)), F.lit(" "), "title").alias("title"), F.col("source").alias("source_name"), pick(_TYPE_SOURCES, F.floor(i / 50) % 7).alias("source_type"),
+                                                       F.when(i % 11 == 0, pick(_GIVEN_TYPES, i % 3)).alias("signal_type"), F.concat(F.lit("https://example.com/"), i.cast("string")).alias("url"))
+    return signals.to_signals(items).select("id", "signal_type")
 
 
 # --- phrases and titles --------------------------------------------------------------------------------------------
 _PHRASES = ["the", "re the", "licensed under the apache license", "of the", "and"]
 
 
-@query(f"WITH {_DOC}, t AS (SELECT trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}+/.\\-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM doc) " +
+@query(f"WITH {_DOC}, t AS (SELECT trim(regexp_replace(regexp_replace(lower(title || ' ' || summary), '[^\\p{{L}}\\p{{N}}+/.\\-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM doc) " +
        " UNION ALL ".join(f"SELECT '{p}' AS phrase, count(*) AS n FROM t WHERE regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}]){p}($|[^\\p{{L}}\\p{{N}}])') HAVING count(*) > 0" for p in _PHRASES))
 def phrase_match(spark, sf_dir):
-    key = text.normalize_key(F.col("title"), True)
+    key = text.normalize_key(F.concat_ws(" ", "title", "summary"), True)
     return views.document_items(spark, sf_dir).withColumn("k", key).select(F.explode(text.phrases_found(F.col("k"), _PHRASES)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
 
 
@@ -222,26 +226,45 @@ def title_dup_exact(spark, sf_dir):
 _TOKENS = f"""{_DOC}, k AS (SELECT id, list_distinct(list_filter(string_split({_TITLE_SQL}, ' '), lambda w: length(w) > 1)) AS t FROM doc)"""
 
 
-@query(f"""WITH {_TOKENS}, p AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS n FROM k a JOIN k b ON a.id < b.id AND len(a.t) >= 0.8 * len(b.t) AND len(b.t) >= 0.8 * len(a.t) AND len(a.t) > 0 AND list_has_any(a.t, b.t))
-SELECT left_id, right_id, round(i / (n - i), 6) AS score FROM p WHERE i / (n - i) >= 0.8""")
+@query(f"""WITH {_TOKENS}, c AS (SELECT list_sort(t) AS t, min(id) AS id, count(*) AS n FROM k WHERE len(t) > 0 GROUP BY 1),
+p AS (SELECT a.id AS left_id, b.id AS right_id, a.n AS n_left, b.n AS n_right, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS n FROM c a JOIN c b ON a.id < b.id AND len(a.t) >= 0.8 * len(b.t) AND len(b.t) >= 0.8 * len(a.t) AND list_has_any(a.t, b.t))
+SELECT left_id, right_id, round(i / (n - i), 6) AS score, n_left, n_right FROM p WHERE i / (n - i) >= 0.8""")
 def title_jaccard(spark, sf_dir):
     k = views.document_items(spark, sf_dir).select("id", text.title_tokens(F.col("title")).alias("tokens"))
-    return linkage.similar_titles(k, k, 0.8).where("left_id < right_id").select("left_id", "right_id", F.round("score", 6).alias("score"))
+    return linkage.similar_titles(k, 0.8).select("left_id", "right_id", F.round("score", 6).alias("score"), "n_left", "n_right")
 
 
-@query(f"""WITH {_TOKENS}, e AS (SELECT k.id, k.t, {_TITLE_SQL} AS n FROM k JOIN doc USING (id)),
-p AS (SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.n = b.n AND a.n <> '' THEN 3 WHEN len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.92 THEN 4 END AS tier
-  FROM e a JOIN e b ON a.id % 2 = 1 AND b.id % 2 = 0 AND len(a.t) > 0 AND list_has_any(a.t, b.t) AND len(a.t) >= 0.9 * len(b.t) AND len(b.t) >= 0.9 * len(a.t)),
-q AS (SELECT left_id, right_id, 3 AS tier FROM (SELECT a.id AS left_id, b.id AS right_id FROM e a JOIN e b ON a.n = b.n AND a.n <> '' AND a.id % 2 = 1 AND b.id % 2 = 0) UNION ALL SELECT left_id, right_id, tier FROM p WHERE tier = 4),
-r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY tier, right_id) AS o FROM q)
-SELECT e.id, r.left_id IS NOT NULL AS is_duplicate, CASE WHEN tier IS NULL THEN 'none' WHEN tier = 4 THEN 'high' ELSE 'exact' END AS confidence, CASE WHEN tier IS NULL THEN 'none' ELSE 'title' END AS matched_by, right_id AS existing_id, CASE WHEN tier IS NULL THEN 'create' ELSE 'review' END AS action
-FROM e LEFT JOIN r ON r.left_id = e.id AND o = 1 WHERE e.id % 2 = 1""")
+@query(f"""WITH {_TOKENS}, e AS (SELECT k.id, k.t, {_TITLE_SQL} AS n, CASE WHEN id % 17 = 3 THEN id % 40 END AS doi, CASE WHEN id % 13 = 5 THEN id % 60 END AS u FROM k JOIN doc USING (id)),
+h AS (SELECT a.id AS left_id, min(b.id) AS right_id, 1 AS tier FROM e a JOIN e b ON a.doi = b.doi AND b.id < a.id GROUP BY 1 UNION ALL SELECT a.id, min(b.id), 2 FROM e a JOIN e b ON a.u = b.u AND b.id < a.id GROUP BY 1 UNION ALL SELECT a.id, min(b.id), 3 FROM e a JOIN e b ON a.n = b.n AND a.n <> '' AND b.id < a.id GROUP BY 1
+  UNION ALL SELECT a.id, min(b.id), 4 FROM e a JOIN e b ON b.id < a.id AND len(a.t) > 0 AND list_has_any(a.t, b.t) AND len(a.t) >= 0.9 * len(b.t) AND len(b.t) >= 0.9 * len(a.t) AND len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.92 GROUP BY 1),
+r AS (SELECT left_id, min(tier) AS tier, arg_min(right_id, tier) AS right_id FROM h GROUP BY 1)
+SELECT e.id, r.left_id IS NOT NULL AS is_duplicate, CASE WHEN tier IS NULL THEN 'none' WHEN tier = 4 THEN 'high' ELSE 'exact' END AS confidence, CASE tier WHEN 1 THEN 'identifier' WHEN 2 THEN 'url' WHEN 3 THEN 'title' WHEN 4 THEN 'title' ELSE 'none' END AS matched_by, right_id AS existing_id,
+  CASE WHEN tier IS NULL THEN 'create' WHEN tier <= 2 THEN 'update' ELSE 'review' END AS action FROM e LEFT JOIN r ON r.left_id = e.id""")
 def dup_tiers(spark, sf_dir):
-    d = views.document_items(spark, sf_dir).select("id", "title", F.concat(F.lit("https://example.com/doc/"), F.col("id").cast("string")).alias("canonical_url"), F.lit(None).cast("string").alias("raw"))
-    found = linkage.action(linkage.find_duplicates(d.where("id % 2 = 1"), d.where("id % 2 = 0"), use_raw=False))
+    """Every document beside all documents before it: some share an identifier in their raw data, some a URL."""
+    i, n = F.col("id"), lambda m: (F.col("id") % m).cast("string")
+    raw = F.when(i % 17 == 3, F.concat(F.lit('{"meta":{"doi":"https://doi.org/10.1/'), F.when(i % 2 == 0, "A").otherwise("a"), n(40), F.lit('"}}')))
+    url = F.when(i % 13 == 5, F.concat(F.lit("https://Example.com/shared/"), n(60), F.when(i % 2 == 0, "/?utm_source=x").otherwise(""))).otherwise(F.concat(F.lit("https://example.com/doc/"), i.cast("string")))
+    d = views.document_items(spark, sf_dir).select("id", "title", url.alias("canonical_url"), raw.alias("raw"))
+    found = linkage.action(linkage.find_duplicates(d, d, order=F.col("id"), earlier=True))
     return found.select("id", "is_duplicate", "confidence", "matched_by", "existing_id", "action")
 
 
+#: Titles of a few words, as incoming ones; every document's first line is an existing title.
+_ASKED = "SELECT id, CASE id % 4 WHEN 0 THEN array_to_string(string_split(title, ' ')[1:2], ' ') WHEN 1 THEN string_split(title, ' ')[1] WHEN 2 THEN title ELSE substr(title, 3, 40) END AS title FROM doc WHERE id % 50 = id // 50 % 50"
+
+
+@query(f"""WITH {_DOC}, a AS ({_ASKED}), b AS (SELECT id, lower(title) AS t FROM doc), p AS (SELECT a.id AS left_id, b.id AS right_id FROM a JOIN b ON (trim(regexp_replace(a.title, '\\s+', ' ', 'g')) <> '' AND contains(b.t, lower(substr(trim(regexp_replace(a.title, '\\s+', ' ', 'g')), 1, 80)))) OR b.t = lower(a.title)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY left_id ORDER BY right_id) AS INTEGER) AS rank FROM p) SELECT * FROM r WHERE rank <= 25""")
+def candidates(spark, sf_dir):
+    """Of one document in fifty the first words, the first line or a part of it, looked for in all first lines."""
+    i, words = F.col("id"), F.split("title", " ")
+    asked = F.when(i % 4 == 0, F.array_join(F.slice(words, 1, 2), " ")).when(i % 4 == 1, F.get(words, F.lit(0))).when(i % 4 == 2, F.col("title")).otherwise(F.substring("title", 3, 40))
+    d = views.document_items(spark, sf_dir).select("id", "title", F.concat(F.lit("https://example.com/doc/"), i.cast("string")).alias("canonical_url"))
+    incoming = d.where(i % 50 == F.floor(i / 50) % 50).select("id", asked.alias("title"), F.concat(F.lit("https://example.com/new/"), i.cast("string")).alias("canonical_url"))
+    return linkage.candidate_rows(incoming, d)
+
+
 @query("""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), s AS (SELECT page_id, regexp_replace(split_part(u, '?', 1), '/+$', '') AS base, CASE WHEN contains(u, '?') THEN list_sort(list_filter(string_split(substr(u, strpos(u, '?') + 1), '&'), lambda p: NOT starts_with(p, 'utm_'))) ELSE [] END AS q FROM u)
 SELECT page_id, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS normalized, sha256(base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END) AS url_hash FROM s""")
 def url_normalize(spark, sf_dir):
@@ -312,7 +335,8 @@ def missing_embeddings(spark, sf_dir):
 
 # --- retrieval -----------------------------------------------------------------------------------------------------
 def _vectors(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("signal_id"), "embedding", F.lit("SUCCESS").alias("status"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit("v").alias("embedding_version"), F.size("embedding").alias("dimensions"))
+    stored = F.when(F.col("vec_id") % 97 == 5, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))  # some without length
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("signal_id"), stored.alias("embedding"), F.lit("SUCCESS").alias("status"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit("v").alias("embedding_version"), F.size("embedding").alias("dimensions"))
     s = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("title"), F.lit("u").alias("canonical_url"), F.when(F.col("lang") == "en", "PAPER").otherwise("NEWS").alias("signal_type"))
     return e, s, {"provider": "p", "model": "m", "embedding_version": "v", "dimensions": 64}
 
@@ -321,7 +345,7 @@ def _query_vector(spark, sf_dir) -> list[float]:
     return [float(x) for x in read(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]]
 
 
-_SIM = "SELECT e.vec_id AS signal_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS s, lang FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id"
+_SIM = "SELECT e.vec_id AS signal_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS s, lang FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 97 <> 5"
 
 
 @query(f"SELECT signal_id, round(greatest(-1, least(1, s)), 6) AS similarity FROM ({_SIM}) ORDER BY s DESC, signal_id LIMIT 10")
@@ -330,7 +354,7 @@ def semantic_topk(spark, sf_dir):
     return search.search_vector(e, s, _query_vector(spark, sf_dir), version).select("signal_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"SELECT signal_id, round(greatest(-1, least(1, s)), 6) AS similarity FROM ({_SIM} WHERE lang <> 'en') ORDER BY s DESC, signal_id LIMIT 50")
+@query(f"SELECT signal_id, round(greatest(-1, least(1, s)), 6) AS similarity FROM ({_SIM} AND lang <> 'en') ORDER BY s DESC, signal_id LIMIT 50")
 def semantic_filtered(spark, sf_dir):
     e, s, version = _vectors(spark, sf_dir)
     return search.search_vector(e, s, _query_vector(spark, sf_dir), version, 50, signal_type="NEWS").select("signal_id", F.round("similarity", 6).alias("similarity"))
@@ -353,7 +377,10 @@ class _Shortest:
         return [(i, -float(len(p))) for i, p in enumerate(passages)]
 
 
-@query()
+@query(f"""WITH t AS (SELECT signal_id, greatest(0, least(1, s)) AS s, x, CASE WHEN lang = 'en' THEN 'PAPER' ELSE 'NEWS' END AS kind FROM (SELECT q.*, d.text AS x FROM ({_SIM}) q JOIN documents d ON d.doc_id = signal_id) ORDER BY s DESC, signal_id LIMIT 30),
+o AS (SELECT *, CAST(row_number() OVER (ORDER BY s DESC, signal_id) AS INTEGER) AS original_rank FROM t), p AS (SELECT *, length('Type: ' || kind) + coalesce(length('Title: ' || nullif(rtrim(trim(regexp_replace(substr(x, 1, 20), '\\s+', ' ', 'g'))), '')) + 1, 0) + length(chr(10) || 'Host: ') * 0 AS n FROM o),
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY n, original_rank) AS INTEGER) AS reranked_rank FROM p)
+SELECT 'reranked' AS mode, 'success' AS status, signal_id AS id, original_rank, reranked_rank FROM r WHERE reranked_rank <= 10 UNION ALL SELECT 'fallback', 'disabled', signal_id, original_rank, NULL FROM o WHERE original_rank <= 10""")
 def rerank_fallback(spark, sf_dir):
     """Reranked and fallen-back results of one retrieval; at most 30 rows pass through the driver."""
     e, s, version = _vectors(spark, sf_dir)
@@ -375,7 +402,9 @@ def fts_rank(spark, sf_dir):
     return search.text_search(d, F.col("text"), "thand or thor").select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""WITH l AS (SELECT page_id, url, html, unnest(regexp_extract_all(html, '<li>.*?</li>')) AS li, generate_subscripts(regexp_extract_all(html, '<li>.*?</li>'), 1) AS pos FROM pages),
+i AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || regexp_extract(li, 'href="([^"]*)"', 1) AS link, trim(regexp_extract(li, '<a [^>]*>([^<]*)', 1)) AS title, pos FROM l)
+SELECT CAST(page_id AS VARCHAR) AS source_id, link AS url, title, title AS summary FROM (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY pos DESC) AS r FROM i) WHERE r = 1""")
 def html_items(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.lit("page").alias("source_name"), "url", "html")
     return webpages.scan_webpages(p).select("source_id", "url", "title", "summary")
@@ -391,27 +420,40 @@ def relevance_bands(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", values.band(F.col("value")).alias("band"))
 
 
-@query()
+@query(relevance_check.SQL)
 def relevance_score(spark, sf_dir):
-    d = views.document_items(spark, sf_dir)
-    rows = d.select("id", "title", "summary", F.col("source").alias("source_name"), (F.col("id") % 150).cast("double").alias("citations"))
-    return relevance.assess(rows, use_raw=False).select("id", "final_score", "band", *[F.col("dimensions")[x].alias(x) for x in V.DIMENSIONS])
+    return relevance_check.scored(spark, sf_dir)
 
 
+#: A few entries that the invented prose itself holds, beside the real dictionaries.
 _ENTITY_TESTS = [("technology", "Thand", ["thor"]), ("organization", "Ering The", ["of the"])]
+_ENTRIES = entities.DICTIONARIES + V.KNOWN_RESEARCHERS + _ENTITY_TESTS
 
 
-@query(f"WITH {_DOC}, t AS (SELECT id, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}+/.\\-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM doc) " + " UNION ALL ".join(
-    f"SELECT id, '{kind}' AS type, '{name}' AS name FROM t WHERE " + " OR ".join(f"regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}]){p.lower()}($|[^\\p{{L}}\\p{{N}}])')" for p in [name, *aliases]) for kind, name, aliases in _ENTITY_TESTS))
+@query(f"WITH {_DOC}, s AS (SELECT id, title || ' ' || {relevance_check._pick(relevance_check.NAMES, 'id')} AS title, summary || ' ' || {relevance_check._pick(relevance_check.NAMES, 'id * 7')} AS summary FROM doc), t AS (SELECT id, {relevance_check._keys('title')} AS kt, {relevance_check._keys('summary')} AS ks FROM s) " + " UNION ALL ".join(
+    f"SELECT id, '{kind}' AS type, '{name}' AS name, CASE WHEN {' OR '.join(relevance_check._has('kt', p) for p in (name, *aliases))} THEN 'title' ELSE 'summary' END AS source_field FROM t WHERE {' OR '.join(relevance_check._has(t, p) for p in (name, *aliases) for t in ('kt', 'ks'))}" for kind, name, aliases in _ENTRIES))
 def entity_extract(spark, sf_dir):
-    d = views.document_items(spark, sf_dir).select("id", "title", F.lit(None).cast("string").alias("summary"), F.array().cast("array<string>").alias("keywords"), F.array().cast("array<string>").alias("researchers"))
-    found = entities.extract_entities(d, _ENTITY_TESTS, use_raw=False)
-    return found.select("id", F.explode("entities").alias("e")).where("e.type <> 'researcher'").select("id", "e.type", F.col("e.canonical_name").alias("name"))
+    """Whole titles and summaries, each with a dictionary phrase put in by its id, searched for every entry."""
+    pick = lambda at: F.element_at(F.array(*[F.lit(v) for v in relevance_check.NAMES]), (at % len(relevance_check.NAMES) + 1).cast("int"))
+    d = views.document_items(spark, sf_dir).select("id", F.concat_ws(" ", "title", pick(F.col("id"))).alias("title"), F.concat_ws(" ", "summary", pick(F.col("id") * 7)).alias("summary"), F.array().cast("array<string>").alias("keywords"), F.array().cast("array<string>").alias("researchers"))
+    found = entities.extract_entities(d, entities.DICTIONARIES + _ENTITY_TESTS, use_raw=False)
+    return found.select("id", F.explode("entities").alias("e")).select("id", "e.type", F.col("e.canonical_name").alias("name"), "e.source_field")
 
 
-@query("""SELECT doc_id AS id, sha256(t) AS content_hash FROM (SELECT doc_id, rtrim(substr('Title: ' || x || chr(10) || 'Type: NEWS' || chr(10) || 'Source: ' || source, 1, 6000)) AS t FROM (SELECT doc_id, source, rtrim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 2000)) AS x FROM documents) WHERE x <> '')""")
+_LISTS = {"Domains": ("domains", ["Ocean Mapping", "conservation", "Conservation"]), "Technologies": ("technologies", ["a lidar survey", "machine vision", "no such thing"]), "Organizations": ("organizations", ["Zenodo", "A  Lab"]), "Researchers": ("researchers", ["Bob", "Ada"]), "Projects": ("projects", ["P"]),
+          "Vessels": ("vessels", ["V two", "V one"]), "Expeditions": ("expeditions", ["E"]), "Sites": ("archaeological_sites", ["S"]), "Keywords": ("keywords", ["<b>k2</b>", "k1", '{"json":1}'])}
+_SHOWN = {"Domains": "Ocean Mapping, conservation", "Technologies": "Computer Vision, LiDAR", "Organizations": "A Lab, Zenodo", "Researchers": "Ada, Bob", "Projects": "P", "Vessels": "V one, V two", "Expeditions": "E", "Sites": "S", "Keywords": "k1, k2"}
+
+
+@query("""WITH s AS (SELECT doc_id, source, CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, 1, strpos(text, chr(10)) - 1) ELSE text END AS title, CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS summary FROM documents),
+b AS (SELECT doc_id, source, rtrim(substr(trim(regexp_replace(title, '\\s+', ' ', 'g')), 1, 2000)) AS title, rtrim(substr(trim(regexp_replace(summary, '\\s+', ' ', 'g')), 1, 2000)) AS summary FROM s)
+SELECT doc_id AS id, sha256(rtrim(substr(concat_ws(chr(10), 'Title: ' || nullif(title, ''), 'Type: NEWS', 'Summary: ' || nullif(summary, ''), """ + ", ".join(f"CASE WHEN doc_id % {k + 2} = 1 THEN '{label}: {_SHOWN[label]}' END" for k, label in enumerate(_LISTS)) + """, 'Source: ' || source, CASE WHEN doc_id % 3 > 0 THEN 'Host: example.com' END), 1, 6000))) AS content_hash FROM b""")
 def embedding_text(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.lit("NEWS").alias("signal_type"), F.col("source").alias("source_name"))
+    """All fourteen lines: whole titles and summaries, lists that some rows have, a host behind user, path and query."""
+    i = F.col("id")
+    lists = [F.when(i % (k + 2) == 1, F.array(*[F.lit(v) for v in values])).alias(name) for k, (name, values) in enumerate(_LISTS.values())]
+    url = F.when(i % 3 > 0, F.concat(F.lit("https://user:secret@www.Example.com./p/"), i.cast("string"), F.lit("?q=1")))
+    d = views.document_items(spark, sf_dir).select("id", "title", "summary", F.lit("NEWS").alias("signal_type"), F.col("source").alias("source_name"), url.alias("canonical_url"), *lists)
     return embeddings.embedding_text(d).select("id", "content_hash")
 
 
@@ -421,6 +463,33 @@ def ingest_ledger(spark, sf_dir):
     return ingest.run_ledger(_outcomes(spark, sf_dir), "RSS", "r1").select("run_id", "fetched", "created", "deduped", "failed", "status")
 
 
+@query("""WITH i AS (SELECT c_custkey % 5 AS source_id, c_custkey AS ord, 'k' || (c_custkey // 3) AS external_id, 'https://example.com/' || (c_custkey // 2) AS url FROM customer),
+k AS (SELECT i.*, row_number() OVER (PARTITION BY source_id ORDER BY ord) AS r FROM i) SELECT source_id, count(*) FILTER (WHERE r <= 20) AS fetched, count(*) FILTER (WHERE r <= 20 AND source_id = 0) AS failed FROM k GROUP BY 1""")
+def ingest_rss(spark, sf_dir):
+    """A run over five sources of customers: at most twenty items each; one source's items cannot be inserted."""
+    c = read(spark, sf_dir, "customer")
+    i = F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    rows = c.select((i % 5).cast("string").alias("source_id"), F.lit("RSS").alias("source_type"), F.lit("S").alias("source_name"), F.concat(F.lit("k"), i.cast("string")).alias("external_id"), F.concat(F.lit("https://example.com/"), i.cast("string")).alias("url"), F.col("c_name").alias("title"), none.alias("summary"), none.alias("content_text"),
+                    F.lit(None).cast("timestamp").alias("published_at"), F.array().cast("array<string>").alias("authors"), F.array().cast("array<string>").alias("tags"), none.alias("raw"), F.lit("mbari").alias("lab_id"), i.alias("ord"), F.when(i % 5 == 0, "no space").alias("insert_error"))
+    known = c.limit(0).select(none.alias("source_id"), none.alias("external_id"), none.alias("url"))
+    labs = views.labs(spark, sf_dir)
+    out = ingest.run("RSS", rows, known, labs, F.lit(views.NOW).cast("timestamp"), "r1")
+    return out["results"].groupBy(F.col("source_id").cast("long").alias("source_id")).agg(F.count("*").alias("fetched"), F.count_if(F.col("outcome") == "failed").alias("failed"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, s_suppkey % 7 AS g FROM supplier) SELECT CAST(id AS VARCHAR) AS id, CASE WHEN g = 0 AND id > (SELECT min(id) FROM s WHERE g = 0) THEN 'update' WHEN g = 1 AND id > (SELECT min(id) FROM s WHERE g = 1) THEN 'review' ELSE 'create' END AS action,
+CASE WHEN g = 0 AND id > (SELECT min(id) FROM s WHERE g = 0) THEN 'updated' WHEN g = 1 AND id > (SELECT min(id) FROM s WHERE g = 1) THEN 'review_required' ELSE 'created' END AS status FROM s""")
+def persist_plan(spark, sf_dir):
+    """Suppliers as new signals, of which a seventh share one URL and a seventh one title: the first of each is inserted."""
+    s = read(spark, sf_dir, "supplier")
+    i, n = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    items = s.select(n.alias("id"), F.when(i % 7 == 1, "One title").otherwise(F.concat(F.lit("Supplier number "), n, F.lit(" of "), F.sha2(n, 256))).alias("title"), F.when(i % 7 == 0, "https://example.com/one").otherwise(F.concat(F.lit("https://example.com/"), n)).alias("url"), i.alias("ord"))
+    known = signals.to_signals(items.limit(0)).drop("error_code").withColumn("updated_at", F.lit(None).cast("timestamp"))
+    done, _ = ingest.process(items, known)
+    return ingest.persist_plan(done, known, enabled=True, ord_col="ord")[0].select("id", "action", "status")
+
+
 def _outcomes(spark, sf_dir):
     o = F.when(F.col("event_id") % 4 < 2, "created").when(F.col("event_id") % 4 == 2, "deduped").otherwise("failed")
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), o.alias("outcome"))

@@ -68,7 +68,33 @@ def test_arrays(spark):
 
 def test_secrets_are_redacted(spark):
     row = spark.range(1).select(text.sanitize_value(F.lit("<b>x</b> token=abc https://a.b/c y")).alias("a"), text.error_message(F.lit("Bearer abc https://u:p@h/ ?token=1")).alias("b"), text.mask_dsn(F.lit("postgres://user:pw@host/db")).alias("c"), text.sanitize_value(F.lit('{"a":1}')).alias("d")).first()
-    assert row["a"] == "x token [redacted] y" and "abc" not in row["b"] and "u:p" not in row["b"] and row["c"] == "postgres://user:****@host/db" and row["d"] == ""
+    assert row["a"] == "x token [redacted] y" and "abc" not in row["b"] and "u:p" not in row["b"] and row["c"] == "postgres://user:****@host/db" and row["d"] == "" and row["b"] == "Bearer [redacted] https://[redacted]@h/ ?token=[redacted]"
+    told = ["password: 'a b' x", "client_secret=q&z=1", "API-KEY : k1, next", "token\u00a0=\u00a0v", "a \x07 bell", "  ", "ﬁx"]
+    got = [r["t"] for r in spark.createDataFrame(list(enumerate(told)), "i int, s string").select("i", text.error_message(F.col("s")).alias("t")).orderBy("i").collect()]
+    assert got == ["password=[redacted] x", "client_secret=[redacted]&z=1", "API-KEY=[redacted], next", "token=[redacted]", "a bell", "Embedding request failed.", "fix"]
+    codes = spark.createDataFrame([("Provider BAD/Response",), (" ",), (None,), ("Ｔimeout",)], "s string").select(text.error_code(F.col("s")).alias("c")).collect()
+    assert [r["c"] for r in codes] == ["provider_bad_response", "unknown_error", "unknown_error", "timeout"]
+
+
+def test_names_are_composed(spark):
+    row = spark.createDataFrame([(["ﬁx", "fix", "Ａ"], ["ﬀ", "ff"])], "a array<string>, b array<string>").select(text.unique_normalized(F.col("a")).alias("a"), text.unique_sorted(F.col("b")).alias("b"), text.merge_names(F.col("a"), F.col("b")).alias("c")).first()
+    assert row["a"] == ["A", "fix"] and row["b"] == ["ff"] and row["c"] == ["A", "ff", "fix"]
+
+
+def test_phrases_equal_patterns(spark):
+    """One pattern for all phrases beside a test of each."""
+    from feedlake.functions import vocabulary as V
+
+    phrases = [*V.NOVELTY_LANGUAGE, *V.BUILDABLE_CONTEXTS, *V.REPOSITORY_LANGUAGE, *(p for names in V.DOMAIN_ALIASES.values() for p in names)]
+    texts = [" ".join(phrases), "newly discovered newly mapped", "open-source github.com re-new new/x", "underwater cultural heritage visualization", "anew newt xr2 3d models", "", "new"] + [f"a {p}s {p} {p}" for p in phrases[:20]]
+    keys = sorted(set(map(text.key_of, phrases)))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(text.phrase_keys(F.col("t"), phrases).alias("got"), F.array_compact(F.array(*[F.when(text.has_phrase(F.col("t"), k), k) for k in keys])).alias("want"))
+    assert all(sorted(r["got"]) == r["want"] for r in df.collect())
+
+
+def test_cosine_of_nothing(spark):
+    row = spark.range(1).select(values.cosine(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(0.0))).alias("z"), values.cosine(F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(3.0), F.lit(4.0))).alias("o")).first()
+    assert row["z"] is None and row["o"] == 1.0
 
 
 def test_number_fields_are_typed(spark):
