@@ -38,11 +38,15 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://example.com/"), F.col("o_orderkey").cast("string")).alias("url"), F.array(F.lower("o_orderstatus"), F.substring("o_orderpriority", 1, 1)).alias("tags"), F.floor(F.col("o_totalprice") / 1000).alias("score"), published.alias("published_at"), F.col("o_orderdate").alias("created_at"))
 
 
+#: A scan of so many partitions at the most (about a gigabyte) is small enough to be dealt anew.
+FEW = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its scan gives fewer partitions than there are cores: rows that cost much CPU each should
-    not wait in one task. A table of more files than cores stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df over all cores where its scan gives a few partitions, and fewer than there are cores: rows that cost much CPU each
+    should not wait in one task. Larger tables stay as they are, whatever the cluster: nothing of them is shuffled."""
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if parts < cores and parts <= FEW else df
 
 
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
