@@ -77,7 +77,7 @@ def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple
                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None) -> DataFrame:
     """docs with __size, __source_size, __target, __taken (words) and __positions (one per time it is taken).
 
-    A document's size is its number of words, counted once and written with docs, or what size_col holds. Each source's documents stand in a fixed order, by the md5 of doc_id;
+    A document's size is its number of words, or what size_col holds. Each source's documents stand in a fixed order, by the md5 of doc_id;
     its word stream runs through them up to `epochs` times and ends at the target. With cut, the last document gives
     only the words that are missing; else a document is taken whole each time that its middle lies before the end.
     Position: the progress in [0, 1] at which the source's demand, its schedule integrated and scaled to the target,
@@ -92,7 +92,8 @@ def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple
     gives an empty table.
     """
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    counted = stash(docs.withColumn("__size", n_words(F.col(text_col))), "sizes") if size_col is None else docs.withColumnRenamed(size_col, "__size")
+    # with texts to carry, words are counted for the parts and again for the rows: that costs CPU, a copy of all texts disk
+    counted = docs.withColumn("__size", n_words(F.col(text_col))) if size_col is None else docs.withColumnRenamed(size_col, "__size")
     sized = counted.withColumn("__key", key).withColumn("__part", F.substring("__key", 1, 3))
     parts = sized.groupBy(F.col(source_col).alias("source"), F.col("__part").alias("part")).agg(F.sum("__size").alias("words"))
     offsets = parts.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
