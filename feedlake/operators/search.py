@@ -17,7 +17,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 from feedlake.functions import vocabulary as V
 from feedlake.functions.text import nfkc_values, sanitize_value
-from feedlake.functions.values import clamp, cosine
+from feedlake.functions.stemming import stem
+from feedlake.functions.values import clamp, cosine, let
 from feedlake.operators.embeddings import embedding_text
 from feedlake.operators.providers import ProviderError, ranking_reply
 
@@ -26,20 +27,6 @@ RERANK_CANDIDATES, RERANK_RESULTS, PASSAGE_LENGTH = 30, 10, 6000
 
 
 # --- full text -----------------------------------------------------------------------------------------------------
-def stem(word: str) -> str:
-    """A light English stem: plurals, -ing, -ed, -ly."""
-    for end, least, put in (("sses", 5, "ss"), ("ies", 4, "i"), ("ss", 3, "ss"), ("s", 4, "")):
-        if word.endswith(end) and len(word) >= least:
-            word = word[: len(word) - len(end)] + put
-            break
-    for end in ("ing", "ed", "ly"):
-        if word.endswith(end) and len(word) - len(end) >= 3 and re.search("[aeiouy]", word[: -len(end)]):
-            word = word[: -len(end)]
-            word = word[:-1] if len(word) > 3 and word[-1] == word[-2] and word[-1] not in "lsz" else word
-            break
-    return word[:-1] + "i" if len(word) > 2 and word.endswith("y") and word[-2] not in "aeiou" else word[:-1] if len(word) > 3 and word.endswith("e") else word
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def _lexemes(text: pd.Series) -> pd.Series:
     stems: dict[str, str] = {}
@@ -57,7 +44,8 @@ def _lexemes(text: pd.Series) -> pd.Series:
 
 
 def lexemes(text: Column) -> Column:
-    """Stems of the words in order; a stop word keeps its place as an empty string."""
+    """Stems of the words in order; a stop word keeps its place as an empty string. A table that is searched often keeps
+    them as a column."""
     return _lexemes(text)
 
 
@@ -81,22 +69,61 @@ def _holds(lex: Column, stems: list[str]) -> Column:
     return F.exists(at, lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(lex, i + k) == s, F.lit(False)) for k, s in enumerate(stems) if s]))
 
 
-def text_search(rows: DataFrame, text: Column, query: str, id_col: str = "id", limit: int | None = 50, score: str = "score") -> DataFrame:
-    """rows that match the query, with a rank: for every wanted stem, count / (count + 1) of its occurrences, summed
-    and divided by the number of stems. Ordered by rank, then id. A blank query, or one of stop words, has no rows.
+#: Fixed values of the usual rank: weight of a word, occurrences and places that count, the sum of 1 / n^2.
+WORD_WEIGHT, MOST_PLACES, LAST_PLACE, ALL_SQUARES = 0.1, 256, 16_383, 1.64493406685
+
+
+def _places(lex: Column, s: str) -> Column:
+    """Where a stem stands, from 1 on: its first 256 places."""
+    at = F.array_compact(F.transform(lex, lambda x, i: F.when(x == s, F.least(i + 1, F.lit(LAST_PLACE)))))
+    return F.slice(at, 1, MOST_PLACES)
+
+
+def _rank_any(lex: Column, stems: list[str]) -> Column:
+    """Each stem's occurrences, the n-th of them for 1 / n^2 of the first, over the number of stems."""
+    squares = [0.0]
+    for n in range(1, MOST_PLACES + 1):
+        squares.append(squares[-1] + 1 / n**2)
+    table = F.array(*[F.lit(x) for x in squares])
+    worth = lambda s: F.element_at(table, F.least(F.size(F.filter(lex, lambda x: x == s)), F.lit(MOST_PLACES)) + 1)
+    return reduce(lambda a, b: a + b, [worth(s) for s in stems]) * (WORD_WEIGHT / ALL_SQUARES / len(stems))
+
+
+def _rank_all(lex: Column, stems: list[str]) -> Column:
+    """Of every two stems each pair of places counts, the more the nearer they are; independent chances are added up."""
+    near = lambda d: F.when(d > 100, 1e-30).otherwise(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2.0)))
+    places = [_places(lex, s) for s in stems]
+
+    def apart(one: Column, two: Column) -> Column:
+        return F.aggregate(one, F.lit(1.0), lambda left, a: F.aggregate(two, left, lambda rest, b: rest * (1.0 - WORD_WEIGHT * F.sqrt(near(F.abs(a - b).cast("double"))))))
+
+    pairs = [(i, k) for i in range(len(stems)) for k in range(i)]
+    some = reduce(lambda a, b: a | b, [(F.size(places[i]) > 0) & (F.size(places[k]) > 0) for i, k in pairs])
+    return F.when(some, 1.0 - reduce(lambda a, b: a * b, [apart(places[i], places[k]) for i, k in pairs])).otherwise(1e-20)
+
+
+def text_search(rows: DataFrame, text: Column, query: str, id_col: str = "id", limit: int | None = 50, score: str = "score", stems: Column | None = None) -> DataFrame:
+    """rows that match the query, with their rank, highest first, then by id. A blank query, or one of stop words only, has
+    no rows.
 
-    The rank is this library's own; only matching and order of plain cases follow the usual text-search engines.
+    Words are runs of letters and digits, stemmed by the English rules; stop words keep their places. The rank is the usual
+    one of text-search engines with all words of one weight: for alternatives and single words the sum over the stems
+    of 1 / n^2 for the n-th occurrence, for several words and phrases the nearness of their places. Rows that hold none of
+    the stems' beginnings are left out before they are stemmed; `stems` is a stored column of lexemes, where there is one.
     """
     parsed = parse_query(query)
-    staged = rows.withColumn("__lex", lexemes(text))
     if not parsed:
-        return staged.withColumn(score, F.lit(0.0)).drop("__lex").where(F.lit(False))
+        return rows.withColumn(score, F.lit(0.0)).where(F.lit(False))
+    begins = lambda s: s[:-2] if len(s) > 4 else s[:1]  # noqa: E731 (the last letters of a stem may differ from the word's)
+    held = lambda t, alt: reduce(lambda a, b: a & b, [t.contains(begins(s)) for neg, stems_ in alt if not neg for s in stems_ if s], F.lit(True))
+    may = let(F.lower(F.coalesce(text, F.lit(""))), lambda t: reduce(lambda a, b: a | b, [held(t, alt) for alt in parsed]))
+    staged = rows.where(may).withColumn("__lex", stems if stems is not None else lexemes(text))
     lex = F.col("__lex")
     match = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [~_holds(lex, s) if neg else _holds(lex, s) for neg, s in alt]) for alt in parsed])
-    wanted = sorted({s for alt in parsed for neg, stems in alt if not neg for s in stems if s})
-    count = lambda s: F.size(F.filter(lex, lambda x: x == s)).cast("double")
-    rank = reduce(lambda a, b: a + b, [count(s) / (count(s) + 1) for s in wanted]) / len(wanted) if wanted else F.lit(0.0)
-    found = staged.where(match).withColumn(score, rank).drop("__lex").orderBy(F.desc(score), id_col)
+    every = sorted({s for alt in parsed for _, stems_ in alt for s in stems_ if s})
+    together = len(parsed) == 1 and (len(parsed[0]) > 1 or (not parsed[0][0][0] and sum(map(bool, parsed[0][0][1])) > 1)) and len(every) > 1
+    rank = _rank_all(lex, every) if together else _rank_any(lex, every)
+    found = staged.where(match).withColumn(score, rank).drop("__lex").orderBy(F.round(score, 9).desc(), id_col)
     return found.limit(limit) if limit is not None else found
 
 

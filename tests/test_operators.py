@@ -1,4 +1,5 @@
 import json
+import re
 import sys
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from feedlake.functions.vocabulary import WEIGHTS
+from feedlake.functions.stemming import stem
 from feedlake.operators import assessment, embeddings, entities, feeds, ingest, linkage, providers, relevance, search, signals, tagging, writes
 from feedlake.sources import feeds as scans
 from feedlake.sources import github, seeds, webpages
@@ -220,6 +222,29 @@ def test_text_search(spark):
     assert find("robot") == [1, 2, 3] and find("robots -sonar") == [1, 2] and find('"ocean robot"') == [2] and find("sonar or mapping") == [1, 3] and find("the") == [] and find("") == []
 
 
+def test_text_rank(spark):
+    """The rank beside loops over places."""
+    import math
+
+    texts = {1: "map the ocean map, mapping oceans", 2: "ocean " * 300 + "map", 3: "map " + "x " * 200 + "ocean", 4: "the ocean", 5: "robots"}
+    d = spark.createDataFrame(list(texts.items()), "id int, t string")
+    rank = lambda q: {r["id"]: r["score"] for r in search.text_search(d, F.col("t"), q).collect()}
+    places = lambda i, s: [k + 1 for k, w in enumerate(re.findall(r"[a-z]+", texts[i])) if stem(w) == s][:256]
+    square = lambda n: sum(1 / k**2 for k in range(1, n + 1)) * 0.1 / 1.64493406685
+    assert rank("maps or ocean") == pytest.approx({i: (square(len(places(i, "map"))) + square(len(places(i, "ocean")))) / 2 for i in (1, 2, 3, 4)})
+    near = lambda n: 1e-30 if n > 100 else 1 / (1.005 + 0.05 * math.exp(n / 1.5 - 2))
+    both = lambda i: 1 - math.prod(1 - 0.1 * math.sqrt(near(abs(a - b))) for a in places(i, "map") for b in places(i, "ocean"))
+    assert rank("ocean maps") == pytest.approx({i: both(i) for i in (1, 2, 3)}, abs=1e-12)
+    assert list(rank("robot")) == [5] and list(rank("ocean -map")) == [4] and rank("ocean -map")[4] == 1e-20
+
+
+@pytest.mark.parametrize(("word", "want"), [line.split() for line in """consigned consign|consistency consist|consolatory consolatori|conspicuously conspicu|constancy constanc|knackeries knackeri|kneeling kneel|hopping hop|hoping hope|agreed agre|feed feed|ponies poni|ties tie
+cats cat|gas gas|this this|kiwis kiwi|generate generat|generously generous|communism communism|happy happi|enjoy enjoy|by by|cry cri|relational relat|conditional condit|rational ration|electricity electr|hopeful hope|adjustable adjust|adoption adopt|rate rate|controlling control
+roll roll|robotics robot|archaeology archaeolog|vehicles vehicl|bed bed|sized size|luxuriated luxuri|sensibility sensibl|apology apolog|triplicate triplic|vietnamization vietnam|decisiveness decis|boldly bold|dying die|news news|proceed proceed|youth youth|boyish boyish|skies sky|sing sing""".replace("\n", "|").split("|")])
+def test_stems(word, want):
+    assert stem(word) == want
+
+
 def test_embedding_text(spark):
     df = spark.createDataFrame([("a", "T", "NEWS", ["machine vision", "unknown"], "https://u:p@www.Example.com./x?q=1")], "id string, title string, signal_type string, technologies array<string>, canonical_url string")
     assert embeddings.embedding_text(df).first()["embedding_text"] == "Title: T\nType: NEWS\nTechnologies: Computer Vision\nHost: example.com"
