@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 #: Edges that a task joins at once before the rounds begin.
-TOGETHER = 500_000
+TOGETHER = 250_000
 
 
 def _local_stars(batches):
@@ -61,13 +61,16 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
     Edges are rows of two non-null longs; direction, repeats and self-loops don't matter. Each task first joins what its
-    own edges join, a bounded number at a time, which shortens paths. Then every round is a pair of joins on nodes, so no
+    own edges join, a bounded number at a time, which shortens paths; more edges than one task takes at once go to more
+    tasks. Then every round is a pair of joins on nodes, so no
     component is ever held by one task or by the driver, and the rounds grow with the logarithm of the longest path. The driver sees one count and one checksum a round. An empty table gives an empty table.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    now = stash(pairs.mapInPandas(_local_stars, "u long, v long").distinct(), "cc")
+    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    width = max(1, -(-edges.count() // TOGETHER))
+    # as many tasks as the edges fill; a single one leaves nothing to join
+    now = stash(pairs.coalesce(width).mapInPandas(_local_stars, "u long, v long"), "cc")
     sums = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    mark = sums(now)
+    mark = sums(now) if width > 1 else (0,)
     while mark[0]:
         before, now = now, stash(_small_star(_large_star(now)), "cc")
         discard(before)

@@ -128,7 +128,7 @@ def _bridges(classes: DataFrame, reached: DataFrame, least: int, limit: int) ->
 
     dealt = _deal(members, "region", limit).select("region", "ba", "bb", "rep", "part", "order")
     tiles = dealt.repartition("region", "ba", "bb").sortWithinPartitions("region", "ba", "bb")
-    found = stash(tiles.mapInPandas(each, "a long, b long").distinct(), "pairs")
+    found = stash(tiles.mapInPandas(each, "a long, b long"), "pairs")
     discard(open_)
     discard(members)
     return found
@@ -158,17 +158,17 @@ def _strongest_tree(sigs: np.ndarray, part: np.ndarray, least: int) -> list[tupl
 
 def _sets(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(rep, items): the full shingle sets of the classes in pairs, made from their texts again."""
-    ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
+    ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep")))
     wanted = classes.select("rep", "set_key").join(ids, "rep", "left_semi")
 
     def each(batches):
         words = WordHashes()
         for batch in batches:
             sets = [shingle_set(text, width, words) for text in batch["text"]]
-            yield pd.DataFrame({"rep": batch["rep"], "set_key": [set_key(x) if len(x) else None for x in sets], "items": [x.view(np.int64) for x in sets]})
+            same = [len(x) > 0 and set_key(x) == key for x, key in zip(sets, batch["set_key"], strict=True)]  # a doc_id may have several texts
+            yield pd.DataFrame({"rep": batch["rep"][same], "items": [x.view(np.int64) for x, ok in zip(sets, same, strict=True) if ok]})
 
-    sets = texts.join(wanted.select("rep"), "rep", "left_semi").mapInPandas(each, "rep long, set_key binary, items array<long>")
-    return sets.join(wanted, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).select("rep", "items")
+    return texts.join(wanted, "rep").mapInPandas(each, "rep long, items array<long>").dropDuplicates(["rep"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
