@@ -192,8 +192,11 @@ def normalize_reply(reply: Column, weights: dict[str, float] = V.WEIGHTS) -> dic
     complete = sum([F.when(F.size(reply["dimensionExplanations"][d]) > 0, 1).otherwise(0) for d in V.DIMENSIONS], F.lit(0)) / F.lit(len(V.DIMENSIONS))
     explained = complete * F.when(F.trim(reply["explanation"]) != "", 1.0).otherwise(0.8)
     warned = F.greatest(F.lit(0.6), F.lit(1.0) - F.size(reply["warnings"]) * F.lit(0.05))
-    return {"domains": F.transform(reply["domains"], lambda x: x["domain"]), "technologies": F.transform(reply["technologies"], lambda x: x["technology"]), "dimensions": reply["dimensionScores"], "final_score": score, "band": band(score),
-            "provider_confidence": clamp(reply["confidence"], 0.0, 1.0), "normalized_confidence": clamp(reply["confidence"] * explained * warned, 0.0, 1.0), "explanation": reply["explanation"], "dimension_explanations": reply["dimensionExplanations"], "warnings": reply["warnings"],
+    known = lambda values, names: F.array_intersect(values, F.array(*[F.lit(n) for n in names]))
+    domains, technologies = F.transform(reply["domains"], lambda x: x["domain"]), F.transform(reply["technologies"], lambda x: x["technology"])
+    shares = [F.when(F.size(given) > 0, F.size(known(given, names)) / F.size(given)).otherwise(1.0) for given, names in ((domains, V.DOMAIN_ALIASES), (technologies, [t for _, t, _ in V.TECHNOLOGIES]))]
+    return {"domains": known(domains, V.DOMAIN_ALIASES), "technologies": known(technologies, [t for _, t, _ in V.TECHNOLOGIES]), "dimensions": reply["dimensionScores"], "final_score": score, "band": band(score),
+            "provider_confidence": clamp(reply["confidence"], 0.0, 1.0), "normalized_confidence": clamp(reply["confidence"] * F.least(*shares) * explained * warned, 0.0, 1.0), "explanation": reply["explanation"], "dimension_explanations": reply["dimensionExplanations"], "warnings": reply["warnings"],
             "model": reply["model"], "provider_version": reply["providerVersion"], "prompt_version": reply["promptVersion"]}
 
 

@@ -291,6 +291,13 @@ def test_assessments(spark):
     assert (row["status"], row["final_score"], row["band"], row["error_code"]) == ("FAILED", 0, "IGNORE", "invalid_response")
 
 
+def test_what_is_not_recognised_lowers_confidence(spark):
+    reply = REPLY | {"domains": [{"domain": d, "confidence": 1.0, "evidence": []} for d in ("oceanMapping", "cooking", "baking", "frying")], "technologies": [{"technology": t, "confidence": 1.0, "evidence": []} for t in ("SLAM", "spoon")]}
+    df = spark.createDataFrame([(json.dumps(reply),)], "j string").select(F.from_json("j", assessment.REPLY).alias("r"))
+    row = df.select(*[c.alias(k) for k, c in assessment.normalize_reply(F.col("r")).items()]).first()
+    assert row["domains"] == ["oceanMapping"] and row["technologies"] == ["SLAM"] and abs(row["normalized_confidence"] - 0.8 * 0.25) < 1e-9
+
+
 def test_retries():
     waits, calls = [], []
 
