@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedlake.llm import exact_search, html_text, line_dedup, mixing, near_text, near_vectors, packing, quality, token_files, url_filter
+from feedlake.llm import exact_search, exact_text, html_text, line_dedup, mixing, near_text, near_vectors, packing, quality, token_files, url_filter
 
 QUERIES = {
     "op1_wrapper_text": html_text.op1_wrapper_text,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_random_indexing": quality.op8_random_indexing,
     "op9_cap_filters": near_vectors.op9_cap_filters,
     "op10_line_windows": line_dedup.op10_line_windows,
+    "op11_chunk_recipes": exact_text.op11_chunk_recipes,
 }
 
 ORACLES: dict[str, str] = {
     "op2_exact_topk": exact_search.OP2_SQL,
     "op5_curriculum_mix": mixing.OP5_SQL,
     "op10_line_windows": line_dedup.OP10_SQL,
+    "op11_chunk_recipes": exact_text.OP11_SQL,
 }
