@@ -5,29 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedlake.functions.values import let
 from feedlake.llm.columns import lower_az
 from feedlake.llm.scratch import discard, salted_join, stash, table
 
-#: A sentence or line ends behind one of these; one in SENTENCES of them, by its hash, ends a chunk.
-ENDS, SENTENCES = r"(?<=[.!?;\n。！？])", 16
+#: A sentence or line ends behind one of these; one in SENTENCES of them, by its hash, ends a chunk; what marks the cuts.
+ENDS, SENTENCES, MARK = r"(?<=[.!?;\n。！？])", 16, "\x1e"
 
 
 def chunks(text: Column, sentences: int = SENTENCES) -> Column:
-    """text in chunks that its own content cuts: behind every sentence or line whose hash is divisible by `sentences`, and at
-    the end. Joined they are the text; an insertion moves no cut but those beside it. An empty text is one empty chunk."""
+    """text in chunks that its own content cuts: behind every sentence or line whose hash is divisible by `sentences`. An
+    insertion moves no cut but those beside it. An empty text is one empty chunk.
 
-    def of(grains: Column) -> Column:
-        is_end = lambda i: (F.pmod(F.xxhash64(F.get(grains, i)), F.lit(sentences)) == 0) | (i == F.size(grains) - 1)
-        ends = F.filter(F.sequence(F.lit(0), F.size(grains) - 1), is_end)
-
-        def join(ends: Column) -> Column:
-            begin = lambda j: F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
-            return F.transform(ends, lambda e, j: F.array_join(F.slice(grains, begin(j) + 1, e - begin(j) + 1), ""))
-
-        return let(ends, join)
-
-    return let(F.split(text, ENDS, -1), of)
+    Cuts are marked and the text is split at the marks, in time linear in its length. Joined by the mark the chunks are the
+    marked text, from which the marks can be told again by the sentences before them; so different texts have
+    different chunks, also where a text holds the mark itself (it is cut there too).
+    """
+    marked = F.transform(F.split(text, ENDS, -1), lambda s: F.when(F.pmod(F.xxhash64(s), F.lit(sentences)) == 0, F.concat(s, F.lit(MARK))).otherwise(s))
+    return F.split(F.array_join(marked, ""), MARK, -1)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, bits: int = 64) -> DataFrame:

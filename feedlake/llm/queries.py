@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedlake.llm import exact_search, exact_text, html_text, line_dedup, mixing, near_text, near_vectors, packing, quality, token_files, url_filter
+from feedlake.llm import exact_search, exact_text, html_text, line_dedup, mixing, near_text, near_vectors, packing, quality, resampling, spelling, token_files, url_filter
 
 QUERIES = {
     "op1_wrapper_text": html_text.op1_wrapper_text,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_cap_filters": near_vectors.op9_cap_filters,
     "op10_line_windows": line_dedup.op10_line_windows,
     "op11_chunk_recipes": exact_text.op11_chunk_recipes,
+    "op12_deletion_keys": spelling.op12_deletion_keys,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
