@@ -12,7 +12,8 @@ from feedlake.functions.text import error_message
 from feedlake.functions.values import non_negative
 from feedlake.functions.vocabulary import PAPER_SOURCE_URL, PAPER_SOURCE_URLS, PROCESSING_REASONS
 from feedlake.operators.entities import added, enrich, extract_entities, names_of
-from feedlake.operators.linkage import _kept, action, candidate_rows, find_duplicates, first_comers, first_links, known_items, link_keys, merge_signals
+from feedlake.operators.linkage import action, candidate_rows, find_duplicates, first_comers, first_links, known_items, link_keys, merge_signals, usable_key
+from feedlake.operators.kept import kept
 from feedlake.operators.signals import to_signals
 from feedlake.operators.tagging import first_item_score, item_score, match_lab, tag_items
 from feedlake.operators.writes import source_health, upsert_sources
@@ -65,14 +66,24 @@ def prepare(scanned: DataFrame, labs: DataFrame, kind: str, now: Column) -> Data
 
 def outcomes(prepared: DataFrame, items: DataFrame, check_duplicates: bool = True, abort_source: bool = False) -> DataFrame:
     """prepared with outcome: created, or deduped for a known item or one that the batch has written before
-    (linkage.first_comers). Without the check a collision is a failure (insertion would break a unique key). Rows with
-    an insert_error fail too. With abort_source the rows of a source after its first failure are `skipped`."""
+    (linkage.first_comers). Without the check a collision is a failure (insertion would break a unique key). A key with
+    an empty part is not looked up, so what collides by it alone fails at its insertion. Rows with an insert_error fail
+    too. With abort_source the rows of a source after its first failure are `skipped`."""
     marked = known_items(prepared, items)
     bad = F.coalesce(F.col("insert_error").isNotNull(), F.lit(False)) if "insert_error" in prepared.columns else F.lit(False)
-    can_be = ~F.col("is_known") & ~bad
+    can_be = ~F.col("is_known") & ~F.col("is_taken") & ~bad
     judged = first_comers(marked.where(can_be)).unionByName(marked.where(~can_be).withColumn("is_first", F.lit(False)))
+    # what an insertion would fail on, unless the look-up finds it written before: an error, or an empty key alone
+    written = judged.where("is_first")
+    hidden = F.col("source_id").isNotNull() & F.col("external_id").isNotNull() & ~usable_key()
+    doubtful = ~F.col("is_known") & ~F.col("is_first") & (bad | F.col("is_taken") | hidden)
+    by_url = written.where("url is not null").select("url", F.col("ord").alias("__u"))
+    by_key = written.where(usable_key()).select("source_id", "external_id", F.col("ord").alias("__k"))
+    late = judged.where(doubtful).join(by_url, "url", "left").join(by_key, ["source_id", "external_id"], "left")
+    late = late.withColumn("__failed", F.coalesce(F.least("__u", "__k") > F.col("ord"), F.lit(True))).drop("__u", "__k")
+    judged = judged.where(~doubtful).withColumn("__failed", F.lit(False)).unionByName(late)
     other = "deduped" if check_duplicates else "failed"
-    done = judged.withColumn("outcome", F.when(F.col("is_first"), "created").when(~F.col("is_known") & bad, "failed").otherwise(other)).drop("is_known", "is_first")
+    done = judged.withColumn("outcome", F.when(F.col("is_first"), "created").when(F.col("__failed"), "failed").otherwise(other)).drop("is_known", "is_taken", "is_first", "__failed")
     if abort_source:
         before = F.max((F.col("outcome") == "failed").cast("int")).over(Window.partitionBy("source_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
         done = done.withColumn("outcome", F.when(before == 1, "skipped").otherwise(F.col("outcome")))
@@ -145,17 +156,17 @@ def batch_actions(created: DataFrame, ord_col: str = "id") -> tuple[DataFrame, D
     In each round the rows without any earlier link are inserted, and those that link with an inserted one go. The driver
     sees one number a round.
     """
-    keys, at = _kept(link_keys(created)), created.select("id", F.col(ord_col).alias("at"))
+    keys, at = kept(link_keys(created)), created.select("id", F.col(ord_col).alias("at"))
     open_, inserted, linked = keys, None, None
     while True:
         place = at.join(open_.select("id"), "id", "left_semi")
         early = first_links(open_, open_, place, own=place)
-        new = _kept(open_.join(early.select(F.col("left_id").alias("id")), "id", "left_anti").select("id"))
+        new = kept(open_.join(early.select(F.col("left_id").alias("id")), "id", "left_anti").select("id"))
         inserted = new if inserted is None else inserted.unionAll(new)
         rest = open_.join(new, "id", "left_anti")
-        found = _kept(first_links(rest, keys.join(inserted, "id", "left_semi"), at.join(inserted, "id", "left_semi"), own=at).select(F.col("left_id").alias("id"), F.col("right_id").alias("first_id"), "tier"))
+        found = kept(first_links(rest, keys.join(inserted, "id", "left_semi"), at.join(inserted, "id", "left_semi"), own=at).select(F.col("left_id").alias("id"), F.col("right_id").alias("first_id"), "tier"))
         linked = found if linked is None else linked.unionAll(found)
-        open_ = _kept(rest.join(found, "id", "left_anti"))
+        open_ = kept(rest.join(found, "id", "left_anti"))
         if open_.isEmpty():
             return inserted, linked
 
@@ -173,7 +184,7 @@ def persist_plan(processed: DataFrame, existing: DataFrame, enabled: bool = Fals
     if dry_run or not enabled:
         status = F.lit("dry_run") if dry_run else F.when(verb == "review", "review_required").otherwise("disabled")
         return processed.select("id", "action", status.alias("status")), processed.where(F.lit(False)), merge_signals(existing, processed.where(F.lit(False)).drop("id").withColumnRenamed("existing_id", "id"))
-    processed = _kept(processed)  # asked for in every round
+    processed = kept(processed)  # asked for in every round
     fresh = processed.where(verb == "create")
     inserted, linked = batch_actions(fresh, ord_col)
     rows = processed.join(linked.select("id", "first_id", F.col("tier").alias("__tier")), "id", "left")
@@ -198,7 +209,8 @@ def dual_write(items: DataFrame, existing: DataFrame, enabled: bool = False) ->
         return {"statuses": items.select("id", F.lit(False).alias("attempted"), F.lit("disabled").alias("status"), none.alias("error"))}
     try:
         done, rejected = process(items, existing)
-        statuses, fresh, merged = persist_plan(done, existing, enabled=True, ord_col="ord" if "ord" in done.columns else "id")
+        # computed here, so that what fails fails here
+        statuses, fresh, merged = map(kept, persist_plan(done, existing, enabled=True, ord_col="ord" if "ord" in done.columns else "id"))
     except Exception as error:  # the signals fail as a whole, the items stay
         return {"statuses": items.select("id", F.lit(True).alias("attempted"), F.lit("failed").alias("status"), F.lit(str(error)[:500]).alias("error"))}
     good = statuses.select("id", F.lit(True).alias("attempted"), "status", none.alias("error"))
@@ -218,7 +230,8 @@ def run(kind: str, scanned: DataFrame, items: DataFrame, labs: DataFrame, now: C
     if kind not in KINDS:
         raise ValueError(f"unknown ingest kind {kind!r}")
     how = KINDS[kind]
-    results = outcomes(prepare(scanned, labs, kind, now), items, how.check_duplicates, how.abort_source)
+    # decided once, before anything is written: what follows must not see its own items
+    results = kept(outcomes(prepare(scanned, labs, kind, now), items, how.check_duplicates, how.abort_source))
     new = results.where(F.col("outcome") == "created").drop("outcome").withColumn("status", F.lit("FETCHED"))
     if append is not None:
         append(new)

@@ -11,6 +11,7 @@ from feedlake.functions import vocabulary as V
 from feedlake.functions.json_walk import identifiers
 from feedlake.functions.text import merge_arrays, normalize_title, title_prefix, title_tokens
 from feedlake.functions.urls import normalize_url
+from feedlake.operators.kept import kept
 
 TIERS = {1: "identifier", 2: "url", 3: "title", 4: "title_high"}
 _BLANK = r"(?U)^\s*$"
@@ -138,30 +139,48 @@ def action(duplicates: DataFrame) -> DataFrame:
     return duplicates.withColumn("action", F.when(~F.col("is_duplicate"), "create").when(exact, "update").when(F.col("matched_by") == "title", "review").otherwise("create"))
 
 
+def newest(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """(key, list): of each key the first `limit` rows (at, right_id) by `at`. Every task keeps no more than that of a key before
+    anything is moved, so a key that all rows share is a few rows a task."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("at"))
+    top = rows.where(F.col(key).isNotNull()).withColumn("__r", place).where(F.col("__r") <= limit)
+    return top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "right_id"))).alias("list"))
+
+
 def candidate_rows(incoming: DataFrame, existing: DataFrame, limit: int = 25) -> DataFrame:
     """(left_id, right_id, rank): existing rows with the same URL, the same title without case, or a title that holds the
     first 80 characters of the incoming one without case; newest first, at most 1 to 25 for each incoming row.
 
+    Every key (URL, title, incoming prefix) first becomes one list of its newest rows, of at most `limit`; incoming rows then
+    take up to three lists each and the newest of these. So titles that a million rows share on both sides cost one list and a
+    row for each answer.
+
     What a title holds is found by blocks that lose nothing: a title that holds a text also holds the text's inner words
     as whole words, and each three characters in a row of it. Of these the one that is rarest among the existing titles
-    joins the two sides; the test itself follows.
+    joins the two sides, different prefixes with different titles; the test itself follows.
     """
     limit = max(1, min(25, limit))
-    a = incoming.select(F.col("id").alias("left_id"), F.col("canonical_url").alias("u"), F.lower("title").alias("t"), F.lower(title_prefix(F.col("title"))).alias("prefix"))
+    a = incoming.select(F.col("id").alias("left_id"), F.col("canonical_url").alias("u"), F.lower("title").alias("t"), F.nullif(F.lower(title_prefix(F.col("title"))), F.lit("")).alias("prefix"))
     b = existing.select(F.col("id").alias("right_id"), F.col("canonical_url").alias("u"), F.lower("title").alias("t"), existing_order(existing).alias("at"))
+    by_url, by_title = newest(b, "u", limit), newest(b, "t", limit)
     words = lambda text: F.split(text, r"[^\p{L}\p{N}]+")
     grams = lambda text, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
     inner = F.slice(words(F.col("prefix")), F.lit(2), F.greatest(F.size(words(F.col("prefix"))) - 2, F.lit(0)))
     asked = F.filter(F.concat(F.transform(inner, lambda w: F.concat(F.lit("w:"), w)), grams(F.col("prefix"), 3)), lambda k: ~k.isin("w:", ""))
     held = F.array_distinct(F.concat(F.transform(words(F.col("t")), lambda w: F.concat(F.lit("w:"), w)), grams(F.col("t"), 3), grams(F.col("t"), 2), grams(F.col("t"), 1)))
-    keys = a.where(F.length("prefix") > 0).select("left_id", "prefix", F.explode(F.array_distinct(asked)).alias("key"))
-    blocks = b.select("right_id", "t", F.explode(held).alias("key")).join(keys.select("key").distinct(), "key", "left_semi")
+    keys = a.select("prefix").where("prefix is not null").distinct().select("prefix", F.explode(F.array_distinct(asked)).alias("key"))
+    blocks = b.select("t").where("t is not null").distinct().select("t", F.explode(held).alias("key")).join(keys.select("key").distinct(), "key", "left_semi")
     often = blocks.groupBy("key").agg(F.count("*").alias("n"))
-    rarest = keys.join(often, "key", "left").groupBy("left_id", "prefix").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key"))).alias("k")).select("left_id", "prefix", F.col("k.key").alias("key"))
-    holding = rarest.join(blocks, "key").where(F.contains("t", "prefix")).select("left_id", "right_id")
-    equal = a.select("left_id", "u").join(b.select("right_id", "u"), "u").select("left_id", "right_id").union(a.select("left_id", "t").join(b.select("right_id", "t"), "t").select("left_id", "right_id"))
-    ranked = equal.union(holding).distinct().join(b.select("right_id", "at"), "right_id")
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("left_id").orderBy("at"))).where(F.col("rank") <= limit).select("left_id", "right_id", "rank")
+    rarest = keys.join(often, "key", "left").groupBy("prefix").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key"))).alias("k")).select("prefix", F.col("k.key").alias("key"))
+    holding = rarest.join(blocks, "key").where(F.contains("t", "prefix")).select("prefix", "t")
+    lists = holding.join(by_title, "t").select("prefix", F.explode("list").alias("e")).select("prefix", "e.at", "e.right_id")
+    by_prefix = newest(lists, "prefix", limit)
+    for key, of in (("u", by_url), ("t", by_title), ("prefix", by_prefix)):
+        a = a.join(of.withColumnRenamed("list", f"{key}_list"), key, "left")
+    none = F.array().cast(by_url.schema["list"].dataType)
+    every = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(f"{k}_list", none) for k in ("u", "t", "prefix")])))
+    ranked = a.select("left_id", F.posexplode(F.slice(every, 1, limit)).alias("__i", "e"))
+    return ranked.select("left_id", "e.right_id", (F.col("__i") + 1).alias("rank"))
 
 
 def within_batch(batch: DataFrame, ord_col: str = "ord", threshold: float = V.TITLE_THRESHOLD, use_raw: bool = True) -> DataFrame:
@@ -171,50 +190,58 @@ def within_batch(batch: DataFrame, ord_col: str = "ord", threshold: float = V.TI
     return first_links(keys, keys, place, threshold, place).select(F.col("left_id").alias("id"), F.col("right_id").alias("first_id"), "tier")
 
 
+def usable_key() -> Column:
+    """Whether a row has a key to be looked up by: source and external id, neither null nor empty."""
+    return F.coalesce((F.col("source_id").cast("string") != "") & (F.col("external_id") != ""), F.lit(False))
+
+
 def known_items(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """incoming with is_known: an existing row has its (source_id, external_id) or its url."""
-    by_key = existing.where("string(source_id) <> '' and external_id <> ''").select("source_id", "external_id").distinct().withColumn("__k", F.lit(True))
+    """incoming with is_known: an existing row has its usable (source_id, external_id) or its url; and is_taken: one has its
+    key with an empty part, which no look-up finds and an insertion breaks. Nulls match nothing."""
+    keyed = existing.where("source_id is not null and external_id is not null").select("source_id", "external_id").distinct().withColumn("__k", F.lit(True))
     by_url = existing.where("url is not null").select("url").distinct().withColumn("__u", F.lit(True))
-    return incoming.join(by_key, ["source_id", "external_id"], "left").join(by_url, "url", "left").withColumn("is_known", F.coalesce("__k", "__u", F.lit(False))).select(*incoming.columns, "is_known")
+    found = incoming.join(keyed, ["source_id", "external_id"], "left").join(by_url, "url", "left")
+    by_key = F.coalesce("__k", F.lit(False))
+    return found.withColumn("is_known", (by_key & usable_key()) | F.coalesce("__u", F.lit(False))).withColumn("is_taken", by_key & ~F.col("is_known")).select(*incoming.columns, "is_known", "is_taken")
 
 
 def first_comers(rows: DataFrame, ord_col: str = "ord") -> DataFrame:
     """rows with is_first: whether a run from the first row to the last would write it, that is, no row written before has
-    its url or its (source_id, external_id).
+    its url or its (source_id, external_id), as unique keys have it: nulls are like nothing, empty values like each other.
 
     A row that is not written blocks nothing: with (u1, k1), (u1, k2), (u3, k2) the third is written. Rows with the same
-    url and key are one candidate, its first row (one of those that share a place). In each round a candidate that is first by both its keys is written and
-    those that share a key with it go; rounds are as many as such a chain is long, mostly one or two. The driver sees one
-    number a round.
+    url and key are one candidate, its first row (one of those that share a place). Candidates that share neither are written at
+    once. Of the others, in each round a candidate that is first by both its keys is written and those that share a
+    key with it go; rounds are as many as such a chain is long, mostly one or two. The driver sees one number a round.
     """
     names = ["url", "source_id", "external_id"]
     keyed = F.col("source_id").isNotNull() & F.col("external_id").isNotNull()
+    # rows without a url, or a key, are groups of their own
+    alone = {"__no_url": F.when(F.col("url").isNull(), F.monotonically_increasing_id()), "__no_key": F.when(~keyed, F.monotonically_increasing_id())}
     open_ = rows.groupBy(*names).agg(F.min(ord_col).alias("__at"))
-    written = open_.where(F.lit(False))
-    while True:
-        url = F.min("__at").over(Window.partitionBy("url"))
-        key = F.when(keyed, F.min("__at").over(Window.partitionBy("source_id", "external_id")))
-        marked = open_.withColumn("__w", (F.coalesce(url, F.col("__at")) == F.col("__at")) & (F.coalesce(key, F.col("__at")) == F.col("__at")))
-        near = F.max("__w").over(Window.partitionBy("url")) | F.coalesce(F.when(keyed, F.max("__w").over(Window.partitionBy("source_id", "external_id"))), F.lit(False))
-        marked = _kept(marked.withColumn("__n", near))
+    no_keys = rows.where(F.col("url").isNull() & ~keyed)
+    by_url, by_key = Window.partitionBy("url", "__no_url"), Window.partitionBy("source_id", "external_id", "__no_key")
+    counted = open_.where(F.col("url").isNotNull() | keyed).withColumns(alone).withColumn("__cu", F.count("*").over(by_url)).withColumn("__ck", F.count("*").over(by_key))
+    counted = kept(counted)
+    written = counted.where("__cu = 1 and __ck = 1").select(*names, "__at")
+    open_ = counted.where("__cu > 1 or __ck > 1").drop("__cu", "__ck")
+    while not open_.isEmpty():
+        least = open_.withColumn("__mu", F.min("__at").over(by_url)).withColumn("__mk", F.min("__at").over(by_key))
+        marked = least.withColumn("__w", (F.col("__mu") == F.col("__at")) & (F.col("__mk") == F.col("__at"))).drop("__mu", "__mk")
+        marked = kept(marked.withColumn("__n", F.max("__w").over(by_key)).withColumn("__n", F.col("__n") | F.max("__w").over(by_url)))
         written = written.unionAll(marked.where("__w").select(*names, "__at"))
         open_ = marked.where("not __n").drop("__w", "__n")
-        if open_.isEmpty():
-            break
     w = written.select(*[F.col(n).alias(f"__{n}") for n in names], "__at", F.lit(True).alias("is_first"))
-    joined = rows.join(w, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names], F.col(ord_col) == F.col("__at")), "left")
+    some = rows.where(F.col("url").isNotNull() | keyed)
+    joined = some.join(w, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names], F.col(ord_col) == F.col("__at")), "left")
     one = F.row_number().over(Window.partitionBy(*names, ord_col).orderBy(F.lit(1))) == 1
-    return joined.withColumn("is_first", F.coalesce("is_first", F.lit(False)) & one).select(*rows.columns, "is_first")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df computed once: in the checkpoint folder where the session has one, else in the executors' storage."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+    judged = joined.withColumn("is_first", F.coalesce("is_first", F.lit(False)) & one).select(*rows.columns, "is_first")
+    return judged.unionByName(no_keys.withColumn("is_first", F.lit(True)))
 
 
 def new_items(incoming: DataFrame, existing: DataFrame, ord_col: str = "ord") -> DataFrame:
     """The rows to insert: not known, and written by a run from the first row to the last (first_comers)."""
-    fresh = known_items(incoming, existing).where(~F.col("is_known")).drop("is_known")
+    fresh = known_items(incoming, existing).where(~F.col("is_known") & ~F.col("is_taken")).drop("is_known", "is_taken")
     return first_comers(fresh, ord_col).where("is_first").drop("is_first")
 
 

@@ -252,17 +252,21 @@ def dup_tiers(spark, sf_dir):
 
 
 #: Titles of a few words, as incoming ones; every document's first line is an existing title.
-_ASKED = "SELECT id, CASE id % 4 WHEN 0 THEN array_to_string(string_split(title, ' ')[1:2], ' ') WHEN 1 THEN string_split(title, ' ')[1] WHEN 2 THEN title ELSE substr(title, 3, 40) END AS title FROM doc WHERE id % 50 = id // 50 % 50"
+_ASKED = "SELECT id, CASE id % 4 WHEN 0 THEN array_to_string(string_split(title, ' ')[1:2], ' ') WHEN 1 THEN string_split(title, ' ')[1] WHEN 2 THEN title ELSE substr(title, 3, 40) END AS title, 'https://example.com/' || CASE WHEN id % 7 = 0 THEN 'doc/' || id // 2 ELSE 'new/' || id END AS url FROM doc"
 
 
-@query(f"""WITH {_DOC}, a AS ({_ASKED}), b AS (SELECT id, lower(title) AS t FROM doc), p AS (SELECT a.id AS left_id, b.id AS right_id FROM a JOIN b ON (trim(regexp_replace(a.title, '\\s+', ' ', 'g')) <> '' AND contains(b.t, lower(substr(trim(regexp_replace(a.title, '\\s+', ' ', 'g')), 1, 80)))) OR b.t = lower(a.title)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY left_id ORDER BY right_id) AS INTEGER) AS rank FROM p) SELECT * FROM r WHERE rank <= 25""")
+@query(f"""WITH {_DOC}, a AS ({_ASKED}), b AS (SELECT id, lower(title) AS t, 'https://example.com/doc/' || id AS url, CASE WHEN id % 5 <> 0 THEN TIMESTAMP '{NOW}' - to_hours(CAST(id * 37 % 900 AS INTEGER)) END AS published, CASE WHEN id % 3 <> 0 THEN TIMESTAMP '{NOW}' - to_days(CAST(id * 11 % 50 AS INTEGER)) END AS updated FROM doc),
+p AS (SELECT a.id AS left_id, b.id AS right_id, published, updated FROM a JOIN b ON (trim(regexp_replace(a.title, '\\s+', ' ', 'g')) <> '' AND contains(b.t, lower(substr(trim(regexp_replace(a.title, '\\s+', ' ', 'g')), 1, 80)))) OR b.t = lower(a.title) OR b.url = a.url),
+r AS (SELECT left_id, right_id, CAST(row_number() OVER (PARTITION BY left_id ORDER BY published DESC NULLS FIRST, updated DESC NULLS FIRST, right_id) AS INTEGER) AS rank FROM p) SELECT * FROM r WHERE rank <= 25""")
 def candidates(spark, sf_dir):
-    """Of one document in fifty the first words, the first line or a part of it, looked for in all first lines."""
+    """The first words of every document, its first line or a part of it, looked for in all first lines; some ask for another's
+    URL. The newest 25 by two dates, of which either may be missing."""
     i, words = F.col("id"), F.split("title", " ")
     asked = F.when(i % 4 == 0, F.array_join(F.slice(words, 1, 2), " ")).when(i % 4 == 1, F.get(words, F.lit(0))).when(i % 4 == 2, F.col("title")).otherwise(F.substring("title", 3, 40))
-    d = views.document_items(spark, sf_dir).select("id", "title", F.concat(F.lit("https://example.com/doc/"), i.cast("string")).alias("canonical_url"))
-    incoming = d.where(i % 50 == F.floor(i / 50) % 50).select("id", asked.alias("title"), F.concat(F.lit("https://example.com/new/"), i.cast("string")).alias("canonical_url"))
+    at = lambda unit, n: F.timestamp_add(unit, -n.cast("int"), F.lit(NOW).cast("timestamp"))
+    url = lambda kind, n: F.concat(F.lit(f"https://example.com/{kind}/"), n.cast("string"))
+    d = views.document_items(spark, sf_dir).select("id", "title", url("doc", i).alias("canonical_url"), F.when(i % 5 != 0, at("HOUR", i * 37 % 900)).alias("published_at"), F.when(i % 3 != 0, at("DAY", i * 11 % 50)).alias("updated_at"))
+    incoming = d.select("id", asked.alias("title"), F.when(i % 7 == 0, url("doc", F.floor(i / 2))).otherwise(url("new", i)).alias("canonical_url"))
     return linkage.candidate_rows(incoming, d)
 
 
@@ -286,11 +290,19 @@ def identifier_normalize(spark, sf_dir):
 
 
 # --- dedupe, merge, upsert -----------------------------------------------------------------------------------------
-@query("""WITH i AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS ord FROM lineitem), k AS (SELECT i.*, EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 2 = 0) AS known, row_number() OVER (PARTITION BY l_orderkey ORDER BY ord) AS f FROM i)
-SELECT CASE WHEN NOT known AND f = 1 THEN 'created' ELSE 'deduped' END AS outcome, count(*) AS n FROM k GROUP BY 1""")
+@query("""WITH i AS (SELECT l_orderkey AS o, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS ord FROM lineitem),
+f AS (SELECT *, n % 4 = 0 AS free, o % 10 = 3 AS empty, min(CASE WHEN n % 4 <> 0 THEN n END) OVER (PARTITION BY o) AS first_n, min(CASE WHEN n % 4 <> 0 THEN ord END) OVER (PARTITION BY o) AS first_ord FROM i),
+k AS (SELECT CASE WHEN free THEN 'created' WHEN NOT empty AND o % 2 = 0 THEN 'deduped' WHEN ord = first_ord THEN 'created' WHEN NOT empty THEN 'deduped' WHEN n = first_n OR (n IN (1, 5) AND first_n IN (1, 5)) THEN 'deduped' ELSE 'failed' END AS outcome FROM f)
+SELECT outcome, count(*) AS n FROM k GROUP BY 1""")
 def item_dedupe(spark, sf_dir):
-    incoming = read(spark, sf_dir, "lineitem").select(F.lit(1).alias("source_id"), F.col("l_orderkey").cast("string").alias("external_id"), F.concat(F.lit("https://example.com/"), F.col("l_orderkey").cast("string")).alias("url"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ord"))
-    existing = read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.lit(1).alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"), F.concat(F.lit("https://example.com/"), F.col("o_orderkey").cast("string")).alias("url"))
+    """Order lines as items: most share the key and URL of their order, of which every second is known; some have neither key nor
+    URL, and collide with nothing; some have an empty key beside URLs of their own, which collides at insertion."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    free, empty = n % 4 == 0, o % 10 == 3
+    url = F.concat(F.lit("https://example.com/"), o.cast("string"))
+    of_line = F.concat(url, F.lit("/"), F.when(n == 5, 1).otherwise(n).cast("string"))
+    incoming = read(spark, sf_dir, "lineitem").select(F.when(free, F.lit(None)).when(empty, o).otherwise(1).cast("string").alias("source_id"), F.when(empty, F.lit("")).otherwise(o.cast("string")).alias("external_id"), F.when(~free, F.when(empty, of_line).otherwise(url)).alias("url"), (o * 100 + n).alias("ord"))
+    existing = read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.lit("1").alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"), F.concat(F.lit("https://example.com/"), F.col("o_orderkey").cast("string")).alias("url"))
     return ingest.outcomes(incoming, existing).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
@@ -471,19 +483,26 @@ def ingest_ledger(spark, sf_dir):
     return ingest.run_ledger(_outcomes(spark, sf_dir), "RSS", "r1").select("run_id", "fetched", "created", "deduped", "failed", "status")
 
 
-@query("""WITH i AS (SELECT c_custkey % 5 AS source_id, c_custkey AS ord, 'k' || (c_custkey // 3) AS external_id, 'https://example.com/' || (c_custkey // 2) AS url FROM customer),
-k AS (SELECT i.*, row_number() OVER (PARTITION BY source_id ORDER BY ord) AS r FROM i) SELECT source_id, count(*) FILTER (WHERE r <= 20) AS fetched, count(*) FILTER (WHERE r <= 20 AND source_id = 0) AS failed FROM k GROUP BY 1""")
+@query("""WITH RECURSIVE c AS (SELECT c_custkey % 5 AS source_id, c_custkey AS ord, 'k' || (c_custkey // 15) AS external_id, 'https://example.com/' || (c_custkey // 10) AS url, row_number() OVER (PARTITION BY c_custkey % 5 ORDER BY c_custkey) AS r FROM customer),
+i AS (SELECT *, row_number() OVER (ORDER BY ord) AS k FROM c WHERE r <= 20), run(k, urls, keys, source_id, outcome) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR)
+  UNION ALL SELECT k, CASE WHEN o = 'created' THEN list_append(urls, url) ELSE urls END, CASE WHEN o = 'created' THEN list_append(keys, key) ELSE keys END, source_id, o FROM (SELECT i.k, urls, keys, url, i.source_id, i.source_id || '/' || external_id AS key,
+    CASE WHEN i.external_id = 'k3' AND i.source_id = 2 OR url = 'https://example.com/7' OR list_contains(urls, url) OR list_contains(keys, i.source_id || '/' || external_id) THEN 'deduped' WHEN i.source_id = 0 THEN 'failed' ELSE 'created' END AS o FROM run JOIN i ON i.k = run.k + 1))
+SELECT source_id, count(*) AS fetched, count(*) FILTER (WHERE outcome = 'created') AS created, count(*) FILTER (WHERE outcome = 'deduped') AS deduped, count(*) FILTER (WHERE outcome = 'failed') AS failed, count(*) FILTER (WHERE outcome = 'created') AS signals FROM run WHERE k > 0 GROUP BY 1""")
 def ingest_rss(spark, sf_dir):
-    """A run over five sources of customers: at most twenty items each; one source's items cannot be inserted."""
+    """A run over five sources of customers: at most twenty items each, of which some share a key or a URL with one before or
+    a known one; one source's items cannot be inserted. The items that are created become signals."""
     c = read(spark, sf_dir, "customer")
     i = F.col("c_custkey")
     none = F.lit(None).cast("string")
-    rows = c.select((i % 5).cast("string").alias("source_id"), F.lit("RSS").alias("source_type"), F.lit("S").alias("source_name"), F.concat(F.lit("k"), i.cast("string")).alias("external_id"), F.concat(F.lit("https://example.com/"), i.cast("string")).alias("url"), F.col("c_name").alias("title"), none.alias("summary"), none.alias("content_text"),
+    rows = c.select((i % 5).cast("string").alias("source_id"), F.lit("RSS").alias("source_type"), F.lit("S").alias("source_name"), F.concat(F.lit("k"), F.floor(i / 15).cast("string")).alias("external_id"), F.concat(F.lit("https://example.com/"), F.floor(i / 10).cast("string")).alias("url"), F.sha2("c_name", 256).alias("title"), none.alias("summary"), none.alias("content_text"),
                     F.lit(None).cast("timestamp").alias("published_at"), F.array().cast("array<string>").alias("authors"), F.array().cast("array<string>").alias("tags"), none.alias("raw"), F.lit("mbari").alias("lab_id"), i.alias("ord"), F.when(i % 5 == 0, "no space").alias("insert_error"))
-    known = c.limit(0).select(none.alias("source_id"), none.alias("external_id"), none.alias("url"))
-    labs = views.labs(spark, sf_dir)
-    out = ingest.run("RSS", rows, known, labs, F.lit(views.NOW).cast("timestamp"), "r1")
-    return out["results"].groupBy(F.col("source_id").cast("long").alias("source_id")).agg(F.count("*").alias("fetched"), F.count_if(F.col("outcome") == "failed").alias("failed"))
+    first = c.orderBy("c_custkey").limit(1)
+    known = first.select(F.lit("2").alias("source_id"), F.lit("k3").alias("external_id"), F.lit("https://example.com/old").alias("url")).unionAll(first.select(F.lit("9"), F.lit("k9"), F.lit("https://example.com/7")))
+    none_yet = signals.to_signals(rows.limit(0).withColumn("id", F.col("ord").cast("string"))).drop("error_code").withColumn("updated_at", F.lit(None).cast("timestamp"))
+    out = ingest.run("RSS", rows, known, views.labs(spark, sf_dir), F.lit(views.NOW).cast("timestamp"), "r1", signals=none_yet, signals_enabled=True)
+    made = out["signals"]["statuses"].where("status = 'created'").select(F.col("id").cast("long").alias("ord"), F.lit(1).alias("signal"))
+    n = lambda o: F.count_if(F.col("outcome") == o)
+    return out["results"].join(made, "ord", "left").groupBy(F.col("source_id").cast("long").alias("source_id")).agg(F.count("*").alias("fetched"), n("created").alias("created"), n("deduped").alias("deduped"), n("failed").alias("failed"), F.count("signal").alias("signals"))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS id, s_suppkey % 7 AS g FROM supplier) SELECT CAST(id AS VARCHAR) AS id, CASE WHEN g = 0 AND id > (SELECT min(id) FROM s WHERE g = 0) THEN 'update' WHEN g = 1 AND id > (SELECT min(id) FROM s WHERE g = 1) THEN 'review' ELSE 'create' END AS action,
