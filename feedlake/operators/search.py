@@ -6,8 +6,9 @@ import math
 import re
 import time
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import accumulate
 from typing import Protocol
 
 import pandas as pd
@@ -27,37 +28,56 @@ RERANK_CANDIDATES, RERANK_RESULTS, PASSAGE_LENGTH = 30, 10, 6000
 
 
 # --- full text -----------------------------------------------------------------------------------------------------
-@F.pandas_udf(ArrayType(StringType()))
-def _lexemes(text: pd.Series) -> pd.Series:
-    stems: dict[str, str] = {}
-    stop = frozenset(V.STOP_WORDS)
+_WORD = re.compile(r"[^\W_]+")
+#: Most words whose stems a Python worker keeps.
+KEPT_STEMS = 500_000
 
-    def one(t):
-        out = []
-        for w in re.findall(r"[^\W_]+", (t or "").lower()):
-            if w not in stems:
-                stems[w] = "" if w in stop else stem(w)
-            out.append(stems[w])
-        return out
 
-    return text.map(one)
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters and digits of a text in small letters; null: none."""
+    return _WORD.findall(text.lower()) if text else []
 
 
-def lexemes(text: Column) -> Column:
-    """Stems of the words in order; a stop word keeps its place as an empty string. A table that is searched often keeps
-    them as a column."""
-    return _lexemes(text)
+class Stems(dict):
+    """Word to its stem, '' for a stop word; with `begins`, `-`, which is no stem, for a word that begins with none of these."""
+
+    def __init__(self, begins: tuple[str, ...] | None = None):
+        self.stop, self.begins = frozenset(V.STOP_WORDS), begins
+
+    def __missing__(self, word: str) -> str:
+        value = "" if word in self.stop else "-" if self.begins is not None and not word.startswith(self.begins) else stem(word)
+        if len(self) < KEPT_STEMS:
+            self[word] = value
+        return value
+
+
+def lexemes(text: Column, begins: tuple[str, ...] | None = None) -> Column:
+    """Stems of the words in order; a stop word keeps its place as an empty string. With `begins` only words that begin so are
+    stemmed, the others are `-` in their places. A table that is searched often keeps an index (text_index)."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def each(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        stems = Stems(begins)
+        for batch in texts:
+            yield batch.map(lambda t: [stems[w] for w in words_of(t)])
+
+    return each(text)
 
 
 def parse_query(query: str) -> list[list[tuple[bool, list[str]]]]:
-    """A web-search query as alternatives (OR) of conjunctions of (negated, stems of a word or phrase)."""
+    """A web-search query as alternatives (OR) of conjunctions of (negated, stems of a word or phrase). Stop words within a phrase
+    keep their places; at its ends they fall off."""
     alternatives: list[list[tuple[bool, list[str]]]] = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"?|(\S+))', query):
         if not minus and word.lower() == "or":
             alternatives.append([])
             continue
-        stems = ["" if w in V.STOP_WORDS else stem(w) for w in re.findall(r"[^\W_]+", (phrase or word).lower())]
-        if any(stems):
+        stems = ["" if w in V.STOP_WORDS else stem(w) for w in words_of(phrase or word)]
+        while stems and not stems[-1]:
+            stems.pop()
+        while stems and not stems[0]:
+            stems.pop(0)
+        if stems:
             alternatives[-1].append((bool(minus), stems))
     return [a for a in alternatives if a]
 
@@ -79,12 +99,14 @@ def _places(lex: Column, s: str) -> Column:
     return F.slice(at, 1, MOST_PLACES)
 
 
+def squares() -> list[float]:
+    """What 0, 1, 2, ... occurrences count: the n-th one 1 / n^2."""
+    return list(accumulate((1 / n**2 for n in range(1, MOST_PLACES + 1)), initial=0.0))
+
+
 def _rank_any(lex: Column, stems: list[str]) -> Column:
     """Each stem's occurrences, the n-th of them for 1 / n^2 of the first, over the number of stems."""
-    squares = [0.0]
-    for n in range(1, MOST_PLACES + 1):
-        squares.append(squares[-1] + 1 / n**2)
-    table = F.array(*[F.lit(x) for x in squares])
+    table = F.array(*[F.lit(x) for x in squares()])
     worth = lambda s: F.element_at(table, F.least(F.size(F.filter(lex, lambda x: x == s)), F.lit(MOST_PLACES)) + 1)
     return reduce(lambda a, b: a + b, [worth(s) for s in stems]) * (WORD_WEIGHT / ALL_SQUARES / len(stems))
 
@@ -117,10 +139,10 @@ def text_search(rows: DataFrame, text: Column, query: str, id_col: str = "id", l
     begins = lambda s: s[:-2] if len(s) > 4 else s[:1]  # noqa: E731 (the last letters of a stem may differ from the word's)
     held = lambda t, alt: reduce(lambda a, b: a & b, [t.contains(begins(s)) for neg, stems_ in alt if not neg for s in stems_ if s], F.lit(True))
     may = let(F.lower(F.coalesce(text, F.lit(""))), lambda t: reduce(lambda a, b: a | b, [held(t, alt) for alt in parsed]))
-    staged = rows.where(may).withColumn("__lex", stems if stems is not None else lexemes(text))
+    every = sorted({s for alt in parsed for _, stems_ in alt for s in stems_ if s})
+    staged = rows.where(may).withColumn("__lex", stems if stems is not None else lexemes(text, tuple(sorted(map(begins, every)))))
     lex = F.col("__lex")
     match = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [~_holds(lex, s) if neg else _holds(lex, s) for neg, s in alt]) for alt in parsed])
-    every = sorted({s for alt in parsed for _, stems_ in alt for s in stems_ if s})
     together = len(parsed) == 1 and (len(parsed[0]) > 1 or (not parsed[0][0][0] and sum(map(bool, parsed[0][0][1])) > 1)) and len(every) > 1
     rank = _rank_all(lex, every) if together else _rank_any(lex, every)
     found = staged.where(match).withColumn(score, rank).drop("__lex").orderBy(F.round(score, 9).desc(), id_col)

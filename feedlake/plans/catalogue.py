@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from feedlake.functions import json_walk, text, urls, values
 from feedlake.functions import vocabulary as V
 from feedlake.functions.stemming import stem
-from feedlake.operators import embeddings, entities, feeds, ingest, linkage, search, signals, tagging, writes
+from feedlake.operators import embeddings, entities, feeds, ingest, linkage, search, signals, tagging, text_index, writes
+from feedlake.operators.kept import kept
 from feedlake.plans import relevance_check, views
 from feedlake.plans.views import NOW, SEGMENTS, read
 from feedlake.sources import webpages
@@ -422,6 +423,60 @@ def fts_rank(spark, sf_dir):
     return search.text_search(d, F.col("text"), "eratly or Retions").select("id", F.round("score", 6).alias("score"))
 
 
+#: Stems by hand: the forms of some words of the prose that the published English rules bring to one stem. Endings in s stay
+#: behind a vowel that ends the word (shha-s), behind u (thou-s) and where no vowel comes before; ed and ing go after a vowel, also
+#: before ly and s. A stop word within a phrase is a gap that any word fills.
+_HAND = {"thou": ["thou", *(f"thou{e}" for e in ("ed", "ing", "edly", "ingly", "eds", "ings"))], "shha": ["shha", *(f"shha{e}" for e in ("ed", "ing", "edly", "ingly", "eds", "ings"))], "ea": ["ea", *(f"ea{e}" for e in ("s", "ed", "ing", "edly", "ingly", "eds", "ings"))],
+         "st": ["st"], "nd": ["nd"], "wh": ["wh"]}
+#: Searches by number: the query; its stems; what a document must hold, places p_<stem>; and the rank, of nearness or summed.
+_SEARCHES = {
+    1: ("thou or shha", ["shha", "thou"], "len(p_thou) > 0 OR len(p_shha) > 0", False),
+    2: ("ST eaed", ["ea", "st"], "len(p_ea) > 0 AND len(p_st) > 0", True),
+    3: ('"st the ea" or "nd st"', ["ea", "nd", "st"], "len(list_filter(p_st, lambda a: list_contains(p_ea, a + 2))) > 0 OR len(list_filter(p_nd, lambda a: list_contains(p_st, a + 1))) > 0", False),
+    4: ("thouing -st", ["st", "thou"], "len(p_thou) > 0 AND len(p_st) = 0", True),
+    5: ("st -ea or shha", ["ea", "shha", "st"], "(len(p_st) > 0 AND len(p_ea) = 0) OR len(p_shha) > 0", False),
+    6: ("-st -thou", ["st", "thou"], "len(p_st) = 0 AND len(p_thou) = 0", True),
+    7: ("thou", ["thou"], "len(p_thou) > 0", False),
+    8: ("the nd wh ea", ["ea", "nd", "wh"], "len(p_nd) > 0 AND len(p_wh) > 0 AND len(p_ea) > 0", True),
+    9: ("of the", [], "false", False),
+}
+_PLACES = "lex AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents), pos AS (SELECT id, " + ", ".join(f"list_filter(range(1, len(w) + 1), lambda i: list_contains({forms}, w[i])) AS p_{s}" for s, forms in _HAND.items()) + " FROM lex)"
+
+
+def _search_sql(number: int) -> str:
+    _, stems, holds, near = _SEARCHES[number]
+    shown = lambda s: f"list_transform(p_{s}[1:256], lambda i: least(i, 16383))"
+    chance = "1.0::DOUBLE - 0.1::DOUBLE * sqrt(CASE WHEN abs(a - b) > 100 THEN 1e-30 ELSE 1.0::DOUBLE / (1.005::DOUBLE + 0.05::DOUBLE * exp(abs(a - b)::DOUBLE / 1.5::DOUBLE - 2.0::DOUBLE)) END)"
+    if near:
+        pairs = [(stems[i], stems[k]) for i in range(len(stems)) for k in range(i)]
+        some = " OR ".join(f"(len(p_{x}) > 0 AND len(p_{y}) > 0)" for x, y in pairs)
+        product = " * ".join(f"coalesce(list_product(flatten(list_transform({shown(x)}, lambda a: list_transform({shown(y)}, lambda b: {chance})))), 1.0)" for x, y in pairs)
+        score = f"CASE WHEN {some} THEN 1.0::DOUBLE - {product} ELSE 1e-20 END"
+    else:
+        score = f"({' + '.join(f'coalesce(list_sum(list_transform(range(1, least(len(p_{s}), 256) + 1), lambda n: 1.0::DOUBLE / (n * n))), 0.0)' for s in stems) or '0.0'}) * (0.1::DOUBLE / 1.64493406685::DOUBLE / {max(1, len(stems))}::DOUBLE)"
+    return f"SELECT * FROM (SELECT {number} AS query_id, id, score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM (SELECT id, {score} AS score FROM pos WHERE {holds})) WHERE rank <= 50"
+
+
+@query(f"WITH {_PLACES} SELECT query_id, id, round(score, 6) AS score, rank FROM (" + " UNION ALL ".join(map(_search_sql, _SEARCHES)) + ")")
+def fts_batch(spark, sf_dir):
+    """Several searches at once over an index of all documents: words, alternatives, phrases and negations."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = kept(text_index.build_index(views.spread(d), F.col("text")))
+    asked = spark.createDataFrame([(n, q) for n, (q, *_) in _SEARCHES.items()], "query_id int, query string")
+    return text_index.search_index(index, asked).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {_PLACES} " + " UNION ALL ".join(f"SELECT '{s}' AS stem, count(*) AS n_docs, CAST(sum(len(p_{s})) AS BIGINT) AS n_places, CAST(least(256, max(len(p_{s}))) AS INTEGER) AS most, CAST(sum(list_sum(p_{s})) AS BIGINT) AS places FROM pos WHERE len(p_{s}) > 0" for s in _HAND))
+def fts_index(spark, sf_dir):
+    """The posting lists of some stems in the index of all documents: documents, occurrences, the most of a document, and the sum
+    of all places."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = text_index.build_index(views.spread(d), F.col("text"), block_docs=100)
+    docs = index.where(F.col("stem").isin(list(_HAND))).select("stem", "most", F.explode("docs").alias("d"))
+    size = F.size("d.places")
+    return docs.groupBy("stem").agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_places"), F.least(F.lit(256), F.max("most")).alias("most"), F.sum(F.aggregate("d.places", F.lit(0).cast("long"), lambda a, x: a + x)).alias("places"))
+
+
 @query("""WITH l AS (SELECT page_id, url, html, unnest(regexp_extract_all(html, '<li>.*?</li>')) AS li, generate_subscripts(regexp_extract_all(html, '<li>.*?</li>'), 1) AS pos FROM pages),
 i AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || regexp_extract(li, 'href="([^"]*)"', 1) AS link, trim(regexp_extract(li, '<a [^>]*>([^<]*)', 1)) AS title, pos FROM l)
 SELECT CAST(page_id AS VARCHAR) AS source_id, link AS url, title, title AS summary FROM (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY pos DESC) AS r FROM i) WHERE r = 1""")

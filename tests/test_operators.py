@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.vocabulary import WEIGHTS
 from feedlake.functions.stemming import stem
-from feedlake.operators import assessment, embeddings, entities, feeds, ingest, linkage, providers, relevance, search, signals, tagging, writes
+from feedlake.operators import assessment, embeddings, entities, feeds, ingest, linkage, providers, relevance, search, signals, tagging, text_index, writes
 from feedlake.sources import feeds as scans
 from feedlake.sources import github, seeds, webpages
 
@@ -112,6 +112,26 @@ def test_a_hot_title_makes_no_pairs(spark):
     assert found.count() == 2999 and found.select("first_id").distinct().collect() == [("0",)]
 
 
+def test_a_hot_title_gives_bounded_lists(spark):
+    """A million equal titles on both sides: 25 rows for each of the asked, and no join makes more rows than that."""
+    n = 100_000
+    rows = lambda kind: spark.range(n).select(F.concat(F.lit(kind), F.col("id").cast("string")).alias("id"), F.lit("Same title for all").alias("title"), F.concat(F.lit(f"https://{kind}/"), F.col("id").cast("string")).alias("canonical_url"))
+    found = linkage.candidate_rows(rows("n"), rows("e"))
+    assert found.groupBy("left_id").agg(F.count("*").alias("n"), F.max("rank").alias("r")).where("n = 25 and r = 25").count() == n
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # lists are cut before they are moved
+
+
+def test_candidates_newest_first(spark):
+    import datetime
+
+    at = lambda d: None if d is None else datetime.datetime(2024, 1, d)
+    b = spark.createDataFrame([(i, "A title", f"u{i}", at(p), at(u)) for i, p, u in [("a", 3, 1), ("b", 5, 1), ("c", None, 2), ("d", 5, 4), ("e", 5, 4), ("f", 5, None)]], "id string, title string, canonical_url string, published_at timestamp, updated_at timestamp")
+    a = spark.createDataFrame([("x", "a TITLE", "u0"), ("y", None, "ua"), ("z", " ", None), ("w", "title", "ua")], "id string, title string, canonical_url string")
+    got = linkage.candidate_rows(a, b, 5).orderBy("left_id", "rank").collect()
+    assert ["".join(r["right_id"] for r in got if r["left_id"] == k) for k in "xyzw"] == ["cfdeb", "a", "", "cfdeb"]
+
+
 def test_updates_of_one_signal_are_folded(spark):
     schema = "id string, title string, summary string, source_id string, source_name string, canonical_url string, signal_type string, published_at timestamp, technologies array<string>, organizations array<string>, researchers array<string>, domains array<string>, keywords array<string>, relevance_score double, raw string"
     old = spark.createDataFrame([("a", "Old", None, None, None, "u", "NEWS", None, ["ROV"], None, [], [], [], 1.0, "1")], schema)
@@ -133,6 +153,31 @@ def test_rows_that_are_not_written_block_nothing(spark):
     assert [(r["ord"], r["outcome"]) for r in ingest.outcomes(broken, none, abort_source=True).where("source_id = 's'").orderBy("ord").collect()][2:] == [(2, "deduped"), (3, "failed"), (4, "skipped"), (5, "skipped"), (6, "skipped")]
 
 
+def test_unique_keys_as_a_database_has_them(spark):
+    """Nulls collide with nothing; empty parts are not looked up and fail at insertion; what is not written blocks nothing."""
+    schema = "source_id string, external_id string, url string, ord int"
+    known = spark.createDataFrame([("s", "", "old", 0), ("t", None, "gone", 0)], schema)
+    rows = [(None, "k1", None, 1), (None, "k2", None, 2), (None, "k1", None, 3), ("s", "", "u4", 4), ("r", "", "u5", 5), ("r", "", "u6", 6), ("r", "", "u5", 7), ("t", None, "u8", 8), ("t", None, "u9", 9), ("q", "1", None, 10), ("q", "1", None, 11), ("", "", "u12", 12), ("", "", "u13", 13), ("q", "2", "gone", 14)]
+    got = {r["ord"]: r["outcome"] for r in ingest.outcomes(spark.createDataFrame(rows, schema), known).collect()}
+    assert [o for o, v in sorted(got.items()) if v == "created"] == [1, 2, 3, 5, 8, 9, 10, 12]
+    assert {o for o, v in got.items() if v == "failed"} == {4, 6, 13} and {o for o, v in got.items() if v == "deduped"} == {7, 11, 14}
+
+
+def test_a_run_counts_what_it_decided_before_it_wrote(spark):
+    schema = scans.ITEM_SCHEMA + ", lab_id string, ord int"
+    rows = [("s", "RSS", "S", str(i), f"https://x/{i}", f"A title of number {i}", "", "", None, [], [], None, "mbari", i) for i in range(6)]
+    spark.createDataFrame([], "source_id string, external_id string, url string").write.mode("overwrite").saveAsTable("test_items")
+    try:
+        append = lambda new: new.select("source_id", "external_id", "url").write.mode("append").saveAsTable("test_items")
+        out = ingest.run("RSS", spark.createDataFrame(rows, schema), spark.table("test_items"), seeds.seed_labs(spark), F.lit("2024-01-01").cast("timestamp"), "r", append)
+        ledger = out["ledger"].first()
+        assert (ledger["created"], ledger["deduped"], out["new"].count(), spark.table("test_items").count()) == (6, 0, 6, 6)
+        again = ingest.run("RSS", spark.createDataFrame(rows, schema), spark.table("test_items"), seeds.seed_labs(spark), F.lit("2024-01-01").cast("timestamp"), "r2", append)
+        assert (again["ledger"].first()["created"], again["ledger"].first()["deduped"], spark.table("test_items").count()) == (0, 6, 6)
+    finally:
+        spark.sql("DROP TABLE test_items")
+
+
 def test_batch_duplicates_look_back_only(spark):
     b = spark.createDataFrame([("a", "One", "u1", None, 1), ("b", "one!", "u2", None, 2), ("c", "Two", "u3", None, 3)], "id string, title string, canonical_url string, raw string, ord int")
     assert [tuple(r) for r in linkage.within_batch(b).collect()] == [("b", "a", 3)]
@@ -238,6 +283,44 @@ def test_text_rank(spark):
     assert list(rank("robot")) == [5] and list(rank("ocean -map")) == [4] and rank("ocean -map")[4] == 1e-20
 
 
+QUERIES = ["robot", "robots -sonar", '"ocean robot"', "sonar or mapping", "the", "", "map ocean", '"map the ocean" or sonar', "-map -sonar", "robots or -map", '"the ocean"', "map robots ocean", "sea -robots -ocean"]
+
+
+@pytest.mark.parametrize("block_docs", [1, 3, 1024])
+def test_index_equals_text_search(spark, block_docs):
+    import random
+
+    rng = random.Random(7)
+    words = ["map", "mapping", "the", "ocean", "oceans", "robot", "robots", "sonar", "and", "sea", "x9"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30)))) for i in range(60)] + [(60, None), (61, ""), (62, "the and"), (63, "sonar " * 300)]
+    d = spark.createDataFrame(rows, "id long, t string")
+    index = text_index.build_index(d, F.col("t"), block_docs=block_docs)
+    got = text_index.search_index(index, spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, query string"), limit=10).collect()
+    for i, q in enumerate(QUERIES):
+        want = [(k, r["id"], pytest.approx(r["score"], abs=1e-12)) for k, r in enumerate(search.text_search(d, F.col("t"), q, limit=10).collect(), 1)]
+        assert sorted((r["rank"], r["id"], r["score"]) for r in got if r["query_id"] == i) == want, q
+
+
+def test_index_leaves_blocks_unread(spark):
+    """Of 400 blocks of a document each only those that can be among the first ten are read, and no list of a saved index is moved
+    to be joined."""
+    d = spark.createDataFrame([(i, "sonar " * (1 + i % 40) + ("map" if i % 100 == 7 else "")) for i in range(400)], "id long, t string")
+    index = text_index.save_index(text_index.build_index(d, F.col("t"), block_docs=1), "test_search_index", 4)
+    ask = lambda q: text_index.parse_queries(spark.createDataFrame([(1, q)], "query_id int, query string"))
+    assert text_index.blocks_to_read(index, ask("sonar"), 10).count() < 40
+    assert text_index.blocks_to_read(index, ask("sonar map"), 10).count() <= 4  # both stems in one block
+    found = text_index.search_index(index, spark.createDataFrame([(1, "sonar")], "query_id int, query string"), 10)
+    assert [r["id"] % 40 for r in found.orderBy("rank").collect()] == [39] * 10
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lists = index.select("stem", "block", "docs").join(spark.createDataFrame([("sonar", 3)], "stem string, block int"), ["stem", "block"])
+        plan = lists._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE test_search_index")
+    assert plan.count("Exchange hashpartitioning") == 1  # the queries' side alone
+
+
 @pytest.mark.parametrize(("word", "want"), [line.split() for line in """consigned consign|consistency consist|consolatory consolatori|conspicuously conspicu|constancy constanc|knackeries knackeri|kneeling kneel|hopping hop|hoping hope|agreed agre|feed feed|ponies poni|ties tie
 cats cat|gas gas|this this|kiwis kiwi|generate generat|generously generous|communism communism|happy happi|enjoy enjoy|by by|cry cri|relational relat|conditional condit|rational ration|electricity electr|hopeful hope|adjustable adjust|adoption adopt|rate rate|controlling control
 roll roll|robotics robot|archaeology archaeolog|vehicles vehicl|bed bed|sized size|luxuriated luxuri|sensibility sensibl|apology apolog|triplicate triplic|vietnamization vietnam|decisiveness decis|boldly bold|dying die|news news|proceed proceed|youth youth|boyish boyish|skies sky|sing sing""".replace("\n", "|").split("|")])
