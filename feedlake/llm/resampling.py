@@ -107,13 +107,16 @@ def weights(docs: DataFrame, target: DataFrame, ngrams: tuple[int, int] = NGRAMS
     # a row for each bucket: `buckets` of them at any size
     worth = known.join(F.broadcast(gains), "bucket").select("feature", "gain")
     places = made.select("block", F.posexplode("features").alias("at", "feature"))
-    of_block = places.join(worth, "feature").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "gain"))).alias("g")).select("block", F.col("g.gain").alias("gains"))
+    # place and gain as one number: a quarter of what a struct of two takes
+    packed = F.shiftleft(F.col("at").cast("long"), 32) + F.col("gain")
+    of_block = places.join(worth, "feature").groupBy("block").agg(F.array_sort(F.collect_list(packed)).alias("gains"))
     rows = made.drop("features", "totals").join(of_block, "block", "left")
 
     def weigh(batches):
         for batch in batches:
             for row in batch.itertuples(index=False):
                 gain = np.asarray(row.gains if row.gains is not None else [], np.int64)
+                gain = ((gain + 2**31) & 0xFFFFFFFF) - 2**31
                 of = np.repeat(np.arange(len(row.distinct)), row.distinct)
                 total = np.zeros(len(row.distinct), np.int64)
                 np.add.at(total, of, gain[row.local] * row.counts.astype(np.int64))
