@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlake.llm.scratch import stash, table
-from feedlake.llm.vectors import common_length, matrix, usable
+from feedlake.llm.vectors import matrix, usable
 
 #: Queries of one pass and their bytes: what is broadcast at once never holds more than either.
 PASS_QUERIES, PASS_BYTES = 16_384, 64 << 20
@@ -49,30 +49,34 @@ def _keep_best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _score_pass(candidates: DataFrame, query_ids: np.ndarray, query_rows: np.ndarray, k: int, scale: float) -> tuple[DataFrame, Broadcast]:
-    """(query_id, vec_id, score): each task's k best candidates of each query of this pass; and what it broadcasts."""
-    shared = candidates.sparkSession.sparkContext.broadcast((query_ids, query_rows))
-    none = np.iinfo(np.int64).min + 1
+def _score_pass(candidates: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, scale: float) -> tuple[DataFrame, Broadcast]:
+    """(query_id, vec_id, score): each task's k best candidates of each query of this pass; and what it broadcasts. queries has
+    the ids and vectors of each length: only vectors of one length are multiplied."""
+    shared = candidates.sparkSession.sparkContext.broadcast(queries)
+    none, nobody = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max
 
     def each(batches):
-        ids, rows = shared.value
-        best = np.full((len(ids), k), none)
-        best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
+        lists = {d: (np.full((len(ids), k), none), np.full((len(ids), k), nobody)) for d, (ids, _) in shared.value.items()}
         for batch in batches:
-            for at in range(0, len(batch), TILE_ROWS):
-                part = batch.iloc[at : at + TILE_ROWS]
-                x, own = matrix(part["vector"]), part["vec_id"].to_numpy()
-                for q in range(0, len(ids), TILE_QUERIES):
-                    s = slice(q, q + TILE_QUERIES)
-                    score = _scores(rows[s], x, scale)
-                    real = ids[s][:, None] != own[None, :]
-                    score = np.where(real, score, none)
-                    name = np.where(real, own[None, :], np.iinfo(np.int64).max)
-                    best[s], best_id[s] = _keep_best(np.hstack([best[s], score]), np.hstack([best_id[s], name]), k)
-        known = best_id != np.iinfo(np.int64).max
-        if known.any():
-            at = np.nonzero(known)
-            yield pd.DataFrame({"query_id": ids[at[0]], "vec_id": best_id[at], "score": best[at]})
+            sizes = batch["vector"].map(len).to_numpy()
+            for d in np.unique(sizes).tolist():
+                if d not in lists:
+                    continue
+                (ids, rows), (best, best_id), own_size = shared.value[d], lists[d], batch[sizes == d]
+                for at in range(0, len(own_size), TILE_ROWS):
+                    part = own_size.iloc[at : at + TILE_ROWS]
+                    x, own = matrix(part["vector"]), part["vec_id"].to_numpy()
+                    for q in range(0, len(ids), TILE_QUERIES):
+                        s = slice(q, q + TILE_QUERIES)
+                        score = _scores(rows[s], x, scale)
+                        real = ids[s][:, None] != own[None, :]
+                        score = np.where(real, score, none)
+                        name = np.where(real, own[None, :], nobody)
+                        best[s], best_id[s] = _keep_best(np.hstack([best[s], score]), np.hstack([best_id[s], name]), k)
+        for d, (best, best_id) in lists.items():
+            at = np.nonzero(best_id != nobody)
+            if len(at[0]):
+                yield pd.DataFrame({"query_id": shared.value[d][0][at[0]], "vec_id": best_id[at], "score": best[at]})
 
     return candidates.mapInPandas(each, "query_id long, vec_id long, score long"), shared
 
@@ -87,31 +91,32 @@ def exact_top_k(rows: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_
     pass every task multiplies its shard with the queries tile by tile and keeps k per query by partial selection;
     the tasks' lists merge in two levels, so no query's lists meet in one task before they are cut to k.
 
-    Vectors that are null or hold null or non-finite components take no part, nor do vectors of another length than
-    the most frequent one or rows with a null vec_id. Repeated candidate rows each count; repeated query rows with
-    one vec_id are one query, with the smallest vector. Components of any finite size count exactly; sums beyond 64 bits are held at the bounds. Other columns
+    Vectors that are null or empty or hold null or non-finite components take no part, nor do rows with a null vec_id. Only
+    vectors of one length have a product: a query's candidates are those of its own length, whatever lengths there
+    are. Repeated candidate rows each count; repeated query rows with one vec_id are one query, with the smallest vector. Components of any finite size count exactly; sums beyond 64 bits are held at the bounds. Other columns
     are ignored. An empty table gives an empty table.
     """
     spark = rows.sparkSession
     slim = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("is_query"))
     slim = slim.where(usable("vector"))
-    length = common_length(slim, "vector")
-    fit = slim.where(F.size("vector") == length)
-    queries = stash(fit.where("is_query").groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
-    total = queries.count()
-    size = max(1, min(pass_queries, PASS_BYTES // (8 * max(1, length))))
-    passes = max(1, -(-total // size))
+    queries = stash(slim.where("is_query").groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
+    size = 8 * F.size("vector").cast("long")
+    total, held, largest = queries.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    most = max(PASS_BYTES, largest)
+    passes = max(1, -(-total // pass_queries), -(-held // most))
     while True:  # dealt by hash until no pass holds more than it may
         share = F.pmod(F.xxhash64("vec_id"), F.lit(passes))
-        if passes == 1 or queries.groupBy(share).count().agg(F.max("count")).first()[0] <= size:
+        n, n_bytes = queries.groupBy(share).agg(F.count("*").alias("n"), F.sum(size).alias("b")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("b"), F.lit(0))).first()
+        if passes == 1 or (n <= pass_queries and n_bytes <= most):
             break
         passes += -(-passes // 8)
-    candidates = fit.select("vec_id", "vector")
+    candidates = slim.select("vec_id", "vector")
     parts = None
     for turn in range(passes):
         block = queries.where(share == turn).toPandas()
-        ids = block["vec_id"].to_numpy(np.int64)
-        found, sent = _score_pass(candidates, ids, matrix(block["vector"]) if len(block) else np.empty((0, length)), k, scale)
+        sizes = block["vector"].map(len).to_numpy() if len(block) else np.empty(0, np.int64)
+        of_length = {d: (block["vec_id"].to_numpy(np.int64)[sizes == d], matrix(block["vector"][sizes == d])) for d in np.unique(sizes).tolist()}
+        found, sent = _score_pass(candidates, of_length, k, scale)
         if passes > 1:
             found = stash(found, "pass")
             sent.destroy()
