@@ -87,11 +87,13 @@ def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple
     rows is never summed by one task. Reruns give the same rows.
 
     Null and empty texts have size 0 and are taken 0 words, with no position. A null source is a source of its own, the
-    last in order. Null doc_ids come first in the order. Rows that repeat a doc_id and a text are alike: their order
-    doesn't matter. Other columns pass through; the columns beginning with two underscores are reserved. An empty table
+    last in order. Rows without a doc_id stand in the order by the md5 of their text in its place. Rows that repeat a doc_id
+    and a text are alike: their order doesn't matter. One task sums the rows of one doc_id (or, without it, of one text), so ids should be
+    nearly distinct. Other columns pass through; the columns beginning with two underscores are reserved. An empty table
     gives an empty table.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    by_text = [F.concat(F.lit("text:"), F.col(text_col))] if text_col in docs.columns else []
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), *by_text, F.lit("")))
     # with texts to carry, words are counted for the parts and again for the rows: that costs CPU, a copy of all texts disk
     counted = docs.withColumn("__size", n_words(F.col(text_col))) if size_col is None else docs.withColumnRenamed(size_col, "__size")
     sized = counted.withColumn("__key", key).withColumn("__part", F.substring("__key", 1, 3))
@@ -123,7 +125,8 @@ def training_order(mixed: DataFrame) -> DataFrame:
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document, and when: the progress in [0, 1] at which each of its takings begins, null if
     there is none. In the order of the first one, documents that are not taken last."""
-    sizes = stash(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n")), "sizes")
+    unnamed = F.when(F.col("doc_id").isNull(), F.col("text")).alias("text")  # rows without a doc_id are told apart by it
+    sizes = stash(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n"), unnamed), "sizes")
     out = curriculum(sizes, size_col="n")
     rows = out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"),
                       F.get("__positions", F.lit(0)).alias("first_position"), F.get("__positions", F.lit(1)).alias("second_position"))

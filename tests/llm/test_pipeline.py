@@ -98,7 +98,15 @@ def test_empty_and_odd_documents(spark, data):
     assert corpus_pipeline.STAGES[0][1](spark, odd, data).columns == COLUMNS and corpus_pipeline.STAGES[0][1](spark, odd.where("false"), data).count() == 0
 
 
+def test_rows_without_an_id_stay(spark, data):
+    rows = [(None, "a text of its own", "en", "s", 17), (1, "quite another text here", "en", "s", 23), (None, "and a third one", "en", "s", 15), (2, "quite another text here", "en", "s", 23)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stash(stage(spark, docs, data), name)
+    assert sorted(r["text"] for r in docs.collect()) == sorted(t for i, t, *_ in rows if i != 2)
+
+
 def test_every_operator_is_registered():
     numbers = [int(n[2:].split("_")[0]) for n in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert sorted(numbers) == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near", "mix", "pack"]

@@ -185,6 +185,21 @@ def test_search_cases(spark):
     assert [(r["vec_id"], r["score"]) for r in exact_search.exact_top_k(huge, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(2, 2**63 - 1), (1, 256 * 768), (3, 2 - 2**63)]
 
 
+@pytest.mark.parametrize("pass_bytes", [64 << 20, 40])
+def test_search_compares_vectors_of_one_length(spark, monkeypatch, pass_bytes):
+    monkeypatch.setattr(exact_search, "PASS_BYTES", pass_bytes)  # the second: a pass a query, nearly
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-8, 9, 1 + i % 3) / 4]) for i in range(300)] + [(1000, [1.0] * 7), (1001, [])]
+    got = exact_search.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 3).collect()
+    want = {}
+    for d in (1, 2, 3):
+        want |= {q: v[:3] for q, v in brute_top([r for r in rows if len(r[1]) == d], 3).items()}
+    mine = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        mine.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert mine == want and len(mine) == 6
+
+
 # --- token files ---------------------------------------------------------------------------------------------------
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=300), st.booleans())
@@ -294,6 +309,13 @@ def test_mixing_cases(spark):
     assert mixing.curriculum(df.where("false")).count() == 0
 
 
+def test_rows_without_an_id_have_an_order(spark):
+    rows = [(None, f"w{i} " * 5, "s") for i in range(200)]
+    docs = lambda r: spark.createDataFrame(r, "doc_id long, text string, source string")
+    places = lambda r: {x["text"]: x["__positions"] for x in mixing.curriculum(docs(r)).collect()}
+    assert places(rows) == places(rows[::-1]) and len({tuple(p) for p in places(rows).values()}) == 200
+
+
 def test_schedules_decide_positions(spark):
     """Positions follow the schedule: with another one a query's rows change."""
     df = spark.createDataFrame([(i, "w " * 5, "s") for i in range(200)], "doc_id long, text string, source string")
