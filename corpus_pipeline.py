@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept. All but the last return the
 columns of documents. Null and empty texts pass the first stage as the classifier scores them, link with nothing,
 and are mixed 0 times, so none reaches a sequence. Repeated rows are rows of their own in every stage; of rows with one
-doc_id near-dedup keeps all or none. Ties go to the smaller doc_id. Columns beside those of documents are left out
+doc_id near-dedup keeps all or none, and rows without a doc_id, which no group can be named by, all stay there. Ties go to the smaller doc_id. Columns beside those of documents are left out
 before a stage begins, so that none can clash with what the stage makes. An empty table stays empty.
 
 The training order that mix makes is the order of the rows in its files; pack reads it from there (file name, then row
@@ -41,9 +41,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near duplicates (five words, similarity 0.8)."""
+    """Keep the document with the smallest doc_id of each group of near duplicates (five words, similarity 0.8), and the rows
+    without a doc_id, which link with nothing."""
     kept = near_duplicates(docs, width=5, threshold=(80, 100)).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    return named.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
