@@ -26,12 +26,17 @@ UNSEEN = frozenset("script style noscript template".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption head title script style noscript template button select textarea iframe svg object canvas".split())
 #: Start tags that end an open element of these kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody")}
-#: What one page alone cannot tell from content: names (class, id or role) that consist of these words, and of PLAIN ones.
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments reply replies disqus notice notices cookie cookies consent alert popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs masthead footer share sharing social toolbar pagination pager complementary contentinfo".split())
+#: Names (class, id or role) of what is no article: those that consist of these words, and of PLAIN ones. DOUBTFUL ones may
+#: name a paragraph as well: they count only on pages that no alignment explains.
+MARKS = frozenset("ad ads advert adverts advertisement advertising sidebar comment comments disqus cookie cookies consent popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs masthead footer toolbar pagination pager complementary contentinfo".split())
+DOUBTFUL = frozenset("alert banner notice notices promo promotion replies reply share sharing social sponsor sponsored".split())
 PLAIN = frozenset("area bar block box container inner list outer section site top bottom left right wrap wrapper".split())
-#: References of a host with which rare skeletons are aligned; the least pages of a layout, and the share of its pages on
-#: which a node has one text for it to be template; how much of two trees must match for one to stand for the other.
-LAYOUTS, LEAST_PAGES, CONSTANT, ALIKE, HALF = 8, 10, 0.9, 0.8, 0.5
+#: References of a host with which other skeletons are aligned; pages from which on a skeleton is frequent; pages that a layout
+#: needs, and the share of its pages on which a node has one text for it to be template; how much of two trees must match for
+#: one to stand for the other; the least part of the text that varies for a few pages to be told apart by it.
+LAYOUTS, FREQUENT, LEAST_PAGES, CONSTANT, ALIKE, HALF = 8, 10, 2, 0.9, 0.8, 0.5
+#: Part of the varying text that an `article` or `main` without a heading must hold to be the container.
+NAMED = 0.1
 _NAME = re.compile(r"[^\s\"'>/=]+")
 _PART = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
@@ -108,17 +113,20 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def is_marked(name: str) -> bool:
-    """Whether a class, id or role names nothing but what is no article: `cookie-notice` does, `has-sidebar` does not."""
+def is_marked(name: str) -> bool | None:
+    """Whether a class, id or role names nothing but what is no article: `cookie-box` does, `has-sidebar` does not, and of
+    `share` a single page can't tell (None)."""
     words = [w.lower() for w in _PART.findall(name)]
-    return any(w in MARKS for w in words) and all(w in MARKS or w in PLAIN for w in words)
+    if not all(w in MARKS or w in DOUBTFUL or w in PLAIN for w in words):
+        return False
+    return True if any(w in MARKS for w in words) else None if any(w in DOUBTFUL for w in words) else False
 
 
 class Page:
     """Block-level tree of a page: labels and parents in document order, and the text of each block with its node.
 
     Neighbouring elements of one label without block children share a node (a repeated slot). Subtrees that cannot be
-    article are a node without text, their label followed by `!`.
+    article are a node without text, their label followed by `!`; doubtful ones keep theirs, their label followed by `?`.
     """
 
     def __init__(self, text: str | None):
@@ -206,9 +214,10 @@ class Page:
                     pass
             elif any(x[0] == "p" for x in stack[-3:]):  # a block ends an open paragraph
                 close_last(("p",))
-            gone = stack[-1][2] or self._is_dropped(tag, inside, opened)
+            kind = True if stack[-1][2] else self._is_dropped(tag, inside, opened)
+            gone = kind is True
             parent = stack[-1][1]
-            node = parent if stack[-1][2] else self._node(tag + "!" if gone else tag, parent)
+            node = parent if stack[-1][2] else self._node(tag + ("!" if gone else "?" if kind is None else ""), parent)
             if tag in VOID:
                 continue
             if tag in RAW:
@@ -219,7 +228,8 @@ class Page:
         flush()
 
     @staticmethod
-    def _is_dropped(tag: str, inside: str, opened: dict[str, int]) -> bool:
+    def _is_dropped(tag: str, inside: str, opened: dict[str, int]) -> bool | None:
+        """Whether an element cannot be article; None: doubtful."""
         if tag in DROPPED or (tag == "header" and not opened.get("article")):
             return True
         if not inside or tag in ("html", "body"):
@@ -227,8 +237,10 @@ class Page:
         given = attributes(inside)
         if "hidden" in given or given.get("aria-hidden", "").lower() == "true":
             return True
-        names = [*given.get("class", "").split(), given.get("id", ""), given.get("role", "")]
-        return tag not in ("article", "main") and any(map(is_marked, names))
+        if tag in ("article", "main"):
+            return False
+        marks = [is_marked(n) for n in (*given.get("class", "").split(), given.get("id", ""), given.get("role", ""))]
+        return True if True in marks else None if None in marks else False
 
     def skeleton(self) -> str:
         return " ".join(f"{p}:{x}" for p, x in zip(self.parents[1:], self.labels[1:], strict=True))
@@ -376,22 +388,63 @@ def main_container(skeleton: str, mass: dict[int, float]) -> int:
     return at
 
 
-def own_container(skeleton: str, mass: dict[int, float]) -> int:
-    """As main_container for a page that no other page explains: its `main` or its `article`, where there is one with text;
-    else, the deepest node that holds all its `article`s; without any, the node with most of the text."""
-    (labels, children), total = tree(skeleton), _totals(skeleton, mass)
+def _ancestors(skeleton: str, node: int) -> list[int]:
+    """The nodes from the root down to this one."""
+    parents = {c: x for x, cs in enumerate(tree(skeleton)[1]) for c in cs}
+    out = [node]
+    while out[-1] in parents:
+        out.append(parents[out[-1]])
+    return out[::-1]
+
+
+def common_node(skeleton: str, nodes: list[int]) -> int:
+    """The deepest node that holds all of these."""
+    paths = [_ancestors(skeleton, n) for n in nodes]
+    at = 0
+    while all(len(p) > at and p[at] == paths[0][at] for p in paths):
+        at += 1
+    return paths[0][at - 1]
+
+
+def named_container(skeleton: str, mass: dict[int, float], least: float = 0.0) -> int | None:
+    """The `main` or the `article` with text, if there is one; the deepest node that holds all its `article`s, if there are
+    several; None without any. They must hold `least` of the text or a heading."""
+    (labels, _), total = tree(skeleton), _totals(skeleton, mass)
     for kind in ("main", "article"):
         named = [x for x in range(len(labels)) if labels[x] == kind and total[x] > 0]
-        if len(named) == 1:
-            return named[0]
-    if not named:
-        return main_container(skeleton, mass)
-    at = 0
-    while True:  # nodes are numbered in page order, so a subtree's numbers follow one another
-        down = [(c, end) for c, end in zip(children[at], [*children[at][1:], len(labels)], strict=False) if c <= named[0] and named[-1] < end]
-        if not down or at == named[0]:
-            return at
-        at = down[0][0]
+        if named:
+            at = named[0] if len(named) == 1 else common_node(skeleton, named)
+            if total[at] >= least * total[0] or any(labels[x] in ("h1", "h2") and total[x] > 0 for x in below(skeleton, at)):
+                if kind == "article" or len(named) == 1:
+                    return at
+    return None
+
+
+def own_container(skeleton: str, mass: dict[int, float]) -> int:
+    """As main_container for a page that no other page explains: its named container, else the node with most of the text
+    together with the page's one `h1`."""
+    named = named_container(skeleton, mass)
+    if named is not None:
+        return named
+    labels, at = tree(skeleton)[0], main_container(skeleton, mass)
+    heads = [x for x in range(len(labels)) if labels[x] == "h1" and mass.get(x, 0) > 0]
+    return common_node(skeleton, [at, heads[0]]) if len(heads) == 1 else at
+
+
+def varying_container(skeleton: str, mass: dict[int, float]) -> int:
+    """The container of a layout by the text that varies: structure tells more than mass, so its named container, else the
+    deepest node that holds all of it."""
+    named = named_container(skeleton, mass, NAMED)
+    return named if named is not None else common_node(skeleton, [n for n, m in mass.items() if m > 0] or [0])
+
+
+def doubtful(skeleton: str) -> set[int]:
+    """The nodes within elements whose names leave it open whether they are article."""
+    labels, out = tree(skeleton)[0], set()
+    for x, label in enumerate(labels):
+        if label.endswith("?") and x not in out:
+            out |= below(skeleton, x)
+    return out
 
 
 def below(skeleton: str, top: int) -> set[int]:
@@ -427,17 +480,21 @@ def _hash(text: str) -> int:
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every page, from the whole html.
 
-    Each page is parsed once, in linear time, into a tree of block elements; labels are the elements' names. Every
-    skeleton (tree of labels) that ten or more different pages of a host have is a layout; the 8 most frequent ones are
-    the host's references. A skeleton is aligned with the references by simple tree matching: a frequent one joins a
-    reference that matches four fifths of it and else stays a layout of its own; a rare one joins the reference that
-    matches best, by half at least. Over all different pages of a layout, a text that one slot has on nine tenths of
-    them is template, and what varies is content: the layout's main container is the deepest node that holds seven
-    tenths of the varying text. A page's text is what its main container holds, less the template's texts. Pages
-    without a layout find their own container: their `main` or `article`, else the node with most of the text.
+    Each page is parsed once, in linear time, into a tree of block elements; labels are the elements' names. The 8 skeletons
+    (trees of labels) that most different pages of a host have are its references, less those that are rare and like
+    another. A skeleton is aligned with the references by simple tree matching: one of ten pages or more joins a
+    reference that matches four fifths of it and else stays a layout of its own; a rarer one joins the reference that
+    matches best, by half at least, or else is a layout of its own if two pages have it. Over all different pages of a
+    layout, of which there must be two, a text that one slot has on nine tenths of them is template, and what varies is
+    content; of fewer than ten pages most of the text must vary, as near copies of one page would take its article for
+    template. The layout's container is its `main` or `article` with varying text, and without one the deepest node that
+    holds all text that varies. A page's text is what its container holds, less the template's texts: also a line that
+    every article has ("By the staff") is template. Pages without a layout find their own container: their `main` or
+    `article`, else the node with most of the text and the `h1`.
 
     What varies from page to page and still is no article, elements tell (nav, aside, footer, form, header outside an
-    article, and so on) and classes, ids and roles all of whose words name adverts, notices, comments and the like.
+    article, and so on) and classes, ids and roles all of whose words name adverts, menus, comments and the like. Names
+    that paragraphs have as well (`share`, `notice`, ...) count only on pages without a layout.
 
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
     one newline in page order; nothing is capped: trees of any depth and size are matched. Skeletons are matched, not
@@ -471,19 +528,33 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     named = parsed.groupBy("sid").agg(F.first("host").alias("host"), F.first("skel").alias("skel"))
     skeletons = stash(seen.groupBy("sid").agg(F.count("*").alias("n")).join(named, "sid"), "skeletons")
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "skel"))
-    top = skeletons.where(F.col("n") >= LEAST_PAGES).withColumn("r", rank).where(F.col("r") <= LAYOUTS)
-    references = top.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("r", "sid", "skel"))).alias("x")).select("host", F.col("x.sid").alias("sids"), F.col("x.skel").alias("layouts"))
+    top = skeletons.withColumn("r", rank).where(F.col("r") <= LAYOUTS)
+    listed = top.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("r", "n", "sid", "skel"))).alias("x")).select("host", F.col("x.n").alias("ns"), F.col("x.sid").alias("sids"), F.col("x.skel").alias("layouts"))
+
+    def lead(batches):
+        """Rare references that are like one before them are none."""
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                kept: list[int] = []
+                for i, n in enumerate(row.ns.tolist()):
+                    if n >= FREQUENT or best_layout(row.layouts[i], [row.layouts[k] for k in kept], HALF)[0] < 0:
+                        kept.append(i)
+                out.append((row.host, [row.sids[i] for i in kept], [row.layouts[i] for i in kept]))
+            yield pd.DataFrame(out, columns=["host", "sids", "layouts"])
+
+    references = listed.mapInPandas(lead, "host string, sids array<long>, layouts array<string>")
 
     def align(batches):
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                sids, frequent = row.sids.tolist(), row.n >= LEAST_PAGES
-                at, nodes = (-1, {}) if row.sid in sids else best_layout(row.skel, row.layouts, ALIKE if frequent else HALF)
+                sids = row.sids.tolist()
+                at, nodes = (-1, {}) if row.sid in sids else best_layout(row.skel, row.layouts, ALIKE if row.n >= FREQUENT else HALF)
                 size = len(tree(row.skel)[0])
                 if at >= 0:
                     out.append((row.sid, row.skel, sids[at], row.layouts[at], [nodes.get(x, -1) for x in range(size)]))
-                elif frequent:
+                elif row.n >= LEAST_PAGES or row.sid in sids:
                     out.append((row.sid, row.skel, row.sid, row.skel, list(range(size))))
             yield pd.DataFrame(out, columns=["sid", "skel", "layout", "layout_skel", "slot_of"])
 
@@ -495,16 +566,20 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     block = here.select("layout", F.explode(F.array_distinct(F.arrays_zip(slot, "hashes", "sizes"))).alias("b")).select("layout", F.col("b.slot").alias("slot"), F.col("b.hashes").alias("hash"), F.col("b.sizes").alias("size"))
     counted = stash(block.where("slot >= 0").groupBy("layout", "slot", "hash").agg(F.count("*").alias("n"), F.first("size").alias("size")), "slots")
     pages_of = salted_join(seen.select("sid", "whole"), aligned.select("sid", "layout"), ["sid"], "whole").groupBy("layout").agg(F.count("*").alias("pages"))
-    # a text that is template stands on nine pages at least, so few rows meet the number of pages
-    fixed = counted.where(F.col("n") >= LEAST_PAGES * CONSTANT).join(pages_of, "layout").where((F.col("pages") >= LEAST_PAGES) & (F.col("n") >= F.col("pages") * CONSTANT))
+    # a text that is template stands on two pages at least, so few rows meet the number of pages
+    fixed = counted.where(F.col("n") >= LEAST_PAGES).join(pages_of, "layout").where(F.col("n") >= F.col("pages") * CONSTANT)
     both = counted.select("layout", "slot", (F.col("n") * F.col("size")).alias("mass"), F.lit(None).cast("long").alias("hash")).unionAll(fixed.select("layout", "slot", (-F.col("n") * F.col("size")).alias("mass"), "hash"))
-    slots = both.groupBy("layout", "slot").agg(F.sum("mass").cast("double").alias("mass"), F.collect_set("hash").alias("fixed"))
-    of_layout = slots.groupBy("layout").agg(F.collect_list(F.struct("slot", "mass", "fixed")).alias("slots"))
+    slots = both.groupBy("layout", "slot").agg(F.sum("mass").cast("double").alias("mass"), F.sum(F.greatest("mass", F.lit(0))).cast("double").alias("whole"), F.collect_set("hash").alias("fixed"))
+    of_layout = slots.groupBy("layout").agg(F.sum("whole").alias("whole"), F.collect_list(F.struct("slot", "mass", "fixed")).alias("slots")).join(pages_of, "layout")
     skel_of = aligned.groupBy("layout").agg(F.first("layout_skel").alias("layout_skel"))
 
     def decide(batches):
         for batch in batches:
-            mains = [main_container(skel, {s["slot"]: s["mass"] for s in found}) if sum(s["mass"] for s in found) > 0 else -1 for skel, found in zip(batch["layout_skel"], batch["slots"], strict=True)]
+            mains = []
+            for skel, found, whole, n in zip(batch["layout_skel"], batch["slots"], batch["whole"], batch["pages"], strict=True):
+                varies = sum(s["mass"] for s in found)
+                told = n >= LEAST_PAGES and varies > (0 if n >= FREQUENT else HALF * whole)
+                mains.append(varying_container(skel, {s["slot"]: s["mass"] for s in found}) if told else -1)
             fixed_ = [[{"slot": s["slot"], "hash": h} for s in found for h in s["fixed"]] for found in batch["slots"]]
             yield pd.DataFrame({"layout": batch["layout"], "main": mains, "fixed": fixed_})
 
@@ -531,9 +606,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             for row in batch.itertuples(index=False):
                 if row.inside is None:
                     own: dict[int, float] = {}
+                    unsure = doubtful(row.skel)
                     for n, s in zip(row.nodes, row.sizes, strict=True):
-                        own[n] = own.get(n, 0) + s
-                    inside, leave = below(row.skel, own_container(row.skel, own)), set()
+                        if n not in unsure:
+                            own[n] = own.get(n, 0) + s
+                    inside, leave = below(row.skel, own_container(row.skel, own)) - unsure, set()
                 else:
                     inside, leave = set(row.inside), {(f["node"], f["hash"]) for f in row.leave}
                 texts.append("\n".join(b for n, b, h in zip(row.nodes, row.blocks, row.hashes, strict=True) if n in inside and (n, h) not in leave))

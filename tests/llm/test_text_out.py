@@ -82,6 +82,56 @@ def test_every_frequent_layout_has_its_wrapper(spark):
     assert got == want
 
 
+def texts_of(spark, bodies):
+    rows = [(i, f"https://h.x/{i}", page(b)) for i, b in enumerate(bodies)]
+    return [r["text"] for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def words(rng, n):
+    return " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
+
+
+@pytest.mark.parametrize("pages", [2, 9, 20])
+def test_an_article_outweighs_a_longer_comment(spark, pages):
+    rng = np.random.default_rng(1)
+    own = [(words(rng, 5), words(rng, 30), words(rng, 90)) for _ in range(pages)]
+    got = texts_of(spark, [f"<div><p>Menu of all</p></div><article><h1>{h}</h1><p>{t}</p></article><div><p>{c}</p></div>" for h, t, c in own])
+    assert got == [f"{h}\n{t}" for h, t, _ in own]
+
+
+@pytest.mark.parametrize("pages", [2, 9, 20])
+def test_head_and_body_in_two_divs(spark, pages):
+    rng = np.random.default_rng(2)
+    own = [(words(rng, 5), words(rng, 12), words(rng, 200)) for _ in range(pages)]
+    body = "<div>Menu of all</div><div><div><h1>{}</h1><p>{}</p></div><div><p>{}</p></div></div><div>Imprint</div>"
+    assert texts_of(spark, [body.format(*o) for o in own]) == ["\n".join(o) for o in own]
+
+
+@pytest.mark.parametrize("opening", ['<div class="share">', '<p class="notice">', '<section id="reply">', '<div id="sponsor">'])
+def test_names_yield_to_what_varies(spark, opening):
+    rng = np.random.default_rng(3)
+    own = [(words(rng, 20), words(rng, 20)) for _ in range(12)]
+    close = f"</{opening[1:].split()[0]}>"
+    got = texts_of(spark, [f"<div>Menu</div><article><p>{a}</p>{opening}{b}{close}</article><div class='share'>Share this</div>" for a, b in own])
+    assert got == [f"{a}\n{b}" for a, b in own]
+    assert texts_of(spark, [f"<article><p>{own[0][0]}</p>{opening}once{close}</article>"]) == [own[0][0]]  # one page alone: the name decides
+
+
+def test_few_pages_of_plain_divs(spark):
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 9):
+        own = [[words(rng, 30) for _ in range(1 + i % 3)] for i in range(n)]
+        got = texts_of(spark, ["<div><div>Home</div><div>News</div></div><div>" + "".join(f"<div>{t}</div>" for t in o) + "</div><div><div>Imprint</div></div>" for o in own])
+        assert got == ["\n".join(o) for o in own]
+
+
+def test_near_copies_of_a_page_keep_their_article(spark):
+    rng = np.random.default_rng(5)
+    same = [words(rng, 40) for _ in range(6)]
+    bodies = ["<article><h1>Same head</h1>" + "".join(f"<p>{t}</p>" for t in same) + f"<p>version {i}</p></article>" for i in range(3)]
+    assert texts_of(spark, bodies) == ["Same head\n" + "\n".join(same) + f"\nversion {i}" for i in range(3)]
+
+
 @pytest.mark.parametrize(("body", "want"), [
     ('<div style="overflow:hidden">t</div>', "t"), ('<div data-hidden="false">t</div>', "t"), ('<p title="the hidden reef">t</p>', "t"), ('<div class="content has-sidebar">t</div>', "t"), ('<section id="social-science">t</section>', "t"), ('<div id="related-work">t</div>', "t"), ('<div id="discussion">t</div>', "t"),
     ("<main><article><p>one</p></article><article><p>a longer two</p></article></main>", "one\na longer two"), ("<div><article><p>one</p></article><article><p>a longer two</p></article></div><p>z</p>", "one\na longer two"),
