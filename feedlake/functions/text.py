@@ -130,9 +130,15 @@ def phrase_keys(key_text: Column, phrases: list[str]) -> Column:
     return F.array_distinct(F.flatten(F.transform(found, lambda k: F.coalesce(F.try_element_at(more, k), F.array(k)))))
 
 
+#: So many phrases are looked for one by one: each search ends at its first hit.
+FEW_PHRASES = 8
+
+
 def phrases_found(key_text: Column, phrases: list[str]) -> Column:
     """The phrases of the list that occur as whole phrases, sorted by key."""
     ordered = sorted(dict.fromkeys(phrases), key=key_of)
+    if len(ordered) <= FEW_PHRASES:
+        return let(key_text, lambda t: F.array_compact(F.array(*[F.when(has_phrase(t, p), p) for p in ordered])))
     table = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(key_of(p)).alias("key")) for p in ordered])
     named = lambda hits: F.transform(F.filter(table, lambda d: F.array_contains(hits, d["key"])), lambda d: d["phrase"])
     return let(phrase_keys(key_text, phrases), named)

@@ -9,6 +9,7 @@ from feedlake.functions import json_walk
 from feedlake.functions import vocabulary as V
 from feedlake.functions.values import let, once
 from feedlake.functions.text import collapse, key_of, merge_names, normalize_key, normalize_whitespace, phrase_keys, sort_locale
+from feedlake.operators.dictionaries import with_matches
 
 DICTIONARIES = V.TECHNOLOGIES + V.ORGANIZATIONS + V.VESSELS + V.PROJECTS + V.SITES
 _SOURCE_RANK = {"title": 4, "summary": 3, "keywords": 2, "raw": 1}
@@ -41,14 +42,13 @@ def dictionary_matches(texts: Column, entries: list[tuple[str, str, list[str]]])
     return F.flatten(let(searched, lambda ts: F.when(F.size(ts) > 0, found(ts)).otherwise(F.array().cast(f"array<array<{ENTITY}>>"))))
 
 
-def researcher_matches(names: Column, raw_names: Column | None, texts: Column) -> Column:
-    """The signal's own researchers, the names under author-like keys of its raw data, and well-known ones in its text."""
+def named_researchers(names: Column, raw_names: Column | None) -> Column:
+    """The signal's own researchers and the names under author-like keys of its raw data, as entities."""
     own = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), collapse), lambda n: n != "")
     every = F.array_distinct(F.concat(own, raw_names)) if raw_names is not None else F.array_distinct(own)
     keys = F.transform(own, F.lower)
-    made = F.transform(every, lambda n: F.struct(F.lit("researcher").alias("type"), n.alias("canonical_name"), n.alias("matched_text"),
+    return F.transform(every, lambda n: F.struct(F.lit("researcher").alias("type"), n.alias("canonical_name"), n.alias("matched_text"),
                        F.when(F.array_contains(keys, F.lower(n)), "keywords").otherwise("raw").alias("source_field"), F.lit("exact").alias("confidence"), F.lit(None).cast("array<string>").alias("aliases")))
-    return F.concat(made, dictionary_matches(texts, V.KNOWN_RESEARCHERS))
 
 
 def merge_entities(entities: Column) -> Column:
@@ -77,13 +77,16 @@ def resolve_technologies(values: Column, entries=V.TECHNOLOGIES) -> Column:
     return sort_locale(F.array_distinct(F.transform(dictionary_matches(texts, entries), lambda e: e["canonical_name"])))
 
 
-def extract_entities(signals: DataFrame, dictionaries=DICTIONARIES, use_raw: bool = True) -> DataFrame:
-    """signals with `entities`: every dictionary and researcher match, merged."""
+def extract_entities(signals: DataFrame, dictionaries=DICTIONARIES, use_raw: bool = True, researchers=V.KNOWN_RESEARCHERS) -> DataFrame:
+    """signals with `entities`: every dictionary and researcher match, merged. Dictionaries are lists of (type, name, aliases) or
+    tables (operators.dictionaries)."""
     staged = with_raw_columns(signals) if use_raw else signals
     raw_text, raw_names = (F.col("__raw_text"), F.col("__raw_names")) if use_raw else (None, None)
     staged = staged.withColumn("__chunks", once(chunks(F.col("title"), F.col("summary"), F.col("keywords"), raw_text)))
-    found = F.concat(dictionary_matches(F.col("__chunks"), dictionaries).cast(f"array<{ENTITY}>"), researcher_matches(F.col("researchers"), raw_names, F.col("__chunks")).cast(f"array<{ENTITY}>"))
-    return staged.withColumn("__found", once(found)).withColumn("entities", once(merge_entities(F.col("__found")))).drop("__chunks", "__found", "__raw_text", "__raw_names")
+    staged = with_matches(staged, "__chunks", dictionaries, "__found")
+    staged = with_matches(staged, "__chunks", researchers, "__known")
+    found = F.concat(F.col("__found"), named_researchers(F.col("researchers"), raw_names).cast(f"array<{ENTITY}>"), F.col("__known"))
+    return staged.withColumn("__found", once(found)).withColumn("entities", once(merge_entities(F.col("__found")))).drop("__chunks", "__found", "__known", "__raw_text", "__raw_names")
 
 
 def with_raw_columns(signals: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from feedlake.functions import json_walk
 from feedlake.functions import vocabulary as V
 from feedlake.functions.text import key_of, nfkc_values, normalize_key, normalize_whitespace, phrase_keys, unique_normalized
 from feedlake.functions.values import band, clamp_score, days_between, ladder, non_negative, once, round_half_up
-from feedlake.operators.entities import chunks, dictionary_matches, merge_entities, names_of, researcher_matches, resolve_technologies, with_raw_columns, DICTIONARIES, ENTITY
+from feedlake.operators.dictionaries import with_keys, with_matches
+from feedlake.operators.entities import chunks, merge_entities, named_researchers, names_of, resolve_technologies, with_raw_columns, DICTIONARIES, ENTITY
 
 _STRINGS = ("title", "summary", "description", "source_name", "source_category", "canonical_url", "url", "signal_type", "github_repository_url", "dataset_url", "doi", "external_id", "raw")
 _LISTS = ("keywords", "domains", "technologies", "organizations", "researchers", "projects", "vessels", "expeditions", "archaeological_sites")
@@ -78,7 +79,8 @@ def features(df: DataFrame, aliases: dict[str, list[str]] = V.DOMAIN_ALIASES, us
     s = c.withColumns({"__title": plain("title"), "__summary": plain("summary", "description"), "__url": F.trim(F.coalesce("canonical_url", "url", F.lit(""))), "__source": plain("source_name"), "__category": plain("source_category"),
                        "__domains": once(unique_normalized(F.col("domains"), True)), "__keywords": unique_normalized(F.col("keywords"), True), "__researchers": unique_normalized(F.col("researchers"), True), "__given": once(unique_normalized(F.col("technologies"), True))})
     s = s.withColumn("__chunks", once(chunks(F.col("__title"), F.col("__summary"), F.col("__keywords"), raw_text, True)))
-    s = s.withColumn("__found", once(F.concat(dictionary_matches(F.col("__chunks"), DICTIONARIES).cast(f"array<{ENTITY}>"), researcher_matches(F.col("__researchers"), raw_names, F.col("__chunks")).cast(f"array<{ENTITY}>"))))
+    s = with_matches(with_matches(s, "__chunks", DICTIONARIES, "__listed"), "__chunks", V.KNOWN_RESEARCHERS, "__known")
+    s = s.withColumn("__found", once(F.concat("__listed", named_researchers(F.col("__researchers"), raw_names).cast(f"array<{ENTITY}>"), "__known")))
     s = s.withColumn("__entities", once(merge_entities(F.col("__found")))).withColumn("__resolved", resolve_technologies(F.col("__given")))
     e = F.col("__entities")
     both = lambda column, *kinds: once(unique_normalized(F.concat(F.coalesce(column, empty), *[names_of(e, k) for k in kinds]), True))
@@ -89,7 +91,7 @@ def features(df: DataFrame, aliases: dict[str, list[str]] = V.DOMAIN_ALIASES, us
     s = s.withColumns({"__text": once(normalize_key(F.concat_ws(" ", "__fallback", F.array_join("__domains", " "), F.array_join("__technologies", " ")), True)), "__plain": once(normalize_key(F.col("__fallback"), True)),
                        "__origin": once(normalize_key(F.concat_ws(" ", "__source", "__url"), True)), "__domain_keys": once(F.transform("__domains", lambda d: normalize_key(d, True))), "__technology_keys": once(F.transform("__technologies", lambda t: normalize_key(t, True)))})
     aliased = [p for names in aliases.values() for p in names]
-    s = s.withColumns({"__hits": once(phrase_keys(F.col("__text"), [*PHRASES, *aliased])), "__plain_hits": once(phrase_keys(F.col("__plain"), aliased)), "__origin_hits": phrase_keys(F.col("__origin"), V.AUTHORITY_PHRASES)})
+    s = with_keys(with_keys(s, "__text", [*PHRASES, *aliased], "__hits"), "__plain", aliased, "__plain_hits").withColumn("__origin_hits", phrase_keys(F.col("__origin"), V.AUTHORITY_PHRASES))
     hits, d_keys, t_keys = F.col("__hits"), F.col("__domain_keys"), F.col("__technology_keys")
     kind = F.when(F.col("signal_type").isin(V.SIGNAL_TYPES), F.col("signal_type"))
     s = s.withColumn("f_signal_type", kind)

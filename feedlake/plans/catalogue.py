@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedlake.functions import json_walk, text, urls, values
 from feedlake.functions import vocabulary as V
 from feedlake.functions.stemming import stem
-from feedlake.operators import embeddings, entities, feeds, ingest, linkage, search, signals, tagging, text_index, writes
+from feedlake.operators import dictionaries, embeddings, entities, feeds, ingest, linkage, search, signals, tagging, text_index, writes
 from feedlake.operators.kept import kept
 from feedlake.plans import relevance_check, views
 from feedlake.plans.views import NOW, SEGMENTS, read
@@ -515,6 +515,21 @@ def entity_extract(spark, sf_dir):
     return found.select("id", F.explode("entities").alias("e")).select("id", "e.type", F.col("e.canonical_name").alias("name"), "e.source_field")
 
 
+@query(f"""WITH {_DOC}, t AS (SELECT id, {relevance_check._keys('summary')} AS x FROM doc), p AS (SELECT DISTINCT {relevance_check._keys("array_to_string(string_split(title, ' ')[1:2], ' ')")} AS phrase FROM doc WHERE id % 3 = 0),
+h AS (SELECT phrase, id FROM p JOIN t ON phrase <> '' AND contains(x, phrase)), m AS (SELECT phrase, id FROM h JOIN t USING (id) WHERE regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}])' || replace(replace(phrase, '.', '[.]'), '+', '[+]') || '($|[^\\p{{L}}\\p{{N}}])'))
+SELECT phrase, count(*) AS n, min(id) AS first_id FROM m GROUP BY 1""")
+def dictionary_match(spark, sf_dir):
+    """A dictionary that is a table, the first two words of every third document, looked for in all texts behind first lines."""
+    d = views.document_items(spark, sf_dir)
+    phrase = F.array_join(F.slice(F.split("title", " "), 1, 2), " ")
+    keys = d.where("id % 3 = 0").select(text.normalize_key(phrase, True).alias("key")).distinct()
+    none = F.array().cast("array<string>")
+    table = keys.select(F.lit(0).cast("long").alias("ord"), F.lit("phrase").alias("type"), F.col("key").alias("name"), F.col("key").alias("phrase"), "key", none.alias("aliases"))
+    texts = d.select("id", entities.chunks(F.lit(""), F.col("summary"), none, composed=True).alias("texts"))
+    found = dictionaries.with_matches(texts, "texts", table, "e").select("id", F.explode("e.matched_text").alias("phrase"))
+    return found.groupBy("phrase").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
 _LISTS = {"Domains": ("domains", ["Ocean Mapping", "conservation", "Conservation"]), "Technologies": ("technologies", ["a lidar survey", "machine vision", "no such thing"]), "Organizations": ("organizations", ["Zenodo", "A  Lab"]), "Researchers": ("researchers", ["Bob", "Ada"]), "Projects": ("projects", ["P"]),
           "Vessels": ("vessels", ["V two", "V one"]), "Expeditions": ("expeditions", ["E"]), "Sites": ("archaeological_sites", ["S"]), "Keywords": ("keywords", ["<b>k2</b>", "k1", '{"json":1}'])}
 _SHOWN = {"Domains": "Ocean Mapping, conservation", "Technologies": "Computer Vision, LiDAR", "Organizations": "A Lab, Zenodo", "Researchers": "Ada, Bob", "Projects": "P", "Vessels": "V one, V two", "Expeditions": "E", "Sites": "S", "Keywords": "k1, k2"}

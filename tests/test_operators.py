@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.vocabulary import WEIGHTS
 from feedlake.functions.stemming import stem
-from feedlake.operators import assessment, embeddings, entities, feeds, ingest, linkage, providers, relevance, search, signals, tagging, text_index, writes
+from feedlake.operators import assessment, dictionaries, embeddings, entities, feeds, ingest, linkage, providers, relevance, search, signals, tagging, text_index, writes
 from feedlake.sources import feeds as scans
 from feedlake.sources import github, seeds, webpages
 
@@ -31,6 +31,31 @@ def test_entities(spark):
     assert names(spark)["entities"] == []
 
 
+def test_dictionaries_as_lists_and_tables(spark):
+    """Automaton, join and the pattern of the list give the same rows; what stands beside letters or digits is no match."""
+    entries = [("t", "C++", ["c", ".net"]), ("t", "Deep Sea", ["sea", "deep"]), ("o", "sea", []), ("o", "slam", ["3d slam", "+"]), ("o", "Überraum", ["???"])]
+    texts = ["c++ and c", "asp.net .net x", "deep sea deep-sea deepsea seas sea.", "slam-based 3d slam 3dslam +", "überraum", "", None, "a .net", "c++x"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", entities.chunks(F.col("t"), F.concat(F.lit("sea "), "t"), F.array().cast("array<string>")).alias("x"))
+    want = {r["id"]: [tuple(e) for e in r["e"]] for r in d.select("id", entities.dictionary_matches(F.col("x"), entries).alias("e")).collect()}
+    assert sum(map(len, want.values())) > 20
+    for dictionary in (entries, dictionaries.dictionary_table(spark, entries)):
+        for chars in (10**6, 0):
+            assert {r["id"]: [tuple(e) for e in r["e"]] for r in dictionaries.with_matches(d, "x", dictionary, "e", chars).collect()} == want
+    assert dictionaries.with_matches(d, "x", [], "e").where("size(e) > 0").count() == 0 and dictionaries.with_matches(d, "x", dictionaries.dictionary_table(spark, entries).where("false"), "e", -1).where("size(e) > 0").count() == 0
+
+
+def test_a_large_dictionary_leaves_the_plan_small(spark):
+    table = lambda n: spark.range(n).select(F.col("id").alias("ord"), F.lit("t").alias("type"), *[F.concat(F.lit("word"), F.col("id").cast("string")).alias(c) for c in ("name", "phrase", "key")], F.array().cast("array<string>").alias("aliases"))
+    d = spark.createDataFrame([(1, "word99999 beside word12 and word100000")], "id int, t string").select("id", entities.chunks(F.col("t"), F.lit(""), F.array().cast("array<string>")).alias("x"))
+    sizes = []
+    for n in (10, 100_000):
+        found = dictionaries.with_matches(d, "x", table(n), "e")
+        sizes.append(len(found._jdf.queryExecution().executedPlan().toString()))
+    assert abs(sizes[0] - sizes[1]) < 100 and [e["canonical_name"] for e in found.first()["e"]] == ["word12", "word99999"]
+    joined = dictionaries.with_matches(d, "x", table(100_000), "e", automaton_chars=1000)
+    assert joined.first()["e"] == found.first()["e"]
+
+
 def test_entity_source_precedence(spark):
     row = names(spark, "ROV", "the remotely operated vehicle", keywords=["ROV"])
     assert [(e["canonical_name"], e["source_field"]) for e in row["entities"]] == [("ROV", "title")]
