@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,14 +42,28 @@ def url_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _grams(urls) -> list[np.ndarray]:
-    """Of each URL, for each predicted byte: the byte with the ORDER bytes before it, as one exact number."""
+BLOCK = "block long, page_id array<string>, host array<string>, path array<string>, rule array<string>, given array<string>, out array<boolean>, sizes array<int>, local array<int>, grams array<long>, allow array<long>, block_ array<long>"
+
+
+def _grams(urls) -> tuple[np.ndarray, np.ndarray]:
+    """For each predicted byte of each URL the byte with the ORDER bytes before it, as one exact number, URL after URL; and how many
+    of them each URL has."""
     raw = [("" if u is None else u).encode("utf-8", "surrogatepass") for u in urls]
-    out = []
-    for r in raw:
-        flat = np.frombuffer(b"\0" * ORDER + r + b"\1", np.uint8).astype(np.int64)
-        out.append(sum(flat[ORDER - k : len(flat) - k] << (8 * k) for k in range(ORDER + 1)))
-    return out
+    sizes = np.array([len(r) + 1 for r in raw], np.int32)
+    flat = np.frombuffer(b"".join(b"\0" * ORDER + r + b"\1" for r in raw), np.uint8).astype(np.int64)
+    begin = np.cumsum(sizes + ORDER) - sizes - ORDER  # of each padded URL
+    at = np.repeat(begin + ORDER, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return sum((flat[at - k] << (8 * k) for k in range(ORDER + 1)), np.zeros(len(at), np.int64)), sizes
+
+
+def _block(part: pd.DataFrame) -> dict:
+    """Some URLs as one row: their grams as numbers of a dictionary of the distinct ones, each with its occurrences in counted URLs
+    that rules allow and block."""
+    grams, sizes = _grams(part["url"].tolist())
+    distinct, local = np.unique(grams, return_inverse=True)
+    counted, given = ~part["out"].to_numpy(bool), part["given"].to_numpy()
+    sums = [np.bincount(local, weights=np.repeat(counted & (given == v), sizes), minlength=len(distinct)).astype(np.int64) for v in ("allow", "block")]
+    return {c: part[c].tolist() for c in ("page_id", "host", "path", "rule", "given", "out")} | {"sizes": sizes, "local": local.astype(np.int32), "grams": distinct, "allow": sums[0], "block_": sums[1]}
 
 
 def _gains(counts: DataFrame) -> DataFrame:
@@ -77,6 +92,23 @@ def _gains(counts: DataFrame) -> DataFrame:
     return gains
 
 
+def threshold_of(found: pd.DataFrame) -> float:
+    """The threshold from (verdict, out, bin, n), histograms of scores: the middle of the first range of bins at which the shares of
+    rightly allowed (at or above it) and rightly blocked rows have the largest sum. Of kept-out rows alone where both kinds
+    are among them; without both kinds anywhere it is 0."""
+    hist = {v: np.zeros(BINS) for v in ("allow", "block")}
+    if len(kept_out := found[found["out"]]) and kept_out["verdict"].nunique() == 2:
+        found = kept_out
+    for v, b, n in found[["verdict", "bin", "n"]].itertuples(index=False):
+        hist[v][b] += n
+    if not hist["allow"].sum() or not hist["block"].sum():
+        return 0.0
+    right = np.cumsum(hist["block"][::-1])[::-1] / -hist["block"].sum() + np.cumsum(hist["allow"][::-1])[::-1] / hist["allow"].sum()
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    run = best[: np.argmax(np.diff(best, append=best[-1] + 2) > 1) + 1]
+    return float((run[0] + run[-1]) / 2 / (BINS - 1) * 2 * SCORE_RANGE - SCORE_RANGE)
+
+
 def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row.
 
@@ -88,44 +120,48 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     blocked rows have the largest sum; allow is at or above it. Without kept-out rows of both kinds it is calibrated on
     all labelled rows, and without labelled rows of both kinds it is 0.
 
+    Some URLs at a time share a dictionary of their distinct grams, so what is counted, moved and given back are a block's
+    distinct grams and not its bytes.
+
     Null urls and those without `://` have empty host and path and no rule; a null url is scored as an empty one.
     Repeated rows each count. Counts are exact and live in tables that grow with the corpus. Other columns are ignored. An
     empty table gives an empty table.
     """
     def each(batches):
+        made = TaskContext.get().partitionId() << 33
         for batch in batches:
+            batch = batch.astype(object).where(batch.notna(), None)
             for start, end in slices(batch["url"].tolist()):
-                part = batch.iloc[start:end]
-                yield part.drop(columns="url").assign(grams=_grams(part["url"].tolist()))
+                yield pd.DataFrame([{"block": made, **_block(batch.iloc[start:end])}])
+                made += 1
 
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     ruled = slim.withColumn("host", host).withColumn("path", path).withColumn("r", url_rule(F.col("host"), F.col("path"), rules))
-    flat = ruled.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("string").alias("page_id"), "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("given"), (F.pmod(F.xxhash64("url"), F.lit(KEPT_OUT)) == 0).alias("out"))
-    rows = stash(flat.mapInPandas(each, "row long, page_id string, host string, path string, rule string, given string, out boolean, grams array<long>"), "urls", "zstd")
+    flat = ruled.select(F.col("page_id").cast("string").alias("page_id"), "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("given"), (F.pmod(F.xxhash64("url"), F.lit(KEPT_OUT)) == 0).alias("out"))
+    blocks = stash(flat.mapInPandas(each, BLOCK), "urls", "zstd")
 
-    verdicts = [F.coalesce(F.sum(((F.col("given") == v) & ~F.col("out")).cast("long")), F.lit(0)).alias(v) for v in ("allow", "block")]
-    counts = stash(rows.select("given", "out", F.explode("grams").alias("gram")).groupBy("gram").agg(*verdicts), "urls")
+    each_gram = blocks.select(F.explode(F.arrays_zip("grams", "allow", "block_")).alias("g"))
+    counts = stash(each_gram.groupBy(F.col("g.grams").alias("gram")).agg(F.sum("g.allow").alias("allow"), F.sum("g.block_").alias("block")), "urls")
     gains = _gains(counts)
-    summed = rows.select("row", F.explode("grams").alias("gram")).join(gains, "gram").groupBy("row").agg(F.sum("gain").alias("gain"), F.count("*").alias("n"))
-    scored = rows.drop("grams").join(summed, "row").withColumn("score", F.col("gain") / UNIT / F.col("n")).drop("row", "gain", "n")
+    placed = blocks.select("block", F.posexplode("grams").alias("at", "gram")).join(gains, "gram")
+    of_block = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "gain"))).alias("x")).select("block", F.col("x.gain").alias("gains"))
+
+    def rate(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                starts = np.cumsum(row.sizes) - row.sizes
+                total = np.add.reduceat(np.asarray(row.gains)[row.local], starts)
+                yield pd.DataFrame({c: getattr(row, c) for c in ("page_id", "host", "path", "rule", "given", "out")} | {"score": total / UNIT / row.sizes})
+
+    scored = blocks.drop("grams", "allow", "block_").join(of_block, "block").mapInPandas(rate, "page_id string, host string, path string, rule string, given string, out boolean, score double")
     scored = stash(scored, "urls", "zstd")
-    for used in (rows, counts, gains):
+    for used in (blocks, counts, gains):
         discard(used)
 
     at = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), ((F.col("score") + SCORE_RANGE) / (2 * SCORE_RANGE) * (BINS - 1)).cast("int")))
     found = scored.where("given is not null").groupBy(F.col("given").alias("verdict"), "out", at.alias("bin")).agg(F.count("*").alias("n")).toPandas()
-    hist = {v: np.zeros(BINS) for v in ("allow", "block")}
-    if len(kept_out := found[found["out"]]) and kept_out["verdict"].nunique() == 2:
-        found = kept_out
-    for v, b, n in found[["verdict", "bin", "n"]].itertuples(index=False):
-        hist[v][b] += n
-    threshold = 0.0
-    if hist["allow"].sum() and hist["block"].sum():
-        right = np.cumsum(hist["block"][::-1])[::-1] / -hist["block"].sum() + np.cumsum(hist["allow"][::-1])[::-1] / hist["allow"].sum()
-        best = np.flatnonzero(right >= right.max() - 1e-12)
-        run = best[: np.argmax(np.diff(best, append=best[-1] + 2) > 1) + 1]
-        threshold = float((run[0] + run[-1]) / 2 / (BINS - 1) * 2 * SCORE_RANGE - SCORE_RANGE)
+    threshold = threshold_of(found)
 
     kind = slim.schema["page_id"].dataType.simpleString()
     verdict = F.coalesce("given", F.when(F.col("score") >= threshold, "allow").otherwise("block"))

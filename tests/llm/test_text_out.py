@@ -445,6 +445,38 @@ def test_url_counts_grow_with_the_corpus(spark):
     assert len(got) == len(urls + new) and all(abs(got[i] - plain((urls + new)[i])) < 1e-6 for i in [0, 7000, *range(len(urls), len(got))])
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_threshold_equals_plain_search(seed):
+    """The threshold beside a search over all bins."""
+    rng = np.random.default_rng(seed)
+    rows = [(v, bool(o), int(np.clip(rng.normal(2000 + (40 if v == "allow" else -40), 60), 0, 4000)), int(rng.integers(1, 5))) for v in ("allow", "block") for o in (seed > 1, False) for _ in range(40)]
+    if seed == 5:
+        rows = [r for r in rows if r[0] == "allow"]
+    found = pd.DataFrame(rows, columns=["verdict", "out", "bin", "n"])
+    use = [r for r in rows if r[1]] or rows
+    total = {v: sum(n for w, _, _, n in use if w == v) for v in ("allow", "block")}
+    got = url_filter.threshold_of(found)
+    if not all(total.values()):
+        assert got == 0
+        return
+    right = [sum(n for v, _, b, n in use if v == "allow" and b >= t) / total["allow"] + sum(n for v, _, b, n in use if v == "block" and b < t) / total["block"] for t in range(url_filter.BINS)]
+    most = max(right)
+    first = next(t for t in range(url_filter.BINS) if right[t] > most - 1e-9)
+    last = next(t for t in range(first, url_filter.BINS + 1) if t == url_filter.BINS or right[t] <= most - 1e-9) - 1
+    assert got == pytest.approx((first + last) / 2 / (url_filter.BINS - 1) * 2 * url_filter.SCORE_RANGE - url_filter.SCORE_RANGE)
+
+
+def test_verdicts_follow_rules_and_threshold(spark, data):
+    """Each verdict of the query is its rule's, else that of the threshold, which is found again from the rows."""
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    got = url_filter.filter_urls(pages).join(pages.select("page_id", (F.pmod(F.xxhash64("url"), F.lit(url_filter.KEPT_OUT)) == 0).alias("out")), "page_id").toPandas()
+    given = got["rule"].map(lambda r: None if r is None else {a + b: v for a, b, v in url_filter.RULES}[r])
+    span, bins = url_filter.SCORE_RANGE, url_filter.BINS
+    rows = pd.DataFrame({"verdict": given, "out": got["out"], "bin": ((got["score"] + span) / (2 * span) * (bins - 1)).astype(int).clip(0, bins - 1), "n": 1})[given.notna()]
+    threshold = url_filter.threshold_of(rows)
+    assert list(got["verdict"]) == [g if isinstance(g, str) else "allow" if s >= threshold else "block" for g, s in zip(given, got["score"], strict=True)]
+
+
 def test_url_cases(spark):
     """Long and odd URLs beside columns that clash."""
     rows = [(i, f"https://s{i % 7}.org/page-{i}") for i in range(40)] + [(100 + i, f"https://s{i % 7}.com/de/{i}") for i in range(40)] + [(200, "https://x.net/" + "a" * 100_000), (201, None), (202, "https://\ud83d\ude00.net/é"), (200, "https://x.net/" + "a" * 100_000), (None, "https://x.net/")]
