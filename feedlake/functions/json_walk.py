@@ -87,9 +87,33 @@ def researchers_of(value, depth: int = 0) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def identifiers(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda x: sorted(identifiers_of(_load(x))))
+def identifiers(raw: Column) -> Column:
+    """identifiers_of a JSON text, sorted, without leaving the JVM: the text becomes a variant, whose containers are opened level by
+    level down to DEPTH. Null, malformed and ambiguous (one name twice in an object) texts have none."""
+    kind = lambda v: F.schema_of_variant(v)
+    as_object = lambda v: F.coalesce(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+    as_list = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    names = F.create_map(*[F.lit(x) for pair in IDENTIFIER_FIELDS.items() for x in pair])
+
+    def text_of(v: Column) -> Column:
+        told = F.try_variant_get(v, "$", "string")
+        number = F.regexp_replace(F.regexp_replace(told, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        plain = F.regexp_replace(F.lower(F.when(kind(v) == "STRING", told).otherwise(number)), r"(?U)^\s+|\s+$", "")
+        plain = F.regexp_replace(F.regexp_replace(plain, r"^https?://(dx\.)?doi\.org/", ""), "^doi:", "")
+        return F.when((kind(v) == "STRING") | kind(v).isin("BIGINT", "DOUBLE") | kind(v).startswith("DECIMAL"), F.regexp_replace(plain, r"(?U)\s+", ""))
+
+    def found(field: Column) -> Column:
+        name = F.try_element_at(names, F.lower(field["key"]))
+        value = field["value"]
+        scalars = F.when(kind(value).startswith("ARRAY"), as_list(value)).otherwise(F.array(value))
+        return F.when(name.isNotNull(), F.transform(F.filter(F.transform(scalars, text_of), lambda t: t.isNotNull() & (t != "")), lambda t: F.concat(name, F.lit(":"), t))).otherwise(F.array().cast("array<string>"))
+
+    level, out = F.filter(F.array(F.try_parse_json(raw)), lambda v: v.isNotNull()), []
+    for _ in range(DEPTH + 1):
+        fields = F.flatten(F.transform(level, as_object))
+        out.append(F.flatten(F.transform(fields, found)))
+        level = F.concat(F.transform(fields, lambda f: f["value"]), F.flatten(F.transform(level, as_list)))
+    return F.coalesce(F.array_sort(F.array_distinct(F.concat(*out))), F.array().cast("array<string>"))
 
 
 @F.pandas_udf(StringType())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlake.functions.text import error_message
@@ -39,6 +39,10 @@ class Kind:
 KINDS = {"RSS": Kind(5, 20, signals=True), "ARXIV": Kind(None, 20, tags=False, check_duplicates=False, ledger=False, first_score=True), "GITHUB": Kind(None, None), "WEBSITE": Kind(None, 20, abort_source=True), "YOUTUBE": Kind(None, 10, abort_source=True)}
 
 
+#: What becomes of a row of a run.
+OUTCOMES = ("created", "deduped", "failed", "skipped")
+
+
 def due_sources(sources: DataFrame, kind: str) -> DataFrame:
     """The active sources of one kind that a run takes, by id; web pages only where a watch mode is set."""
     how = KINDS[kind]
@@ -100,6 +104,14 @@ def run_ledger(results: DataFrame, kind: str, run_id: str, error: str | None = N
     return row.select(F.lit(run_id).alias("run_id"), F.lit(kind).alias("kind"), "*", status.alias("status"), F.lit(error).cast("string").alias("error"))
 
 
+def ledger_row(spark: SparkSession, counted: dict[str, int], kind: str, run_id: str, error: str | None = None, failed_sources: int = 0) -> DataFrame:
+    """run_ledger from the counters of the pass that wrote the results, without reading them again; what was not counted is 0."""
+    n = {o: counted.get(o, 0) for o in ("fetched", *OUTCOMES)}
+    failed = n["failed"] + failed_sources + (1 if error else 0)
+    status = "FAILED" if error else "PARTIAL" if failed else "SUCCESS"
+    return spark.createDataFrame([(run_id, kind, n["fetched"], n["created"], n["deduped"], failed, status, error)], "run_id string, kind string, fetched long, created long, deduped long, failed long, status string, error string")
+
+
 def source_counts(results: DataFrame) -> DataFrame:
     """(source_id, inserted, skipped, errors)."""
     n = lambda o: F.count_if(F.col("outcome") == o)
@@ -230,8 +242,10 @@ def run(kind: str, scanned: DataFrame, items: DataFrame, labs: DataFrame, now: C
     if kind not in KINDS:
         raise ValueError(f"unknown ingest kind {kind!r}")
     how = KINDS[kind]
-    # decided once, before anything is written: what follows must not see its own items
-    results = kept(outcomes(prepare(scanned, labs, kind, now), items, how.check_duplicates, how.abort_source))
+    # decided once, before anything is written: what follows must not see its own items; counted as it is written
+    decided = outcomes(prepare(scanned, labs, kind, now), items, how.check_duplicates, how.abort_source)
+    counters = Observation()
+    results = kept(decided.observe(counters, F.count("*").alias("fetched"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]))
     new = results.where(F.col("outcome") == "created").drop("outcome").withColumn("status", F.lit("FETCHED"))
     if append is not None:
         append(new)
@@ -250,7 +264,7 @@ def run(kind: str, scanned: DataFrame, items: DataFrame, labs: DataFrame, now: C
         out["health"] = health(sources, results, now, source_errors)
     if how.ledger:
         lost = 0 if source_errors is None else source_errors.select("source_id").distinct().count()
-        out["ledger"] = run_ledger(results, kind, run_id, failed_sources=lost)
+        out["ledger"] = ledger_row(results.sparkSession, counters.get, kind, run_id, failed_sources=lost)
     return out
 
 

@@ -6,6 +6,8 @@ failed write leaves the old version whole.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +20,24 @@ def insert_new(table: DataFrame, rows: DataFrame, keys: list[list[str]]) -> Data
     return out.select(*rows.columns)
 
 
+def save_keyed(df: DataFrame, name: str, key: list[str], buckets: int) -> DataFrame:
+    """df as a table bucketed and sorted by key: what is joined with it by the key is brought to its buckets, and it stays where it
+    is. Versions saved so are upserted without moving the old one."""
+    df.repartition(buckets, *key).write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: list[str], version: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The table with rows written over those with the same key; of several new rows the one with the highest version.
-    Columns in `keep` stay as the old row has them (such as id and created_at)."""
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(version)))).where("__r = 1").drop("__r")
+    Columns in `keep` stay as the old row has them (such as id and created_at). A key that holds a null is like no other, as in a
+    unique index: such rows are added. The table is not moved where it is kept by save_keyed."""
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(version)))
+    ranked = rows.where(whole).withColumn("__r", first).where("__r = 1").drop("__r")
     old, new = table.withColumn("__old", F.lit(True)).alias("o"), ranked.withColumn("__new", F.lit(True)).alias("n")
-    joined = old.join(new, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key], "full")
+    joined = old.join(new, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in key], "full")
     value = lambda c: F.when(F.col("n.__new").isNull(), F.col(f"o.{c}")).when(F.col("o.__old").isNotNull() & F.lit(c in keep), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
-    return joined.select(*[value(c).alias(c) for c in table.columns])
+    return joined.select(*[value(c).alias(c) for c in table.columns]).unionByName(rows.where(~whole).select(*table.columns))
 
 
 def upsert_failures(table: DataFrame, failures: DataFrame, key: list[str]) -> DataFrame:

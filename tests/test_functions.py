@@ -100,3 +100,15 @@ def test_cosine_of_nothing(spark):
 def test_number_fields_are_typed(spark):
     df = spark.createDataFrame([(json.dumps({"stars": "5", "n": 7, "neg": -1}),), (None,), ("no json",)], "raw string")
     assert [tuple(r) for r in df.select(json_walk.number_field(F.col("raw"), ["stars", "n"]), json_walk.number_field(F.col("raw"), ["neg"])).collect()] == [(7.0, None), (None, None), (None, None)]
+
+
+def test_identifiers_without_python(spark):
+    import json
+
+    docs = [{"DOI": "https://doi.org/10.1000/ABC.123", "nested": {"external_id": " Record-42 "}}, [{"doi": [1, "10.1/Y", True, None, {"doi": "in"}]}], {"a": {"b": {"c": {"doi": "deep"}}}}, {"a": {"b": {"c": {"d": {"doi": "too deep"}}}}}, {"doi": 10.5, "isbn": 5.0, "x": [[{"doi": "x"}]]},
+            {"doi": " DOI: 10.1 / 2 "}, {"Doi": "http://dx.doi.org/10.5/a\u00a0b"}, {"doi": ""}, "doi", 7, None, {"doi": {"doi": "nested"}}, {"doi": False}]
+    rows = [json.dumps(d) for d in docs] + [None, "", "{", "nul"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", json_walk.identifiers(F.col("t")).alias("x"))
+    got = {r["i"]: r["x"] for r in df.collect()}
+    assert got == {i: sorted(json_walk.identifiers_of(json_walk._load(t))) for i, t in enumerate(rows)}
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()

@@ -246,6 +246,24 @@ def test_merge_signals(spark):
     assert (row["title"], row["summary"], row["source_name"], row["canonical_url"], row["signal_type"], row["technologies"], row["relevance_score"], row["raw"]) == ("Old", "New", "S", "u", "PAPER", ["ROV", "AUV"], 1.0, '{"a":1}')
 
 
+def test_upserts_do_not_move_the_stored_table(spark):
+    old = spark.range(1000).select(F.col("id").alias("k"), F.concat(F.lit("old"), F.col("id").cast("string")).alias("name"), F.lit(1).alias("version"))
+    news = spark.createDataFrame([(5, "five", 2), (5, "FIVE", 3), (2000, "new", 2), (None, "a", 2), (None, "b", 2)], "k long, name string, version int")
+    stored = writes.save_keyed(old, "test_keyed", ["k"], 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = writes.upsert(stored, news, ["k"], "version")
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan
+        before = plan[: plan.index("Bucketed: true")].split("SortMergeJoin")[-1]  # from the join down to the stored table
+        assert "Exchange" not in before
+        got = {(r["k"], r["name"]) for r in made.where("k is null or k in (5, 6, 2000)").collect()}
+        assert got == {(5, "FIVE"), (6, "old6"), (2000, "new"), (None, "a"), (None, "b")} and made.count() == 1003
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE test_keyed")
+
+
 def test_failures_keep_good_vectors(spark):
     schema = "signal_id string, status string, embedding array<double>, error_code string, error_message string, content_hash string, metadata string"
     table = spark.createDataFrame([("good", "SUCCESS", [1.0], None, None, "h", '{"lastFailure":"old","k":"v"}'), ("bad", "PENDING", None, None, None, "h", None)], schema)
