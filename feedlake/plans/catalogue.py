@@ -347,6 +347,66 @@ def missing_embeddings(spark, sf_dir):
     return embeddings.missing(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), e, 100, {"provider": "p"})
 
 
+@query("""SELECT o_orderkey AS id, o_orderpriority AS title FROM orders WHERE o_orderkey % 6 <> 0 AND o_orderkey % 10 <> 1""")
+def item_insert(spark, sf_dir):
+    """Orders as new items: some have an external id of a known item, some its URL; others have neither and collide with none."""
+    o = read(spark, sf_dir, "orders")
+    i = F.col("o_orderkey")
+    url = lambda n: F.concat(F.lit("https://example.com/"), n.cast("string"))
+    known = o.where(i % 2 == 0).select(F.lit("s").alias("source_id"), F.when(i % 6 == 0, i.cast("string")).alias("external_id"), F.concat(F.lit("https://known/"), i.cast("string")).alias("url"))
+    known = known.unionAll(o.where(i % 10 == 1).select(F.lit(None).cast("string"), i.cast("string"), url(i)))
+    rows = o.select(i.alias("id"), F.col("o_orderpriority").alias("title"), F.lit("s").alias("source_id"), F.when(i % 3 == 0, i.cast("string")).alias("external_id"), F.when(i % 7 != 2, url(i)).alias("url"))
+    rows = rows.withColumn("url", F.when(F.col("id") % 10 == 1, url(F.col("id"))).otherwise(F.col("url")))
+    return writes.insert_new(known, rows, [["source_id", "external_id"], ["url"]]).select("id", "title")
+
+
+@query("""WITH t AS (SELECT vec_id AS k, 'h' || vec_id AS hash, 1 AS version FROM embeddings WHERE vec_id % 2 = 0), n AS (SELECT vec_id AS k, 'n' || (vec_id + 1) AS hash, 3 AS version FROM embeddings WHERE vec_id % 3 = 0)
+SELECT coalesce(t.k, n.k) AS signal_id, CASE WHEN t.k IS NOT NULL THEN 'row' || t.k ELSE 'new' || n.k END AS id, coalesce(n.hash, t.hash) AS content_hash, CAST(coalesce(n.version, t.version) AS INTEGER) AS version FROM t FULL JOIN n ON t.k = n.k""")
+def embedding_upsert(spark, sf_dir):
+    """New vectors over old ones: the row's own id stays; of two new rows of a signal the later counts."""
+    e = read(spark, sf_dir, "embeddings")
+    k = F.col("vec_id")
+    row = lambda kind, hash_, version: [F.concat(F.lit(kind), k.cast("string")).alias("id"), k.alias("signal_id"), F.lit("p").alias("provider"), hash_.alias("content_hash"), F.lit(version).alias("version")]
+    old = e.where("vec_id % 2 = 0").select(*row("row", F.concat(F.lit("h"), k.cast("string")), 1))
+    some = e.where("vec_id % 3 = 0")
+    new = some.select(*row("new", F.concat(F.lit("x"), k.cast("string")), 2)).unionAll(some.select(*row("new", F.concat(F.lit("n"), (k + 1).cast("string")), 3)))
+    return writes.upsert(old, new, ["signal_id", "provider"], "version", keep=("id",)).select("signal_id", "id", "content_hash", "version")
+
+
+@query("""WITH l AS (SELECT user_id, max(event_id) AS seen FROM events GROUP BY 1), s AS (SELECT c_custkey AS id, seen, seen % 3 = 0 AS bad FROM customer LEFT JOIN l ON user_id = c_custkey)
+SELECT id, CAST(CASE WHEN seen IS NULL THEN TIMESTAMP '2000-01-01' ELSE make_timestamp(seen * 1000000) END AS VARCHAR) AS checked, CAST(CASE WHEN seen IS NULL OR bad THEN TIMESTAMP '2000-01-01' ELSE make_timestamp(seen * 1000000) END AS VARCHAR) AS ok,
+CASE WHEN seen IS NULL THEN 'old' WHEN bad THEN 'error ' || seen END AS last_error, CAST(CASE WHEN bad THEN make_timestamp(seen * 1000000) END AS VARCHAR) AS failed FROM s""")
+def source_runs(spark, sf_dir):
+    """Customers as sources after the runs that asked them: the last outcome of each counts; one that was not asked stays as it is."""
+    old = F.lit("2000-01-01").cast("timestamp")
+    table = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), old.alias("last_checked_at"), old.alias("last_ok_at"), F.lit("old").alias("last_error"), F.lit(None).cast("timestamp").alias("last_error_at"))
+    e = F.col("event_id")
+    asked = read(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), F.timestamp_seconds(e).alias("at"), F.when(e % 3 == 0, F.concat(F.lit("error "), e.cast("string"))).alias("error"))
+    out = writes.source_health(table, asked)
+    return out.select("id", F.col("last_checked_at").cast("string").alias("checked"), F.col("last_ok_at").cast("string").alias("ok"), "last_error", F.col("last_error_at").cast("string").alias("failed"))
+
+
+@query(f"WITH {_ITEMS} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{span}' AS span, id, score FROM full_item WHERE source_type = 'MACHINERY' {f"AND (published_at >= TIMESTAMP '{NOW}' - INTERVAL {hours} HOUR OR created_at >= TIMESTAMP '{NOW}' - INTERVAL {hours} HOUR)" if hours else ''} {_RANK} LIMIT 100)" for span, hours in (("24h", 24), ("7d", 168), ("30d", 720), ("all", 0), ("never", 0))))
+def feed_spans(spark, sf_dir):
+    """The home feed of every span; one that is unknown filters nothing."""
+    out = None
+    for span in ("24h", "7d", "30d", "all", "never"):
+        feed = feeds.homepage(views.items(spark, sf_dir), views.labs(spark, sf_dir), views.sources(spark, sf_dir), views.now(), kind="MACHINERY", span=span, kinds=SEGMENTS).select(F.lit(span).alias("span"), "id", "score")
+        out = feed if out is None else out.unionAll(feed)
+    return out
+
+
+@query("""WITH r AS (SELECT doc_id AS id, '{"meta":{"DOI":"https://doi.org/10.1/AB' || doc_id || '"},"list":[{"external_id":" R ' || doc_id || ' "},{"x":{"globalId":' || doc_id || '.50,"doi":["https://dx.doi.org/10.2/' || doc_id || '",true,{"a":1}]}}],"a":{"b":{"c":{"datasetId":"D","deep":{"doi":"no"}}}}}' AS j, doc_id % 5 = 2 AS bad FROM documents)
+SELECT id, CASE WHEN bad THEN '' ELSE array_to_string(list_sort(['datasetId:' || lower(json_extract_string(j, '$.a.b.c.datasetId')), 'doi:' || replace(lower(json_extract_string(j, '$.meta.DOI')), 'https://doi.org/', ''), 'doi:' || replace(json_extract_string(j, '$.list[1].x.doi[0]'), 'https://dx.doi.org/', ''),
+  'externalId:' || replace(lower(json_extract_string(j, '$.list[0].external_id')), ' ', ''), 'globalId:' || CAST(CAST(json_extract_string(j, '$.list[1].x.globalId') AS DOUBLE) AS VARCHAR)]), ' ') END AS identifiers FROM r""")
+def json_identifiers(spark, sf_dir):
+    """Identifiers at every depth of nested objects and lists, in any spelling, beside what is none: too deep, no scalar, malformed."""
+    n = F.col("doc_id").cast("string")
+    whole = F.concat(F.lit('{"meta":{"DOI":"https://doi.org/10.1/AB'), n, F.lit('"},"list":[{"external_id":" R '), n, F.lit(' "},{"x":{"globalId":'), n, F.lit('.50,"doi":["https://dx.doi.org/10.2/'), n, F.lit('",true,{"a":1}]}}],"a":{"b":{"c":{"datasetId":"D","deep":{"doi":"no"}}}}}'))
+    raw = F.when(F.col("doc_id") % 5 == 2, F.substr(whole, F.lit(1), F.lit(40))).otherwise(whole)
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(json_walk.identifiers(raw), " ").alias("identifiers"))
+
+
 # --- retrieval -----------------------------------------------------------------------------------------------------
 def _vectors(spark, sf_dir):
     stored = F.when(F.col("vec_id") % 97 == 5, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))  # some without length
