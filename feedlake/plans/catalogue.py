@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedlake.functions import json_walk, text, urls, values
 from feedlake.functions import vocabulary as V
 from feedlake.functions.stemming import stem
-from feedlake.operators import dictionaries, embeddings, entities, feeds, ingest, linkage, search, signals, tagging, text_index, writes
+from feedlake.operators import dictionaries, embeddings, entities, feeds, ingest, linkage, search, signals, tagging, text_index, vector_index, writes
 from feedlake.operators.kept import kept
 from feedlake.plans import relevance_check, views
 from feedlake.plans.views import NOW, SEGMENTS, read
@@ -444,6 +444,17 @@ def hybrid_fusion(spark, sf_dir):
     return search.fuse(semantic, keyword).select("signal_id", F.round("hybrid_score", 6).alias("hybrid_score"), F.round("keyword_score", 6).alias("keyword_score"), F.array_join("matched_by", ",").alias("matched"))
 
 
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, greatest(-1, least(1, list_cosine_similarity(q.e, c.e))) AS s FROM v q JOIN v c ON q.vec_id % 5 = 0 AND c.vec_id % 97 <> 5 WHERE q.vec_id % 97 <> 5),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INTEGER) AS rank FROM p) SELECT query_id, id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 10""")
+def semantic_batch(spark, sf_dir):
+    """Every fifth vector as a query, all in one plan, against all vectors, those without length left out."""
+    e, _, version = _vectors(spark, sf_dir)
+    pivots = vector_index.fit_pivots(e, version["dimensions"])
+    grouped = kept(vector_index.group_vectors(e, pivots))
+    queries = e.where("signal_id % 5 = 0").select(F.col("signal_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector_index.search_vectors(grouped, pivots, queries).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 class _Shortest:
     """A reranker for the check: the shorter the passage, the higher."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.vocabulary import WEIGHTS
 from feedlake.functions.stemming import stem
-from feedlake.operators import assessment, dictionaries, embeddings, entities, feeds, ingest, linkage, providers, relevance, search, signals, tagging, text_index, writes
+from feedlake.operators import assessment, dictionaries, embeddings, entities, feeds, ingest, linkage, providers, relevance, search, signals, tagging, text_index, vector_index, writes
 from feedlake.sources import feeds as scans
 from feedlake.sources import github, seeds, webpages
 
@@ -273,6 +273,31 @@ def test_failures_keep_good_vectors(spark):
     assert got["bad"]["status"] == "FAILED" and got["new"]["status"] == "FAILED" and got["new"]["embedding"] is None
 
 
+def test_pruned_vectors_equal_all(spark):
+    """Clustered vectors: the same rows as by comparing all, of which most are never compared; ties by id; odd vectors fall out."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 8)) * 5
+    rows = [(i, [float(x) for x in centres[i % 20] + rng.standard_normal(8) * 0.2]) for i in range(1000)] + [(2000 + i, [1.0] * 8) for i in range(15)] + [(3000, None), (3001, [0.0] * 8), (3002, [float("nan")] * 8), (3003, [1.0])]
+    d = spark.createDataFrame(rows, "signal_id long, embedding array<double>")
+    asked = [(i, v) for i, v in rows if i % 100 == 0 or i >= 2010]
+    pivots = vector_index.fit_pivots(d, 8, pivots=24)
+    grouped = vector_index.group_vectors(d, pivots)
+    got = vector_index.search_vectors(grouped, pivots, spark.createDataFrame(asked, "query_id long, vector array<double>"), 10).collect()
+    good = [(i, np.array(v)) for i, v in rows if v is not None and len(v) == 8 and np.isfinite(v).all() and any(v)]
+    for q, v in ((i, v) for i, v in asked if i < 3000):
+        want = sorted((-round(float(np.dot(v, x) / np.linalg.norm(v) / np.linalg.norm(x)), 9), i) for i, x in good)[:10]
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["id"] for r in mine] == [i for _, i in want]
+        assert all(r["scored"] < 400 for r in mine)
+    assert {r["query_id"] for r in got} == {i for i, _ in asked if i < 3000}
+    few = vector_index.search_vectors(grouped, pivots, spark.createDataFrame(asked[:1], "query_id long, vector array<double>"), 5000)
+    assert few.count() == len(good)
+    none = vector_index.group_vectors(d.where("false"), vector_index.fit_pivots(d.where("false"), 8))
+    assert vector_index.search_vectors(none, np.eye(1, 8), spark.createDataFrame(asked, "query_id long, vector array<double>")).count() == 0
+
+
 def test_fusion(spark):
     s = spark.createDataFrame([("a", 0.95), ("b", -0.2)], "signal_id string, similarity double")
     k = spark.createDataFrame([("a", 2.0), ("c", 4.0)], "signal_id string, score double")
