@@ -5,15 +5,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from feedlake.functions.text import key_of
+from feedlake.functions.text import key_of, phrase_keys
 from feedlake.operators.kept import kept
 
+try:
+    import ahocorasick
+except ImportError:  # without it every dictionary is joined, and lists of phrases are one pattern
+    ahocorasick = None
+
 #: Characters of all keys together up to which a dictionary becomes an automaton (some hundred bytes each in every worker).
 AUTOMATON_CHARS = 2_000_000
 SCHEMA = "ord long, type string, name string, phrase string, key string, aliases array<string>"
@@ -33,7 +37,7 @@ def dictionary_table(spark: SparkSession, entries: list[tuple[str, str, list[str
     return spark.createDataFrame(entries_of(entries), SCHEMA)
 
 
-def _automaton(keys: list[str]) -> ahocorasick.Automaton:
+def _automaton(keys: list[str]):
     made = ahocorasick.Automaton()
     for key in keys:
         made.add_word(key, key)
@@ -41,7 +45,7 @@ def _automaton(keys: list[str]) -> ahocorasick.Automaton:
     return made
 
 
-def whole_phrases(text: str, automaton: ahocorasick.Automaton) -> set[str]:
+def whole_phrases(text: str, automaton) -> set[str]:
     """The keys that stand in a key text with neither a letter nor a digit right before or behind them."""
     found, last = set(), len(text) - 1
     for end, key in automaton.iter(text):
@@ -104,6 +108,7 @@ def with_matches(staged: DataFrame, texts: str, dictionary: DataFrame | list[tup
     Null texts and empty dictionaries match nothing; phrases of several entries give each of them.
     """
     spark = staged.sparkSession
+    automaton_chars = automaton_chars if ahocorasick is not None else -1
     if isinstance(dictionary, list):
         rows = entries_of(dictionary)
         small = sum(len(r[4]) for r in rows) <= automaton_chars
@@ -121,6 +126,8 @@ def with_keys(staged: DataFrame, text: str, phrases: list[str], out: str) -> Dat
     """staged with `out`: the keys of the phrases that the column `text`, under normalize_key, has as whole phrases, each once, in order;
     a null text has none. One pass over a text, by an automaton of the list, which is a constant of the program and small."""
     keys = sorted({k for k in map(key_of, phrases) if k})
+    if ahocorasick is None:
+        return staged.withColumn(out, F.coalesce(F.array_sort(phrase_keys(F.col(text), phrases)), F.array().cast("array<string>")))
     sent = staged.sparkSession.sparkContext.broadcast(_automaton(keys))
 
     @F.pandas_udf(ArrayType(StringType()))

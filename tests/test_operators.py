@@ -44,6 +44,15 @@ def test_dictionaries_as_lists_and_tables(spark):
     assert dictionaries.with_matches(d, "x", [], "e").where("size(e) > 0").count() == 0 and dictionaries.with_matches(d, "x", dictionaries.dictionary_table(spark, entries).where("false"), "e", -1).where("size(e) > 0").count() == 0
 
 
+def test_without_the_automaton_library(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "deep sea robots"), (2, None), (3, "sea-robots")], "id int, t string")
+    chunked = d.select("id", entities.chunks(F.col("t"), F.lit(""), F.array().cast("array<string>")).alias("x"))
+    rows = lambda: ([r["k"] for r in dictionaries.with_keys(d, "t", ["sea", "deep sea", "robots"], "k").orderBy("id").collect()], [[e["matched_text"] for e in r["e"]] for r in dictionaries.with_matches(chunked, "x", [("t", "sea", ["robots"])], "e").orderBy("id").collect()])
+    want = rows()
+    monkeypatch.setattr(dictionaries, "ahocorasick", None)
+    assert rows() == want == ([["deep sea", "robots", "sea"], [], ["robots", "sea"]], [["sea", "robots"], [], ["sea", "robots"]])
+
+
 def test_a_large_dictionary_leaves_the_plan_small(spark):
     table = lambda n: spark.range(n).select(F.col("id").alias("ord"), F.lit("t").alias("type"), *[F.concat(F.lit("word"), F.col("id").cast("string")).alias(c) for c in ("name", "phrase", "key")], F.array().cast("array<string>").alias("aliases"))
     d = spark.createDataFrame([(1, "word99999 beside word12 and word100000")], "id int, t string").select("id", entities.chunks(F.col("t"), F.lit(""), F.array().cast("array<string>")).alias("x"))
