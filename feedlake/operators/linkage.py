@@ -119,7 +119,12 @@ def find_duplicates(incoming: DataFrame, existing: DataFrame, order: Column | No
     else:
         first = first_links(left, right, at, threshold, _ordered(incoming, order) if earlier else None)
     urls = existing.select(F.col("id").alias("right_id"), F.col("canonical_url").alias("existing_url"))
-    out = incoming.select(F.col("id")).join(first.join(urls, "right_id", "left"), F.col("id") == F.col("left_id"), "left")
+    return answers(incoming, first.join(urls, "right_id", "left"))
+
+
+def answers(incoming: DataFrame, first: DataFrame) -> DataFrame:
+    """The row of each incoming id as find_duplicates gives it, from (left_id, tier, right_id, existing_url, score)."""
+    out = incoming.select(F.col("id")).join(first, F.col("id") == F.col("left_id"), "left")
     tier = F.col("tier")
     name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv]), tier), F.lit("none"))
     reason = F.element_at(F.create_map(*[F.lit(x) for kv in V.DUPLICATE_REASONS.items() for x in kv]), name)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlake.functions import json_walk, text, urls, values
 from feedlake.functions import vocabulary as V
 from feedlake.functions.stemming import stem
-from feedlake.operators import dictionaries, embeddings, entities, feeds, ingest, linkage, search, signals, tagging, text_index, vector_index, writes
+from feedlake.operators import dictionaries, embeddings, entities, feeds, ingest, link_store, linkage, search, signals, tagging, text_index, vector_index, writes
 from feedlake.operators.kept import kept
 from feedlake.plans import relevance_check, views
 from feedlake.plans.views import NOW, SEGMENTS, read
@@ -252,6 +254,32 @@ def dup_tiers(spark, sf_dir):
     return found.select("id", "is_duplicate", "confidence", "matched_by", "existing_id", "action")
 
 
+@query(f"""WITH {_DOC}, s AS (SELECT id, CASE WHEN id % 26 = 5 THEN title || ' renewed' ELSE title END AS title, CASE WHEN id % 17 = 3 THEN id % 40 END AS doi, CASE WHEN id % 26 = 5 THEN (id + 7) % 60 WHEN id % 13 = 5 THEN id % 60 END AS u FROM doc),
+q AS (SELECT id, CASE WHEN id % 3 = 0 THEN title || ' again' ELSE title END AS title, CASE WHEN id % 34 = 5 THEN id % 40 END AS doi, CASE WHEN id % 26 = 7 THEN id % 60 END AS u FROM doc),
+b AS (SELECT id, doi, u, {_TITLE_SQL} AS n, list_distinct(list_filter(string_split({_TITLE_SQL}, ' '), lambda w: length(w) > 1)) AS t FROM s), a AS (SELECT id, doi, u, {_TITLE_SQL} AS n, list_distinct(list_filter(string_split({_TITLE_SQL}, ' '), lambda w: length(w) > 1)) AS t FROM q),
+h AS (SELECT a.id AS left_id, min(b.id) AS right_id, 1 AS tier FROM a JOIN b ON a.doi = b.doi GROUP BY 1 UNION ALL SELECT a.id, min(b.id), 2 FROM a JOIN b ON a.u = b.u GROUP BY 1 UNION ALL SELECT a.id, min(b.id), 3 FROM a JOIN b ON a.n = b.n AND a.n <> '' GROUP BY 1
+  UNION ALL SELECT a.id, min(b.id), 4 FROM a JOIN b ON len(a.t) > 0 AND list_has_any(a.t, b.t) AND len(a.t) >= 0.9 * len(b.t) AND len(b.t) >= 0.9 * len(a.t) AND len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.92 GROUP BY 1),
+r AS (SELECT left_id, min(tier) AS tier, arg_min(right_id, tier) AS right_id FROM h GROUP BY 1)
+SELECT a.id, CASE tier WHEN 1 THEN 'identifier' WHEN 2 THEN 'url' WHEN 3 THEN 'title' WHEN 4 THEN 'title' ELSE 'none' END AS matched_by, CASE WHEN tier IS NULL THEN 'none' WHEN tier = 4 THEN 'high' ELSE 'exact' END AS confidence, right_id AS existing_id FROM a LEFT JOIN r ON r.left_id = a.id""")
+def dup_stored(spark, sf_dir):
+    """Every document, some renamed, beside the stored keys of all documents, of which a second batch gives some another title and
+    URL: what they had before links no more."""
+    i, n = F.col("id"), lambda c: c.cast("string")
+    doi = lambda m: F.when(i % m == (3 if m == 17 else 5), F.concat(F.lit('{"meta":{"doi":"10.1/'), n(i % 40), F.lit('"}}')))
+    url = lambda k, shared, own: F.when(k, F.concat(F.lit("https://example.com/shared/"), n(shared % 60))).otherwise(F.concat(F.lit(f"https://example.com/{own}/"), n(i)))
+    d = kept(views.document_items(spark, sf_dir).select("id", "title"))
+    old = d.select("id", "title", url(i % 13 == 5, i, "doc").alias("canonical_url"), doi(17).alias("raw"))
+    before = old.where(i % 26 == 5)
+    after = before.withColumn("title", F.concat("title", F.lit(" renewed"))).withColumn("canonical_url", url(F.lit(True), i + 7, "doc"))
+    incoming = d.select("id", F.when(i % 3 == 0, F.concat("title", F.lit(" again"))).otherwise(F.col("title")).alias("title"), url(i % 26 == 7, i, "new").alias("canonical_url"), doi(34).alias("raw"))
+    store = link_store.LinkStore.build(old, f"links_{uuid4().hex}", order=i, buckets=16)
+    try:
+        store.add(after, 1, before=before, order=i)
+        return kept(store.find(incoming).select("id", "matched_by", "confidence", "existing_id"))
+    finally:
+        store.drop()
+
+
 #: Titles of a few words, as incoming ones; every document's first line is an existing title.
 _ASKED = "SELECT id, CASE id % 4 WHEN 0 THEN array_to_string(string_split(title, ' ')[1:2], ' ') WHEN 1 THEN string_split(title, ' ')[1] WHEN 2 THEN title ELSE substr(title, 3, 40) END AS title, 'https://example.com/' || CASE WHEN id % 7 = 0 THEN 'doc/' || id // 2 ELSE 'new/' || id END AS url FROM doc"
 
