@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedlake.functions import json_walk, text, urls, values
 from feedlake.functions import vocabulary as V
 from feedlake.functions.stemming import stem
-from feedlake.operators import dictionaries, embeddings, entities, feeds, ingest, link_store, linkage, search, signals, tagging, text_index, vector_index, writes
+from feedlake.operators import dictionaries, embeddings, entities, feeds, ingest, link_store, linkage, ranked_store, search, signals, tagging, text_index, vector_index, writes
 from feedlake.operators.kept import kept
 from feedlake.plans import relevance_check, views
 from feedlake.plans.views import NOW, SEGMENTS, read
@@ -74,6 +74,22 @@ def feed_view(spark, sf_dir):
     return shown.select("id", "rank", "date", "shown_score", F.array_join("shown_tags", ",").alias("shown"))
 
 
+@query(f"""WITH {_ITEMS}, l AS (SELECT 'lab' AS feed, {_FEED_SQL} FROM full_item WHERE lab_slug = 'nation_7' {_RANK} LIMIT 50), t AS (SELECT 'trending' AS feed, {_FEED_SQL} FROM full_item {_RANK} LIMIT 30),
+h AS (SELECT 'home' AS feed, {_FEED_SQL} FROM full_item WHERE source_type = 'BUILDING' {_RANK} LIMIT 100) SELECT * FROM l UNION ALL SELECT * FROM t UNION ALL SELECT * FROM h""")
+def feeds_stored(spark, sf_dir):
+    """The feeds of a lab, of the home page and of what trends, from items laid out by lab and score."""
+    labs, sources = views.labs(spark, sf_dir), views.sources(spark, sf_dir)
+    store = ranked_store.save_ranked(views.items(spark, sf_dir), f"ranked_{uuid4().hex}", spark.sparkContext.defaultParallelism)
+    try:
+        made = {"lab": store.feed(lambda x: feeds.lab_feed(x, labs, sources, "nation_7"), feeds.LAB, ranked_store.lab_ids(labs, "nation_7")),
+                "trending": store.feed(lambda x: feeds.trending(x, labs, sources), feeds.TRENDING),
+                "home": store.feed(lambda x: feeds.homepage(x, labs, sources, views.now(), kind="BUILDING", span=None, kinds=SEGMENTS), feeds.HOME)}
+        shown = [rows.select(F.lit(name).alias("feed"), *_FEED) for name, rows in made.items()]
+        return kept(shown[0].unionAll(shown[1]).unionAll(shown[2]))
+    finally:
+        store.drop()
+
+
 @query(f"""WITH {_ITEMS} SELECT n_nationkey AS id, n_name AS name, coalesce(i.n, 0) AS n_items, coalesce(s.n, 0) AS n_sources FROM nation LEFT JOIN (SELECT lab_id, count(*) AS n FROM item GROUP BY 1) i ON i.lab_id = n_nationkey
 LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) s ON s.c_nationkey = n_nationkey WHERE n_nationkey % 7 <> 3""")
 def labs_with_counts(spark, sf_dir):
