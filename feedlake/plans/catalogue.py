@@ -283,7 +283,7 @@ def dup_stored(spark, sf_dir):
     i, n = F.col("id"), lambda c: c.cast("string")
     doi = lambda m: F.when(i % m == (3 if m == 17 else 5), F.concat(F.lit('{"meta":{"doi":"10.1/'), n(i % 40), F.lit('"}}')))
     url = lambda k, shared, own: F.when(k, F.concat(F.lit("https://example.com/shared/"), n(shared % 60))).otherwise(F.concat(F.lit(f"https://example.com/{own}/"), n(i)))
-    d = kept(views.document_items(spark, sf_dir).select("id", "title"))
+    d = views.document_items(spark, sf_dir).select("id", "title")
     old = d.select("id", "title", url(i % 13 == 5, i, "doc").alias("canonical_url"), doi(17).alias("raw"))
     before = old.where(i % 26 == 5)
     after = before.withColumn("title", F.concat("title", F.lit(" renewed"))).withColumn("canonical_url", url(F.lit(True), i + 7, "doc"))
