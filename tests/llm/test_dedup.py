@@ -268,12 +268,26 @@ def test_op4_equals_brute_force(spark, data):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (sizes[i], want[i], want[i] == i) for i, _ in rows}
 
 
-def test_op9_equals_brute_force(spark, data):
-    rows = [tuple(r) for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()]
+@pytest.mark.parametrize("planted", [False, True])
+def test_op9_equals_brute_force(spark, data, tmp_path, planted):
+    """The registered query on the table as it is, and with near copies put in: chains of them, pairs around 0.9 and exact copies."""
+    table = spark.read.parquet(f"{data}/embeddings.parquet")
+    rows = [tuple(r) for r in table.select("vec_id", "embedding").collect()]
+    if planted:
+        rng, first = np.random.default_rng(5), max(r[0] for r in rows) + 1
+        for k in range(120):
+            # of copies of copies every third is exact; the others' noise leaves cosines from 0.84 to 0.98
+            base = np.array(rows[k % 40 if k < 40 else len(rows) - 40][1], np.float64)
+            noise = rng.normal(size=base.size)
+            noise *= (0 if k % 3 == 0 else 0.2 + 0.45 * rng.random()) * np.linalg.norm(base) / np.linalg.norm(noise)
+            rows.append((first + k, [float(x) for x in (base + noise).astype(np.float32)]))
+        data = str(tmp_path)
+        spark.createDataFrame(rows, table.select("vec_id", "embedding").schema).write.parquet(f"{data}/embeddings.parquet")
     ids, m = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     links = m @ m.T >= 0.9
     np.fill_diagonal(links, False)
+    assert not planted or links.sum() > 100
     want = roots(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(links), strict=True)])
     got = near_vectors.op9_cap_filters(spark, data).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (int(n), want[i], want[i] == i) for i, n in zip(ids, links.sum(axis=1), strict=True)}
