@@ -7,10 +7,10 @@ import json
 from pyspark.sql import functions as F
 
 from feedlake.functions import vocabulary as V
-from feedlake.operators import assessment, ingest, signals
+from feedlake.operators import assessment, ingest, signals, tagging
 from feedlake.plans import views
-from feedlake.plans.catalogue import _DOC, query
-from feedlake.plans.views import read
+from feedlake.plans.catalogue import _DOC, _hits_sql, query
+from feedlake.plans.views import NOW, read
 from feedlake.sources import feeds, github
 
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -106,3 +106,17 @@ def assessments(spark, sf_dir):
     stored = rows.withColumns({name: F.to_json(name) for name in ("domains", "technologies", "dimensions")})
     back = assessment.stored_assessments(stored)
     return back.select(F.col("signal_id").cast("long").alias("id"), "status", "final_score", F.round("normalized_confidence", 6).alias("confidence"), "band", F.array_join("domains", ",").alias("domains"), F.array_join("technologies", ",").alias("technologies"), "error_code", "error_message")
+
+
+@query(f"""WITH {_DOC}, n AS (SELECT id, lower(title || chr(10) || summary) AS x, id % 30 AS days, id % 30 AS lab, id % 2 = 0 AS rss FROM doc ORDER BY CASE WHEN id % 4 <> 0 THEN id % 500 END ASC NULLS FIRST, id LIMIT 100),
+s AS (SELECT n.*, CASE n_nationkey % 3 WHEN 0 THEN 'XR' WHEN 1 THEN 'MARINE' ELSE 'BOTH' END AS domain FROM n JOIN nation ON lab = n_nationkey),
+h AS (SELECT *, {_hits_sql('x', V.XR_KEYWORDS)} AS xr, {_hits_sql('x', V.MARINE_KEYWORDS)} AS m, greatest(CAST(0 AS DOUBLE), CAST(50 AS DOUBLE) - CAST(days AS DOUBLE) * (CAST(50 AS DOUBLE) / 14)) AS rec FROM s),
+b AS (SELECT *, CAST(CASE domain WHEN 'XR' THEN xr * 6 WHEN 'MARINE' THEN m * 6 ELSE greatest(xr, m) * 4 END AS DOUBLE) AS boost FROM h)
+SELECT id, round(rec + boost + CASE WHEN rss THEN CAST({V.SOURCE_BOOST['RSS']} AS DOUBLE) ELSE CAST({V.SOURCE_BOOST['ARXIV']} AS DOUBLE) END, 6) AS score, least(CAST(100 AS DOUBLE), boost) AS novelty, round(least(CAST(100 AS DOUBLE), rec), 6) AS impact FROM b""")
+def item_rescore(spark, sf_dir):
+    """The newest hundred documents as items, undated ones first, scored anew; a sixth have a lab that is not there and fall out."""
+    i, now = F.col("id"), F.lit(NOW).cast("timestamp")
+    before = lambda unit, n: F.timestamp_add(unit, -n.cast("int"), now)
+    items = views.document_items(spark, sf_dir).select("id", "title", "summary", (i % 30).alias("lab_id"), F.when(i % 2 == 0, "RSS").otherwise("ARXIV").alias("source_type"), before("DAY", i % 30).alias("published_at"), F.when(i % 4 != 0, before("HOUR", i % 500)).alias("created_at"))
+    labs = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 3 == 0, "XR").when(F.col("n_nationkey") % 3 == 1, "MARINE").otherwise("BOTH").alias("domain"))
+    return tagging.rescore(items, labs, now, 100).select("id", F.round("score", 6).alias("score"), "novelty", F.round("impact", 6).alias("impact"))
