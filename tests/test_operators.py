@@ -638,3 +638,28 @@ def test_relevance_known_answer(spark):
     df = spark.createDataFrame([row, shuffled], schema).withColumns({c: F.col(c).cast("timestamp") for c in ("published_at", "ingested_at")})
     for got in relevance.assess(df).collect():
         assert tuple(got["dimensions"]) == (70, 64, 49, 74, 42, 40) and (got["final_score"], got["band"]) == (61, "MEDIUM")
+
+
+def test_vector_tiles_make_no_pairs(spark, monkeypatch):
+    """Tiles of any size give brute force's rows, copies by id too, and queries meet vectors in matrix products, not as joined rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 6)] if i % 4 else [1.0, 2.0, 0.0, 0.0, 1.0, 3.0]) for i in range(600)]
+    rows = [(i, v) for i, v in rows if any(v)]
+    d = spark.createDataFrame(rows, "signal_id long, embedding array<double>")
+    queries = spark.createDataFrame(rows[::2], "query_id long, vector array<double>")
+    pivots = vector_index.fit_pivots(d, 6, pivots=5)
+    for tile in (8192, 50):
+        monkeypatch.setattr(vector_index, "TILE", tile)
+        found = vector_index.search_vectors(vector_index.group_vectors(d, pivots), pivots, queries, 4)
+        assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().executedPlan().toString()
+        got: dict = {}
+        for r in found.collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+        for q, v in rows[::2]:
+            want = sorted(rows, key=lambda r: (-round(float(np.dot(v, r[1]) / np.linalg.norm(v) / np.linalg.norm(r[1])), 9), r[0]))[:4]
+            mine = [got[q][k] for k in sorted(got[q])]
+            assert len(mine) == 4 and abs(sum(np.dot(v, dict(rows)[i]) / np.linalg.norm(dict(rows)[i]) for i in mine) - sum(np.dot(v, x) / np.linalg.norm(x) for _, x in want)) < 1e-9
+            if rows[0][1] == v:
+                assert mine == [0, 4, 8, 12]
