@@ -11,6 +11,7 @@ from feedlake.functions import vocabulary as V
 from feedlake.functions.json_walk import identifiers
 from feedlake.functions.text import merge_arrays, normalize_title, title_prefix, title_tokens
 from feedlake.functions.urls import normalize_url
+from feedlake.operators import containment
 from feedlake.operators.kept import kept
 
 TIERS = {1: "identifier", 2: "url", 3: "title", 4: "title_high"}
@@ -160,26 +161,19 @@ def candidate_rows(incoming: DataFrame, existing: DataFrame, limit: int = 25) ->
     take up to three lists each and the newest of these. So titles that a million rows share on both sides cost one list and a
     row for each answer.
 
-    What a title holds is found by blocks that lose nothing: a title that holds a text also holds the text's inner words
-    as whole words, and each three characters in a row of it. Of these the one that is rarest among the existing titles
-    joins the two sides, different prefixes with different titles; the test itself follows.
+    What a title holds is found by containment.first_holders: distinct prefixes against distinct titles, the newest first, until
+    a prefix has its titles.
     """
     limit = max(1, min(25, limit))
     a = incoming.select(F.col("id").alias("left_id"), F.col("canonical_url").alias("u"), F.lower("title").alias("t"), F.nullif(F.lower(title_prefix(F.col("title"))), F.lit("")).alias("prefix"))
     b = existing.select(F.col("id").alias("right_id"), F.col("canonical_url").alias("u"), F.lower("title").alias("t"), existing_order(existing).alias("at"))
-    by_url, by_title = newest(b, "u", limit), newest(b, "t", limit)
-    words = lambda text: F.split(text, r"[^\p{L}\p{N}]+")
-    grams = lambda text, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
-    inner = F.slice(words(F.col("prefix")), F.lit(2), F.greatest(F.size(words(F.col("prefix"))) - 2, F.lit(0)))
-    asked = F.filter(F.concat(F.transform(inner, lambda w: F.concat(F.lit("w:"), w)), grams(F.col("prefix"), 3)), lambda k: ~k.isin("w:", ""))
-    held = F.array_distinct(F.concat(F.transform(words(F.col("t")), lambda w: F.concat(F.lit("w:"), w)), grams(F.col("t"), 3), grams(F.col("t"), 2), grams(F.col("t"), 1)))
-    keys = a.select("prefix").where("prefix is not null").distinct().select("prefix", F.explode(F.array_distinct(asked)).alias("key"))
-    blocks = b.select("t").where("t is not null").distinct().select("t", F.explode(held).alias("key")).join(keys.select("key").distinct(), "key", "left_semi")
-    often = blocks.groupBy("key").agg(F.count("*").alias("n"))
-    rarest = keys.join(often, "key", "left").groupBy("prefix").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key"))).alias("k")).select("prefix", F.col("k.key").alias("key"))
-    holding = rarest.join(blocks, "key").where(F.contains("t", "prefix")).select("prefix", "t")
-    lists = holding.join(by_title, "t").select("prefix", F.explode("list").alias("e")).select("prefix", "e.at", "e.right_id")
-    by_prefix = newest(lists, "prefix", limit)
+    by_url, by_title = newest(b, "u", limit), kept(newest(b, "t", limit).withColumn("text_id", F.monotonically_increasing_id()))
+    prefixes = kept(a.select("prefix").where("prefix is not null").distinct().withColumn("asked_id", F.monotonically_increasing_id()))
+    titles = by_title.where("t <> ''").select("text_id", F.col("t").alias("text"), F.get("list", F.lit(0))["at"].alias("at"))
+    holding = containment.first_holders(prefixes.select("asked_id", F.col("prefix").alias("asked")), titles, limit)
+    lists = holding.select("asked_id", "text_id").join(by_title.select("text_id", "list"), "text_id").select("asked_id", F.explode("list").alias("e")).select("asked_id", "e.at", "e.right_id")
+    by_prefix = newest(lists, "asked_id", limit).join(prefixes, "asked_id").select("prefix", "list")
+    by_title = by_title.drop("text_id")
     for key, of in (("u", by_url), ("t", by_title), ("prefix", by_prefix)):
         a = a.join(of.withColumnRenamed("list", f"{key}_list"), key, "left")
     none = F.array().cast(by_url.schema["list"].dataType)

@@ -663,3 +663,24 @@ def test_vector_tiles_make_no_pairs(spark, monkeypatch):
             assert len(mine) == 4 and abs(sum(np.dot(v, dict(rows)[i]) / np.linalg.norm(dict(rows)[i]) for i in mine) - sum(np.dot(v, x) / np.linalg.norm(x) for _, x in want)) < 1e-9
             if rows[0][1] == v:
                 assert mine == [0, 4, 8, 12]
+
+
+def test_first_holders_in_rounds(spark, monkeypatch):
+    """Rounds of any size give brute force's rows: parts of every length, letters beyond the first plane, parts that all or no texts
+    hold; and what is frequent meets the first round alone."""
+    import random
+
+    from feedlake.operators import containment
+
+    r = random.Random(5)
+    words = ["ab", "c", "dé", "\U0001F600x", "lorem", "ipsum dolor", "zzzz", "the"]
+    texts = [(i, "the " + " ".join(r.choice(words) for _ in range(r.randint(1, 30))), r.randint(0, 50) * 1000 + i) for i in range(400)]
+    asked = sorted({"the", "t", "é", "nowhere", "\U0001F600", "q" * 40, *(t[a : a + n] for _, t, _ in texts[:60] for n in (1, 2, 3, 5, 9, 15, 16, 17, 31, 32, 33, 80) for a in [r.randint(0, len(t) - 1)] if t[a : a + n])})
+    want = sorted((k, i) for k, p in enumerate(asked) for _, i in sorted((at, i) for i, t, at in texts if p in t)[:5])
+    a, b = spark.createDataFrame(list(enumerate(asked)), "asked_id long, asked string").cache(), spark.createDataFrame(texts, "text_id long, text string, at long").cache()
+    for first, factor in ((1000, 4), (20, 3)):
+        monkeypatch.setattr(containment, "FIRST", first)
+        monkeypatch.setattr(containment, "FACTOR", factor)
+        assert sorted((x["asked_id"], x["text_id"]) for x in containment.first_holders(a, b, 5).collect()) == want
+    empty = b.where("false")
+    assert containment.first_holders(a, empty, 5).count() == 0 and containment.first_holders(a.where("false"), b, 5).count() == 0
