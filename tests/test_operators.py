@@ -684,3 +684,15 @@ def test_first_holders_in_rounds(spark, monkeypatch):
         assert sorted((x["asked_id"], x["text_id"]) for x in containment.first_holders(a, b, 5).collect()) == want
     empty = b.where("false")
     assert containment.first_holders(a, empty, 5).count() == 0 and containment.first_holders(a.where("false"), b, 5).count() == 0
+
+
+def test_index_slices_bound_what_is_made():
+    """Batches are cut by their texts' length, in order, without losing, doubling or cutting a text; nulls and long ones too."""
+    import pandas as pd
+
+    size = text_index.SLICE_CHARS
+    texts = ["a" * (size // 3)] * 7 + [None, "", "b" * (3 * size), None, "c"]
+    batch = pd.DataFrame({"id": range(len(texts)), "text": texts})
+    parts = list(text_index.slices(iter([batch, batch.iloc[:0]]), "text"))
+    assert [i for p in parts for i in p["id"]] == list(range(len(texts))) and len(parts) > 3
+    assert all(len(p) == 1 or p["text"].str.len().fillna(0).iloc[1:].sum() <= size for p in parts)
