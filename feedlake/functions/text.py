@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 from feedlake.functions.values import let
 
+#: Characters of texts, about, that a task works on at a time where it makes much of them.
+SLICE_CHARS = 500_000
 _OUT = r"\p{L}\p{N}"
 
 
@@ -273,3 +276,12 @@ def fenced_json(text: Column) -> Column:
     """The JSON of a fenced block, else the trimmed text."""
     inner = F.regexp_extract(text, r"(?is)^\s*```(?:json)?\s*(.*?)\s*```\s*$", 1)
     return F.when(inner != "", inner).otherwise(F.trim(text))
+
+
+def slices(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
+    """The rows of the batches in order, cut wherever their texts come to SLICE_CHARS: what a task makes of a slice is bounded, however
+    many rows a batch has and however long they are. One text is never cut."""
+    for batch in batches:
+        at = batch[text].str.len().fillna(0).cumsum() // SLICE_CHARS
+        for _, part in batch.groupby(at, sort=False):
+            yield part

@@ -15,24 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from feedlake.functions.stemming import stem
+from feedlake.functions.text import SLICE_CHARS, slices  # noqa: F401
 from feedlake.operators.search import ALL_SQUARES, LAST_PLACE, MOST_PLACES, WORD_WEIGHT, Stems, parse_query, squares, words_of
 
-#: Characters of the texts, about, that become lists of places at a time.
-SLICE_CHARS = 500_000
 #: Documents of a block, about; what stands for "every document" among the stems.
 BLOCK_DOCS, EVERY = 1024, ""
 PARSED = ArrayType(ArrayType(StructType([StructField("negated", BooleanType()), StructField("stems", ArrayType(StringType()))])))
 
 
-def slices(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
-    """The rows of the batches in order, cut wherever their texts come to SLICE_CHARS: what a task makes of a slice is bounded, however
-    many rows a batch has and however long they are. One text is never cut."""
-    for batch in batches:
-        at = batch[text].str.len().fillna(0).cumsum() // SLICE_CHARS
-        for _, part in batch.groupby(at, sort=False):
-            yield part
-
-
 def build_index(rows: DataFrame, text: Column, id_col: str = "id", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(stem, block, most, docs) from rows with a distinct, non-null id: docs is an array of (id, places), places from 1 on in
     order; most the largest number of places among them. Each text is stemmed once; a block holds about block_docs
