@@ -696,3 +696,16 @@ def test_index_slices_bound_what_is_made():
     parts = list(text_index.slices(iter([batch, batch.iloc[:0]]), "text"))
     assert [i for p in parts for i in p["id"]] == list(range(len(texts))) and len(parts) > 3
     assert all(len(p) == 1 or p["text"].str.len().fillna(0).iloc[1:].sum() <= size for p in parts)
+
+
+def test_scans_work_on_slices(spark):
+    """Pages and feeds of a batch are parsed and given on in slices, none lost: null and empty ones have no items."""
+    from feedlake.functions import text
+    from feedlake.sources import feeds as feed_source
+    from feedlake.sources import webpages
+
+    assert feed_source.slices is text.slices and webpages.slices is text.slices
+    body = "<rss><channel><item><title>t%d</title><link>https://e.org/%d</link></item></channel></rss>"
+    rows = [(str(i), "RSS", "s", None if i % 5 == 0 else "" if i % 7 == 0 else (body % (i, i)) + " " * 40_000) for i in range(60)]
+    got = feed_source.scan_feeds(spark.createDataFrame(rows, "source_id string, source_type string, source_name string, body string").coalesce(1)).select("source_id", "url").collect()
+    assert sorted(int(r["source_id"]) for r in got) == [i for i in range(60) if i % 5 and i % 7]
