@@ -52,7 +52,8 @@ def normalize_whitespace(text: Column, composed: bool = False) -> Column:
 
 def normalize_key(text: Column, composed: bool = False) -> Column:
     """Lower-case letters, digits and `+ / . -`; everything else is one blank."""
-    return collapse(F.regexp_replace(F.lower(nfkc(text, composed)), rf"[^{_OUT}+/.\-]+", " "))
+    other = rf"[^{_OUT}+/.\-]"  # a single blank is left where it stands
+    return F.trim(F.regexp_replace(F.lower(nfkc(text, composed)), rf"[^{_OUT}+/.\- ]{other}*| {other}+", " "))
 
 
 def key_of(phrase: str) -> str:

@@ -1,11 +1,14 @@
-"""Phrase dictionaries as tables: an automaton that is built once and broadcast, and a join of word runs for dictionaries that
-are too large for that. Neither puts the dictionary into the plan."""
+"""Phrase dictionaries as tables: an automaton or a table of keys that is broadcast, and a join of word runs for dictionaries that
+are too large for that. None puts the dictionary into the plan."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -18,8 +21,9 @@ try:
 except ImportError:  # without it every dictionary is joined, and lists of phrases are one pattern
     ahocorasick = None
 
-#: Characters of all keys together up to which a dictionary becomes an automaton (some hundred bytes each in every worker).
-AUTOMATON_CHARS = 2_000_000
+#: Characters of all keys together up to which a dictionary becomes an automaton (some hundred bytes each in every worker), and up
+#: to which its keys are held by every worker (some twenty bytes each).
+AUTOMATON_CHARS, RUNS_CHARS = 100_000, 20_000_000
 SCHEMA = "ord long, type string, name string, phrase string, key string, aliases array<string>"
 ENTITY = StructType([StructField(c, StringType()) for c in ("type", "canonical_name", "matched_text", "source_field", "confidence")] + [StructField("aliases", ArrayType(StringType()))])
 #: A run of letters and digits, or one character between such runs.
@@ -55,21 +59,86 @@ def whole_phrases(text: str, automaton) -> set[str]:
     return found
 
 
-def _by_automaton(spark: SparkSession, rows: list[tuple], fields: Column, keys: Column) -> Column:
-    of_key: dict[str, list[tuple]] = {}
-    for row in rows:
-        of_key.setdefault(row[4], []).append(row)
-    sent = spark.sparkContext.broadcast((_automaton(list(of_key)), of_key) if of_key else None)
-
-    @F.pandas_udf(ArrayType(ENTITY))
-    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        automaton, table = sent.value or (None, {})
-        for names, texts in batches:
-            out = []
-            for own, keys in zip(names, texts, strict=True):
-                found = [] if automaton is None or own is None else [(ord_, at, (kind, name, phrase, field, "exact", aliases)) for at, (field, text) in enumerate(zip(own, keys, strict=True)) for key in whole_phrases(text, automaton) for ord_, kind, name, phrase, _, aliases in table[key]]
-                out.append([dict(zip(ENTITY.names, e, strict=True)) for _, _, e in sorted(found, key=lambda f: f[:2])])
-            yield pd.Series(out)
+#: A run of letters and digits, as str.isalnum has them.
+_RUN = re.compile(r"[^\W_]+")
+
+
+def _stands(text: str, key: str) -> bool:
+    """Whether a key stands somewhere in a text with neither a letter nor a digit right before or behind it."""
+    at = text.find(key)
+    while at >= 0:
+        end = at + len(key)
+        if (at == 0 or not text[at - 1].isalnum()) and (end == len(text) or not text[end].isalnum()):
+            return True
+        at = text.find(key, at + 1)
+    return False
+
+
+class Phrases:
+    """whole_phrases for many keys: a key's letters and digits from the first to the last are a run of words, and the runs of a text are
+    looked up. Keys that begin or end otherwise are looked for where their words are found, those without words everywhere."""
+
+    def __init__(self, keys: list[str]):
+        self.plain: list[set[str]] = [set(), set()]  # of one word, of more
+        self.ragged: dict[str, list[str]] = {}
+        self.bare: list[str] = []
+        self.heads: dict[str, set[int]] = {}  # two words, and how many those keys have that begin with them and go on
+        for key in keys:
+            spans = [m.span() for m in _RUN.finditer(key)]
+            if not spans:
+                self.bare.append(key)
+                continue
+            core = key[spans[0][0]:spans[-1][1]]
+            if core == key:
+                self.plain[len(spans) > 1].add(key)
+            else:
+                self.ragged.setdefault(core, []).append(key)
+            if len(spans) > 2:
+                self.heads.setdefault(key[spans[0][0]:spans[1][1]], set()).add(len(spans))
+        self.cores = self.ragged.keys()
+
+    def found(self, text: str) -> set[str]:
+        spans = [m.span() for m in _RUN.finditer(text)]
+        words = {text[b:e] for b, e in spans}
+        pairs = [text[spans[i][0]:spans[i + 1][1]] for i in range(len(spans) - 1)]
+        runs = set(pairs)
+        if not self.heads.keys().isdisjoint(runs):
+            runs |= {text[spans[i][0]:spans[i + n - 1][1]] for i, pair in enumerate(pairs) if pair in self.heads for n in self.heads[pair] if i + n <= len(spans)}
+        hit = (words & self.plain[0]) | (runs & self.plain[1])
+        if self.ragged:
+            hit |= {key for core in (self.cores & words) | (self.cores & runs) for key in self.ragged[core] if _stands(text, key)}
+        return hit | {key for key in self.bare if _stands(text, key)}
+
+
+def _in_workers(spark: SparkSession, table: pa.Table, by_automaton: bool, fields: Column, keys: Column) -> Column:
+    """Entities of a dictionary that every worker holds. Python finds places in the dictionary alone; what stands there is taken
+    from its columns, an Arrow batch at a time."""
+    sent = spark.sparkContext.broadcast(table.combine_chunks())
+
+    @F.arrow_udf(ArrayType(ENTITY))
+    def each(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        own = sent.value
+        rows: dict[str, list[int]] = {}
+        for i, key in enumerate(own["key"].to_pylist()):
+            rows.setdefault(key, []).append(i)
+        orders = own["ord"].to_pylist()
+        automaton = _automaton(list(rows)) if by_automaton and rows else None
+        find = Phrases(list(rows)).found if automaton is None else lambda text: whole_phrases(text, automaton)
+        names = [own[c].combine_chunks() for c in ("type", "name", "phrase", "aliases")]
+        for fields, texts in batches:
+            at: list[int] = []
+            sources: list[str] = []
+            sizes = [0]
+            for of, keys in zip(fields, texts, strict=True):
+                of, keys = of.as_py() or [], keys.as_py() or []
+                hits = [(orders[i], place, i) for place, text in enumerate(keys) if text for key in find(text) for i in rows[key]]
+                hits.sort()
+                at += [i for _, _, i in hits]
+                sources += [of[place] for _, place, _ in hits]
+                sizes.append(len(hits))
+            kind, name, phrase, aliases = (c.take(pa.array(at, pa.int64())) for c in names)
+            entities = pa.StructArray.from_arrays([kind, name, phrase, pa.array(sources, pa.string()), pa.array(["exact"] * len(at), pa.string()), aliases], names=ENTITY.names)
+            yield pa.ListArray.from_arrays(pa.array(list(accumulate(sizes)), pa.int32()), entities)
 
     return each(fields, keys)
 
@@ -96,14 +165,15 @@ def _by_join(staged: DataFrame, texts: str, dictionary: DataFrame, out: str) ->
     return found.withColumn(out, F.coalesce(F.transform("__hits", lambda h: h["e"]), F.array().cast(ArrayType(ENTITY)))).drop("__row", "__hits")
 
 
-def with_matches(staged: DataFrame, texts: str, dictionary: DataFrame | list[tuple[str, str, list[str]]], out: str, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+def with_matches(staged: DataFrame, texts: str, dictionary: DataFrame | list[tuple[str, str, list[str]]], out: str, automaton_chars: int = AUTOMATON_CHARS, runs_chars: int = RUNS_CHARS) -> DataFrame:
     """staged with `out`: an entity for each phrase of the dictionary and each text that has it as a whole phrase, in the order of
     the dictionary and then of the texts (an array of structs with source_field and key, the text under normalize_key).
 
     The dictionary is a list of (type, name, aliases) or a table of SCHEMA, whose keys are under normalize_key. Up to
     automaton_chars of keys it is collected, becomes one Aho-Corasick automaton and is broadcast: a text is read once, however
-    many phrases there are, and no row is moved. Beyond that texts are cut into runs of as many pieces as phrases have and
-    joined with the table; nothing is collected but the phrases' different lengths. Both give the same rows.
+    many phrases there are, and no row is moved. Up to runs_chars it is broadcast as a table, in which a text's runs of words are
+    looked up. Beyond that texts are cut into runs of as many pieces as phrases have and joined with the table; nothing is collected
+    but the phrases' different lengths. All give the same rows.
 
     Null texts and empty dictionaries match nothing; phrases of several entries give each of them.
     """
@@ -111,14 +181,16 @@ def with_matches(staged: DataFrame, texts: str, dictionary: DataFrame | list[tup
     automaton_chars = automaton_chars if ahocorasick is not None else -1
     if isinstance(dictionary, list):
         rows = entries_of(dictionary)
-        small = sum(len(r[4]) for r in rows) <= automaton_chars
-        dictionary = None if small else spark.createDataFrame(rows, SCHEMA)
+        chars = sum(len(r[4]) for r in rows)
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        table = pa.table({c: pa.array(v, kind) for c, v, kind in zip(("ord", "type", "name", "phrase", "key", "aliases"), columns, (pa.int64(), *[pa.string()] * 4, pa.list_(pa.string())), strict=True)})
+        dictionary = spark.createDataFrame(rows, SCHEMA) if chars > max(automaton_chars, runs_chars) else None
     else:
         dictionary = dictionary.select(*[c.split(" ")[0] for c in SCHEMA.split(", ")]).where("key <> ''")
-        small = dictionary.agg(F.coalesce(F.sum(F.length("key")), F.lit(0))).first()[0] <= automaton_chars
-        rows = [tuple(r) for r in dictionary.collect()] if small else []
-    if small:
-        return staged.withColumn(out, _by_automaton(spark, rows, F.col(f"{texts}.source_field"), F.col(f"{texts}.key")))
+        chars = dictionary.agg(F.coalesce(F.sum(F.length("key")), F.lit(0))).first()[0]
+        table = dictionary.toArrow() if chars <= max(automaton_chars, runs_chars) else None
+    if chars <= max(automaton_chars, runs_chars):
+        return staged.withColumn(out, _in_workers(spark, table, chars <= automaton_chars, F.col(f"{texts}.source_field"), F.col(f"{texts}.key")))
     return _by_join(staged, texts, dictionary, out)
 
 

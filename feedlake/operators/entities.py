@@ -21,11 +21,12 @@ def chunks(title: Column, summary: Column, keywords: Column, raw_text: Column |
     fields = [("title", title), ("summary", summary), ("keywords", F.array_join(F.coalesce(keywords, F.array().cast("array<string>")), " "))]
     if raw_text is not None:
         fields.append(("raw", raw_text))
-    made = []
-    for name, text in fields:
+
+    def made(name: str, text: Column) -> Column:
         plain = normalize_whitespace(F.coalesce(text, F.lit("")), composed)
-        made.append(F.when(plain != "", F.struct(F.lit(name).alias("source_field"), plain.alias("text"), normalize_key(plain, True).alias("key"))))
-    return F.array_compact(F.array(*made))
+        return let(plain, lambda p: F.when(p != "", F.struct(F.lit(name).alias("source_field"), p.alias("text"), normalize_key(p, True).alias("key"))))
+
+    return F.array_compact(F.array(*[made(*field) for field in fields]))
 
 
 def dictionary_matches(texts: Column, entries: list[tuple[str, str, list[str]]]) -> Column:

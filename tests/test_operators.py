@@ -44,6 +44,16 @@ def test_dictionaries_as_lists_and_tables(spark):
     assert dictionaries.with_matches(d, "x", [], "e").where("size(e) > 0").count() == 0 and dictionaries.with_matches(d, "x", dictionaries.dictionary_table(spark, entries).where("false"), "e", -1).where("size(e) > 0").count() == 0
 
 
+def test_a_dictionary_beyond_the_automaton_is_looked_up_by_runs_of_words(spark):
+    """Automaton, look-ups and join give the same rows: phrases of several words, with signs at their ends, and without words."""
+    entries = [("t", "deep sea", ["sea", "sea.", "-sea", "a-b c/d e"]), ("t", "c++", ["+", "./", "c", "a-b", "sea map"]), ("o", "sea", ["x deep sea floor map"])]
+    texts = ["deep sea map", "sea.x sea-", "sea. x", "deepsea -sea", "a-b c/d e", "a-b c/d", "xa-b c++", "c++c", "x deep sea floor map", "x deep sea floor", "+", "a./b", "\u00fcsea sea\u00b2", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", entities.chunks(F.col("t"), F.concat(F.lit("- "), "t"), F.array().cast("array<string>")).alias("x"))
+    rows = lambda *limits: {r["id"]: [tuple(e) for e in r["e"]] for r in dictionaries.with_matches(d, "x", dictionaries.dictionary_table(spark, entries), "e", *limits).collect()}
+    want = rows(10**6, 10**6)
+    assert sum(map(len, want.values())) > 30 and rows(-1, 10**6) == want == rows(-1, -1)
+
+
 def test_without_the_automaton_library(spark, monkeypatch):
     d = spark.createDataFrame([(1, "deep sea robots"), (2, None), (3, "sea-robots")], "id int, t string")
     chunked = d.select("id", entities.chunks(F.col("t"), F.lit(""), F.array().cast("array<string>")).alias("x"))
