@@ -7,48 +7,61 @@ blocks alone that can reach its first results, and no text at all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
-from feedlake.functions.stemming import stem
 from feedlake.functions.text import SLICE_CHARS, slices  # noqa: F401
+from feedlake.operators.kept import kept
 from feedlake.operators.search import ALL_SQUARES, LAST_PLACE, MOST_PLACES, WORD_WEIGHT, Stems, parse_query, squares, words_of
 
 #: Documents of a block, about; what stands for "every document" among the stems.
 BLOCK_DOCS, EVERY = 1024, ""
+#: Characters of a block's texts, about; stems asked for up to which they are sent to the index's lists.
+BLOCK_CHARS, FEW_STEMS = 4_000_000, 10_000
 PARSED = ArrayType(ArrayType(StructType([StructField("negated", BooleanType()), StructField("stems", ArrayType(StringType()))])))
 
 
 def build_index(rows: DataFrame, text: Column, id_col: str = "id", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(stem, block, most, docs) from rows with a distinct, non-null id: docs is an array of (id, places), places from 1 on in
     order; most the largest number of places among them. Each text is stemmed once; a block holds about block_docs
-    documents, by a hash of the id, so no list grows with the corpus. The stem '' lists every document, without places.
+    documents, by a hash of the id, or fewer where they are long (about BLOCK_CHARS of texts), so no list grows with the corpus. The
+    stem '' lists every document, without places. Texts are brought to their blocks, and a block's lists are made in one place.
     """
-    count = max(1, -(-rows.count() // block_docs))
-    slim = rows.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int").alias("block"), text.alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
-
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stems = Stems()
-        for batch in slices(batches, "text"):
-            out: dict[str, list] = {"stem": [], "block": [], "id": [], "places": []}
-            for i, block, text in batch[["id", "block", "text"]].itertuples(index=False):
-                found: dict[str, list[int]] = {EVERY: []}
-                for at, word in enumerate(words_of(text), 1):
-                    if s := stems[word]:
-                        found.setdefault(s, []).append(at)
-                out["stem"] += found
-                out["places"] += found.values()
-                out["block"] += [block] * len(found)
-                out["id"] += [i] * len(found)
-            yield pd.DataFrame(out)
-
-    postings = slim.mapInPandas(post, f"stem string, block int, id {kind}, places array<int>")
-    return postings.groupBy("stem", "block").agg(F.max(F.size("places")).alias("most"), F.array_sort(F.collect_list(F.struct("id", "places"))).alias("docs"))
+    slim = rows.select(F.col(id_col).alias("id"), text.alias("text"))
+    size = slim.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    count = max(1, -(-size["n"] // block_docs), -(-size["chars"] // BLOCK_CHARS))
+    slim = slim.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
+    kind, stems = slim.schema["id"].dataType.simpleString(), Stems()  # kept from block to block
+
+    def lists(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        ids = table["id"].combine_chunks()
+        codes, sizes, known = [], [], {"": 0}
+        for doc in table["text"]:
+            of = [known.setdefault(s, len(known)) for s in map(stems.__getitem__, words_of(doc.as_py()))]
+            codes.append(np.array(of, np.int32))
+            sizes.append(len(of))
+        code = np.concatenate(codes)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(1, len(code) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.argsort(code, kind="stable")  # documents and places stay in order
+        order = order[np.searchsorted(code[order], 1):]  # stop words are in no list
+        code, doc, place = code[order], doc[order], place[order]
+        starts = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))  # of each stem and document
+        many = np.diff(starts, append=len(code))
+        firsts = np.flatnonzero(np.diff(code[starts], prepend=-1) != 0)  # of each stem
+        most = np.maximum.reduceat(many, firsts) if len(firsts) else many
+        places = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+        every = len(sizes)
+        docs = pa.StructArray.from_arrays([pa.concat_arrays([ids, ids.take(pa.array(doc[starts]))]), pa.concat_arrays([places(np.zeros(every + 1), []), places(np.append(starts, len(code)), place)])], names=["id", "places"])
+        held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], firsts + every, [every + len(starts)]]), pa.int32()), docs)
+        return pa.table({"stem": pa.array(known, pa.string()), "block": pa.array([table["block"][0].as_py()] * len(known), pa.int32()), "most": pa.array(np.append(0, most), pa.int32()), "docs": held})
+
+    return slim.groupBy("block").applyInArrow(lists, f"stem string, block int, most int, docs array<struct<id:{kind},places:array<int>>>")
 
 
 def save_index(index: DataFrame, name: str, buckets: int) -> DataFrame:
@@ -115,6 +128,11 @@ def _rank(held: Column, every: Column, together: Column) -> Column:
     return F.when(~together, alone).otherwise(F.when(held_stems > 1, 1.0 - product).otherwise(1e-20))
 
 
+def sent(terms: DataFrame) -> DataFrame:
+    """terms, broadcast where they are few: the index then stays where it is."""
+    return F.broadcast(terms) if terms.limit(FEW_STEMS + 1).count() <= FEW_STEMS else terms
+
+
 def blocks_to_read(index: DataFrame, parsed: DataFrame, limit: int = 50) -> DataFrame:
     """(query_id, block, stems): the blocks that may hold one of a query's first `limit` results, with its stems there.
 
@@ -124,7 +142,7 @@ def blocks_to_read(index: DataFrame, parsed: DataFrame, limit: int = 50) -> Data
     """
     needs_all = F.exists("alternatives", lambda a: F.forall(a, lambda p: p["negated"]))
     asked = F.concat("every", F.when(needs_all, F.array(F.lit(EVERY))).otherwise(F.array().cast("array<string>")))
-    terms = parsed.select("query_id", F.explode(asked).alias("stem"))
+    terms = sent(parsed.select("query_id", F.explode(asked).alias("stem")))
     here = index.select("stem", "block", "most").join(terms, "stem").groupBy("query_id", "block").agg(F.collect_list(F.struct("stem", "most")).alias("x"))
     both = here.join(parsed, "query_id").withColumn("stems", F.col("x.stem"))
     can_match = F.exists("alternatives", lambda a: F.forall(a, lambda p: p["negated"] | F.forall(_real(p["stems"]), lambda s: F.array_contains("stems", s))))
@@ -144,9 +162,10 @@ def search_index(index: DataFrame, queries: DataFrame, limit: int = 50) -> DataF
     Queries are words (all of them), "phrases", OR and -negations, as many at once as there are. Lists of a stem and block are
     joined by their keys; what meets is a row for each query and document that holds one of its stems in a block worth reading.
     """
-    parsed = parse_queries(queries)
+    parsed = kept(parse_queries(queries))
     chosen = blocks_to_read(index, parsed, limit).select("query_id", "block", F.explode("stems").alias("stem"))
-    lists = index.select("stem", "block", "docs").join(chosen, ["stem", "block"])
+    stems = parsed.select(F.explode("every").alias("stem")).unionAll(parsed.limit(1).select(F.lit(EVERY))).distinct()
+    lists = index.select("stem", "block", "docs").join(sent(stems), "stem", "left_semi").join(chosen, ["stem", "block"])
     docs = lists.select("query_id", "stem", F.explode("docs").alias("d")).select("query_id", "stem", "d.id", "d.places")
     held = docs.groupBy("query_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("stem", "places"))).alias("held"))
     found = held.join(parsed, "query_id").where(_matches(F.col("held"), F.col("alternatives")))

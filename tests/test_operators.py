@@ -696,6 +696,18 @@ def test_first_holders_in_rounds(spark, monkeypatch):
     assert containment.first_holders(a, empty, 5).count() == 0 and containment.first_holders(a.where("false"), b, 5).count() == 0
 
 
+def test_index_of_long_texts_has_more_blocks_and_is_not_moved(spark, monkeypatch):
+    """Long texts make blocks of fewer documents; lists are made where a block's texts are, and a few searches leave the index there."""
+    monkeypatch.setattr(text_index, "BLOCK_CHARS", 400)
+    d = spark.range(40).select("id", F.when(F.col("id") == 7, F.lit(None)).otherwise(F.concat(F.lit("the sea map of seas "), F.repeat(F.lit("deep "), F.col("id").cast("int")))).alias("t"))
+    index = text_index.build_index(d, F.col("t"))
+    got = {(r["stem"], r["d"]["id"]): list(r["d"]["places"]) for r in index.select("stem", F.explode("docs").alias("d")).collect()}
+    assert {k[1] for k in got if k[0] == ""} == set(range(40)) and got["sea", 3] == [2, 5] and got["deep", 3] == [6, 7, 8] and not any(k[0] == "the" or k == ("sea", 7) for k in got)
+    assert index.select("block").distinct().count() > 5 and index.where("stem = 'deep'").agg(F.max("most")).first()[0] == 39
+    plan = text_index.blocks_to_read(index, text_index.parse_queries(spark.createDataFrame([(1, "sea")], "query_id int, query string")))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [stem" in plan
+
+
 def test_index_slices_bound_what_is_made():
     """Batches are cut by their texts' length, in order, without losing, doubling or cutting a text; nulls and long ones too."""
     import pandas as pd
