@@ -29,26 +29,48 @@ def _title_sets(side: DataFrame) -> DataFrame:
     return side.where(F.size("tokens") > 0).select(F.array_sort("tokens").alias("tokens")).distinct().withColumn("key", F.xxhash64("tokens"))
 
 
+def _signature(tokens: Column) -> Column:
+    """64 bits, each the parity of the tokens that fall on it: two sets differ in at least as many tokens as their bits do."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(bit(t)))
+
+
 def similar_sets(left: DataFrame, right: DataFrame, threshold: float = V.TITLE_THRESHOLD) -> DataFrame:
     """(left_key, right_key, score) of all pairs of token sets whose Jaccard similarity is at least threshold; keys are the
     hashes of the sorted sets. Two equal sets are a pair with score 1.
 
     Exact: a pair that similar shares one of the rarest |x| - ceil(t|x|) + 1 tokens of each side, so only these are
-    joined, with sizes that allow the threshold. Tokens are ranked by their frequency over both sides.
+    joined, with sizes that allow the threshold. Tokens are ranked by their frequency over both sides. Of what meets, only pairs
+    go on that can still share enough: behind their first common token there are enough left on both sides, and the parities
+    of their tokens differ in no more bits than the sets may differ in tokens.
     """
-    sides = [_title_sets(left), _title_sets(right)]
-    freq = sides[0].unionAll(sides[1]).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return _similar([_title_sets(left), _title_sets(right)], threshold)
+
 
-    def prefix(side: DataFrame, name: str) -> DataFrame:
+def _similar(sides: list[DataFrame], threshold: float) -> DataFrame:
+    """similar_sets of one or two tables of distinct sets (key, tokens). Of one table with itself each pair comes once, and no
+    set is paired with itself."""
+    own = len(sides) == 1
+    every = sides[0] if own else sides[0].select("tokens").unionAll(sides[1].select("tokens"))
+    freq = every.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+    def prefix(side: DataFrame) -> DataFrame:
         exploded = side.select("key", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(freq, "token")
         rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "token"))
         keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-        return exploded.withColumn("r", rank).where(F.col("r") <= keep).select(F.col("key").alias(f"{name}_key"), "token", F.col("size").alias(f"{name}_size"))
-
-    a, b = prefix(sides[0], "left"), prefix(sides[1], "right")
+        rarest = exploded.withColumn("r", rank).where(F.col("r") <= keep).select("key", "token", "size", (F.col("size") - F.col("r")).alias("rest"))
+        return rarest.join(side.select("key", _signature(F.col("tokens")).alias("bits")), "key")
+
+    a, b = ([F.col(c) if c == "token" else F.col(c).alias(f"{name}_{c}") for c in ("key", "token", "size", "rest", "bits")] for name in ("left", "right"))
+    first = prefix(sides[0])
+    a, b = first.select(*a), (first if own else prefix(sides[1])).select(*b)
+    both = F.col("left_size") + F.col("right_size")
+    least = both * threshold / (1 + threshold) - 1e-9  # so many tokens must be shared
     near = (F.col("left_size") >= F.col("right_size") * threshold - 1e-9) & (F.col("right_size") >= F.col("left_size") * threshold - 1e-9)
+    near &= (1 + F.least("left_rest", "right_rest") >= least) & (F.bit_count(F.col("left_bits").bitwiseXOR(F.col("right_bits"))) <= both - 2 * least)
+    near &= F.col("left_key") < F.col("right_key") if own else F.lit(True)
     pairs = a.join(b, "token").where(near).select("left_key", "right_key").distinct()
-    full = pairs.join(sides[0].select(F.col("key").alias("left_key"), F.col("tokens").alias("lt")), "left_key").join(sides[1].select(F.col("key").alias("right_key"), F.col("tokens").alias("rt")), "right_key")
+    full = pairs.join(sides[0].select(F.col("key").alias("left_key"), F.col("tokens").alias("lt")), "left_key").join(sides[-1].select(F.col("key").alias("right_key"), F.col("tokens").alias("rt")), "right_key")
     score = F.size(F.array_intersect("lt", "rt")) / F.size(F.array_union("lt", "rt"))
     return full.withColumn("score", score).where(F.col("score") >= threshold).select("left_key", "right_key", "score")
 
@@ -56,10 +78,12 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float = V.TITLE_T
 def similar_titles(rows: DataFrame, threshold: float = V.TITLE_THRESHOLD) -> DataFrame:
     """(left_id, right_id, score, n_left, n_right) from (id, tokens): every pair of different token sets that are similar, as
     the smallest ids that have them, with how many rows have each. Rows with equal sets are not paired with each other."""
-    sets = rows.where(F.size("tokens") > 0).groupBy(F.xxhash64(F.array_sort("tokens")).alias("key")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    pairs = similar_sets(rows, rows, threshold)
-    one, two = (sets.select(F.col("key").alias(f"{side}_key"), F.col("id").alias(f"{side}_id"), F.col("n").alias(f"n_{side}")) for side in ("left", "right"))
-    return pairs.join(one, "left_key").join(two, "right_key").where("left_id < right_id").select("left_id", "right_id", "score", "n_left", "n_right")
+    sets = rows.where(F.size("tokens") > 0).groupBy(F.array_sort("tokens").alias("tokens")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    sets = kept(sets.withColumn("key", F.xxhash64("tokens")))
+    one, two = (sets.select(F.col("key").alias(f"{side}_key"), F.struct("id", "n").alias(side)) for side in ("left", "right"))
+    pairs = _similar([sets.select("key", "tokens")], threshold).join(one, "left_key").join(two, "right_key")
+    low, high = F.least("left", "right"), F.greatest("left", "right")
+    return pairs.select(low["id"].alias("left_id"), high["id"].alias("right_id"), "score", low["n"].alias("n_left"), high["n"].alias("n_right"))
 
 
 def _ordered(existing: DataFrame, order: Column | None) -> DataFrame:

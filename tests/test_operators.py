@@ -708,6 +708,27 @@ def test_index_of_long_texts_has_more_blocks_and_is_not_moved(spark, monkeypatch
     assert "BroadcastHashJoin [stem" in plan
 
 
+def test_similar_sets_that_share_common_tokens_make_few_candidates(spark):
+    """All pairs at thresholds of every kind, found by brute force too; sets that merely share tokens are left out before their tokens
+    are brought together."""
+    import random
+
+    from feedlake.operators import linkage
+
+    rng = random.Random(3)
+    sets = [sorted(set(rng.choices(range(60), k=rng.choice([1, 2, 3, 8, 20])))) for _ in range(120)]
+    sets += [sorted(set(x[: -1 - k]) | {99 + k}) for k in range(2) for x in sets if len(x) > 6]
+    rows = spark.createDataFrame([(i, [f"w{t}" for t in x]) for i, x in enumerate(sets)], "id int, tokens array<string>")
+    for t in (0.5, 0.8, 0.92, 1.0):
+        first = {tuple(x): sets.index(x) for x in sets}
+        want = {(a, b) for x, a in first.items() for y, b in first.items() if a < b and len({*x} & {*y}) / len({*x} | {*y}) >= t}
+        assert {(r["left_id"], r["right_id"]) for r in linkage.similar_titles(rows, t).collect()} == want
+        both = {(r["left_key"], r["right_key"]) for r in linkage.similar_sets(rows, rows, t).collect()}
+        assert len(both) == 2 * len(want) + len(first)
+    bits = rows.where("id < 2").select(linkage._signature(F.col("tokens")).alias("b"), F.col("tokens")).collect()
+    assert bin((bits[0]["b"] ^ bits[1]["b"]) & (2**64 - 1)).count("1") <= len({*bits[0]["tokens"]} ^ {*bits[1]["tokens"]})
+
+
 def test_index_slices_bound_what_is_made():
     """Batches are cut by their texts' length, in order, without losing, doubling or cutting a text; nulls and long ones too."""
     import pandas as pd
