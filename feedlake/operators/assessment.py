@@ -133,11 +133,18 @@ class _Reply:
         return [kept[k] for k in sorted(kept)]
 
 
+def _padded(text: str) -> str:
+    return f" {''.join(c if c.isalnum() else ' ' for c in key_of(text))} "
+
+
+#: Technologies in name order with their names and aliases as _padded has them, made once and not for each reply.
+_TECHNOLOGIES = sorted(((name, [_padded(p) for p in (name, *aliases)]) for _, name, aliases in V.TECHNOLOGIES), key=lambda t: t[0].lower())
+
+
 def resolve_technology(text: str) -> str | None:
     """The first canonical technology, in name order, that a text names as a whole phrase."""
-    padded = f" {''.join(c if c.isalnum() else ' ' for c in key_of(text))} "
-    names = [name for _, name, aliases in V.TECHNOLOGIES if any(f" {''.join(c if c.isalnum() else ' ' for c in key_of(p))} " in padded for p in (name, *aliases))]
-    return min(names, key=str.lower) if names else None
+    padded = _padded(text)
+    return next((name for name, phrases in _TECHNOLOGIES if any(p in padded for p in phrases)), None)
 
 
 def validate_reply(value, provider: str) -> tuple[dict | None, list[str]]:

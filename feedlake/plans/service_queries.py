@@ -101,7 +101,7 @@ SELECT id, CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILED' END AS status, CAST(CASE WH
 CASE WHEN ok THEN 'oceanMapping' ELSE '' END AS domains, CASE WHEN ok THEN 'SLAM' ELSE '' END AS technologies, CASE WHEN NOT ok THEN 'invalid_response' END AS error_code, CASE k WHEN 2 THEN 'reply has unknown fields: mood.' WHEN 3 THEN 'The reply is not JSON.' WHEN 4 THEN 'confidence must be a number from 0 to 1.' END AS error_message FROM c""")
 def assessments(spark, sf_dir):
     """Customers as signals that a model assesses, its replies checked, and the stored rows read back."""
-    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"))
+    c = views.spread(read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title")))
     rows = assessment.assess_signals(c, Replies(), baseline=False)
     stored = rows.withColumns({name: F.to_json(name) for name in ("domains", "technologies", "dimensions")})
     back = assessment.stored_assessments(stored)

@@ -729,6 +729,17 @@ def test_similar_sets_that_share_common_tokens_make_few_candidates(spark):
     assert bin((bits[0]["b"] ^ bits[1]["b"]) & (2**64 - 1)).count("1") <= len({*bits[0]["tokens"]} ^ {*bits[1]["tokens"]})
 
 
+def test_assessments_ask_on_all_cores(spark, data, monkeypatch):
+    """A small scan in one task is dealt out before the model is asked; the technologies' names are made ready once."""
+    from feedlake.operators import assessment
+    from feedlake.plans import catalogue, service_queries  # noqa: F401
+
+    assert catalogue.QUERIES["assessments"](spark, data).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    texts, made = ["a side scan SLAM unit", "spoon", "", "LiDAR and AUV"], []
+    monkeypatch.setattr(assessment, "key_of", lambda t: made.append(t) or t.lower())
+    assert [assessment.resolve_technology(t) for t in texts] == ["SLAM", None, None, "AUV"] and made == texts
+
+
 def test_index_slices_bound_what_is_made():
     """Batches are cut by their texts' length, in order, without losing, doubling or cutting a text; nulls and long ones too."""
     import pandas as pd
