@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -286,3 +287,17 @@ def slices(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]
         at = batch[text].str.len().fillna(0).cumsum() // SLICE_CHARS
         for _, part in batch.groupby(at, sort=False):
             yield part
+
+
+def in_slices(texts: pa.Array, of: Callable[[str | None], object], kind: pa.DataType) -> pa.Array:
+    """of(text) of every text, as an Arrow array of that kind: of what is made no more than SLICE_CHARS of texts give, about, stand as Python
+    objects at a time, and only one text itself."""
+    made, part, chars = [], [], 0
+    for text in texts:
+        value = text.as_py()
+        part.append(of(value))
+        chars += len(value or "")
+        if chars >= SLICE_CHARS:
+            made.append(pa.array(part, kind))
+            part, chars = [], 0
+    return pa.concat_arrays([*made, pa.array(part, kind)])

@@ -12,12 +12,13 @@ from itertools import accumulate
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from feedlake.functions import vocabulary as V
-from feedlake.functions.text import nfkc_values, sanitize_value
+from feedlake.functions.text import in_slices, nfkc_values, sanitize_value
 from feedlake.functions.stemming import stem
 from feedlake.functions.values import clamp, cosine, let
 from feedlake.operators.embeddings import embedding_text
@@ -45,7 +46,9 @@ class Stems(dict):
         self.stop, self.begins = frozenset(V.STOP_WORDS), begins
 
     def __missing__(self, word: str) -> str:
-        value = "" if word in self.stop else "-" if self.begins is not None and not word.startswith(self.begins) else stem(word)
+        if self.begins is not None and not word.startswith(self.begins):
+            return "" if word in self.stop else "-"  # most words, and nothing to keep
+        value = "" if word in self.stop else stem(word)
         if len(self) < KEPT_STEMS:
             self[word] = value
         return value
@@ -55,11 +58,11 @@ def lexemes(text: Column, begins: tuple[str, ...] | None = None) -> Column:
     """Stems of the words in order; a stop word keeps its place as an empty string. With `begins` only words that begin so are
     stemmed, the others are `-` in their places. A table that is searched often keeps an index (text_index)."""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def each(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(StringType()))
+    def each(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         stems = Stems(begins)
         for batch in texts:
-            yield batch.map(lambda t: [stems[w] for w in words_of(t)])
+            yield in_slices(batch, lambda t: [stems[w] for w in words_of(t)], pa.list_(pa.string()))
 
     return each(text)
 

@@ -740,6 +740,19 @@ def test_assessments_ask_on_all_cores(spark, data, monkeypatch):
     assert [assessment.resolve_technology(t) for t in texts] == ["SLAM", None, None, "AUV"] and made == texts
 
 
+def test_lexemes_are_made_in_slices_and_keep_only_what_is_asked_for(monkeypatch):
+    import pyarrow as pa
+
+    from feedlake.functions import text as functions
+
+    monkeypatch.setattr(functions, "SLICE_CHARS", 10)
+    texts, sizes, array = ["seas maps", None, "", "x" * 40, "the sea", "map"], [], pa.array
+    monkeypatch.setattr(functions.pa, "array", lambda part, kind: sizes.append(len(part)) or array(part, kind))
+    stems = search.Stems(("se",))
+    made = functions.in_slices(array(texts), lambda t: [stems[w] for w in search.words_of(t)], pa.list_(pa.string()))
+    assert made.to_pylist() == [["sea", "-"], [], [], ["-"], ["", "sea"], ["-"]] and len(sizes) > 2 and set(stems) == {"seas", "sea"}
+
+
 def test_index_slices_bound_what_is_made():
     """Batches are cut by their texts' length, in order, without losing, doubling or cutting a text; nulls and long ones too."""
     import pandas as pd
