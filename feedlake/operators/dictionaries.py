@@ -7,7 +7,6 @@ import re
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,17 +194,27 @@ def with_matches(staged: DataFrame, texts: str, dictionary: DataFrame | list[tup
 
 
 def with_keys(staged: DataFrame, text: str, phrases: list[str], out: str) -> DataFrame:
-    """staged with `out`: the keys of the phrases that the column `text`, under normalize_key, has as whole phrases, each once, in order;
-    a null text has none. One pass over a text, by an automaton of the list, which is a constant of the program and small."""
-    keys = sorted({k for k in map(key_of, phrases) if k})
-    if ahocorasick is None:
-        return staged.withColumn(out, F.coalesce(F.array_sort(phrase_keys(F.col(text), phrases)), F.array().cast("array<string>")))
-    sent = staged.sparkSession.sparkContext.broadcast(_automaton(keys))
+    """with_all_keys of one text."""
+    return with_all_keys(staged, [(text, phrases, out)])
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = sent.value
-        for texts in batches:
-            yield texts.map(lambda t: [] if t is None else sorted(whole_phrases(t, automaton)))
 
-    return staged.withColumn(out, each(F.col(text)))
+def with_all_keys(staged: DataFrame, searches: list[tuple[str, list[str], str]]) -> DataFrame:
+    """staged with `out` of each search (text, phrases, out): the keys of the phrases that the column `text`, under normalize_key, has as
+    whole phrases, each once, in order; a null text has none. One pass over a text, by an automaton of the list, which is a constant of the
+    program and small; all searches are one step, so a task has one Python worker for them."""
+    keys = [sorted({k for k in map(key_of, phrases) if k}) for _, phrases, _ in searches]
+    if ahocorasick is None:
+        return staged.withColumns({out: F.coalesce(F.array_sort(phrase_keys(F.col(text), phrases)), F.array().cast("array<string>")) for text, phrases, out in searches})
+    sent = staged.sparkSession.sparkContext.broadcast([_automaton(of) for of in keys])
+    names = [out for _, _, out in searches]
+
+    @F.arrow_udf(StructType([StructField(name, ArrayType(StringType())) for name in names]))
+    def each(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        automata = sent.value
+        for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)  # one text comes without its tuple
+            found = [pa.array(([] if t is None else sorted(whole_phrases(t, automaton)) for t in (x.as_py() for x in texts)), pa.list_(pa.string()), size=len(texts)) for texts, automaton in zip(columns, automata, strict=True)]
+            yield pa.StructArray.from_arrays(found, names=names)
+
+    hits = staged.withColumn("__hits_of", each(*[F.col(text) for text, _, _ in searches]))
+    return hits.withColumns({name: F.col("__hits_of")[name] for name in names}).drop("__hits_of")

@@ -84,10 +84,21 @@ def extract_entities(signals: DataFrame, dictionaries=DICTIONARIES, use_raw: boo
     staged = with_raw_columns(signals) if use_raw else signals
     raw_text, raw_names = (F.col("__raw_text"), F.col("__raw_names")) if use_raw else (None, None)
     staged = staged.withColumn("__chunks", once(chunks(F.col("title"), F.col("summary"), F.col("keywords"), raw_text)))
-    staged = with_matches(staged, "__chunks", dictionaries, "__found")
-    staged = with_matches(staged, "__chunks", researchers, "__known")
-    found = F.concat(F.col("__found"), named_researchers(F.col("researchers"), raw_names).cast(f"array<{ENTITY}>"), F.col("__known"))
-    return staged.withColumn("__found", once(found)).withColumn("entities", once(merge_entities(F.col("__found")))).drop("__chunks", "__found", "__known", "__raw_text", "__raw_names")
+    staged = with_found(staged, "__chunks", dictionaries, researchers, named_researchers(F.col("researchers"), raw_names))
+    return staged.withColumn("entities", once(merge_entities(F.col("__found")))).drop("__chunks", "__found", "__raw_text", "__raw_names")
+
+
+def with_found(staged: DataFrame, texts: str, dictionaries, researchers, named: Column) -> DataFrame:
+    """staged with `__found`: matches of the dictionaries, then the named researchers, then matches of the known ones. Lists that share
+    no type are searched for together: each search is a Python worker of its own in every task, alive as long as the task."""
+    named = named.cast(f"array<{ENTITY}>")
+    kinds = {e[0] for e in researchers} if isinstance(researchers, list) else set()
+    if kinds and isinstance(dictionaries, list) and kinds.isdisjoint(e[0] for e in dictionaries):
+        staged = with_matches(staged, texts, [*dictionaries, *researchers], "__every")
+        known = lambda e: e["type"].isin(sorted(kinds))
+        return staged.withColumn("__found", once(F.concat(F.filter("__every", lambda e: ~known(e)), named, F.filter("__every", known)))).drop("__every")
+    staged = with_matches(with_matches(staged, texts, dictionaries, "__listed"), texts, researchers, "__known")
+    return staged.withColumn("__found", once(F.concat("__listed", named, "__known"))).drop("__listed", "__known")
 
 
 def with_raw_columns(signals: DataFrame) -> DataFrame:

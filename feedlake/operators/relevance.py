@@ -11,8 +11,8 @@ from feedlake.functions import json_walk
 from feedlake.functions import vocabulary as V
 from feedlake.functions.text import key_of, nfkc_values, normalize_key, normalize_whitespace, phrase_keys, unique_normalized
 from feedlake.functions.values import band, clamp_score, days_between, ladder, non_negative, once, round_half_up
-from feedlake.operators.dictionaries import with_keys, with_matches
-from feedlake.operators.entities import chunks, merge_entities, named_researchers, names_of, resolve_technologies, with_raw_columns, DICTIONARIES, ENTITY
+from feedlake.operators.dictionaries import with_all_keys
+from feedlake.operators.entities import chunks, merge_entities, named_researchers, names_of, resolve_technologies, with_found, DICTIONARIES
 
 _STRINGS = ("title", "summary", "description", "source_name", "source_category", "canonical_url", "url", "signal_type", "github_repository_url", "dataset_url", "doi", "external_id", "raw")
 _LISTS = ("keywords", "domains", "technologies", "organizations", "researchers", "projects", "vessels", "expeditions", "archaeological_sites")
@@ -72,15 +72,18 @@ def features(df: DataFrame, aliases: dict[str, list[str]] = V.DOMAIN_ALIASES, us
     clock: a missing ingested_at means no age. Built in steps so that each text is normalised and searched once."""
     empty = F.array().cast("array<string>")
     c = _complete(df)
-    c = c.withColumns({x: once(nfkc_values(F.col(x))) for x in _LISTS if x in df.columns}) if set(_LISTS) & set(df.columns) else c
-    c = with_raw_columns(c) if use_raw else c
-    raw_text, raw_names = (F.col("__raw_text"), F.col("__raw_names")) if use_raw else (None, None)
     plain = lambda *names: normalize_whitespace(F.coalesce(*names, F.lit("")))
-    s = c.withColumns({"__title": plain("title"), "__summary": plain("summary", "description"), "__url": F.trim(F.coalesce("canonical_url", "url", F.lit(""))), "__source": plain("source_name"), "__category": plain("source_category"),
+    field = lambda column, names: normalize_whitespace(F.coalesce(F.col(column), json_walk.string_field(F.col("raw"), names) if use_raw else F.lit(None).cast("string"), F.lit("")))
+    # all that needs Python to be made plain is one step: each step is a Python worker of its own in every task
+    made = {x: nfkc_values(F.col(x)) for x in _LISTS if x in df.columns}
+    made |= {"__title": plain("title"), "__summary": plain("summary", "description"), "__source": plain("source_name"), "__category": plain("source_category"), "__doi": field("doi", ["doi", "DOI"]), "__external": field("external_id", ["externalId", "id"])}
+    made |= {"__raw_text": json_walk.raw_text(F.col("raw")), "__raw_names": json_walk.researchers(F.col("raw"))} if use_raw else {}
+    c = c.withColumns({name: once(value) for name, value in made.items()})
+    raw_text, raw_names = (F.col("__raw_text"), F.col("__raw_names")) if use_raw else (None, None)
+    s = c.withColumns({"__url": F.trim(F.coalesce("canonical_url", "url", F.lit(""))),
                        "__domains": once(unique_normalized(F.col("domains"), True)), "__keywords": unique_normalized(F.col("keywords"), True), "__researchers": unique_normalized(F.col("researchers"), True), "__given": once(unique_normalized(F.col("technologies"), True))})
     s = s.withColumn("__chunks", once(chunks(F.col("__title"), F.col("__summary"), F.col("__keywords"), raw_text, True)))
-    s = with_matches(with_matches(s, "__chunks", DICTIONARIES, "__listed"), "__chunks", V.KNOWN_RESEARCHERS, "__known")
-    s = s.withColumn("__found", once(F.concat("__listed", named_researchers(F.col("__researchers"), raw_names).cast(f"array<{ENTITY}>"), "__known")))
+    s = with_found(s, "__chunks", DICTIONARIES, V.KNOWN_RESEARCHERS, named_researchers(F.col("__researchers"), raw_names))
     s = s.withColumn("__entities", once(merge_entities(F.col("__found")))).withColumn("__resolved", resolve_technologies(F.col("__given")))
     e = F.col("__entities")
     both = lambda column, *kinds: once(unique_normalized(F.concat(F.coalesce(column, empty), *[names_of(e, k) for k in kinds]), True))
@@ -91,18 +94,17 @@ def features(df: DataFrame, aliases: dict[str, list[str]] = V.DOMAIN_ALIASES, us
     s = s.withColumns({"__text": once(normalize_key(F.concat_ws(" ", "__fallback", F.array_join("__domains", " "), F.array_join("__technologies", " ")), True)), "__plain": once(normalize_key(F.col("__fallback"), True)),
                        "__origin": once(normalize_key(F.concat_ws(" ", "__source", "__url"), True)), "__domain_keys": once(F.transform("__domains", lambda d: normalize_key(d, True))), "__technology_keys": once(F.transform("__technologies", lambda t: normalize_key(t, True)))})
     aliased = [p for names in aliases.values() for p in names]
-    s = with_keys(with_keys(s, "__text", [*PHRASES, *aliased], "__hits"), "__plain", aliased, "__plain_hits").withColumn("__origin_hits", phrase_keys(F.col("__origin"), V.AUTHORITY_PHRASES))
+    s = with_all_keys(s, [("__text", [*PHRASES, *aliased], "__hits"), ("__plain", aliased, "__plain_hits")]).withColumn("__origin_hits", phrase_keys(F.col("__origin"), V.AUTHORITY_PHRASES))
     hits, d_keys, t_keys = F.col("__hits"), F.col("__domain_keys"), F.col("__technology_keys")
     kind = F.when(F.col("signal_type").isin(V.SIGNAL_TYPES), F.col("signal_type"))
     s = s.withColumn("f_signal_type", kind)
     is_kind = lambda names: F.coalesce(F.col("f_signal_type").isin(names), F.lit(False))
     given = lambda column: F.coalesce(column, F.lit("")) != ""
-    field = lambda column, names: normalize_whitespace(F.coalesce(F.col(column), json_walk.string_field(F.col("raw"), names) if use_raw else F.lit(None).cast("string"), F.lit("")))
     some = lambda phrases: F.size(_of(hits, phrases)) > 0
     metric = {f"f_{m}": F.coalesce(non_negative(F.col(m).cast("double")), json_walk.number_field(F.col("raw"), names) if use_raw else F.lit(None).cast("double")) for m, names in _METRICS.items()}
     s = s.withColumns({"f_domains": _domain_hits(d_keys, F.col("__plain_hits"), aliases), "f_technologies": F.array_compact(F.array(*[F.when(F.array_contains(t_keys, key_of(t)), t) for t in sorted((x[1] for x in V.TECHNOLOGIES), key=key_of)])),
                        "f_has_dataset": is_kind(["DATASET"]) | given("dataset_url") | some(V.DATASET_LANGUAGE), "f_has_repository": is_kind(["REPOSITORY"]) | given("github_repository_url") | F.col("__text").rlike(r"github\.com|gitlab\.com") | some(V.REPOSITORY_LANGUAGE),
-                       "__age": days_between(F.coalesce("published_at", "updated_at").cast("timestamp"), F.col("ingested_at").cast("timestamp")), "__doi": field("doi", ["doi", "DOI"]), "__external": field("external_id", ["externalId", "id"])})
+                       "__age": days_between(F.coalesce("published_at", "updated_at").cast("timestamp"), F.col("ingested_at").cast("timestamp"))})
     s = s.withColumns({
         "f_marine": _strength(hits, aliases["oceanMapping"], d_keys), "f_archaeology": _strength(hits, aliases["marineArchaeology"], d_keys), "f_heritage": _strength(hits, aliases["digitalHeritage"], d_keys),
         "f_xr": _strength(hits, aliases["xrHci"], F.concat(d_keys, t_keys)), "f_robotics": _strength(hits, aliases["underwaterRobotics"], F.concat(d_keys, t_keys)),

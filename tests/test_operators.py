@@ -776,3 +776,16 @@ def test_scans_work_on_slices(spark):
     rows = [(str(i), "RSS", "s", None if i % 5 == 0 else "" if i % 7 == 0 else (body % (i, i)) + " " * 40_000) for i in range(60)]
     got = feed_source.scan_feeds(spark.createDataFrame(rows, "source_id string, source_type string, source_name string, body string").coalesce(1)).select("source_id", "url").collect()
     assert sorted(int(r["source_id"]) for r in got) == [i for i in range(60) if i % 5 and i % 7]
+
+
+def test_python_steps_of_a_task_are_few(spark):
+    """Each step is a worker of its own in every task: one for what is made plain, one for entities, one for phrases."""
+    d = spark.createDataFrame([("1", "Deep Sea ﬁeld", "LiDAR by Ada", ["ｋey"], ["Ada"], "10.1/x")], "id string, title string, summary string, keywords array<string>, researchers array<string>, doi string")
+    steps = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    assert steps(relevance.assess(d.withColumn("raw", F.lit('{"authors":["Bob"]}')))) <= 3 and steps(relevance.assess(d, use_raw=False)) <= 3
+
+
+def test_keys_of_several_texts_in_one_step(spark):
+    d = spark.createDataFrame([(1, "deep sea robots", None), (2, None, "sea"), (3, "", "robots")], "id int, t string, u string")
+    got = dictionaries.with_all_keys(d, [("t", ["sea", "deep sea"], "a"), ("u", ["robots"], "b")]).orderBy("id").collect()
+    assert [(r["a"], r["b"]) for r in got] == [(["deep sea", "sea"], []), ([], []), ([], ["robots"])]
