@@ -13,6 +13,7 @@ from feedlake.functions.text import merge_arrays, normalize_title, title_prefix,
 from feedlake.functions.urls import normalize_url
 from feedlake.operators import containment
 from feedlake.operators.kept import kept
+from feedlake.operators.keyed_join import join_by_key
 
 TIERS = {1: "identifier", 2: "url", 3: "title", 4: "title_high"}
 _BLANK = r"(?U)^\s*$"
@@ -223,7 +224,7 @@ def known_items(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     key with an empty part, which no look-up finds and an insertion breaks. Nulls match nothing."""
     keyed = existing.where("source_id is not null and external_id is not null").select("source_id", "external_id").distinct().withColumn("__k", F.lit(True))
     by_url = existing.where("url is not null").select("url").distinct().withColumn("__u", F.lit(True))
-    found = incoming.join(keyed, ["source_id", "external_id"], "left").join(by_url, "url", "left")
+    found = join_by_key(join_by_key(incoming, keyed, ["source_id", "external_id"], "left"), by_url, ["url"], "left")
     by_key = F.coalesce("__k", F.lit(False))
     return found.withColumn("is_known", (by_key & usable_key()) | F.coalesce("__u", F.lit(False))).withColumn("is_taken", by_key & ~F.col("is_known")).select(*incoming.columns, "is_known", "is_taken")
 

@@ -11,12 +11,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedlake.operators.keyed_join import join_by_key
+
 
 def insert_new(table: DataFrame, rows: DataFrame, keys: list[list[str]]) -> DataFrame:
-    """rows that collide with none of the unique keys (nulls never collide), to be appended."""
+    """rows that collide with none of the unique keys (nulls never collide, however many rows hold one), to be appended."""
     out = rows
     for key in keys:
-        out = out.join(table.select(*key).dropna().distinct(), key, "left_anti")
+        out = join_by_key(out, table.select(*key).dropna().distinct(), key, "left_anti")
     return out.select(*rows.columns)
 
 

@@ -789,3 +789,23 @@ def test_keys_of_several_texts_in_one_step(spark):
     d = spark.createDataFrame([(1, "deep sea robots", None), (2, None, "sea"), (3, "", "robots")], "id int, t string, u string")
     got = dictionaries.with_all_keys(d, [("t", ["sea", "deep sea"], "a"), ("u", ["robots"], "b")]).orderBy("id").collect()
     assert [(r["a"], r["b"]) for r in got] == [(["deep sea", "sea"], []), ([], []), ([], ["robots"])]
+
+
+def test_rows_without_a_key_are_dealt_out(spark):
+    """20,000 new rows without a key or URL: no task of the joins has most of them, and all are inserted."""
+    known = spark.createDataFrame([("s", "1", "u1"), ("s", None, None)], "source_id string, external_id string, url string")
+    rows = spark.range(20_000).select("id", F.lit("s").alias("source_id"), F.when(F.col("id") < 2, F.col("id").cast("string")).alias("external_id"), F.lit(None).cast("string").alias("url"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        new = writes.insert_new(known, rows, [["source_id", "external_id"], ["url"]])
+        marked = linkage.known_items(rows, known)
+        for out, n in ((new, 19_999), (marked, 20_000)):
+            sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+            assert sum(sizes) == n and max(sizes) < 10_000
+        assert [r["id"] for r in marked.where("is_known").collect()] == [1] and new.where("id = 1").isEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
