@@ -240,13 +240,24 @@ def first_comers(rows: DataFrame, ord_col: str = "ord") -> DataFrame:
     """
     names = ["url", "source_id", "external_id"]
     keyed = F.col("source_id").isNotNull() & F.col("external_id").isNotNull()
+    no_keys = rows.where(F.col("url").isNull() & ~keyed)
+    written = first_written(rows.where(F.col("url").isNotNull() | keyed).groupBy(*names).agg(F.min(ord_col).alias("__at")))
+    w = written.select(*[F.col(n).alias(f"__{n}") for n in names], "__at", F.lit(True).alias("is_first"))
+    some = rows.where(F.col("url").isNotNull() | keyed)
+    joined = some.join(w, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names], F.col(ord_col) == F.col("__at")), "left")
+    one = F.row_number().over(Window.partitionBy(*names, ord_col).orderBy(F.lit(1))) == 1
+    judged = joined.withColumn("is_first", F.coalesce("is_first", F.lit(False)) & one).select(*rows.columns, "is_first")
+    return judged.unionByName(no_keys.withColumn("is_first", F.lit(True)))
+
+
+def first_written(candidates: DataFrame) -> DataFrame:
+    """The candidates (url, source_id, external_id, all three once together, and __at) that first_comers writes. Each has a url or a key."""
+    names = ["url", "source_id", "external_id"]
+    keyed = F.col("source_id").isNotNull() & F.col("external_id").isNotNull()
     # rows without a url, or a key, are groups of their own
     alone = {"__no_url": F.when(F.col("url").isNull(), F.monotonically_increasing_id()), "__no_key": F.when(~keyed, F.monotonically_increasing_id())}
-    open_ = rows.groupBy(*names).agg(F.min(ord_col).alias("__at"))
-    no_keys = rows.where(F.col("url").isNull() & ~keyed)
     by_url, by_key = Window.partitionBy("url", "__no_url"), Window.partitionBy("source_id", "external_id", "__no_key")
-    counted = open_.where(F.col("url").isNotNull() | keyed).withColumns(alone).withColumn("__cu", F.count("*").over(by_url)).withColumn("__ck", F.count("*").over(by_key))
-    counted = kept(counted)
+    counted = kept(candidates.withColumns(alone).withColumn("__cu", F.count("*").over(by_url)).withColumn("__ck", F.count("*").over(by_key)))
     written = counted.where("__cu = 1 and __ck = 1").select(*names, "__at")
     open_ = counted.where("__cu > 1 or __ck > 1").drop("__cu", "__ck")
     while not open_.isEmpty():
@@ -255,12 +266,7 @@ def first_comers(rows: DataFrame, ord_col: str = "ord") -> DataFrame:
         marked = kept(marked.withColumn("__n", F.max("__w").over(by_key)).withColumn("__n", F.col("__n") | F.max("__w").over(by_url)))
         written = written.unionAll(marked.where("__w").select(*names, "__at"))
         open_ = marked.where("not __n").drop("__w", "__n")
-    w = written.select(*[F.col(n).alias(f"__{n}") for n in names], "__at", F.lit(True).alias("is_first"))
-    some = rows.where(F.col("url").isNotNull() | keyed)
-    joined = some.join(w, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names], F.col(ord_col) == F.col("__at")), "left")
-    one = F.row_number().over(Window.partitionBy(*names, ord_col).orderBy(F.lit(1))) == 1
-    judged = joined.withColumn("is_first", F.coalesce("is_first", F.lit(False)) & one).select(*rows.columns, "is_first")
-    return judged.unionByName(no_keys.withColumn("is_first", F.lit(True)))
+    return written
 
 
 def new_items(incoming: DataFrame, existing: DataFrame, ord_col: str = "ord") -> DataFrame:

@@ -809,3 +809,21 @@ def test_rows_without_a_key_are_dealt_out(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_outcomes_read_the_rows_few_times(spark):
+    """Answers are found for distinct urls and keys; the rows themselves are in the plan for these that may be first, the others, and those
+    without url or key."""
+    i = F.col("id")
+    rows = spark.range(60).select((i % 7).cast("string").alias("url"), F.lit("s").alias("source_id"), F.when(i % 3 > 0, (i % 5).cast("string")).alias("external_id"), i.alias("ord"))
+    none = spark.createDataFrame([], "source_id string, external_id string, url string")
+    done = ingest.outcomes(rows, none)
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 3
+    urls, keys, want = set(), set(), {}
+    for n in range(60):
+        url, key = str(n % 7), str(n % 5) if n % 3 else None
+        want[n] = "deduped" if url in urls or key in keys else "created"
+        if want[n] == "created":
+            urls.add(url)
+            keys |= {key} - {None}
+    assert {r["ord"]: r["outcome"] for r in done.collect()} == want
