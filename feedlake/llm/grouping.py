@@ -47,12 +47,16 @@ def tile_roots(links: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple
 def slices(texts, chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """(from, to) of runs of texts that together hold about `chars` characters, one text at the least: what is worked
     on at once has a bound that does not depend on how long texts are or how many rows a batch has."""
+    return runs_of_sizes([len(text) if text else 0 for text in texts], chars)
+
+
+def runs_of_sizes(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of what has these sizes that together come to about `most`, one at the least."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if i > start and held + n > chars:
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
             yield start, i
             start, held = i, 0
         held += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)

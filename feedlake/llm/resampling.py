@@ -3,88 +3,79 @@
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedlake.llm.grouping import slices
-from feedlake.llm.scratch import shuffle_width, stash, table
+from feedlake.llm.grouping import runs_of_sizes
+from feedlake.llm.scratch import discard, shuffle_width, stash, table
 
 #: Longest run of words that is a feature, buckets of features, and the scale at which gains and noise are whole numbers.
 NGRAMS, BUCKETS, SCALE = (1, 1), 10_000, 1000
 #: Least words of a document that can be drawn, how many of 100 such are, and the seed of the noise.
 LEAST_WORDS, PERCENT, SEED = 20, 10, 2024
-#: Characters of the texts that share a dictionary; most ranges that scores are ranked in side by side.
-BLOCK_CHARS, RANGES = 4_000_000, 256
+#: Bytes of the texts that share a dictionary; most ranges that scores are ranked in side by side.
+SLICE_BYTES, RANGES = 1_000_000, 256
 #: Words of lower-cased UTF-8: what is neither ASCII nor a letter or digit splits nothing.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-BLOCK = "block long, features array<string>, totals array<long>, ids array<string>, n_words array<long>, n_features array<long>, distinct array<int>, local array<int>, counts array<int>"
 
 
-class Numbers(dict):
-    """Feature to its place in the block's dictionary, in order of appearance."""
+class Buckets(dict):
+    """Feature to its bucket: every distinct one is hashed once."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
 
     def __missing__(self, feature: bytes) -> int:
-        self[feature] = at = len(self)
-        return at
+        self[feature] = bucket = zlib.crc32(feature) % self.buckets
+        return bucket
 
 
-def features(text: str | None, ngrams: tuple[int, int] = NGRAMS) -> tuple[int, list[bytes]]:
-    """(number of words, features): words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased, features all runs of
-    so many of them, joined by one space. Null and empty texts have none."""
-    words = _WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
+def features(text: bytes | None, ngrams: tuple[int, int] = NGRAMS) -> tuple[int, list[bytes]]:
+    """(number of words, features) of a text in UTF-8: words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased,
+    features all runs of so many of them, joined by one space. Null and empty texts have none."""
+    words = _WORD.findall(text.lower()) if text else []
     out = list(words) if ngrams[0] <= 1 else []
     for n in range(max(2, ngrams[0]), ngrams[1] + 1):
         out += [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
     return len(words), out
 
 
-def _block(texts, ngrams: tuple[int, int]) -> dict:
-    """The texts' features, each distinct one once, and every text's distinct features as numbers with counts."""
-    numbers, sizes, words, lists = Numbers(), [], [], []
-    for text in texts:
-        n, found = features(text, ngrams)
-        words.append(n)
-        sizes.append(len(found))
-        lists.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    cell, counts = np.unique((of << 32) | np.concatenate([*lists, np.empty(0, np.int64)]), return_counts=True)
-    local = cell & 0xFFFFFFFF
-    totals = np.bincount(local, weights=counts, minlength=len(numbers)).astype(np.int64)
-    return {"features": [f.decode("utf-8", "surrogatepass") for f in numbers], "totals": totals, "n_words": words, "n_features": sizes,
-            "distinct": np.bincount(cell >> 32, minlength=len(sizes)).astype(np.int32), "local": local.astype(np.int32), "counts": counts.astype(np.int32)}
+def bucketed(texts: pa.Array, ngrams: tuple[int, int], buckets: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of words, every feature's bucket) of each text, in order. Texts of about `size` bytes, one at the least, share a
+    dictionary of their distinct features: no more than that stands as Python objects at a time, however many rows a batch has."""
+    for a, b in runs_of_sizes(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), size):
+        known = Buckets(buckets)
+        for text in texts.slice(a, b - a).to_pylist():
+            n, found = features(text, ngrams)
+            yield n, np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
 
-def blocks(docs: DataFrame, ngrams: tuple[int, int] = NGRAMS, id_col: str = "doc_id", text_col: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row for some texts: the dictionary of their distinct features with totals, and each text's id, sizes and feature
-    counts as numbers of the dictionary. A block holds about `chars` characters, or one text."""
+def bucket_counts(texts: DataFrame, text_col: str = "text", ngrams: tuple[int, int] = NGRAMS, buckets: int = BUCKETS, size: int = SLICE_BYTES) -> DataFrame:
+    """(bucket, n): how many features of all texts fall into it, for every bucket that has any. A task adds up its own texts, so
+    that it sends on a row a bucket at the most."""
 
     def each(batches):
-        made = TaskContext.get().partitionId() << 33
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
-            texts, ids = batch["text"].tolist(), batch["id"].tolist()
-            for a, b in slices(texts, chars):
-                yield pd.DataFrame([{"block": made, "ids": ids[a:b], **_block(texts[a:b], ngrams)}])
-                made += 1
-
-    # ids as text: a long beside nulls would come as a double
-    return docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(each, BLOCK)
-
+            for _, found in bucketed(batch.column(0), ngrams, buckets, size):
+                np.add.at(total, found, 1)
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own])], ["bucket", "n"])
 
-def dictionary(made: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(feature, n, bucket): every distinct feature of the blocks with its count over all of them; each string is hashed once."""
-    rows = made.select(F.explode(F.arrays_zip("features", "totals")).alias("f")).select(F.col("f.features").alias("feature"), F.col("f.totals").alias("n"))
-    return rows.groupBy("feature").agg(F.sum("n").alias("n")).withColumn("bucket", (F.crc32("feature") % buckets).cast("int"))
+    sums = texts.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(each, "bucket int, n long")
+    return sums.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def bucket_gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, gain) for every bucket, from two dictionaries: the scaled log of how much likelier the target makes it, both smoothed
-    by one occurrence a bucket."""
-    sums = lambda d, n: d.groupBy("bucket").agg(F.sum("n").alias(n))
-    s, t = sums(corpus, "s"), sums(target, "t")
+    """(bucket, gain) for every bucket, from the counts of both: the scaled log of how much likelier the target makes it, both
+    smoothed by one occurrence a bucket."""
+    s, t = corpus.withColumnRenamed("n", "s"), target.withColumnRenamed("n", "t")
     all_s, all_t = (float(x.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] + buckets) for x, n in ((s, "s"), (t, "t")))
     every = corpus.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(s, "bucket", "left").join(t, "bucket", "left")
     plus = lambda c: F.coalesce(c, F.lit(0)).cast("double") + 1.0
@@ -98,32 +89,27 @@ def noise(doc_id: Column, seed: int = SEED) -> Column:
     return F.floor(-SCALE * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
 
 
-def weights(docs: DataFrame, target: DataFrame, ngrams: tuple[int, int] = NGRAMS, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
+def weights(docs: DataFrame, target: DataFrame, ngrams: tuple[int, int] = NGRAMS, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", size: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, n_words, n_features, weight) of every document: weight is the sum of its features' gains, repeats counted."""
-    made = stash(blocks(docs, ngrams, id_col, text_col, chars), "blocks", "zstd")
-    known = stash(dictionary(made, buckets), "dictionary")
-    aimed = dictionary(blocks(target.select(F.lit(None).cast("long").alias("id"), F.col(target_text).alias("text")), ngrams, "id", "text", chars), buckets)
-    gains = stash(bucket_gains(known, aimed, buckets), "gains")
+    spark = docs.sparkSession
     # a row for each bucket: `buckets` of them at any size
-    worth = known.join(F.broadcast(gains), "bucket").select("feature", "gain")
-    places = made.select("block", F.posexplode("features").alias("at", "feature"))
-    # place and gain as one number: a quarter of what a struct of two takes
-    packed = F.shiftleft(F.col("at").cast("long"), 32) + F.col("gain")
-    of_block = places.join(worth, "feature").groupBy("block").agg(F.array_sort(F.collect_list(packed)).alias("gains"))
-    rows = made.drop("features", "totals").join(of_block, "block", "left")
-
-    def weigh(batches):
+    counts = [stash(bucket_counts(df, col, ngrams, buckets, size), "counts") for df, col in ((docs, text_col), (target, target_text))]
+    gains = np.zeros(buckets, np.int64)
+    for r in bucket_gains(*counts, buckets).collect():
+        gains[r["bucket"]] = r["gain"]
+    for df in counts:
+        discard(df)
+    sent = spark.sparkContext.broadcast(gains)
+
+    def each(batches):
+        worth = sent.value
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                gain = np.asarray(row.gains if row.gains is not None else [], np.int64)
-                gain = ((gain + 2**31) & 0xFFFFFFFF) - 2**31
-                of = np.repeat(np.arange(len(row.distinct)), row.distinct)
-                total = np.zeros(len(row.distinct), np.int64)
-                np.add.at(total, of, gain[row.local] * row.counts.astype(np.int64))
-                yield pd.DataFrame({"doc_id": row.ids, "n_words": row.n_words, "n_features": row.n_features, "weight": total})
+            sums = [(n, len(found), int(worth[found].sum())) for n, found in bucketed(batch.column(1), ngrams, buckets, size)]
+            columns = [pa.array(x, pa.int64()) for x in zip(*sums, strict=True)] or [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_features", "weight"])
 
-    out = rows.mapInPandas(weigh, "doc_id string, n_words long, n_features long, weight long")
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_features", "weight")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(each, "doc_id long, n_words long, n_features long, weight long")
 
 
 def ranks(rows: DataFrame, first: int, score: str = "score", id_col: str = "doc_id") -> DataFrame:
@@ -146,7 +132,7 @@ def ranks(rows: DataFrame, first: int, score: str = "score", id_col: str = "doc_
     return numbered.unionByName(rest).drop("__range", "__before")
 
 
-def resample(docs: DataFrame, target: DataFrame, ngrams: tuple[int, int] = NGRAMS, buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, ngrams: tuple[int, int] = NGRAMS, buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", chars: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, n_features, weight, score, rank) of every document; rank numbers the drawn ones in their order, others have null.
 
     Method: features are hashed into buckets; a bucket's gain is the log of its share among the target's features over its share
@@ -154,10 +140,10 @@ def resample(docs: DataFrame, target: DataFrame, ngrams: tuple[int, int] = NGRAM
     without replacement in proportion to their exponentials. Of the N documents with least_words words or more,
     floor(percent * N / 100) are drawn, ties to the smaller doc_id.
 
-    Some megabytes of text share a dictionary of their distinct features; every feature's counts meet once over all of them,
-    its string is hashed once, and its gain comes back to each block that holds it, as one row. So what is shuffled are
-    distinct features of blocks, not words of documents, and a feature of all documents is a row a block. Texts are read whole;
-    counts are over all documents and the whole target.
+    Texts are read twice: once to count each bucket over all of them, once to sum up each document's gains. Texts of about
+    `chars` bytes share a dictionary of their distinct features, each hashed once. What is moved and sent to the tasks is a row
+    a bucket, so nothing but the scores grows with the texts. Texts are read whole; counts are over all documents and the whole
+    target.
 
     Null and empty texts have no features and weight 0. A null doc_id has the noise of an empty one and stands last among ties.
     Repeated rows count each, and are drawn each. Other columns are ignored. An empty table gives an empty table; an

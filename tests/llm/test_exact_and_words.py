@@ -201,6 +201,24 @@ def test_op13_odd_rows_and_longer_runs(spark, chars):
     assert got == plain_resample(rows, target, 2)
 
 
+def test_op13_moves_buckets_and_not_texts(spark, monkeypatch):
+    """A task holds one slice of texts and a number a bucket: no intermediate table has a row that grows with the texts, and none
+    but the scores has more rows than there are buckets for each task."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id").cast("string")) for k in range(25)]).alias("text")).repartition(2)
+    widest, kept = {}, resampling.stash
+
+    def watched(df, label, *how):
+        out = kept(df, label, *how)
+        sizes = out.select(F.octet_length(F.to_json(F.struct(*out.columns))).alias("n")).agg(F.count("*"), F.max("n")).first()
+        widest[label] = tuple(max(x) for x in zip(sizes, widest.get(label, (0, 0)), strict=True))
+        return out
+
+    monkeypatch.setattr(resampling, "stash", watched)
+    got = drawn_of(resampling.resample(docs, docs.limit(3), buckets=100))
+    assert len(got) == 6000 and sum(r[1] for r in got) == 150_000
+    assert all(longest < 200 for _, longest in widest.values()) and all(n <= 200 for label, (n, _) in widest.items() if label != "scored")
+
+
 def test_op13_empty(spark):
     none = spark.createDataFrame([], DOCS)
     assert resampling.resample(none, none).count() == 0
