@@ -4,15 +4,17 @@ are too large for that. None puts the dictionary into the plan."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from feedlake.functions.text import key_of, phrase_keys
+from feedlake.functions.text import SLICE_CHARS, key_of, phrase_keys
+from feedlake.functions.values import once
 from feedlake.operators.kept import kept
 
 try:
@@ -73,40 +75,115 @@ def _stands(text: str, key: str) -> bool:
     return False
 
 
+def _stretches(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, at): the places from begins[i] on, sizes[i] of them, for every i, one after the other, each with its i."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return which, np.arange(len(which)) + (begins - (np.cumsum(sizes) - sizes))[which]
+
+
 class Phrases:
-    """whole_phrases for many keys: a key's letters and digits from the first to the last are a run of words, and the runs of a text are
-    looked up. Keys that begin or end otherwise are looked for where their words are found, those without words everywhere."""
+    """whole_phrases of many keys and many texts: a key's letters and digits from the first to the last are a run of words. Runs of as many
+    words as keys have are told by hashes of their characters, a slice of texts at a time in numpy, and what has a key's hash is compared
+    with it character by character. Keys that begin or end otherwise are looked for where their words are found, those without words
+    everywhere."""
+
+    #: Of the hash, a sum of characters times powers of this odd number modulo 2^64.
+    BASE = 0x9E3779B97F4A7C15
 
     def __init__(self, keys: list[str]):
-        self.plain: list[set[str]] = [set(), set()]  # of one word, of more
-        self.ragged: dict[str, list[str]] = {}
-        self.bare: list[str] = []
-        self.heads: dict[str, set[int]] = {}  # two words, and how many those keys have that begin with them and go on
-        for key in keys:
-            spans = [m.span() for m in _RUN.finditer(key)]
-            if not spans:
-                self.bare.append(key)
-                continue
-            core = key[spans[0][0]:spans[-1][1]]
-            if core == key:
-                self.plain[len(spans) > 1].add(key)
-            else:
-                self.ragged.setdefault(core, []).append(key)
-            if len(spans) > 2:
-                self.heads.setdefault(key[spans[0][0]:spans[1][1]], set()).add(len(spans))
-        self.cores = self.ragged.keys()
-
-    def found(self, text: str) -> set[str]:
-        spans = [m.span() for m in _RUN.finditer(text)]
-        words = {text[b:e] for b, e in spans}
-        pairs = [text[spans[i][0]:spans[i + 1][1]] for i in range(len(spans) - 1)]
-        runs = set(pairs)
-        if not self.heads.keys().isdisjoint(runs):
-            runs |= {text[spans[i][0]:spans[i + n - 1][1]] for i, pair in enumerate(pairs) if pair in self.heads for n in self.heads[pair] if i + n <= len(spans)}
-        hit = (words & self.plain[0]) | (runs & self.plain[1])
-        if self.ragged:
-            hit |= {key for core in (self.cores & words) | (self.cores & runs) for key in self.ragged[core] if _stands(text, key)}
-        return hit | {key for key in self.bare if _stands(text, key)}
+        self.keys = keys
+        self.letters = np.zeros(0x110000, bool)  # of every code point whether it is a letter or digit
+        for m in _RUN.finditer("".join(map(chr, range(0x110000)))):
+            self.letters[m.start():m.end()] = True
+        self.powers = self.inverse = np.ones(1, np.uint64)
+        cores, found, ragged, worded = [], [], [], np.zeros(len(keys), bool)
+        held = 0
+        for first, codes, begins, starts, ends, of, sums in self._slices(pa.array(keys, pa.string())):
+            mine, n = np.unique(of, return_counts=True)
+            last = np.cumsum(n) - 1
+            begin, end = starts[last - n + 1], ends[last]
+            sizes = np.append(begins[1:], len(codes) + 1) - 1 - begins
+            found.append((mine + first, begin + held, end - begin, self._hash(sums, begin, end), n))
+            worded[mine + first] = True
+            ragged.append(mine[(begin > begins[mine]) | (end < begins[mine] + sizes[mine])] + first)
+            cores.append(codes)
+            held += len(codes)
+        self.codes = np.concatenate([*cores, np.empty(0, np.uint32)])
+        kinds = (np.int64, np.int64, np.int64, np.uint64, np.int64)
+        *columns, n_words = (np.concatenate([np.empty(0, kind), *(f[i] for f in found)]) for i, kind in enumerate(kinds))
+        self.tables = []  # of each number of words: it, places of the hash that any key has, and number, begin, size and hash of the keys by hash
+        for n in np.unique(n_words).tolist():
+            mine = np.flatnonzero(n_words == n)
+            mine = mine[np.argsort(columns[3][mine], kind="stable")]
+            shift = np.uint64(64 - min(26, 6 + len(mine).bit_length()))
+            any_key = np.zeros(1 << (64 - int(shift)), bool)
+            any_key[columns[3][mine] >> shift] = True
+            self.tables.append((n, any_key, shift, *(c[mine] for c in columns)))
+        self.ragged = np.zeros(len(keys), bool)
+        self.ragged[np.concatenate([*ragged, np.empty(0, np.int64)])] = True
+        self.bare = np.flatnonzero(~worded).tolist()
+
+    def _slices(self, texts: pa.Array) -> Iterator[tuple]:
+        """Texts in slices of about SLICE_CHARS: number of the first, code points, where each text begins, where each word does and ends and
+        of which text it is, and sums for hashes."""
+        part = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1) // SLICE_CHARS
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)] if len(texts) else [0]
+        for a, b in zip(edges, edges[1:], strict=False):
+            own = [t or "" for t in texts.slice(a, b - a).to_pylist()]
+            codes = np.frombuffer("\n".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
+            begins = np.cumsum([0, *(len(t) + 1 for t in own[:-1])])
+            turns = np.flatnonzero(np.diff(self.letters[codes].view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+            starts, ends = turns[::2], turns[1::2]
+            if len(self.powers) <= len(codes):
+                row = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(codes), x, np.uint64)]))
+                self.powers, self.inverse = row(self.BASE), row(pow(self.BASE, -1, 1 << 64))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.powers[:len(codes)])])
+            yield a, codes, begins, starts, ends, np.searchsorted(begins, starts, "right") - 1, sums
+
+    def _hash(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (sums[end] - sums[begin]) * self.inverse[begin]
+
+    def found(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of a text, number of a key) wherever a text has a key, each once and in order."""
+        out = []
+        for first, codes, _, starts, ends, of, sums in self._slices(texts):
+            for n, any_key, shift, number, key_begin, key_size, key_hash in self.tables:
+                begin, end, same = starts[:max(0, len(starts) - n + 1)], ends[n - 1:], of[n - 1:]
+                hashes = self._hash(sums, begin, end)
+                at = np.flatnonzero(any_key[hashes >> shift])
+                at = at[of[at] == same[at]]
+                low = np.searchsorted(key_hash, hashes[at])
+                hit = np.append(key_hash, np.uint64(0))[low] == hashes[at]
+                at, low = at[hit], low[hit]
+                which, key = _stretches(low, np.searchsorted(key_hash, hashes[at], "right") - low)
+                at = at[which]
+                alike = end[at] - begin[at] == key_size[key]
+                at, key = at[alike], key[alike]
+                which, here = _stretches(begin[at], key_size[key])
+                there = _stretches(key_begin[key], key_size[key])[1]
+                right = np.bincount(which[codes[here] != self.codes[there]], minlength=len(at)) == 0
+                out.append(np.unique((of[at[right]] + first) * len(self.keys) + number[key[right]]))
+        if self.bare:
+            every = [(i * len(self.keys) + k) for i, text in enumerate(texts.to_pylist()) if text for k in self.bare if _stands(text, self.keys[k])]
+            out.append(np.array(every, np.int64))
+        text, key = np.divmod(np.unique(np.concatenate([*out, np.empty(0, np.int64)])), max(1, len(self.keys)))
+        doubtful = np.flatnonzero(self.ragged[key]).tolist() if self.ragged.any() else []
+        if doubtful:
+            wrong = [j for j in doubtful if not _stands(texts[int(text[j])].as_py(), self.keys[key[j]])]
+            text, key = np.delete(text, wrong), np.delete(key, wrong)
+        return text, key
+
+
+def _by_automaton(keys: list[str]) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Phrases.found by one automaton."""
+    automaton, number = _automaton(keys), {key: i for i, key in enumerate(keys)}
+
+    def found(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        every = [(i, k) for i, text in enumerate(x.as_py() for x in texts) if text for k in sorted(number[key] for key in whole_phrases(text, automaton))]
+        pairs = np.array(every, np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+
+    return found
 
 
 def _in_workers(spark: SparkSession, table: pa.Table, by_automaton: bool, fields: Column, keys: Column) -> Column:
@@ -117,27 +194,24 @@ def _in_workers(spark: SparkSession, table: pa.Table, by_automaton: bool, fields
     @F.arrow_udf(ArrayType(ENTITY))
     def each(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         own = sent.value
-        rows: dict[str, list[int]] = {}
-        for i, key in enumerate(own["key"].to_pylist()):
-            rows.setdefault(key, []).append(i)
-        orders = own["ord"].to_pylist()
-        automaton = _automaton(list(rows)) if by_automaton and rows else None
-        find = Phrases(list(rows)).found if automaton is None else lambda text: whole_phrases(text, automaton)
+        coded = own["key"].combine_chunks().dictionary_encode()
+        distinct, numbers = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        rows, n_rows = np.argsort(numbers, kind="stable"), np.bincount(numbers, minlength=len(distinct))
+        first_row = np.cumsum(n_rows) - n_rows
+        orders = own["ord"].to_numpy()
+        found = _by_automaton(distinct) if by_automaton and distinct else Phrases(distinct).found
         names = [own[c].combine_chunks() for c in ("type", "name", "phrase", "aliases")]
         for fields, texts in batches:
-            at: list[int] = []
-            sources: list[str] = []
-            sizes = [0]
-            for of, keys in zip(fields, texts, strict=True):
-                of, keys = of.as_py() or [], keys.as_py() or []
-                hits = [(orders[i], place, i) for place, text in enumerate(keys) if text for key in find(text) for i in rows[key]]
-                hits.sort()
-                at += [i for _, _, i in hits]
-                sources += [of[place] for _, place, _ in hits]
-                sizes.append(len(hits))
-            kind, name, phrase, aliases = (c.take(pa.array(at, pa.int64())) for c in names)
-            entities = pa.StructArray.from_arrays([kind, name, phrase, pa.array(sources, pa.string()), pa.array(["exact"] * len(at), pa.string()), aliases], names=ENTITY.names)
-            yield pa.ListArray.from_arrays(pa.array(list(accumulate(sizes)), pa.int32()), entities)
+            of, row_of = fields.flatten(), pc.list_parent_indices(texts).to_numpy(zero_copy_only=False)
+            at, key = found(texts.flatten())
+            which, place = _stretches(first_row[key], n_rows[key])
+            at, place = at[which], rows[place]
+            order = np.lexsort((place, at, orders[place], row_of[at]))
+            at, place = at[order], place[order]
+            kind, name, phrase, aliases = (c.take(pa.array(place, pa.int64())) for c in names)
+            entities = pa.StructArray.from_arrays([kind, name, phrase, of.take(pa.array(at, pa.int64())), pa.array(["exact"] * len(at), pa.string()), aliases], names=ENTITY.names)
+            sizes = np.bincount(row_of[at], minlength=len(texts))
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), entities)
 
     return each(fields, keys)
 
@@ -189,7 +263,8 @@ def with_matches(staged: DataFrame, texts: str, dictionary: DataFrame | list[tup
         chars = dictionary.agg(F.coalesce(F.sum(F.length("key")), F.lit(0))).first()[0]
         table = dictionary.toArrow() if chars <= max(automaton_chars, runs_chars) else None
     if chars <= max(automaton_chars, runs_chars):
-        return staged.withColumn(out, _in_workers(spark, table, chars <= automaton_chars, F.col(f"{texts}.source_field"), F.col(f"{texts}.key")))
+        # once: an explode of what is found would else have it found twice, the first time to leave out rows without any
+        return staged.withColumn(out, once(_in_workers(spark, table, chars <= automaton_chars, F.col(f"{texts}.source_field"), F.col(f"{texts}.key"))))
     return _by_join(staged, texts, dictionary, out)
 
 

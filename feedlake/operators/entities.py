@@ -29,6 +29,14 @@ def chunks(title: Column, summary: Column, keywords: Column, raw_text: Column |
     return F.array_compact(F.array(*[made(*field) for field in fields]))
 
 
+def key_chunk(name: str, text: Column) -> Column:
+    """chunks of one text that is composed already, with its key alone, which is all that dictionaries are looked for in. White space
+    needs no pass of its own, as a key has one blank for whatever is no letter, digit or sign."""
+    # where an invisible space stands, a letter before it ends a word for lower-casing
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("\ufeff"), F.lit(" "))
+    return F.array(F.struct(F.lit(name).alias("source_field"), normalize_key(plain, True).alias("key")))
+
+
 def dictionary_matches(texts: Column, entries: list[tuple[str, str, list[str]]]) -> Column:
     """An entity for each phrase of each entry and each text that has it as a whole phrase, in that order.
 

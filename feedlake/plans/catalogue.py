@@ -637,10 +637,10 @@ def dictionary_match(spark, sf_dir):
     """A dictionary that is a table, the first two words of every third document, looked for in all texts behind first lines."""
     d = views.document_items(spark, sf_dir)
     phrase = F.array_join(F.slice(F.split("title", " "), 1, 2), " ")
-    keys = d.where("id % 3 = 0").select(text.normalize_key(phrase, True).alias("key")).distinct()
+    keys = kept(d.where("id % 3 = 0").select(text.normalize_key(phrase, True).alias("key")).distinct())  # measured, then read
     none = F.array().cast("array<string>")
     table = keys.select(F.lit(0).cast("long").alias("ord"), F.lit("phrase").alias("type"), F.col("key").alias("name"), F.col("key").alias("phrase"), "key", none.alias("aliases"))
-    texts = d.select("id", values.once(entities.chunks(F.lit(""), F.col("summary"), none, composed=True)).alias("texts"))
+    texts = d.select("id", values.once(entities.key_chunk("summary", F.col("summary"))).alias("texts"))
     found = dictionaries.with_matches(texts, "texts", table, "e").select("id", F.explode("e.matched_text").alias("phrase"))
     return found.groupBy("phrase").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 

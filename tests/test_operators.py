@@ -1,7 +1,10 @@
 import json
+import random
 import re
 import sys
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -54,6 +57,54 @@ def test_a_dictionary_beyond_the_automaton_is_looked_up_by_runs_of_words(spark):
     assert sum(map(len, want.values())) > 30 and rows(-1, 10**6) == want == rows(-1, -1)
 
 
+@pytest.mark.parametrize("base, chars", [(dictionaries.Phrases.BASE, 500_000), (dictionaries.Phrases.BASE, 5), (1, 40), (3, 500_000)])
+def test_phrases_of_many_texts_equal_plain_search(monkeypatch, base, chars):
+    """Texts in one slice or many, and hashes that many runs share (by 1 all that have the same characters): what is found is the same."""
+    monkeypatch.setattr(dictionaries.Phrases, "BASE", base)
+    monkeypatch.setattr(dictionaries, "SLICE_CHARS", chars)
+    rng = random.Random(1)
+    made = lambda most: "".join(rng.choice(["sea", "aes", "a", "b", "\u00fc", "x1", " ", " ", "-", ".", "/", "+", "\u00b2", "\u65e5\u672c", "\U0001d518"]) for _ in range(rng.randrange(most)))
+    keys, texts = sorted({made(9) for _ in range(300)} - {""}) + ["a b c d e f g h"], [made(60) for _ in range(200)] + [None, "", " ", "a", "x a b c d e f g h"]
+    text, key = dictionaries.Phrases(keys).found(pa.array(texts, pa.string()))
+    want = [(i, k) for i, t in enumerate(texts) if t for k, p in enumerate(keys) if dictionaries._stands(t, p)]
+    assert list(zip(text.tolist(), key.tolist(), strict=True)) == want and len(want) > 500
+
+
+def test_looking_up_phrases_costs_less_than_listing_words_thrice():
+    """Words are not taken one by one: 20,000 phrases in a million words cost about as long as a pass that only counts the words."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choices(words, k=1000)) for _ in range(1000)]
+    phrases = dictionaries.Phrases([f"w{i} w{i % 70}" for i in range(20_000)])
+
+    def least(f):
+        spent = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            spent.append(time.process_time() - began)
+        return min(spent)
+
+    given = pa.array(texts)
+    assert least(lambda: phrases.found(given)) < 3 * least(lambda: sum(1 for t in texts for _ in re.finditer(r"[^\W_]+", t)))
+
+
+def test_phrases_that_are_exploded_are_looked_for_once(spark):
+    d = spark.createDataFrame([(1, "deep sea"), (2, "land")], "id int, t string").select("id", entities.key_chunk("t", F.col("t")).alias("x"))
+    for limit in (10**6, -1):
+        found = dictionaries.with_matches(d, "x", [("t", "sea", ["deep"])], "e", limit).select("id", F.explode("e.matched_text").alias("phrase"))
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        assert [tuple(r) for r in found.orderBy("id", "phrase").collect()] == [(1, "deep"), (1, "sea")]
+
+
+def test_a_key_of_a_text_needs_no_pass_over_white_space(spark):
+    texts = ["A\u03a3\ufeff\u03b1 b", " x,\u00a0 y\t\n", "", None, "\ufeff", "C++ / a.b - ,", "\u0130 \u2028z"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = entities.chunks(F.lit(""), F.col("t"), F.array().cast("array<string>"), composed=True)
+    rows = d.select(F.coalesce(F.get(plain, 0)["key"], F.lit("")).alias("want"), entities.key_chunk("summary", F.col("t"))[0]["key"].alias("got")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows] and rows[1]["got"] == "x y"
+
+
 def test_without_the_automaton_library(spark, monkeypatch):
     d = spark.createDataFrame([(1, "deep sea robots"), (2, None), (3, "sea-robots")], "id int, t string")
     chunked = d.select("id", entities.chunks(F.col("t"), F.lit(""), F.array().cast("array<string>")).alias("x"))
